@@ -64,13 +64,12 @@ def mix_plan(spark: SparkSession, docs: DataFrame, weights: tuple = WEIGHTS, sha
     # state: per source the prefix of the boundary range and the words below it
     state = plan.select("key", F.lit("").alias("at"), F.lit(0).cast("long").alias("below"), "left")
     for end in range(STEP, DIGITS + 1, STEP):
-        inside = sized.join(F.broadcast(state) if end == STEP else checked_broadcast(state), "key").where(F.col("h").startswith(F.col("at")))
+        inside = sized.join(checked_broadcast(state), "key").where(F.col("h").startswith(F.col("at")))
         sums = inside.groupBy("key", F.substring("h", 1, end).alias("to")).agg(F.sum("size").alias("w"), F.first("below").alias("below"), F.first("left").alias("left"))
         run = sums.withColumn("upto", F.col("below") + F.sum("w").over(W.partitionBy("key").orderBy("to")))
         over = run.where("upto > left").groupBy("key").agg(F.min(F.struct("to", (F.col("upto") - F.col("w")).alias("below"), "left", "upto")).alias("x"))
-        state = scratch.write(over.select("key", F.col("x.to").alias("at"), F.col("x.below").alias("below"), F.col("x.left").alias("left"), F.col("x.upto").alias("upto")), "state")
-        last = state
-        state = state.select("key", "at", "below", "left")
+        last = scratch.write(over.select("key", F.col("x.to").alias("at"), F.col("x.below").alias("below"), F.col("x.left").alias("left"), F.col("x.upto").alias("upto")), "state")
+        state = last.select("key", "at", "below", "left")
     nearer = (F.col("upto") - F.col("left")) < (F.col("left") - F.col("below"))
     cuts = last.select("key", F.col("at").alias("cut"), nearer.alias("take_cut"))
     cuts = plan.join(cuts, "key", "left").select("key", F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), "whole", "cut", "take_cut")

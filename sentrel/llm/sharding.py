@@ -37,8 +37,9 @@ def with_prefix_sums(scratch: Scratch, rows: DataFrame, order: list[str], size:
     return out.withColumn("before", F.col("before") + F.col("start")).drop("start"), total
 
 
-def assign_shards(spark: SparkSession, docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", size: Column | None = None) -> DataFrame:
-    """One row per row of docs: doc_id, size, text_crc32, shard (0 to shards - 1) and slot (gapless from 0 in each shard).
+def assign_shards(spark: SparkSession, docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", size: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of docs: doc_id, size, text_crc32, shard (0 to shards - 1), slot (gapless from 0 in each shard)
+    and the columns named in `keep` (of docs; their names must differ from those).
 
     Rows of equal texts follow one another in the global order, so a group of copies is together unless a cut
     falls into it; a group larger than a shard's target is spread over several. Sizes are the text's UTF-8 bytes
@@ -48,17 +49,17 @@ def assign_shards(spark: SparkSession, docs: DataFrame, shards: int = SHARDS, id
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     size = F.octet_length(text).cast("long") + OVERHEAD if size is None else size
-    rows = docs.select(F.col(id_col).alias("doc_id"), size.alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.xxhash64(text).alias("at"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), size.alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.xxhash64(text).alias("at"), *[F.col(c).alias(f"keep_{c}") for c in keep])
     scratch = Scratch(spark)
     summed, total = with_prefix_sums(scratch, rows, ["at", "doc_id"], "size")
     middle = F.col("before").cast("decimal(38,0)") * 2 + F.col("size")
     shard = F.least(F.floor(middle * F.lit(shards) / F.lit(max(1, 2 * total)).cast("decimal(38,0)")), F.lit(shards - 1)).cast("int")
-    placed = scratch.write(summed.select("part", "at", "doc_id", "size", "text_crc32", "before", shard.alias("shard")), "placed")
+    placed = scratch.write(summed.select("part", "at", "doc_id", "size", "text_crc32", "before", shard.alias("shard"), *[f"keep_{c}" for c in keep]), "placed")
     inside = W.partitionBy("part", "shard").orderBy("before", "at", "doc_id")
     local = placed.withColumn("k", F.row_number().over(inside).cast("long") - 1)
     counts = placed.groupBy("shard", "part").agg(F.count("*").alias("c"))
     counts = counts.select("shard", "part", F.coalesce(F.sum("c").over(W.partitionBy("shard").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("s"))
-    return local.join(F.broadcast(counts), ["shard", "part"]).select("doc_id", "size", "text_crc32", "shard", (F.col("k") + F.col("s")).alias("slot"))
+    return local.join(F.broadcast(counts), ["shard", "part"]).select("doc_id", "size", "text_crc32", "shard", (F.col("k") + F.col("s")).alias("slot"), *[F.col(f"keep_{c}").alias(c) for c in keep])
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,6 +68,3 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def shards_by_bytes(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return assign_shards(spark, docs).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
-
-
-ORACLE = None  # xxhash64 orders the rows; tests hold the result against a plain walk over that order

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, ngram_join, sharding
+from . import decontaminate, line_dedup, mixing, ngram_join, sharding, token_counts
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join,
+    "op2_line_dedup": line_dedup.op2_line_dedup,
     "op5_sharding": sharding.op5_sharding,
+    "op7_token_counts": token_counts.op7_token_counts,
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_mixing": mixing.op9_mixing,
 }

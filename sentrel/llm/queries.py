@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_dedup, mixing, ngram_join, sharding, token_counts
+from . import ann, decontaminate, line_dedup, mixing, ngram_join, quality, secrets, sharding, token_counts
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join,
     "op2_line_dedup": line_dedup.op2_line_dedup,
+    "op3_quality": quality.op3_quality,
+    "op4_nearest_neighbours": ann.op4_nearest_neighbours,
     "op5_sharding": sharding.op5_sharding,
+    "op6_secret_scan": secrets.op6_secret_scan,
     "op7_token_counts": token_counts.op7_token_counts,
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_mixing": mixing.op9_mixing,

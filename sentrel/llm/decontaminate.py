@@ -187,10 +187,8 @@ def _shards(windows, text_col: str, names: tuple[str, str, str], first: bool):
             spans: list[list] = [[] for _ in docs] if first else [[(s["start"], s["end"]) for s in x] for x in batch.column(spans_col).to_pylist()]
             items: list[list] = [[] for _ in docs] if first else batch.column(items_col).to_pylist()
             order = np.argsort(doc, kind="stable")
-            cuts = np.flatnonzero(np.diff(doc[order], prepend=-1))
-            for a, b in zip(cuts, np.append(cuts[1:], len(order)), strict=True):
-                if a == b:
-                    continue
+            cuts = np.append(np.flatnonzero(np.diff(doc[order], prepend=-1)), len(order))
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 rows = order[a:b]
                 d = int(doc[rows[0]])
                 old = np.array(spans[d], np.int64).reshape(-1, 2)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, decontaminate, line_dedup, mixing, ngram_join, quality, secrets, sharding, token_counts
+from . import ann, decontaminate, language_id, line_dedup, mixing, ngram_join, quality, secrets, sharding, token_counts
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_token_counts": token_counts.op7_token_counts,
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_mixing": mixing.op9_mixing,
+    "op10_language_id": language_id.op10_language_id,
 }
 
 ORACLES = {

@@ -1,0 +1,112 @@
+import random
+from itertools import combinations
+
+import numpy as np
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from sentrel.llm.ngram_join import block_signatures, first_of_each_group, most_apart, ngram_jaccard_join, shingle_hashes
+
+SCHEMA = "doc_id long, text string, h string, n string"
+
+
+def shingles(text):
+    w = [x.lower() for x in (text or "").encode().split()]
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def brute(rows):
+    """doc_id -> (set size, component), all pairs compared."""
+    sets = [(i, shingles(t)) for i, t in rows]
+    comp = {i: i for i, _ in rows if i is not None}
+
+    def root(i):
+        while comp[i] != i:
+            i = comp[i]
+        return i
+
+    for (i, a), (j, b) in combinations(sets, 2):
+        if a and b and i is not None and j is not None and 100 * len(a & b) >= 80 * len(a | b):
+            x, y = root(i), root(j)
+            comp[max(x, y)] = min(x, y)
+    return sorted(((i, len(s), root(i) if i is not None else None) for i, s in sets), key=str)
+
+
+def corpus(seed):
+    rnd = random.Random(seed)
+    word = lambda: rnd.choice("abcdefghijklmnopqrstuvwxyz") + str(rnd.randint(0, 30))
+    passage = [word() for _ in range(40)]
+    out = []
+    for _ in range(14):
+        base = [word() for _ in range(rnd.choice([1, 4, 6, 12, 40, 90]))] + (passage if rnd.random() < 0.3 else [])
+        for _ in range(rnd.choice([1, 1, 2, 4, 12])):
+            copy = list(base)
+            for _ in range(rnd.choice([0, 0, 1, 2, 3])):
+                k = rnd.randrange(len(copy))
+                copy[k : k + 1] = rnd.choice([[word()], [], [copy[k], word()]])
+                if not copy:
+                    copy = [word()]
+            out.append(" ".join(copy))
+    rnd.shuffle(out)
+    return [(i * 3, t) for i, t in enumerate(out)]
+
+
+def run(spark, rows):
+    df = spark.createDataFrame([(i, t, "clash", "clash") for i, t in rows], SCHEMA)
+    groups, links = ngram_jaccard_join(spark, df)
+    return sorted(((r["id"], r["n"], r["component"]) for r in groups.collect()), key=str), links
+
+
+def test_against_all_pairs(spark):
+    rows = corpus(1)
+    got, links = run(spark, rows)
+    assert got == brute(rows)
+    sets = {i: shingles(t) for i, t in rows}
+    for r in links.collect():
+        assert r["a"] < r["b"] and 100 * len(sets[r["a"]] & sets[r["b"]]) >= 80 * len(sets[r["a"]] | sets[r["b"]])
+
+
+def test_edge_cases(spark):
+    long = " ".join(f"w{k}" for k in range(30000))
+    rows = [(1, None), (2, ""), (3, " \t"), (4, "one two"), (5, "One  TWO"), (None, "one two"), (6, long), (7, long + " more"), (8, "one two three"), (9, "one two"), (9, "one two")]
+    got, _ = run(spark, rows)
+    assert got == brute(rows)
+    assert run(spark, [])[0] == []
+    df = spark.createDataFrame([(i, t, "x", "y") for i, t in rows], SCHEMA)
+    kept = first_of_each_group(spark, df)
+    assert kept.columns == df.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([(1, None), (2, ""), (3, " \t"), (4, "one two"), (None, "one two"), (6, long), (8, "one two three")], key=str)
+
+
+def test_large_group_of_near_copies(spark):
+    rnd = random.Random(2)
+    base = [f"w{k}" for k in range(60)]
+    rows = []
+    for i in range(400):
+        copy = list(base)
+        copy[rnd.randrange(60)] = f"x{i}"
+        rows.append((i, " ".join(copy)))
+    got, _ = run(spark, rows)
+    assert got == brute(rows)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.integers(1, 400), st.integers(0, 10**6))
+def test_linked_sets_share_enough_blocks(n, seed):
+    """The pigeonhole bound: sets as far apart as a link allows agree in a block of each band they share."""
+    r = np.random.default_rng(seed)
+    pool = r.integers(0, 2**63, 2 * n + 2).astype(np.uint64)
+    a = np.unique(pool[:n])
+    gone, new = int(r.integers(0, n // 5 + 1)), int(r.integers(0, n // 5 + 1))
+    b = np.unique(np.concatenate([a[gone:], pool[n : n + new]]))
+    if not len(b) or 100 * len(np.intersect1d(a, b)) < 80 * len(np.union1d(a, b)):
+        return
+    assert len(np.setxor1d(a, b)) <= most_apart(len(a))
+    x, y = ({band: (sure, set(sig.tolist())) for band, sure, sig in block_signatures(s)} for s in (a, b))
+    shared = set(x) & set(y)
+    assert shared and all(len(x[k][1] & y[k][1]) >= max(1, x[k][0], y[k][0]) for k in shared)
+
+
+def test_hashes_follow_the_words():
+    assert len(shingle_hashes("a b c d e f")) == 2 and len(shingle_hashes("a b")) == 1 and not len(shingle_hashes(None))
+    assert (shingle_hashes("A b\x0bC") == shingle_hashes("a B  c")).all() and (shingle_hashes("É b c") != shingle_hashes("é b c")).all()

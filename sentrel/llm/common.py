@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from functools import reduce
@@ -47,6 +48,11 @@ class Scratch:
             path = jvm.org.apache.hadoop.fs.Path(df._sentrel_path)
             path.getFileSystem(conf).delete(path, True)
 
+    def release(self) -> None:
+        """Lets Spark delete the shuffle files of queries that have ended; it does so once the driver's garbage is collected."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Rows that an Arrow batch hands to Python at most, so that a worker holds few texts at a time."""

@@ -111,16 +111,12 @@ def remove_repeated_lines(spark: SparkSession, docs: DataFrame, id_col: str = "d
     own = docs.drop("n_lines", "n_removed")
     text = F.col(text_col).cast("string")
     keyed = own.withColumns({"__h": F.md5(text), "__id": F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)))})
-    ids = scratch.write(keyed.where(text.isNotNull()).select(F.col("__h").alias("h"), F.col("__id").alias("id")), "ids")
-    firsts = scratch.write(ids.groupBy("h").agg(F.min("id").alias("id"), F.count("*").alias("rows")), "firsts")
-    copies = scratch.write(ids.join(firsts.where("rows > 1").select("h", F.col("id").alias("first")), "h").where("id <> first").select("h", "id").distinct(), "copies")
-    texts = keyed.where(text.isNotNull()).select(F.col("__h").alias("h"), F.col("__id").alias("id"), text.alias("text")).join(checked_broadcast(copies), ["h", "id"], "left_anti")
+    texts = keyed.where(text.isNotNull()).select(F.col("__h").alias("h"), F.col("__id").alias("id"), text.alias("text"))
     schema = "h string, id long, words long, lo array<long>, hi array<long>, fwd array<int>, back array<int>"
     parsed = scratch.write(texts.mapInArrow(_parsed(min_words), schema).where("words >= %d" % min_words), "parsed")
-    # rows of one id and text are one document
-    heads = parsed.groupBy("h").agg(F.min("id").alias("id"), F.min("words").alias("words"), F.min(F.size("lo")).alias("n"))
-    placed, _ = with_prefix_sums(scratch, heads.select("id", "h", "words", (F.col("n") + 1).cast("long").alias("n")), ["id", "h"], "n")
-    placed = scratch.write(placed.select("h", F.col("id").alias("first"), "words", F.col("before").alias("start")), "placed")
+    heads = parsed.groupBy("h").agg(F.min("id").alias("id"), F.count("*").alias("rows"), F.min(F.size("lo")).alias("n"))
+    placed, _ = with_prefix_sums(scratch, heads.select("id", "h", "rows", (F.col("n") + 1).cast("long").alias("n")), ["id", "h"], "n")
+    placed = scratch.write(placed.select("h", F.col("id").alias("first"), "rows", F.col("before").alias("start")), "placed")
     each = parsed.dropDuplicates(["h"]).join(placed.select("h", "start"), "h").select("h", "start", F.posexplode(F.arrays_zip("lo", "hi", "fwd", "back")).alias("i", "x"))
     lines = scratch.write(each.select("h", "i", (F.col("start") + F.col("i")).alias("gpos"), "x.lo", "x.hi", "x.fwd", "x.back"), "lines")
     scratch.drop(parsed)
@@ -140,13 +136,12 @@ def remove_repeated_lines(spark: SparkSession, docs: DataFrame, id_col: str = "d
         later = named.join(checked_broadcast(interval), ["m", "r1", "r2"]).where("gpos > first").select("h", "i", "m")
         found = later if found is None else found.unionByName(later)
     spans = found.groupBy("h").agg(F.collect_list(F.struct(F.col("i").alias("at"), "m")).alias("spans"))
-    spans = placed.select("h", "first", "words").join(spans, "h", "left").where("spans is not null").select("h", "spans")
-    spans = scratch.write(spans, "spans")
-    # whole copies of counting texts, and texts with repeated runs
-    info = scratch.write(placed.select(F.col("h").alias("__h"), "first").join(spans.withColumnRenamed("h", "__h"), "__h", "left"), "info")
-    many = scratch.write(info.join(firsts.where("rows > 1").select(F.col("h").alias("__h")), "__h", "left_semi").unionByName(info.where("spans is not null")).distinct(), "many")
+    changed = placed.select(F.col("h").alias("__h"), "first", "rows").join(spans.withColumnRenamed("h", "__h"), "__h", "left").where("rows > 1 or spans is not null")
+    changed = scratch.write(changed.drop("rows"), "changed")
+    scratch.release()
     whole = F.array(F.struct(F.lit(0).alias("at"), F.lit(2**31 - 1).cast("int").alias("m")))
-    marked = keyed.join(many, "__h", "left").withColumn("__spans", F.when(F.col("__id") != F.col("first"), whole).otherwise(F.col("spans")))
+    # texts move once, whatever the size: what is changed grows with them
+    marked = keyed.join(changed.hint("merge"), "__h", "left").withColumn("__spans", F.when(F.col("__id") != F.col("first"), whole).otherwise(F.col("spans")))
     rest = [f for f in own.schema.fields if f.name != text_col]
     marked = marked.select(*[f"`{f.name}`" for f in rest], text.alias("__text"), "__spans")
     out = marked.mapInArrow(_without, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rest] + ["__text string, __lines long, __gone long"]))

@@ -7,6 +7,7 @@ at or beyond the timeframe ends the state and is itself dropped (or, if asked, o
 
 from __future__ import annotations
 
+import json
 import operator
 import re
 from collections.abc import Callable, Iterator
@@ -16,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sentrel.scratch import Scratch
+
 OPS = {">": operator.gt, ">=": operator.ge, "<": operator.lt, "<=": operator.le, "=": operator.eq}
 _INT = re.compile(r"[+-]?[0-9]+")
 
@@ -77,6 +80,11 @@ def keyed(matches: DataFrame) -> DataFrame:
 
 
 _NARROW = ("rule_key", "state_key", "created_ms", "event_uid", "agg_raw", "agg_fn", "op", "threshold", "timeframe_sec")
+_ORDER = ("rule_key", "state_key", "created_ms", "event_uid")
+
+
+def _rows(batch: pa.RecordBatch) -> Iterator[tuple]:
+    return zip(*(batch.column(c).to_pylist() for c in _NARROW), strict=True)
 
 
 def _fold(reopen: bool):
@@ -84,27 +92,104 @@ def _fold(reopen: bool):
         key, state = None, None
         for batch in batches:
             uids, rules, values = [], [], []
-            for rule, sub, ms, uid, raw, fn, op, threshold, frame in zip(*(batch.column(c).to_pylist() for c in _NARROW), strict=True):
+            for rule, sub, ms, uid, raw, fn, op, threshold, frame in _rows(batch):
                 if (rule, sub) != key:
                     key, state = (rule, sub), None
-                state, fired = advance(state, ms, raw, fn, op, threshold, frame, reopen)
-                if fired is not None:
-                    uids.append(uid), rules.append(rule), values.append(fired)
+                state, value = advance(state, ms, raw, fn, op, threshold, frame, reopen)
+                if value is not None:
+                    uids.append(uid), rules.append(rule), values.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(uids, batch.schema.field("event_uid").type), pa.array(rules, pa.string()), pa.array(values, pa.int64())], ["event_uid", "rule_key", "agg_value"])
 
     return run
 
 
+def _fold_parts(reopen: bool, entries):
+    """Folds whole parts, each from the state that its entry names. Besides the rows that fire, one row per part: its first and last key and its last state."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, first, key, state, kind = None, None, None, None, None
+        empty = (None,) * 7
+        for batch in batches:
+            kind, out = batch.schema.field("event_uid").type, []
+            for here, row in zip(batch.column("part").to_pylist(), _rows(batch), strict=True):
+                rule, sub, ms, uid, raw, fn, op, threshold, frame = row
+                if here != part:
+                    if part is not None:
+                        out.append((*empty[:3], part, first, json.dumps(key), json.dumps(state)))
+                    part, key, first = here, (rule, sub), json.dumps((rule, sub))
+                    state = entries.value.get(part)
+                elif (rule, sub) != key:
+                    key, state = (rule, sub), None
+                state, value = advance(state, ms, raw, fn, op, threshold, frame, reopen)
+                if value is not None:
+                    out.append((uid, rule, value, part, None, None, None))
+            yield _part_batch(out, kind)
+        if part is not None:
+            yield _part_batch([(*empty[:3], part, first, json.dumps(key), json.dumps(state))], kind)
+
+    return run
+
+
+def _part_batch(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+    types = (kind, pa.string(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string())
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["event_uid", "rule_key", "agg_value", "part", "first_key", "last_key", "state"])
+
+
+def _fired_in_parts(narrow: DataFrame, parts: int, reopen: bool) -> DataFrame:
+    """The fold of few, large keys: their rows are cut into even parts in order, whatever key they are of.
+
+    All parts are folded from no state at once; then those whose real entry state differs, which is the last state of the part before, again,
+    until none does. A wrong entry state is forgotten at the first alert or expiry that both runs share, so a second pass mostly settles all. What the
+    driver holds is one state per part.
+    """
+    spark = narrow.sparkSession
+    scratch, kind = Scratch(spark), narrow.schema["event_uid"].dataType.simpleString()
+    cut = scratch.write(narrow.repartitionByRange(parts, *_ORDER).withColumn("part", F.spark_partition_id()), "parts")
+    schema = f"event_uid {kind}, rule_key string, agg_value long, part int, first_key string, last_key string, state string"
+    entries: dict[int, list | None] = {}
+    ends: dict[int, tuple] = {}
+    latest: dict[int, DataFrame] = {}
+    todo: list[int] | None = None
+    while todo is None or todo:
+        some = cut if todo is None else cut.where(F.col("part").isin(todo))
+        folded = some.repartition(parts, "part").sortWithinPartitions("part", *_ORDER).mapInArrow(_fold_parts(reopen, spark.sparkContext.broadcast(dict(entries))), schema)
+        folded = scratch.write(folded, "folded")
+        for r in folded.where("first_key is not null").collect():
+            ends[r["part"]], latest[r["part"]] = (r["first_key"], r["last_key"], json.loads(r["state"])), folded
+        todo, before = [], None
+        for part in sorted(ends):
+            carried = ends[before][2] if before is not None and ends[before][1] == ends[part][0] else None
+            if carried != entries.get(part):
+                entries[part] = carried
+                todo.append(part)
+            before = part
+    out = narrow.select("event_uid", "rule_key", F.lit(0).cast("long").alias("agg_value")).limit(0)
+    for table in {id(t): t for t in latest.values()}.values():
+        out = out.unionByName(table.where(F.col("first_key").isNull() & F.col("part").isin([p for p, t in latest.items() if t is table])).select("event_uid", "rule_key", "agg_value"))
+    return out
+
+
 def fired(matches: DataFrame, reopen_on_expiry: bool = False) -> DataFrame:
     """event_uid, rule_key, agg_value of the matches that fire, in order of (created, event_uid) within each key.
 
-    The shuffle moves narrow rows only; a key's rows are sorted (spilling where need be) and streamed through the fold, so a hot key costs
-    time in one task but no memory.
+    Only narrow rows move. Keys are counted first. One that holds more than half a partition's share of all rows is cut into parts, so
+    that no task gets a hot key whole; there are at most twice as many of them as partitions. The others are dealt by key and sorted, and
+    streamed through the fold.
     """
+    spark = matches.sparkSession
     narrow = keyed(matches).select(*_NARROW)
-    ordered = narrow.repartition("rule_key", "state_key").sortWithinPartitions("rule_key", "state_key", "created_ms", "event_uid")
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    sizes = Scratch(spark).write(narrow.groupBy("rule_key", "state_key").count(), "sizes")
+    total = sizes.agg(F.sum("count")).first()[0] or 0
+    hot = sizes.where(F.col("count") * 2 * parts > total).select("rule_key", "state_key")
+    rest = narrow.join(F.broadcast(hot), ["rule_key", "state_key"], "left_anti").select(*_NARROW)
+    ordered = rest.repartition("rule_key", "state_key").sortWithinPartitions(*_ORDER)
     kind = narrow.schema["event_uid"].dataType.simpleString()
-    return ordered.mapInArrow(_fold(reopen_on_expiry), f"event_uid {kind}, rule_key string, agg_value long")
+    out = ordered.mapInArrow(_fold(reopen_on_expiry), f"event_uid {kind}, rule_key string, agg_value long")
+    if not hot.take(1):
+        return out
+    large = narrow.join(F.broadcast(hot), ["rule_key", "state_key"]).select(*_NARROW)
+    return out.unionByName(_fired_in_parts(large, parts, reopen_on_expiry))
 
 
 def threshold_matches(matches: DataFrame, reopen_on_expiry: bool = False) -> DataFrame:

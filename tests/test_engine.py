@@ -204,7 +204,23 @@ def test_config_and_sources(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "events")).count() == 3
 
 
-def test_hot_key_streams_through_one_fold(spark):
-    """A key with all rows is folded in order without being gathered in memory."""
-    df = spark.range(5000).select(F.col("id").alias("event_uid"), F.timestamp_seconds(F.col("id")).alias("created"), F.lit("r#0").alias("rule_key"), F.lit("count").alias("agg_fn"), F.lit(False).alias("agg_field"), F.lit(False).alias("agg_by"), F.lit(None).cast("string").alias("agg_raw"), F.lit(None).cast("string").alias("group_value"), F.lit(">").alias("op"), F.lit(9).cast("long").alias("threshold"), F.lit(100).cast("long").alias("timeframe_sec"))
-    assert [r["event_uid"] for r in fired(df).orderBy("event_uid").collect()] == list(range(9, 5000, 10))
+def machine_rows(spark, rows, fn, op, threshold, frame):
+    df = spark.createDataFrame([(i, datetime(2024, 1, 1) + timedelta(seconds=sec), k, raw) for i, (k, sec, raw) in enumerate(rows)], "event_uid long, created timestamp, group_value string, agg_raw string")
+    lit = lambda v, t: F.lit(v).cast(t)
+    return df.withColumns({"rule_key": F.lit("r#0"), "agg_fn": F.lit(fn), "agg_field": lit(fn != "count", "boolean"), "agg_by": lit(True, "boolean"), "op": F.lit(op), "threshold": lit(threshold, "long"), "timeframe_sec": lit(frame, "long")})
+
+
+@pytest.mark.parametrize("fn, op, threshold, frame", [("count", ">", 9, 100), ("count", ">", 10**6, 10**6), ("sum", ">", 30, 40), ("uniquecount", ">=", 3, 25), ("max", "=", 7, 10)])
+def test_hot_keys_in_parts(spark, fn, op, threshold, frame):
+    """A key with most rows is folded in parts that don't start with a key, with the result of one pass; also where no part forgets its entry state."""
+    rnd = random.Random(fn)
+    rows = sorted(((rnd.choice(["hot"] * 8 + ["a", "b", "warm", "warm"]), rnd.randint(0, 3000), rnd.choice([None, "1", "2", "7", "x"])) for _ in range(1500)), key=lambda r: r[1])
+    want = []
+    for k in {r[0] for r in rows}:
+        own = [(i, r) for i, r in enumerate(rows) if r[0] == k]
+        want += [own[j][0] for j in plain_machine([(s, raw) for _, (_, s, raw) in own], fn, op, threshold, frame)]
+    assert sorted(r["event_uid"] for r in fired(machine_rows(spark, rows, fn, op, threshold, frame)).collect()) == sorted(want)
+
+
+def test_no_rows_to_fold(spark):
+    assert fired(machine_rows(spark, [("a", 1, "1")], "count", ">", 1, 5).limit(0)).count() == 0

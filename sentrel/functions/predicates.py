@@ -105,8 +105,11 @@ def scalar_text(value) -> str:
     return str(int(value)) if isinstance(value, float) else str(value)
 
 
-def value_sql(path: str, value, modifiers: list[str], fold: bool = False) -> str:
-    """One value of a field. Null matches a missing or null field; a field that is an array or object matches nothing."""
+def value_sql(path: str, value, modifiers: list[str], fold: bool = False, plain: bool = False) -> str:
+    """One value of a field. Null matches a missing or null field; a field that is an array or object matches nothing.
+
+    plain: may be null instead of false, which a filter takes alike and can hand on to the source.
+    """
     ref = field_sql(path)
     if value is None:
         return f"({ref} IS NULL AND NOT coalesce({field_sql(path + '#nested')}, false))"
@@ -120,15 +123,15 @@ def value_sql(path: str, value, modifiers: list[str], fold: bool = False) -> str
     if path == MESSAGE:
         patterns = [replace(p, open_left=True, open_right=True) if not p.regex else p for p in patterns]
     parts = [_pattern_sql(ref, p, fold) for p in patterns]
-    return f"coalesce({' OR '.join(parts)}, false)"
+    return f"({' OR '.join(parts)})" if plain else f"coalesce({' OR '.join(parts)}, false)"
 
 
-def field_values_sql(path: str, values, modifiers: list[str], fold: bool = False) -> str:
+def field_values_sql(path: str, values, modifiers: list[str], fold: bool = False, plain: bool = False) -> str:
     """A field with one value or a list of them: any of the list, or all with the modifier `all`."""
     if isinstance(values, dict):
         raise ValueError(f"nested map under {path}")
     if not isinstance(values, list):
-        return value_sql(path, values, modifiers, fold)
+        return value_sql(path, values, modifiers, fold, plain)
     if not values:
         return "false"
-    return "(" + (" AND " if "all" in modifiers else " OR ").join(value_sql(path, v, modifiers, fold) for v in values) + ")"
+    return "(" + (" AND " if "all" in modifiers else " OR ").join(value_sql(path, v, modifiers, fold, plain) for v in values) + ")"

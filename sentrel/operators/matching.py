@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +14,8 @@ from sentrel.plans.rules import CompiledRule
 from .events import Resolver, project_fields
 
 MATCH = "struct<rule_no:int,agg_raw:string,group_value:string>"
+#: Rules up to which an event is first held against all of them in a filter, which Catalyst pushes to the source.
+PUSHED_RULES = 16
 META = "rule_no int, rule_key string, ruleid string, condition_idx int, rule_name string, rule_status string, rule_level string, tags array<string>, useful array<string>, agg_fn string, agg_field boolean, agg_by boolean, op string, threshold long, timeframe_sec long"
 
 
@@ -37,13 +42,16 @@ def match_rules(events: DataFrame, rules: list[CompiledRule], resolve: Resolver)
     by_source: dict[tuple, list] = {}
     for i, r in enumerate(rules):
         by_source.setdefault((r.category, r.product), []).append((i, r))
-    groups, none = [], F.array().cast(f"array<{MATCH}>")
+    groups, some_rule, none = [], F.lit(False), F.array().cast(f"array<{MATCH}>")
     for (category, product), some in by_source.items():
         here = F.lit(True)
         for name, value in (("category", category), ("product", product)):
             if value is not None:
-                here = here & F.coalesce(F.col("logsource")[name] == value, F.lit(False))
+                here = here & (F.col("logsource")[name] == value)
         groups.append(F.when(here, _hits(some)).otherwise(none))
+        some_rule = some_rule | (here & reduce(or_, [F.expr(r.prefilter) for _, r in some]))
+    if 0 < len(rules) <= PUSHED_RULES:
+        own = own.where(some_rule)
     hits = F.filter(F.flatten(F.array(*groups)), lambda h: h.isNotNull()) if groups else none
     found = own.withColumn("hit", F.explode(hits)).select("*", "hit.*").drop("hit")
     return found.join(F.broadcast(rules_frame(events.sparkSession, rules)), "rule_no").drop("rule_no")

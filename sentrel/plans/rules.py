@@ -6,6 +6,7 @@ import copy
 import hashlib
 import json
 import logging
+import re
 from dataclasses import dataclass, field
 from pathlib import Path
 
@@ -42,6 +43,7 @@ class CompiledRule:
     category: str | None
     product: str | None
     predicate: str
+    prefilter: str  # true wherever the predicate is; without NOT it is in a form that a source's filter takes
     paths: tuple[str, ...]
     null_paths: tuple[str, ...]
     agg: AggSpec | None
@@ -119,8 +121,8 @@ def write_field_map(path: Path, rule: dict, m: FieldMap) -> None:
 
 
 class _Compiler:
-    def __init__(self, fields: FieldMap | None, fold: bool):
-        self.fields, self.fold, self.paths, self.nulls = fields, fold, {}, {}
+    def __init__(self, fields: FieldMap | None, fold: bool, plain: bool = False):
+        self.fields, self.fold, self.plain, self.paths, self.nulls = fields, fold, plain, {}, {}
 
     def path(self, name: str) -> str:
         found = name if self.fields is None else self.fields.detection.get(name)
@@ -133,7 +135,7 @@ class _Compiler:
     def keyword(self, name: str, value) -> str:
         path = MESSAGE if self.fields is None else self.fields.detection.get(name, MESSAGE)
         self.paths[path] = None
-        return value_sql(path, value, ["contains"], self.fold)
+        return value_sql(path, value, ["contains"], self.fold, self.plain)
 
     def map_sql(self, sel: dict) -> str:
         parts = []
@@ -142,7 +144,7 @@ class _Compiler:
             path = self.path(name)
             if value is None or isinstance(value, list) and None in value:
                 self.nulls[path] = None
-            parts.append(field_values_sql(path, value, modifiers, self.fold))
+            parts.append(field_values_sql(path, value, modifiers, self.fold, self.plain))
         return "(" + " AND ".join(parts) + ")" if parts else "true"
 
     def selection_sql(self, name: str, sel) -> str:
@@ -166,12 +168,14 @@ def compile_rule(rule: dict, fields: FieldMap | None = None, case_insensitive: b
             c = _Compiler(fields, case_insensitive)
             search, agg = split_condition(text)
             predicate = condition_sql(search, {n: c.selection_sql(n, s) for n, s in _selections(rule).items()})
+            plain = _Compiler(fields, case_insensitive, plain=True)
+            prefilter = predicate if re.search(r"(?i)\bnot\b", search) else condition_sql(search, {n: plain.selection_sql(n, s) for n, s in _selections(rule).items()})
             agg_path = c.path(agg.field) if agg and agg.field else None
             group_path = c.path(agg.group) if agg and agg.group else None
             names = strings(rule.get("fields"))
             useful = tuple(dict.fromkeys(names if fields is None else [fields.fields[n] for n in names if n in fields.fields]))
             lower = lambda x: str(x).lower() if x is not None else None
-            made = CompiledRule(f"{rule['id']}#{k}", str(rule["id"]), k, str(rule.get("title") or ""), str(rule.get("status") or "experimental"), rule.get("level"), tuple(strings(rule.get("tags"))), lower(source.get("category")), lower(source.get("product")), predicate, tuple(c.paths), tuple(c.nulls), agg, agg_path, group_path, frame, useful)
+            made = CompiledRule(f"{rule['id']}#{k}", str(rule["id"]), k, str(rule.get("title") or ""), str(rule.get("status") or "experimental"), rule.get("level"), tuple(strings(rule.get("tags"))), lower(source.get("category")), lower(source.get("product")), predicate, prefilter, tuple(c.paths), tuple(c.nulls), agg, agg_path, group_path, frame, useful)
             if made.never_alerts:
                 log.warning("rule %s never alerts: it has only one of aggregation and timeframe", made.key)
             out.append(made)

@@ -72,13 +72,13 @@ def start_alerting(spark: SparkSession, match_table: str, alert_table: str, chec
     plain = found.where("agg_fn is null and timeframe_sec is null").withColumn("agg_value", F.lit(None).cast("long"))
     sink = sink or upsert_alerts
 
-    def fire(batch: DataFrame, batch_id: int) -> None:
-        rows = spark.read.schema(MATCH_ROW).option("recursiveFileLookup", "true").parquet(match_table).where("agg_fn is not null")
-        sink(f"{alert_table}/fired")(_alerts(rows.join(F.broadcast(batch) if batch.limit(100_001).count() <= 100_000 else batch, ["event_uid", "rule_key"])), batch_id)
+    columns = ["ruleid", "condition_idx", "rule_name", "rule_status", "rule_level", "tags", "fields", "raw"]
+    carried = found.select(*columns).schema
+    hit = fired_stream(found.withColumn("payload", F.to_json(F.struct(*columns)))).withColumn("p", F.from_json("payload", carried)).select("event_uid", "rule_key", "agg_value", "p.*")
 
     return [
         plain.writeStream.foreachBatch(lambda b, i: sink(f"{alert_table}/plain")(_alerts(b), i)).option("checkpointLocation", f"{checkpoint}/plain").trigger(**when).start(),
-        fired_stream(found).writeStream.foreachBatch(fire).option("checkpointLocation", f"{checkpoint}/fired").outputMode("append").trigger(**when).start(),
+        hit.writeStream.foreachBatch(lambda b, i: sink(f"{alert_table}/fired")(_alerts(b), i)).option("checkpointLocation", f"{checkpoint}/fired").outputMode("append").trigger(**when).start(),
     ]
 
 

@@ -11,13 +11,14 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from sentrel.operators.thresholds import advance, keyed
 
-_ROW = "event_uid string, rule_key string, agg_value long"
+_ROW = "event_uid string, rule_key string, agg_value long, payload string"
 
 
 def fired_stream(matches: DataFrame, reopen_on_expiry: bool = False) -> DataFrame:
     """Like operators.thresholds.fired, on a stream: rows of a micro-batch are taken in order of (created, event_uid) within a key.
 
-    State of an idle key stays until its next event, since that event must find it expired.
+    A text column `payload` goes along with the event that fires. State of an idle key stays until its next event, since that event must
+    find it expired.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -28,13 +29,13 @@ def fired_stream(matches: DataFrame, reopen_on_expiry: bool = False) -> DataFram
             raw = None if pd.isna(r.agg_raw) else r.agg_raw
             now, value = advance(now, int(r.created_ms), raw, r.agg_fn, r.op, int(r.threshold), int(r.timeframe_sec), reopen_on_expiry)
             if value is not None:
-                out.append((r.event_uid, r.rule_key, value))
+                out.append((r.event_uid, r.rule_key, value, r.payload))
         if now is None:
             if state.exists:
                 state.remove()
         else:
             state.update((json.dumps(now),))
-        yield pd.DataFrame(out, columns=["event_uid", "rule_key", "agg_value"])
+        yield pd.DataFrame(out, columns=["event_uid", "rule_key", "agg_value", "payload"])
 
-    narrow = keyed(matches).selectExpr("rule_key", "state_key", "created_ms", "cast(event_uid as string) event_uid", "agg_raw", "agg_fn", "op", "threshold", "timeframe_sec")
+    narrow = keyed(matches).selectExpr("rule_key", "state_key", "created_ms", "cast(event_uid as string) event_uid", "agg_raw", "agg_fn", "op", "threshold", "timeframe_sec", "payload")
     return narrow.groupBy("rule_key", "state_key").applyInPandasWithState(step, _ROW, "state string", "append", GroupStateTimeout.NoTimeout)

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import uuid
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sentrel.scratch import Scratch
+
 #: Rows of (id) or (key, value) pairs up to which a join side is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
 
@@ -18,45 +15,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where none is set, a new temporary one (tests, local runs)."""
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="sentrel-")
-        sc.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-class Scratch:
-    """Tables written to the shared folder: they cut lineage and outlive lost executors."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/sentrel-{uuid.uuid4().hex}"
-
-    def write(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._sentrel_path = path
-        return out
-
-    def drop(self, *frames: DataFrame) -> None:
-        """Deletes tables that no later plan reads."""
-        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
-        for df in frames:
-            path = jvm.org.apache.hadoop.fs.Path(df._sentrel_path)
-            path.getFileSystem(conf).delete(path, True)
-
-    def release(self) -> None:
-        """Lets Spark delete the shuffle files of queries that have ended; it does so once the driver's garbage is collected."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
-
-
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Rows that an Arrow batch hands to Python at most, so that a worker holds few texts at a time."""
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 64 << 20) -> None:
+    """Rows and bytes that an Arrow batch hands to Python at most, so that a worker holds few texts at a time, however long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
 def checked_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -67,8 +29,15 @@ def checked_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions)
+def hash_sample(df: DataFrame, n: int, *key: str) -> DataFrame:
+    """The n rows whose hash of `key` is smallest; all, if there are no more.
+
+    A threshold on the hash, set from the number of rows, leaves little more than n to sort.
+    """
+    total, h = df.count(), F.xxhash64(*key)
+    if total > n:
+        df = df.where(h <= int(-(2**63) + 2**64 * min(1.0, 1.05 * n / total + 50 / total)) - 1)
+    return df.orderBy(h, *key).limit(n)
 
 
 def components(scratch: Scratch, links: DataFrame) -> DataFrame:
@@ -76,6 +45,7 @@ def components(scratch: Scratch, links: DataFrame) -> DataFrame:
 
     Alternating large-star and small-star steps over tables in the shared folder. A node's smallest
     neighbour is found by a partial aggregate and joined back, so a hub's links are never gathered.
+    Edges that are few enough for a broadcast are worked on in one task, where nothing needs to move.
     """
     edges = scratch.write(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
 
@@ -83,8 +53,11 @@ def components(scratch: Scratch, links: DataFrame) -> DataFrame:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
     before = state(edges)
+    together = lambda e, n: e.coalesce(1) if n <= BROADCAST_ROWS else e
     while before[0]:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        here = together(edges, before[0])
+        both = here.unionByName(here.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = together(both, before[0])
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
@@ -95,5 +68,7 @@ def components(scratch: Scratch, links: DataFrame) -> DataFrame:
         if after == before:
             break
         before = after
+    edges = together(edges, before[0])
     stars = edges.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("id"), "component")
-    return scratch.write(stars.unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component"))).groupBy("id").agg(F.min("component").alias("component")), "components")
+    all_ = together(stars.unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component"))), before[0])
+    return scratch.write(all_.groupBy("id").agg(F.min("component").alias("component")), "components")

@@ -17,46 +17,103 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, small_batches, table
+from .common import Scratch, hash_sample, small_batches, table
 from .token_counts import START, VOCABULARY, load_pieces
 
 TRAIN_DOCS = 20_000  # training documents, at most: those of smallest hash
 ITERATIONS = 3
 SMOOTHING = 0.1
 REMEMBERED = 200_000  # words whose probabilities a task keeps
+WORDS_AT_ONCE = 8192  # words of like length whose sums are made together
 LONGEST_WORD = 64  # longer runs of letters are cut
 UNKNOWN = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
-def letter_words(text: str | None) -> list[str]:
-    """Runs of letters in lower case, cut to at most LONGEST_WORD."""
-    if not text:
-        return []
-    words = [w for w in _LETTERS.findall(text.lower()) if any(map(str.isalpha, w))]
-    if max(map(len, words), default=0) > LONGEST_WORD:
-        words = [w[i : i + LONGEST_WORD] for w in words for i in range(0, len(w), LONGEST_WORD)]
-    return words
+def letter_words(text: str | None) -> Counter[str]:
+    """Runs of letters in lower case, cut to at most LONGEST_WORD, with their numbers."""
+    counts = Counter(_LETTERS.findall(text.lower())) if text else Counter()
+    for w in [w for w in counts if not w.isalpha() or len(w) > LONGEST_WORD]:
+        n = counts.pop(w)
+        for i in range(0, len(w), LONGEST_WORD):
+            if any(map(str.isalpha, w[i : i + LONGEST_WORD])):
+                counts[w[i : i + LONGEST_WORD]] += n
+    return counts
+
+
+class PieceTrie:
+    """The vocabulary as a trie whose transitions are in an open hash table, so that many words walk it at once."""
+
+    def __init__(self, pieces: dict[str, int]):
+        chars = {c: i + 1 for i, c in enumerate(sorted({c for p in pieces for c in p}))}
+        step: dict[tuple[int, int], int] = {}
+        own = [0]
+        for p, number in pieces.items():
+            u = 0
+            for c in p:
+                v = step.get((u, chars[c]))
+                if v is None:
+                    v = step[u, chars[c]] = len(own)
+                    own.append(0)
+                u = v
+            own[u] = number
+        self.own, self.width = np.array(own), len(chars) + 1
+        self.code = np.zeros(max(map(ord, chars), default=0) + 2, np.int64)
+        for c, i in chars.items():
+            self.code[ord(c)] = i
+        self.bits = max(4, (4 * len(step)).bit_length())
+        self.keys, self.to = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int64)
+        todo = np.array([u * self.width + c for u, c in step], np.int64)
+        values, at = np.array(list(step.values()), np.int64), self._slot(todo)
+        while len(todo):  # of those that want a free slot the first gets it, the others go on
+            first = np.zeros(len(todo), bool)
+            first[np.unique(at, return_index=True)[1]] = True
+            first &= self.keys[at] < 0
+            self.keys[at[first]], self.to[at[first]] = todo[first], values[first]
+            todo, values, at = todo[~first], values[~first], (at[~first] + 1) & ((1 << self.bits) - 1)
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def codes(self, words: list[str], length: np.ndarray) -> np.ndarray:
+        """One row per word, with the start mark and zeros behind."""
+        flat = np.frombuffer("".join(START + w for w in words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        out = np.zeros((len(words), int(length.max(initial=0)) + 1), np.int64)
+        row = np.repeat(np.arange(len(words)), length)
+        out[row, np.arange(len(flat)) - np.repeat(np.cumsum(length) - length, length)] = self.code[np.minimum(flat, len(self.code) - 1)]
+        return out
+
+    def follow(self, node: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """The next nodes; -1: none."""
+        key = node * self.width + code
+        at, out, todo = self._slot(key), np.full(len(key), -1, np.int64), np.arange(len(key))
+        while len(todo):
+            found = self.keys[at[todo]]
+            hit = found == key[todo]
+            out[todo[hit]] = self.to[at[todo[hit]]]
+            todo = todo[~hit & (found >= 0)]
+            at[todo] = (at[todo] + 1) & ((1 << self.bits) - 1)
+        return out
 
 
 class Lattice:
     """All pieces inside some words, as flat arrays of edges; piece 0 is any single character that no piece is."""
 
-    def __init__(self, words: list[str], pieces: dict[str, int], longest: int):
-        word, start, end, piece = [], [], [], []
-        for i, w in enumerate(words):
-            w = START + w
-            n = len(w)
-            for a in range(n):
-                for b in range(a + 1, min(n, a + longest) + 1):
-                    p = pieces.get(w[a:b])
-                    if p is None:
-                        if b > a + 1:
-                            continue
-                        p = 0
-                    word.append(i), start.append(a), end.append(b), piece.append(p)
-        self.word, self.start, self.end, self.piece = (np.array(v, np.int64) for v in (word, start, end, piece))
+    def __init__(self, words: list[str], trie: PieceTrie):
         self.length = np.array([len(w) + 1 for w in words], np.int64)
+        codes, edges = trie.codes(words, self.length), []
+        for a in range(int(self.length.max(initial=0))):
+            word = np.flatnonzero(self.length > a)
+            node, b = np.zeros(len(word), np.int64), a
+            while len(word):
+                b += 1
+                node = trie.follow(node, codes[word, b - 1])
+                piece = np.where(node >= 0, trie.own[node], 0)
+                some = (piece > 0) | (b == a + 1)
+                edges.append(np.stack([word[some], np.full(some.sum(), a), np.full(some.sum(), b), piece[some]]))
+                on = (node >= 0) & (self.length[word] > b)
+                word, node = word[on], node[on]
+        self.word, self.start, self.end, self.piece = np.concatenate(edges, 1) if edges else np.zeros((4, 0), np.int64)
 
     def _sums(self, p: np.ndarray, into: np.ndarray, outof: np.ndarray, first: np.ndarray, steps: range) -> np.ndarray:
         """Sums over paths to each place, for rows of p (edges x languages): [word, place, language]."""
@@ -82,17 +139,19 @@ class Lattice:
 
 
 class PieceModel:
-    def __init__(self, langs: list[str], pieces: dict[str, int], probs: np.ndarray, prior: np.ndarray):
-        self.langs, self.pieces, self.probs, self.prior = langs, pieces, probs, prior
-        self.longest = max(map(len, pieces), default=1)
+    def __init__(self, langs: list[str], pieces: dict[str, int] | PieceTrie, probs: np.ndarray, prior: np.ndarray):
+        self.langs, self.trie, self.probs, self.prior = langs, pieces if isinstance(pieces, PieceTrie) else PieceTrie(pieces), probs, prior
 
     def lattice(self, words: list[str]) -> Lattice:
-        return Lattice(words, self.pieces, self.longest)
+        return Lattice(words, self.trie)
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        counts = Counter((lang, w) for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True) for w in letter_words(text))
+        counts: Counter[tuple[str, str]] = Counter()
+        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            for w, n in letter_words(text).items():
+                counts[lang, w] += n
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], ["lang", "word", "n"])
 
 
@@ -115,16 +174,16 @@ def _expected(model):
     return run
 
 
-def fit_languages(spark: SparkSession, docs: DataFrame, text_col: str = "text", lang_col: str = "lang", order: str | None = None, train_docs: int = TRAIN_DOCS, vocabulary: str = VOCABULARY, iterations: int = ITERATIONS) -> PieceModel:
+def fit_languages(spark: SparkSession, docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", train_docs: int = TRAIN_DOCS, vocabulary: str = VOCABULARY, iterations: int = ITERATIONS) -> PieceModel:
     """Learns from rows with a non-null lang and words, at most train_docs of them.
 
     What the driver gets is one sum per piece and language. No such row gives a model without languages.
     """
     small_batches(spark)
     scratch = Scratch(spark)
-    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    key = F.xxhash64("text")
-    sample = scratch.write(rows.withColumn("k", key).orderBy("k", "lang", "text").limit(train_docs).drop("k"), "sample")
+    known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    sample = hash_sample(known, train_docs, *[c for c in (id_col, text_col) if c in docs.columns])
+    sample = scratch.write(sample.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")), "sample")
     parts = max(1, spark.sparkContext.defaultParallelism)
     counted = scratch.write(sample.repartition(parts).mapInArrow(_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
     langs = [r["lang"] for r in counted.select("lang").distinct().orderBy("lang").collect()]
@@ -137,7 +196,7 @@ def fit_languages(spark: SparkSession, docs: DataFrame, text_col: str = "text",
         sums = counted.mapInArrow(_expected(spark.sparkContext.broadcast(model)), "piece int, lang int, n double").groupBy("piece", "lang").agg(F.sum("n").alias("n")).toPandas()
         counts = np.full(model.probs.shape, SMOOTHING)
         counts[sums["piece"], sums["lang"]] += sums["n"]
-        model = PieceModel(langs, pieces, counts / counts.sum(0), model.prior)
+        model = PieceModel(langs, model.trie, counts / counts.sum(0), model.prior)
     return model
 
 
@@ -147,14 +206,14 @@ def _predicted(model, text_col: str, names: tuple[str, str]):
         known: dict[str, int] = {}
         table_ = np.empty((1024, len(m.langs)))
         for batch in batches:
-            docs = [Counter(letter_words(t)) for t in batch.column(text_col).to_pylist()]
+            docs = [letter_words(t) for t in batch.column(text_col).to_pylist()]
             if len(known) > REMEMBERED:
                 known = {}
-            new = list({w for d in docs for w in d if w not in known}) if m.langs else []
+            new = sorted({w for d in docs for w in d if w not in known}, key=len) if m.langs else []
             while len(table_) < len(known) + len(new):
                 table_ = np.concatenate([table_, np.empty_like(table_)])
-            for at in range(0, len(new), 4096):
-                part = new[at : at + 4096]
+            for at in range(0, len(new), WORDS_AT_ONCE):
+                part = new[at : at + WORDS_AT_ONCE]
                 table_[len(known) : len(known) + len(part)] = m.lattice(part).log_probability(m.probs)
                 known.update({w: len(known) + i for i, w in enumerate(part)})
             langs, scores = [], []

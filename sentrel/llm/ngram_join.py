@@ -11,12 +11,13 @@ Frequent blocks (common passages, large groups of copies) never emit all pairs.
 knows from its own sketch how many blocks must agree with any partner; where it has fewer frequent
 blocks than that, every partner already meets it in a rare block. The others meet in rounds: in each
 frequent block a central document is held against the rest until a block's documents are in one
-component; what is left is joined across components.
+component; what is left is joined across components, where blocks are large on the rarest shingles of each set.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,9 @@ WORDS, PERCENT = 5, 80
 RARE = 3  # documents that share a block, up to which all their pairs are emitted
 SKETCH_BITS = 1024
 ROUNDS = 12
+WORTH = 20  # pairs tried per link found, from which rounds end
 FEW_PAIRS = 100_000  # pairs across components in frequent blocks, up to which they are joined at once
+MANY_PAIRS = 8  # pairs per row of frequent blocks, from which what is left is joined on rare shingles instead
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 
 
@@ -88,11 +91,17 @@ def block_signatures(hashes: np.ndarray, percent: int = PERCENT) -> list[tuple[i
     return out
 
 
-def parity_sketch(hashes: np.ndarray) -> np.ndarray:
-    odd = np.bincount((hashes & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1
+def parity_sketch(hashes: np.ndarray, bits: int = SKETCH_BITS) -> np.ndarray:
+    """The XOR of the halves of a sketch is the sketch of half the bits."""
+    odd = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def fine_bits(n: int) -> int:
+    """Eight bits or more per shingle: so long a sketch tells nearly all pairs apart that are no links, at an eighth of the set's size."""
+    return max(SKETCH_BITS, 8 << max(0, n - 1).bit_length())
+
+
 _LONGS = pa.list_(pa.int64())
 
 
@@ -117,8 +126,9 @@ def _sketches(n: int, percent: int):
 def _sets(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_hashes(x, n).view(np.int64) for x in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, _LONGS)], ["id", "shingles"])
+            sets = [shingle_hashes(x, n) for x in batch.column("text").to_pylist()]
+            fine = [parity_sketch(x, fine_bits(len(x))) for x in sets]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([x.view(np.int64) for x in sets], _LONGS), pa.array(fine, _LONGS)], ["id", "shingles", "fine"])
 
     return run
 
@@ -142,9 +152,10 @@ class _Join:
         copies = s.write(copies, "copies")
         firsts = self.docs.join(checked_broadcast(copies), ["h", "id"], "left_anti")
         sketches = s.write(firsts.mapInArrow(_sketches(self.n, self.percent), "h string, id long, n long, band int, sure int, sigs array<long>, sketch array<long>"), "sketches")
-        links = self.links(sketches)
+        counts = s.write(sketches.where("sketch is not null").select("h", "id", "n", "sketch"), "counts")
+        links = self.links(sketches, counts)
         comp = components(s, links)
-        counts = sketches.where("sketch is not null").groupBy("h").agg(F.max("n").alias("n"))
+        counts = counts.groupBy("h").agg(F.max("n").alias("n"))
         named = reps.join(comp, F.col("rep") == F.col("id"), "left").select("h", "rep", F.coalesce("component", "rep").alias("component"))
         by_text = s.write(named.join(counts, "h", "left"), "by_text")
         # a text's rows with an id are one group; an id with several texts joins their groups
@@ -159,20 +170,19 @@ class _Join:
         out = rows.join(by_text.select("h", "n", "component"), "h").select("id", "h", F.coalesce("n", F.lit(0)).alias("n"), F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("component")).otherwise(F.col("id")).alias("component"))
         return out, links
 
-    def links(self, sketches: DataFrame) -> DataFrame:
+    def links(self, sketches: DataFrame, counts: DataFrame) -> DataFrame:
         s = self.scratch
         sigs = sketches.where("id is not null").select("id", "band", "sure", F.explode("sigs").alias("sig"))
         w = W.partitionBy("sig").orderBy("id")
         whole = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
         shared = sigs.select("*", F.count("*").over(whole).alias("m"), F.lead("id", 1).over(w).alias("next1"), F.lead("id", 2).over(w).alias("next2")).where("m > 1")
         shared = s.write(shared, "shared")
+        s.drop(sketches)
+        s.release()
 
         pairs = shared.where(F.col("m") <= RARE).select(F.col("id").alias("a"), F.explode(F.array("next1", "next2")).alias("b")).where("a < b").distinct()
-        one = sketches.where("sketch is not null and id is not null").select("id", "n", "sketch")
-        of = lambda x: one.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
-        apart = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
-        close = self.near("na", "nb", "least(na, nb)") & (apart * (100 + self.percent) <= (F.col("na") + F.col("nb")) * (100 - self.percent))
-        rare = s.write(pairs.join(of("a"), "a").join(of("b"), "b").where(close).select("a", "b"), "rare")
+        one = counts.where("id is not null").select("id", "n", "sketch")
+        rare = s.write(self.close(pairs, one), "rare")
 
         frequent = shared.where(F.col("m") > RARE).select("id", "band", "sure", "sig", "m")
         deep = frequent.groupBy("id", "band").agg(F.count("*").alias("held"), F.max("sure").alias("least"), F.avg("m").alias("central"))
@@ -180,47 +190,114 @@ class _Join:
         need = rare.select(F.explode(F.array("a", "b")).alias("id")).unionByName(deep.select("id")).distinct()
         need = s.write(need, "need")
         texts = self.docs.select("id", "text").join(checked_broadcast(need), "id", "left_semi")
-        sets = s.write(texts.mapInArrow(_sets(self.n), "id long, shingles array<long>").distinct(), "sets")
+        sets = s.write(texts.mapInArrow(_sets(self.n), "id long, shingles array<long>, fine array<long>"), "sets")
         links = s.write(self.verified(rare, sets), "links")
 
         # of the frequent blocks, so many of the rarest that any two that agree in enough blocks meet in one of them
         rarest = W.partitionBy("id", "band").orderBy("m", "sig")
         hot = frequent.join(deep, ["id", "band"]).withColumn("r", F.row_number().over(rarest)).where("r <= held - greatest(sure, 1) + 1")
-        hot = s.write(hot.select("sig", "id", "central"), "hot")
-        tried = rare.limit(0)
+        hot = hot.select("sig", "id", "central")
+        one = s.write(one.join(checked_broadcast(need), "id", "left_semi"), "one")
+        start = components(s, links)
+        open_ = s.write(self.unfinished(hot.join(checked_broadcast(start), "id", "left").select("sig", "id", "central", F.coalesce("component", "id").alias("comp"))), "open")
+        s.drop(shared)
+        tried, found_in = None, [links]
         for k in range(ROUNDS + 1):
-            open_ = self.unfinished(hot, links)
-            if not open_.take(1):
-                return links
             sizes = open_.groupBy("sig").count().agg(F.sum("count").alias("rows"), F.sum(F.col("count") * (F.col("count") - 1) / 2).alias("pairs")).first()
+            if not sizes["rows"]:
+                return s.write(reduce(DataFrame.unionByName, found_in), "links")
             if k == ROUNDS or sizes["pairs"] <= max(FEW_PAIRS, 2 * sizes["rows"]):
                 break
             order = F.col("central") if k == 0 else F.xxhash64("id", F.lit(k)).cast("double")
             lead = open_.groupBy("sig").agg(F.max(F.struct(order.alias("o"), (-F.col("id")).alias("neg"), F.col("comp").alias("c"))).alias("p"))
-            pick = open_.join(lead, "sig").where("comp <> p.c").groupBy("id").agg(F.max("p").alias("p")).select(F.least("id", -F.col("p.neg")).alias("a"), F.greatest("id", -F.col("p.neg")).alias("b")).distinct()
-            pick = s.write(pick.join(tried, ["a", "b"], "left_anti"), "pick")
-            tried = tried.unionByName(pick)
-            found = s.write(self.verified(pick, sets), "found")
-            if not found.take(1):
+            pick = open_.join(lead, "sig").where("comp <> p.c").select("id", (-F.col("p.neg")).alias("to")).distinct()
+            pick = pick.select(F.least("id", "to").alias("a"), F.greatest("id", "to").alias("b")).distinct()
+            if tried is not None:
+                pick = pick.join(tried, ["a", "b"], "left_anti")
+            pick = s.write(pick, "pick")
+            tried = pick if tried is None else tried.unionByName(pick)
+            found = s.write(self.verified(self.close(pick, one), sets), "found")
+            linked = found.count()
+            if not linked:
                 break
-            links = links.unionByName(found)
-        x, y = open_.alias("x"), open_.alias("y")
-        rest = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.comp") != F.col("y.comp"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-        rest = s.write(rest.join(of("a"), "a").join(of("b"), "b").where(close).select("a", "b"), "rest")
-        return s.write(links.unionByName(self.verified(rest, sets)).distinct(), "links")
-
-    def unfinished(self, hot: DataFrame, links: DataFrame) -> DataFrame:
+            found_in.append(found)
+            named = open_.select("id", "comp").distinct()
+            joined = found.join(named.select(F.col("id").alias("a"), F.col("comp").alias("ca")), "a").join(named.select(F.col("id").alias("b"), F.col("comp").alias("cb")), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
+            moved = components(s, joined).select(F.col("id").alias("comp"), "component")
+            renamed = open_.join(checked_broadcast(moved), "comp", "left").select("sig", "id", "central", F.coalesce("component", "comp").alias("comp"))
+            before, open_ = open_, s.write(self.unfinished(renamed), "open")
+            s.drop(before)
+            s.release()
+            if linked * WORTH < pick.count():
+                sizes = open_.groupBy("sig").count().agg(F.sum("count").alias("rows"), F.sum(F.col("count") * (F.col("count") - 1) / 2).alias("pairs")).first()
+                if not sizes["rows"]:
+                    return s.write(reduce(DataFrame.unionByName, found_in), "links")
+                break
+        direct = sizes["pairs"] <= MANY_PAIRS * sizes["rows"]
+        keys = s.write(open_.withColumnRenamed("sig", "key").select("id", "comp", "key") if direct else self.rarest_shingles(open_.select("id", "comp").distinct(), sets), "keys")
+        rest = s.write(self.across(keys.join(one, "id")), "rest")
+        found_in.append(self.verified(rest, sets))
+        links = s.write(reduce(DataFrame.unionByName, found_in).distinct(), "links")
+        s.drop(sets, keys, open_)
+        return links
+
+    def close(self, pairs: DataFrame, one: DataFrame) -> DataFrame:
+        """Pairs that sizes and the dense sketches don't rule out."""
+        of = lambda x: one.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+        apart = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+        near = self.near("na", "nb", "least(na, nb)") & (apart * (100 + self.percent) <= (F.col("na") + F.col("nb")) * (100 - self.percent))
+        return pairs.join(of("a"), "a").join(of("b"), "b").where(near).select("a", "b")
+
+    def across(self, keys: DataFrame) -> DataFrame:
+        """Pairs of different components that share a key and that sizes and sketches don't rule out; no others leave the join."""
+        x, y = keys.alias("x"), keys.alias("y")
+        apart = " + ".join(f"bit_count(x.sketch[{i}] ^ y.sketch[{i}])" for i in range(SKETCH_BITS // 64))
+        near = F.expr(f"100 * least(x.n, y.n) >= {self.percent} * greatest(x.n, y.n) AND ({apart}) * {100 + self.percent} <= (x.n + y.n) * {100 - self.percent}")
+        met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.comp") != F.col("y.comp")) & near)
+        return met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+
+    def rarest_shingles(self, ids: DataFrame, sets: DataFrame) -> DataFrame:
+        """id, comp, key: so many of each set's rarest shingles that linked sets share one (the prefix filter).
+
+        Documents that share most of a long passage, but too little to link, agree in many blocks; what is rarest in them is their own.
+        """
+        own = self.asked_of(sets, ids).select("id", "comp", F.xxhash64("shingles").alias("set"), F.size("shingles").alias("n"), "shingles")
+        each = own.select("id", "comp", "set", "n", F.explode("shingles").alias("key"))  # not in one step: what stands beside explode is made for every row
+        each = self.scratch.write(each, "shingles")
+        often = self.scratch.write(each.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "often")
+        rank = F.row_number().over(W.partitionBy("id", "set").orderBy("m", "key"))
+        # shingles of one document come first and have no partner
+        shared = each.join(checked_broadcast(often), "key").withColumn("r", rank).withColumn("own", F.col("n") - F.count("*").over(W.partitionBy("id", "set")))
+        return shared.where(F.expr(f"r + own <= n - ({self.percent} * n + 99) div 100 + 1")).select("id", "comp", "key")
+
+    def asked_of(self, sets: DataFrame, ids: DataFrame) -> DataFrame:
+        return sets.join(checked_broadcast(self.scratch.write(ids, "ids")), "id")
+
+    def unfinished(self, named: DataFrame) -> DataFrame:
         """Rows of frequent blocks whose documents are not yet in one component."""
-        comp = components(self.scratch, links)
-        named = hot.join(comp, "id", "left").select("sig", "id", "central", F.coalesce("component", "id").alias("comp"))
         split = named.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("sig")
-        return self.scratch.write(named.join(split, "sig"), "open")
+        return named.join(split, "sig")
 
     def verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        of = lambda x: sets.select(F.col("id").alias(x), F.col("shingles").alias(f"s{x}"))
-        both = pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("both"))
+        """Pairs whose whole sets are near enough. Only sets of documents in a pair are moved."""
+        half = lambda x, m: F.when(F.size(x) > m, F.zip_with(F.slice(x, 1, m), F.slice(x, m + 1, m), lambda u, v: u.bitwiseXOR(v))).otherwise(F.col(x))
+        least = F.least(F.size("fa"), F.size("fb"))
+        apart = F.aggregate(F.zip_with(half("fa", least), half("fb", least), lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda t, u: t + u)
+        fine = lambda x: held.select(F.col("id").alias(x), F.size("shingles").alias(f"n{x}"), F.col("fine").alias(f"f{x}"))
+        pairs = self.scratch.write(pairs, "pairs")
+        held = self.asked(sets, pairs)
+        maybe = pairs.join(fine("b"), "b").join(fine("a"), "a").where((F.size("fa") > 2 * F.size("fb")) | (F.size("fb") > 2 * F.size("fa")) | (apart * (100 + self.percent) <= (F.col("na") + F.col("nb")) * (100 - self.percent)))
+        pairs = self.scratch.write(maybe.select("a", "b").distinct(), "maybe")
+        held = self.asked(sets, pairs)
+        whole = lambda x: held.select(F.col("id").alias(x), F.col("shingles").alias(f"s{x}"))
+        both = pairs.join(whole("b"), "b").join(whole("a"), "a").select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("both"))
         return both.where(self.near("na", "nb", "both")).select("a", "b").distinct()
 
+    def asked(self, sets: DataFrame, pairs: DataFrame) -> DataFrame:
+        """Sets of documents in a pair: no others are moved."""
+        ids = self.scratch.write(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "asked")
+        return sets.join(checked_broadcast(ids), "id", "left_semi")
+
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """Near-duplicate groups over whole texts, exact at `percent` Jaccard of `words`-word shingles.

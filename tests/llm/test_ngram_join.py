@@ -5,6 +5,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from sentrel.llm import ngram_join
 from sentrel.llm.ngram_join import block_signatures, first_of_each_group, most_apart, ngram_jaccard_join, shingle_hashes
 
 SCHEMA = "doc_id long, text string, h string, n string"
@@ -66,6 +67,17 @@ def test_against_all_pairs(spark):
         assert r["a"] < r["b"] and 100 * len(sets[r["a"]] & sets[r["b"]]) >= 80 * len(sets[r["a"]] | sets[r["b"]])
 
 
+def test_what_the_rounds_leave(spark, monkeypatch):
+    """Without rounds, all that meets in frequent blocks is joined on rare shingles, or directly."""
+    rows = corpus(3) + [(1000 + 3 * i, t) for i, (_, t) in enumerate(corpus(4))]
+    want = brute(rows)
+    for rounds, many in ((0, 0), (0, 10**9), (1, 0)):
+        monkeypatch.setattr(ngram_join, "ROUNDS", rounds)
+        monkeypatch.setattr(ngram_join, "FEW_PAIRS", 0)
+        monkeypatch.setattr(ngram_join, "MANY_PAIRS", many)
+        assert run(spark, rows)[0] == want
+
+
 def test_edge_cases(spark):
     long = " ".join(f"w{k}" for k in range(30000))
     rows = [(1, None), (2, ""), (3, " \t"), (4, "one two"), (5, "One  TWO"), (None, "one two"), (6, long), (7, long + " more"), (8, "one two three"), (9, "one two"), (9, "one two")]

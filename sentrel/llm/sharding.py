@@ -1,17 +1,21 @@
 """Contiguous balanced shards by global prefix sums of byte sizes.
 
-Rows are put in one global order (hash of the text, then id), sorted by range into partitions; each
-partition's byte total is summed and the totals of those before it are its offset. A row's shard is
+Rows are put in one global order (hash of the text, then id), sorted by range into partitions, in which sizes
+are summed row by row; the totals of the partitions before are a partition's offset. A row's shard is
 where the middle of its bytes falls among equal targets.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import Scratch, table
+from .common import Scratch, small_batches, table
 
 SHARDS, OVERHEAD = 40, 16
 
@@ -37,6 +41,17 @@ def with_prefix_sums(scratch: Scratch, rows: DataFrame, order: list[str], size:
     return out.withColumn("before", F.col("before") + F.col("start")).drop("start"), total
 
 
+def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the sum of sizes and the number of rows before each row of the partition."""
+    total = rows = 0
+    for batch in batches:
+        size = batch.column("size").to_numpy()
+        upto = total + np.cumsum(size)
+        at = rows + np.arange(len(size))
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(upto - size, pa.int64()), pa.array(at, pa.int64())], [*batch.schema.names, "before", "place"])
+        total, rows = int(upto[-1]) if len(size) else total, rows + len(size)
+
+
 def assign_shards(spark: SparkSession, docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", size: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of docs: doc_id, size, text_crc32, shard (0 to shards - 1), slot (gapless from 0 in each shard)
     and the columns named in `keep` (of docs; their names must differ from those).
@@ -46,20 +61,30 @@ def assign_shards(spark: SparkSession, docs: DataFrame, shards: int = SHARDS, id
     plus 16, and shards differ from the target by less than one row's size at either end. Null texts count as
     none (CRC 0, of the empty text) and null ids come first among equal texts; repeated rows take one slot each.
     A text larger than a target may leave other shards empty. An empty table gives no rows.
+
+    Rows move once, into sorted range partitions, which are written with their number so that a rerun can't place rows otherwise. Only
+    one total per partition and one count per shard pass through the driver.
     """
+    small_batches(spark)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     size = F.octet_length(text).cast("long") + OVERHEAD if size is None else size
     rows = docs.select(F.col(id_col).alias("doc_id"), size.alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.xxhash64(text).alias("at"), *[F.col(c).alias(f"keep_{c}") for c in keep])
-    scratch = Scratch(spark)
-    summed, total = with_prefix_sums(scratch, rows, ["at", "doc_id"], "size")
-    middle = F.col("before").cast("decimal(38,0)") * 2 + F.col("size")
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ranged = rows.repartitionByRange(parts, "at", "doc_id").withColumn("part", F.spark_partition_id()).sortWithinPartitions("at", "doc_id")
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in ranged.schema.fields] + ["before long", "place long"])
+    ranged = Scratch(spark).write(ranged.mapInArrow(_running, schema), "ranged")
+
+    offsets, total, n = [], 0, 0
+    for r in sorted(ranged.groupBy("part").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect(), key=lambda r: r["part"]):
+        offsets.append((r["part"], total, n))
+        total, n = total + r["size"], n + r["n"]
+    starts = spark.createDataFrame(offsets, "part int, bytes0 long, rows0 long")
+    middle = (F.col("before") + F.col("bytes0")).cast("decimal(38,0)") * 2 + F.col("size")
     shard = F.least(F.floor(middle * F.lit(shards) / F.lit(max(1, 2 * total)).cast("decimal(38,0)")), F.lit(shards - 1)).cast("int")
-    placed = scratch.write(summed.select("part", "at", "doc_id", "size", "text_crc32", "before", shard.alias("shard"), *[f"keep_{c}" for c in keep]), "placed")
-    inside = W.partitionBy("part", "shard").orderBy("before", "at", "doc_id")
-    local = placed.withColumn("k", F.row_number().over(inside).cast("long") - 1)
-    counts = placed.groupBy("shard", "part").agg(F.count("*").alias("c"))
-    counts = counts.select("shard", "part", F.coalesce(F.sum("c").over(W.partitionBy("shard").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("s"))
-    return local.join(F.broadcast(counts), ["shard", "part"]).select("doc_id", "size", "text_crc32", "shard", (F.col("k") + F.col("s")).alias("slot"), *[F.col(f"keep_{c}").alias(c) for c in keep])
+    placed = ranged.join(F.broadcast(starts), "part").withColumn("shard", shard)  # one row per partition
+    firsts = placed.groupBy("shard").agg(F.min(F.col("place") + F.col("rows0")).alias("first"))  # shards are contiguous
+    out = placed.join(F.broadcast(firsts), "shard")  # one row per shard
+    return out.select("doc_id", "size", "text_crc32", "shard", (F.col("place") + F.col("rows0") - F.col("first")).alias("slot"), *[F.col(f"keep_{c}").alias(c) for c in keep])
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, checked_broadcast, small_batches, table
+from .common import Scratch, checked_broadcast, hash_sample, small_batches, table
 
 TRAIN_ROWS = 20_000  # labelled documents that the regression is fitted on, at most: those of smallest hash
 KEEP_FROM = 0.1  # a document goes only at odds of nine to one against it
@@ -110,7 +110,7 @@ class QualityModel:
         rows = docs.select(F.col(id_col).cast("long").alias("id"), *self.keys(docs), F.col(text_col).cast("string").alias("text"))
         self.rows = self.scratch.write(with_features(spark, rows, "text", "x").drop("text"), "features")
         known = labels.where("quality in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.min("quality").alias("y"), F.max("quality").alias("y2")).where("y = y2").select("id", "y")
-        sample = self.rows.where("id is not null").join(known, "id").orderBy(F.xxhash64("id"), "id").limit(train_rows).select("x", "y").collect()
+        sample = hash_sample(self.rows.where("id is not null").join(known, "id").select("id", "x", "y"), train_rows, "id").collect()
         x = np.array([r["x"] for r in sample]).reshape(-1, len(FEATURES))
         self.weights, self.bias = fit_logistic(x, np.array([r["y"] for r in sample], float))
         self.fit_sites()

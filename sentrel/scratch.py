@@ -19,13 +19,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Tables after which the driver's garbage is collected: plans and shuffles of ended queries add up in iterative jobs.
+COLLECT_EVERY = 6
+
+
 class Scratch:
     """Tables written to the shared folder: they cut lineage and outlive lost executors."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/sentrel-{uuid.uuid4().hex}"
+        self.spark, self.root, self.written = spark, f"{shared_dir(spark)}/sentrel-{uuid.uuid4().hex}", 0
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
+        self.written += 1
+        if self.written % COLLECT_EVERY == 0:
+            self.release()
         path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)

@@ -301,7 +301,7 @@ def _intel(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
     tag = F.when(k % 3 == 0, "tor").when(k % 3 == 1, "c2").otherwise("c2d")
     value = F.when(k % 3 == 2, F.concat(F.lit("host"), k % 20, F.lit(".example"))).otherwise(F.concat(F.when(k % 2 == 0, "203.0.113.").otherwise("172.16.0."), k % 250))
-    return c.where("c_custkey < 600").select(tag.alias("tag"), F.when(tag == "tor", "ip-src").when(tag == "c2", "ip-dst").otherwise("domain").alias("attr_type"), value.alias("value"), k.cast("string").alias("event_id"), F.col("c_mktsegment").alias("category"), F.array(F.concat(F.lit("n"), F.col("c_nationkey")), F.lit("t")).alias("attr_tags"))
+    return c.select(tag.alias("tag"), F.when(tag == "tor", "ip-src").when(tag == "c2", "ip-dst").otherwise("domain").alias("attr_type"), value.alias("value"), k.cast("string").alias("event_id"), F.col("c_mktsegment").alias("category"), F.array(F.concat(F.lit("n"), F.col("c_nationkey")), F.lit("t")).alias("attr_tags"))
 
 
 def enrich_public_ip(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -57,13 +57,17 @@ def checked(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table
 
 
-def lookup_intel(asked: DataFrame, intel: DataFrame) -> DataFrame:
+def lookup_intel(asked: DataFrame, intel: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Per event that has any hit: event ids (not de-duplicated), distinct categories and tags, each in order.
 
-    intel: tag, attr_type, value, event_id, category, attr_tags.
+    intel: tag, attr_type, value, event_id, category, attr_tags. Its lists are made once per value, whatever the number of events that
+    ask for it; the table's own rows, not its values, decide on a broadcast, as they bound the lists' size.
     """
-    hits = asked.join(checked(intel), ["tag", "attr_type", "value"])
-    lists = hits.groupBy("event_uid").agg(F.array_sort(F.collect_list("event_id")).alias("ids"), F.array_sort(F.collect_set("category")).alias("categories"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("attr_tags")))).alias("tags"))
+    key = ["tag", "attr_type", "value"]
+    flat = lambda c: F.flatten(F.collect_list(c))
+    known = intel.groupBy(*key).agg(F.collect_list("event_id").alias("ids"), F.collect_set("category").alias("categories"), F.array_distinct(F.flatten(F.collect_set("attr_tags"))).alias("tags"))
+    hits = asked.join(F.broadcast(known) if intel.limit(broadcast_rows + 1).count() <= broadcast_rows else known, key)
+    lists = hits.groupBy("event_uid").agg(F.array_sort(flat("ids")).alias("ids"), F.array_sort(F.array_distinct(flat("categories"))).alias("categories"), F.array_sort(F.array_distinct(flat("tags"))).alias("tags"))
     full = lambda c: F.when(F.size(c) > 0, F.col(c))
     return lists.select("event_uid", full("ids").alias("intel_event_id"), full("categories").alias("intel_attribute_category"), full("tags").alias("intel_attribute_tags"))
 

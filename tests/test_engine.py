@@ -192,6 +192,27 @@ def test_read_through_cache(spark):
     assert sorted((r["value"], r["expires_at"]) for r in new.collect()) == [("b", datetime(2025, 1, 2)), ("c", datetime(2025, 1, 2))]
 
 
+@pytest.mark.parametrize("broadcast_rows", [enrich.BROADCAST_ROWS, 1])
+def test_intel_lookup_against_brute_force(spark, broadcast_rows):
+    """Lists made per value, by broadcast and by shuffle, are those of a walk over all pairs."""
+    rnd = random.Random(3)
+    some = lambda xs: rnd.choice([*xs, None])
+    asked = sorted({(f"e{rnd.randint(0, 30)}", rnd.choice("st"), "ip", rnd.choice("abcd")) for _ in range(80)})
+    intel = [(rnd.choice("st"), "ip", some("abcx"), some(["7", "10", "7"]), some("pq"), some([["n", "t"], ["t"], []])) for _ in range(60)]
+    want = {}
+    for e, tag, kind, value in asked:
+        for row in intel:
+            if row[:3] == (tag, kind, value):
+                ids, cats, tags = want.setdefault(e, ([], set(), set()))
+                ids += [row[3]] if row[3] else []
+                cats |= {row[4]} if row[4] else set()
+                tags |= set(row[5] or [])
+    a = spark.createDataFrame(asked, "event_uid string, tag string, attr_type string, value string")
+    i = spark.createDataFrame(intel, "tag string, attr_type string, value string, event_id string, category string, attr_tags array<string>")
+    got = enrich.lookup_intel(a, i, broadcast_rows)
+    assert sorted(map(tuple, got.collect())) == sorted((e, *(sorted(x) or None for x in lists)) for e, lists in want.items())
+
+
 def test_config_and_sources(spark, tmp_path):
     (tmp_path / "c.properties").write_text("# c\ntopics = a, b\nstart=1700000000000\ntls.security.protocol=SSL\ntls.truststore.location=/t\nflush_rows=5\nenrichment=true\n")
     c = load_config(str(tmp_path / "c.properties"))

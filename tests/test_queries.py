@@ -33,6 +33,31 @@ def test_query_against_sql(spark, duck, name):
     same(spark, duck, name, QUERIES[name], ORACLES[name])
 
 
+def test_every_customer_is_looked_up(spark, tmp_path):
+    """More customers than 600, so that a lookup table that is cut by id loses hits."""
+    for name in ("events", "customer"):
+        df = spark.read.parquet(f"{SF}/{name}.parquet")
+        if name == "customer":
+            df = df.unionByName(df.withColumn("c_custkey", df.c_custkey + 3000))
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    customers = {r["c_custkey"]: r for r in spark.read.parquet(f"{tmp_path}/customer.parquet").collect()}
+    values = {}
+    for k in customers:
+        value = f"host{k % 20}.example" if k % 3 == 2 else f"{'203.0.113.' if k % 2 == 0 else '172.16.0.'}{k % 250}"
+        values.setdefault((("tor", "c2", "c2d")[k % 3], value), []).append(k)
+    want, matched = {}, []
+    for r in spark.read.parquet(f"{SF}/events.parquet").collect():
+        u = r["user_id"]
+        src = f"{('203.0.113.', '172.16.0.', '198.51.100.')[u % 3]}{u % 250}"
+        asked = [("c2", src), ("c2d", f"host{u % 20}.example")] + ([("tor", src)] if not src.startswith("172.16.") else [])
+        found = [k for a in asked for k in values.get(a, ())]
+        want[r["event_id"]] = ",".join(sorted(map(str, found))) or None
+        if r["event_type"] == "error" and any(customers[k]["c_mktsegment"] == "BUILDING" for k in found):
+            matched.append(r["event_id"])
+    assert {r["event_id"]: r["intel_event_id"] for r in QUERIES["enrich_intel"](spark, str(tmp_path)).collect()} == want
+    assert sorted(r["event_id"] for r in QUERIES["enriched_then_match"](spark, str(tmp_path)).collect()) == sorted(matched)
+
+
 def test_entry_imports_and_runs(spark):
     import __spark_entry__ as e
 

@@ -9,6 +9,9 @@ prefix is m or more; all but its first member are later copies.
 A maximal repeated run is the union of its shortest parts that are long enough to count: for each line the
 shortest such part that starts there and the shortest that ends there. So only one length per line and side
 is looked up, and rounds end at the longest of those, whatever the length of the runs.
+
+Two more criteria need no suffixes: whole copies are found by the text's hash, whatever their length, and a
+line that stands in many distinct texts counts by itself, however short it is.
 """
 
 from __future__ import annotations
@@ -25,6 +28,8 @@ from .common import Scratch, checked_broadcast, small_batches, table
 from .sharding import with_prefix_sums
 
 MIN_WORDS = 50
+#: Distinct texts from which a line counts by itself.
+MIN_TEXTS = 6
 
 
 def lines_of(text: str) -> list[bytes]:
@@ -97,12 +102,14 @@ class _Suffixes:
         self.levels.append(self.ranked(self.scratch.write(last.join(right, "gpos").select("gpos", F.col("r").alias("r1"), "r2"), "pairs"), ["r1", "r2"]))
 
 
-def remove_repeated_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def remove_repeated_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, min_texts: int | None = None, short_copies: bool = False) -> DataFrame:
     """docs and all their columns, with repeated runs of lines deleted from the text, and n_lines, n_removed.
 
     A line goes if it is in a run of consecutive lines of at least `min_words` words that occurs before: in a
-    document of smaller id, or further up. Lines are compared without white space around them; blank lines take no part and
-    stay. A later whole copy loses all its lines. Rows of one id and text are one document; texts of one id are
+    document of smaller id, or further up. With `min_texts`, a line that stands in at least so many distinct texts goes too
+    wherever it occurs before, whatever its length and neighbours. Lines are compared without white space around them; blank lines
+    take no part and stay. A later whole copy of a text of at least `min_words` words loses all its lines, with `short_copies` one of
+    any text. Rows of one id and text are one document; texts of one id are
     ordered by MD5. Null texts stay null with 0 lines, null ids come first, columns of docs named n_lines or
     n_removed are replaced, and an empty table gives no rows.
     """
@@ -113,21 +120,30 @@ def remove_repeated_lines(spark: SparkSession, docs: DataFrame, id_col: str = "d
     keyed = own.withColumns({"__h": F.md5(text), "__id": F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)))})
     texts = keyed.where(text.isNotNull()).select(F.col("__h").alias("h"), F.col("__id").alias("id"), text.alias("text"))
     schema = "h string, id long, words long, lo array<long>, hi array<long>, fwd array<int>, back array<int>"
-    parsed = scratch.write(texts.mapInArrow(_parsed(min_words), schema).where("words >= %d" % min_words), "parsed")
-    heads = parsed.groupBy("h").agg(F.min("id").alias("id"), F.count("*").alias("rows"), F.min(F.size("lo")).alias("n"))
-    placed, _ = with_prefix_sums(scratch, heads.select("id", "h", "rows", (F.col("n") + 1).cast("long").alias("n")), ["id", "h"], "n")
-    placed = scratch.write(placed.select("h", F.col("id").alias("first"), "rows", F.col("before").alias("start")), "placed")
+    parsed = texts.mapInArrow(_parsed(min_words), schema)
+    if min_texts is None and not short_copies:
+        parsed = parsed.where("words >= %d" % min_words)
+    parsed = scratch.write(parsed, "parsed")
+    heads = parsed.groupBy("h").agg(F.min("id").alias("id"), F.count("*").alias("rows"), F.min(F.size("lo")).alias("n"), F.min("words").alias("words"))
+    placed, _ = with_prefix_sums(scratch, heads.select("id", "h", "rows", "words", (F.col("n") + 1).cast("long").alias("n")), ["id", "h"], "n")
+    placed = scratch.write(placed.select("h", F.col("id").alias("first"), "rows", "words", F.col("before").alias("start")), "placed")
     each = parsed.dropDuplicates(["h"]).join(placed.select("h", "start"), "h").select("h", "start", F.posexplode(F.arrays_zip("lo", "hi", "fwd", "back")).alias("i", "x"))
     lines = scratch.write(each.select("h", "i", (F.col("start") + F.col("i")).alias("gpos"), "x.lo", "x.hi", "x.fwd", "x.back"), "lines")
     scratch.drop(parsed)
 
     suffixes = _Suffixes(scratch, lines.select("gpos", "lo", "hi"))
-    parts = lines.join(suffixes.levels[0].select("gpos"), "gpos", "left_semi").select("h", F.explode(F.array(F.struct("i", "gpos", F.col("fwd").alias("m")), F.struct((F.col("i") - F.col("back") + 1).alias("i"), (F.col("gpos") - F.col("back") + 1).alias("gpos"), F.col("back").alias("m")))).alias("p")).select("h", "p.*").where("m > 0").distinct()
+    repeated = lines.join(suffixes.levels[0], "gpos")
+    found = None
+    if min_texts is not None:
+        repeated = scratch.write(repeated.select("h", "i", "gpos", "r", "fwd", "back"), "repeated")
+        common = repeated.groupBy("r").agg(F.count_distinct("h").alias("texts"), F.min("gpos").alias("first"))
+        common = scratch.write(common.where(F.col("texts") >= min_texts).select("r", "first"), "common")
+        found = repeated.join(checked_broadcast(common), "r").where("gpos > first").select("h", "i", F.lit(1).alias("m"))
+    parts = repeated.select("h", F.explode(F.array(F.struct("i", "gpos", F.col("fwd").alias("m")), F.struct((F.col("i") - F.col("back") + 1).alias("i"), (F.col("gpos") - F.col("back") + 1).alias("gpos"), F.col("back").alias("m")))).alias("p")).select("h", "p.*").where("m > 0").distinct()
     parts = scratch.write(parts, "parts")
     longest = parts.agg(F.max("m")).first()[0] or 0
     while 2 << (len(suffixes.levels) - 1) <= longest:
         suffixes.double()
-    found = None
     for k, level in enumerate(suffixes.levels):
         here = parts.where(F.col("m").between(1 << k, (2 << k) - 1)).withColumn("gpos2", F.col("gpos") + F.col("m") - (1 << k))
         named = here.join(level.withColumnRenamed("r", "r1"), "gpos").join(level.select(F.col("gpos").alias("gpos2"), F.col("r").alias("r2")), "gpos2")
@@ -136,12 +152,12 @@ def remove_repeated_lines(spark: SparkSession, docs: DataFrame, id_col: str = "d
         later = named.join(checked_broadcast(interval), ["m", "r1", "r2"]).where("gpos > first").select("h", "i", "m")
         found = later if found is None else found.unionByName(later)
     spans = found.groupBy("h").agg(F.collect_list(F.struct(F.col("i").alias("at"), "m")).alias("spans"))
-    changed = placed.select(F.col("h").alias("__h"), "first", "rows").join(spans.withColumnRenamed("h", "__h"), "__h", "left").where("rows > 1 or spans is not null")
-    changed = scratch.write(changed.drop("rows"), "changed")
+    changed = placed.select(F.col("h").alias("__h"), "first", F.col("rows") if short_copies else F.when(F.col("words") >= min_words, F.col("rows")).otherwise(0).alias("rows")).join(spans.withColumnRenamed("h", "__h"), "__h", "left").where("rows > 1 or spans is not null")
+    changed = scratch.write(changed, "changed")
     scratch.release()
     whole = F.array(F.struct(F.lit(0).alias("at"), F.lit(2**31 - 1).cast("int").alias("m")))
     # texts move once, whatever the size: what is changed grows with them
-    marked = keyed.join(changed.hint("merge"), "__h", "left").withColumn("__spans", F.when(F.col("__id") != F.col("first"), whole).otherwise(F.col("spans")))
+    marked = keyed.join(changed.hint("merge"), "__h", "left").withColumn("__spans", F.when((F.col("__id") != F.col("first")) & (F.col("rows") > 1), whole).otherwise(F.col("spans")))
     rest = [f for f in own.schema.fields if f.name != text_col]
     marked = marked.select(*[f"`{f.name}`" for f in rest], text.alias("__text"), "__spans")
     out = marked.mapInArrow(_without, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rest] + ["__text string, __lines long, __gone long"]))
@@ -150,4 +166,4 @@ def remove_repeated_lines(spark: SparkSession, docs: DataFrame, id_col: str = "d
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return remove_repeated_lines(spark, docs).select("doc_id", "n_lines", "n_removed", "text")
+    return remove_repeated_lines(spark, docs, min_texts=MIN_TEXTS, short_copies=True).select("doc_id", "n_lines", "n_removed", "text")

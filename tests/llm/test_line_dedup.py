@@ -1,6 +1,6 @@
 import random
 
-from sentrel.llm.line_dedup import remove_repeated_lines
+from sentrel.llm.line_dedup import MIN_TEXTS, op2_line_dedup, remove_repeated_lines
 
 SCHEMA = "doc_id long, text string, n_removed string"
 
@@ -34,6 +34,31 @@ def test_against_brute_force(spark):
         assert got == brute(rows, 6 + trial)
 
 
+def test_common_lines_and_short_copies(spark, tmp_path):
+    """Short lines that stand in many distinct texts and copies of short texts go, held against a walk over all lines."""
+    rnd = random.Random(8)
+    pool = ["all rights reserved", "x", "y z", "rare"] + [f"p{k}" for k in range(8)]
+    rows = [(i, "\n".join([rnd.choice(pool) for _ in range(rnd.randint(0, 3))] + [f" own {i} ", ""])) for i in range(40)]
+    rows += [(i + 40, rows[i][1]) for i in range(10)] + [(60 + k, "only this") for k in range(MIN_TEXTS + 3)] + [(80, None), (81, ""), (82, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    strip = lambda t: [x.strip() for x in t.split("\n") if x.strip()]
+    texts = {t for _, t in rows if t is not None}
+    many = {x for x in pool if sum(x in strip(t) for t in texts) >= MIN_TEXTS}
+    assert many and many != set(pool)
+    want, seen, lines = {}, set(), set()
+    for i, t in rows:
+        if t is not None:
+            want[i] = []
+            for x in strip(t) if t not in seen else ():
+                if x not in many or x not in lines:
+                    want[i].append(x)
+                lines.add(x)
+            seen.add(t)
+    out = op2_line_dedup(spark, str(tmp_path))
+    assert kept(out) == want
+    assert {r["doc_id"]: r["n_removed"] for r in out.collect()} == {i: len(strip(t or "")) - len(want.get(i, ())) for i, t in rows}
+
+
 def test_passage_and_copies(spark):
     passage = " ".join(f"w{k}" for k in range(51))
     rows = [(3, f"third\n{passage}\nend", "x"), (1, f"first\n{passage}", "x"), (2, "clean text\nof its own", "x"), (5, f"first\n{passage}", "x"), (4, f"again {passage[3:]}", "x")]

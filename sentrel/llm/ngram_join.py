@@ -133,6 +133,12 @@ def _sets(n: int):
     return run
 
 
+def deep_ids(frequent: DataFrame) -> DataFrame:
+    """(id, band, held, central) of the ids with enough frequent blocks for one of their texts: an id may stand for several, so the least `sure` decides."""
+    deep = frequent.groupBy("id", "band").agg(F.count("*").alias("held"), F.min("sure").alias("least"), F.avg("m").alias("central"))
+    return deep.where("held >= greatest(least, 1)").select("id", "band", "held", "central")
+
+
 class _Join:
     def __init__(self, spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, n: int, percent: int):
         small_batches(spark)
@@ -185,8 +191,7 @@ class _Join:
         rare = s.write(self.close(pairs, one), "rare")
 
         frequent = shared.where(F.col("m") > RARE).select("id", "band", "sure", "sig", "m")
-        deep = frequent.groupBy("id", "band").agg(F.count("*").alias("held"), F.max("sure").alias("least"), F.avg("m").alias("central"))
-        deep = s.write(deep.where("held >= greatest(least, 1)").select("id", "band", "held", "central"), "deep")
+        deep = s.write(deep_ids(frequent), "deep")
         need = rare.select(F.explode(F.array("a", "b")).alias("id")).unionByName(deep.select("id")).distinct()
         need = s.write(need, "need")
         texts = self.docs.select("id", "text").join(checked_broadcast(need), "id", "left_semi")

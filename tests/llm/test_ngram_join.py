@@ -6,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from sentrel.llm import ngram_join
-from sentrel.llm.ngram_join import block_signatures, first_of_each_group, most_apart, ngram_jaccard_join, shingle_hashes
+from sentrel.llm.ngram_join import block_signatures, deep_ids, first_of_each_group, most_apart, ngram_jaccard_join, shingle_hashes
 
 SCHEMA = "doc_id long, text string, h string, n string"
 
@@ -122,3 +122,10 @@ def test_linked_sets_share_enough_blocks(n, seed):
 def test_hashes_follow_the_words():
     assert len(shingle_hashes("a b c d e f")) == 2 and len(shingle_hashes("a b")) == 1 and not len(shingle_hashes(None))
     assert (shingle_hashes("A b\x0bC") == shingle_hashes("a B  c")).all() and (shingle_hashes("É b c") != shingle_hashes("é b c")).all()
+
+
+def test_frequent_blocks_of_an_id_with_two_texts(spark):
+    """One text needs 16 blocks and has 1 frequent one, the other needs 8 and has 10: the id must stay for the second."""
+    rows = [(1, 0, 16, 0, 90)] + [(1, 0, 8, k, 90) for k in range(1, 11)] + [(2, 0, 16, k, 90) for k in range(11)]
+    frequent = spark.createDataFrame(rows, "id long, band int, sure int, sig long, m long")
+    assert [(r["id"], r["held"]) for r in deep_ids(frequent).collect()] == [(1, 11)]

@@ -3,15 +3,16 @@
 A document's set of word shingles is hashed to 64 bits and cut, by hash range, into k blocks. The
 XOR of a block's hashes is a sparse parity sketch: two sets that differ in d shingles differ in at
 most d blocks, so with more than d blocks some block agrees (pigeonhole). k depends on the size
-band, and bands overlap by the largest size ratio that the similarity allows. Pairs that share a
-block are pruned by the Hamming distance of dense 1024-bit parity sketches, a lower bound of the
-symmetric difference, and the rest is verified on the whole sets.
+band, and bands overlap by the largest size ratio that the similarity allows. Blocks have one global
+order, fullest first, and a set only ships the first d + 1 of them: two sets that agree in a block agree in
+one that both ship. Pairs that share a block are pruned by the Hamming distance of dense 1024-bit parity
+sketches, a lower bound of the symmetric difference, and the rest is verified on the whole sets.
 
-Frequent blocks (common passages, large groups of copies) never emit all pairs. Each document
-knows from its own sketch how many blocks must agree with any partner; where it has fewer frequent
-blocks than that, every partner already meets it in a rare block. The others meet in rounds: in each
+Frequent blocks (common passages, large groups of copies) never emit all pairs. They meet in rounds: in each
 frequent block a central document is held against the rest until a block's documents are in one
 component; what is left is joined across components, where blocks are large on the rarest shingles of each set.
+Blocks that a sixteenth of the documents shows to be frequent don't go through the sort that finds the rare
+ones, so no task gets a hot block whole; which blocks these are changes the plan, not the result.
 """
 
 from __future__ import annotations
@@ -22,19 +23,21 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import Scratch, checked_broadcast, components, small_batches, table
+from .common import HOT_PART, Scratch, checked_broadcast, components, join_by_key, small_batches, table
 
 WORDS, PERCENT = 5, 80
 RARE = 3  # documents that share a block, up to which all their pairs are emitted
 SKETCH_BITS = 1024
+LOOKED_AT, HOT_FROM = 16, 16  # one in so many documents shows which blocks are hot: those that so many of them share
 ROUNDS = 12
 WORTH = 20  # pairs tried per link found, from which rounds end
 FEW_PAIRS = 100_000  # pairs across components in frequent blocks, up to which they are joined at once
 MANY_PAIRS = 8  # pairs per row of frequent blocks, from which what is left is joined on rare shingles instead
+CELL_ROWS = 2_000  # rows of one key that a cell of the last join holds, at either side
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 
 
@@ -57,9 +60,10 @@ def shingle_hashes(text: str | None, n: int = WORDS) -> np.ndarray:
     return np.unique(_mix(out))
 
 
-def most_apart(size: int, percent: int = PERCENT) -> int:
-    """Largest symmetric difference that a set of this size has with any linked one."""
+def most_apart(size: int, percent: int = PERCENT, largest: int | None = None) -> int:
+    """Largest symmetric difference that a set of this size has with any linked one (of at most `largest` shingles)."""
     other = size * 100 // percent
+    other = other if largest is None else min(other, largest)
     return (size + other) * (100 - percent) // (100 + percent)
 
 
@@ -74,20 +78,26 @@ def band_blocks(band: int, percent: int = PERCENT) -> int:
     return 2 * (top - 1) * (100 - percent) // (100 + percent) + 4 + int((top / 2) ** 0.5)
 
 
-def block_signatures(hashes: np.ndarray, percent: int = PERCENT) -> list[tuple[int, int, np.ndarray]]:
-    """For each band: (band, blocks that agree with any partner at least, signatures of blocks that hold something)."""
+def block_signatures(hashes: np.ndarray, percent: int = PERCENT) -> list[tuple[int, np.ndarray]]:
+    """For each band: (band, signatures of the first blocks). Linked sets have one of them in common in every band that they share.
+
+    Blocks that hold something are ordered by their number of hashes, then by signature, and as many are taken as
+    the largest symmetric difference with a partner of the band, and one more. Partners above the band meet in the next.
+    """
     out = []
     for band in bands(len(hashes), percent):
         k = band_blocks(band, percent)
         block = ((hashes >> np.uint64(32)) * np.uint64(k)) >> np.uint64(32)
         starts = np.flatnonzero(np.diff(block, prepend=np.uint64(k)))
-        held = np.bitwise_xor.reduceat(hashes, starts)
-        salt = block[starts] * _ODD[0] + np.array([band + 1], np.uint64) * _ODD[1]
-        sig = _mix(held[held != 0] ^ _mix(salt[held != 0]))
-        sure = len(sig) - most_apart(len(hashes), percent)
-        if sure < 1:  # what agrees may be empty blocks only: such documents of a band meet here
+        held, size = np.bitwise_xor.reduceat(hashes, starts), np.diff(np.append(starts, len(hashes))).astype(np.uint64)
+        salt = block[starts] * _ODD[0] + size * _ODD[4] + np.array([band + 1], np.uint64) * _ODD[1]
+        sig = _mix(held ^ _mix(salt))[held != 0]
+        first = most_apart(len(hashes), percent, (8 << band) - 1) + 1
+        if len(sig) < first:  # what agrees may be empty blocks only: such documents of a band meet here
             sig = np.append(sig, _mix(np.array([band + 1], np.uint64) * _ODD[2]))
-        out.append((band, sure, sig))
+        else:
+            sig = sig[np.lexsort((sig, -size[held != 0].astype(np.int64)))[:first]]
+        out.append((band, sig))
     return out
 
 
@@ -108,16 +118,10 @@ _LONGS = pa.list_(pa.int64())
 def _sketches(n: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols: dict[str, list] = {c: [] for c in ("h", "id", "n", "band", "sure", "sigs", "sketch")}
-            for h, i, text in zip(*(batch.column(c).to_pylist() for c in ("h", "id", "text")), strict=True):
-                hashes = shingle_hashes(text, n)
-                rows = block_signatures(hashes, percent) if len(hashes) and i is not None else [(0, 0, np.empty(0, np.uint64))]
-                for k, (band, sure, sig) in enumerate(rows):
-                    for c, v in zip(cols, (h, i, len(hashes), band, sure, sig.view(np.int64), parity_sketch(hashes) if k == 0 else None), strict=True):
-                        cols[c].append(v)
+            sets = [shingle_hashes(x, n) for x in batch.column("text").to_pylist()]
+            sigs = [np.concatenate([x for _, x in block_signatures(s, percent)]).view(np.int64) if len(s) else np.empty(0, np.int64) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(cols["h"], pa.string()), pa.array(cols["id"], pa.int64()), pa.array(cols["n"], pa.int64()), pa.array(cols["band"], pa.int32()), pa.array(cols["sure"], pa.int32()), pa.array(cols["sigs"], _LONGS), pa.array(cols["sketch"], _LONGS)],
-                list(cols),
+                [batch.column("h"), batch.column("id"), pa.array([len(x) for x in sets], pa.int64()), pa.array(sigs, _LONGS), pa.array([parity_sketch(x) for x in sets], _LONGS)], ["h", "id", "n", "sigs", "sketch"]
             )
 
     return run
@@ -133,12 +137,6 @@ def _sets(n: int):
     return run
 
 
-def deep_ids(frequent: DataFrame) -> DataFrame:
-    """(id, band, held, central) of the ids with enough frequent blocks for one of their texts: an id may stand for several, so the least `sure` decides."""
-    deep = frequent.groupBy("id", "band").agg(F.count("*").alias("held"), F.min("sure").alias("least"), F.avg("m").alias("central"))
-    return deep.where("held >= greatest(least, 1)").select("id", "band", "held", "central")
-
-
 class _Join:
     def __init__(self, spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, n: int, percent: int):
         small_batches(spark)
@@ -154,97 +152,111 @@ class _Join:
         rows = s.write(self.docs.select("id", "h"), "rows")
         reps = s.write(rows.groupBy("h").agg(F.min("id").alias("rep"), F.count("*").alias("rows")), "reps")
         # an id may stand for one text and be a copy of another: only its copies go
-        copies = rows.join(reps, "h").where("id <> rep").select("h", "id").distinct()
+        copies = join_by_key(rows, reps, "h", "rows").where("id <> rep").select("h", "id").distinct()
         copies = s.write(copies, "copies")
         firsts = self.docs.join(checked_broadcast(copies), ["h", "id"], "left_anti")
-        sketches = s.write(firsts.mapInArrow(_sketches(self.n, self.percent), "h string, id long, n long, band int, sure int, sigs array<long>, sketch array<long>"), "sketches")
-        counts = s.write(sketches.where("sketch is not null").select("h", "id", "n", "sketch"), "counts")
+        sketches = s.write(firsts.mapInArrow(_sketches(self.n, self.percent), "h string, id long, n long, sigs array<long>, sketch array<long>"), "sketches")
+        counts = s.write(sketches.select("h", "id", "n", "sketch"), "counts")
         links = self.links(sketches, counts)
         comp = components(s, links)
         counts = counts.groupBy("h").agg(F.max("n").alias("n"))
-        named = reps.join(comp, F.col("rep") == F.col("id"), "left").select("h", "rep", F.coalesce("component", "rep").alias("component"))
+        named = reps.join(comp, F.col("rep") == F.col("id"), "left").select("h", "rep", "rows", F.coalesce("component", "rep").alias("component"))
         by_text = s.write(named.join(counts, "h", "left"), "by_text")
         # a text's rows with an id are one group; an id with several texts joins their groups
-        many = rows.where("id is not null").join(by_text, "h").groupBy("id").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+        many = join_by_key(rows.where("id is not null"), by_text, "h", "rows").groupBy("id").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
         many = s.write(many, "many")
         if many.take(1):
             more = many.select(F.col("lo").alias("a"), F.col("hi").alias("b"))
-            spread = rows.join(many.select("id"), "id").join(by_text, "h").select(F.col("id").alias("a"), F.col("component").alias("b"))
+            spread = join_by_key(rows.join(many.select("id"), "id"), by_text, "h", "rows").select(F.col("id").alias("a"), F.col("component").alias("b"))
             comp = components(s, links.unionByName(more).unionByName(spread))
-            named = by_text.select("h", "rep", "n").join(comp, F.col("rep") == F.col("id"), "left").select("h", "n", F.coalesce("component", "rep").alias("component"))
+            named = by_text.drop("component").join(comp, F.col("rep") == F.col("id"), "left").select("h", "rows", "n", F.coalesce("component", "rep").alias("component"))
             by_text = s.write(named, "by_text")
-        out = rows.join(by_text.select("h", "n", "component"), "h").select("id", "h", F.coalesce("n", F.lit(0)).alias("n"), F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("component")).otherwise(F.col("id")).alias("component"))
+        out = join_by_key(rows, by_text.select("h", "rows", "n", "component"), "h", "rows").select("id", "h", F.coalesce("n", F.lit(0)).alias("n"), F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("component")).otherwise(F.col("id")).alias("component"))
+        out = s.write(out, "groups")
+        s.keep(out, links)
         return out, links
 
-    def links(self, sketches: DataFrame, counts: DataFrame) -> DataFrame:
+    def blocks(self, sketches: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(a, b of documents that share a rare block; sig, id, m of the blocks that more than RARE documents share)."""
         s = self.scratch
-        sigs = sketches.where("id is not null").select("id", "band", "sure", F.explode("sigs").alias("sig"))
+        sketches = sketches.where("id is not null")
+        sigs = sketches.select("id", F.explode("sigs").alias("sig"))
+        seen = sketches.where(F.pmod(F.xxhash64("h"), F.lit(LOOKED_AT)) == 0).select(F.explode("sigs").alias("sig"))
+        some = s.write(seen.groupBy("sig").agg(F.count("*").alias("c")).where(F.col("c") >= HOT_FROM), "some")
+        least = max(HOT_FROM, (some.agg(F.sum("c")).first()[0] or 0) // HOT_PART + 1)
+        hot = s.write(some.where(F.col("c") >= least).select("sig"), "hot")  # fewer than HOT_PART rows
         w = W.partitionBy("sig").orderBy("id")
         whole = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-        shared = sigs.select("*", F.count("*").over(whole).alias("m"), F.lead("id", 1).over(w).alias("next1"), F.lead("id", 2).over(w).alias("next2")).where("m > 1")
+        others = sigs.join(F.broadcast(hot), "sig", "left_anti")
+        shared = others.select("sig", "id", F.count("*").over(whole).alias("m"), F.lead("id", 1).over(w).alias("next1"), F.lead("id", 2).over(w).alias("next2")).where("m > 1")
         shared = s.write(shared, "shared")
-        s.drop(sketches)
-        s.release()
-
         pairs = shared.where(F.col("m") <= RARE).select(F.col("id").alias("a"), F.explode(F.array("next1", "next2")).alias("b")).where("a < b").distinct()
+        pairs = s.write(pairs, "pairs")
+        frequent = shared.where(F.col("m") > RARE).select("sig", "id", "m")
+        if hot.take(1):
+            at_hot = s.write(sigs.join(F.broadcast(hot), "sig", "left_semi"), "at_hot")
+            sizes = s.write(at_hot.groupBy("sig").agg(F.count("*").alias("m")), "sizes")
+            frequent = frequent.unionByName(at_hot.join(F.broadcast(sizes), "sig").select("sig", "id", "m"))
+        frequent = s.write(frequent, "frequent")
+        s.drop(shared)
+        return pairs, frequent
+
+    def links(self, sketches: DataFrame, counts: DataFrame) -> DataFrame:
+        s = self.scratch
+        pairs, frequent = self.blocks(sketches)
+        s.drop(sketches)
         one = counts.where("id is not null").select("id", "n", "sketch")
         rare = s.write(self.close(pairs, one), "rare")
-
-        frequent = shared.where(F.col("m") > RARE).select("id", "band", "sure", "sig", "m")
-        deep = s.write(deep_ids(frequent), "deep")
-        need = rare.select(F.explode(F.array("a", "b")).alias("id")).unionByName(deep.select("id")).distinct()
-        need = s.write(need, "need")
+        s.drop(pairs)
+        central = s.write(frequent.groupBy("id").agg(F.avg("m").alias("central")), "central")
+        need = s.write(rare.select(F.explode(F.array("a", "b")).alias("id")).unionByName(central.select("id")).distinct(), "need")
         texts = self.docs.select("id", "text").join(checked_broadcast(need), "id", "left_semi")
         sets = s.write(texts.mapInArrow(_sets(self.n), "id long, shingles array<long>, fine array<long>"), "sets")
         links = s.write(self.verified(rare, sets), "links")
-
-        # of the frequent blocks, so many of the rarest that any two that agree in enough blocks meet in one of them
-        rarest = W.partitionBy("id", "band").orderBy("m", "sig")
-        hot = frequent.join(deep, ["id", "band"]).withColumn("r", F.row_number().over(rarest)).where("r <= held - greatest(sure, 1) + 1")
-        hot = hot.select("sig", "id", "central")
         one = s.write(one.join(checked_broadcast(need), "id", "left_semi"), "one")
         start = components(s, links)
-        open_ = s.write(self.unfinished(hot.join(checked_broadcast(start), "id", "left").select("sig", "id", "central", F.coalesce("component", "id").alias("comp"))), "open")
-        s.drop(shared)
+        first = s.write(central.join(start, "id", "left").select("id", "central", F.coalesce("component", "id").alias("comp")), "first")
+        named = s.write(frequent.join(checked_broadcast(first), "id").select("sig", "id", "comp", "central"), "named")
+        open_ = self.unfinished(named, F.col("central"))
+        s.drop(frequent, rare, need, central, start, first, named)
         tried, found_in = None, [links]
-        for k in range(ROUNDS + 1):
-            sizes = open_.groupBy("sig").count().agg(F.sum("count").alias("rows"), F.sum(F.col("count") * (F.col("count") - 1) / 2).alias("pairs")).first()
+        for k in range(1, ROUNDS + 2):
+            sizes = self.sizes(open_)
             if not sizes["rows"]:
                 return s.write(reduce(DataFrame.unionByName, found_in), "links")
-            if k == ROUNDS or sizes["pairs"] <= max(FEW_PAIRS, 2 * sizes["rows"]):
+            if k > ROUNDS or sizes["pairs"] <= max(FEW_PAIRS, 2 * sizes["rows"]):
                 break
-            order = F.col("central") if k == 0 else F.xxhash64("id", F.lit(k)).cast("double")
-            lead = open_.groupBy("sig").agg(F.max(F.struct(order.alias("o"), (-F.col("id")).alias("neg"), F.col("comp").alias("c"))).alias("p"))
-            pick = open_.join(lead, "sig").where("comp <> p.c").select("id", (-F.col("p.neg")).alias("to")).distinct()
-            pick = pick.select(F.least("id", "to").alias("a"), F.greatest("id", "to").alias("b")).distinct()
+            pick = open_.where("comp <> lead_comp").select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
             if tried is not None:
                 pick = pick.join(tried, ["a", "b"], "left_anti")
             pick = s.write(pick, "pick")
             tried = pick if tried is None else tried.unionByName(pick)
-            found = s.write(self.verified(self.close(pick, one), sets), "found")
-            linked = found.count()
-            if not linked:
-                break
-            found_in.append(found)
-            named = open_.select("id", "comp").distinct()
-            joined = found.join(named.select(F.col("id").alias("a"), F.col("comp").alias("ca")), "a").join(named.select(F.col("id").alias("b"), F.col("comp").alias("cb")), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
-            moved = components(s, joined).select(F.col("id").alias("comp"), "component")
-            renamed = open_.join(checked_broadcast(moved), "comp", "left").select("sig", "id", "central", F.coalesce("component", "comp").alias("comp"))
-            before, open_ = open_, s.write(self.unfinished(renamed), "open")
-            s.drop(before)
-            s.release()
-            if linked * WORTH < pick.count():
-                sizes = open_.groupBy("sig").count().agg(F.sum("count").alias("rows"), F.sum(F.col("count") * (F.col("count") - 1) / 2).alias("pairs")).first()
+            close = s.write(self.close(pick, one), "close")
+            found = s.write(self.verified(close, sets), "found")
+            s.drop(close)
+            linked, worth = found.count(), pick.count() / WORTH
+            if linked:
+                found_in.append(found)
+                named = s.write(open_.select("id", "comp").distinct(), "named")
+                joined = found.join(named.select(F.col("id").alias("a"), F.col("comp").alias("ca")), "a").join(named.select(F.col("id").alias("b"), F.col("comp").alias("cb")), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
+                moved = components(s, joined)
+                renamed = s.write(open_.join(checked_broadcast(moved.select(F.col("id").alias("comp"), "component")), "comp", "left").select("sig", "id", F.coalesce("component", "comp").alias("comp")), "renamed")
+                before, open_ = open_, self.unfinished(renamed, F.xxhash64("id", F.lit(k)))
+                s.drop(before, named, moved, renamed)
+            if linked < worth or not linked:
+                sizes = self.sizes(open_)
                 if not sizes["rows"]:
                     return s.write(reduce(DataFrame.unionByName, found_in), "links")
                 break
         direct = sizes["pairs"] <= MANY_PAIRS * sizes["rows"]
-        keys = s.write(open_.withColumnRenamed("sig", "key").select("id", "comp", "key") if direct else self.rarest_shingles(open_.select("id", "comp").distinct(), sets), "keys")
-        rest = s.write(self.across(keys.join(one, "id")), "rest")
+        keys = s.write(open_.select("id", "comp", F.col("sig").alias("key")) if direct else self.rarest_shingles(open_.select("id", "comp").distinct(), sets), "keys")
+        rest = s.write(self.across(keys, one), "rest")
         found_in.append(self.verified(rest, sets))
-        links = s.write(reduce(DataFrame.unionByName, found_in).distinct(), "links")
-        s.drop(sets, keys, open_)
-        return links
+        return s.write(reduce(DataFrame.unionByName, found_in).distinct(), "links")
+
+    def sizes(self, open_: DataFrame):
+        """Rows of unfinished blocks, and pairs in them."""
+        return open_.agg(F.count("*").alias("rows"), F.coalesce(F.sum((F.col("m") - 1) / 2), F.lit(0.0)).alias("pairs")).first()
 
     def close(self, pairs: DataFrame, one: DataFrame) -> DataFrame:
         """Pairs that sizes and the dense sketches don't rule out."""
@@ -253,43 +265,55 @@ class _Join:
         near = self.near("na", "nb", "least(na, nb)") & (apart * (100 + self.percent) <= (F.col("na") + F.col("nb")) * (100 - self.percent))
         return pairs.join(of("a"), "a").join(of("b"), "b").where(near).select("a", "b")
 
-    def across(self, keys: DataFrame) -> DataFrame:
-        """Pairs of different components that share a key and that sizes and sketches don't rule out; no others leave the join."""
-        x, y = keys.alias("x"), keys.alias("y")
+    def across(self, keys: DataFrame, one: DataFrame) -> DataFrame:
+        """Pairs of different components that share a key and that sizes and sketches don't rule out; no others leave the join.
+
+        A key's rows are dealt to parts of about CELL_ROWS, and two parts meet in a cell of their own, so that no task gets a hot key whole.
+        """
+        s = self.scratch
+        sizes = s.write(keys.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "sizes")
+        full = s.write(join_by_key(keys, sizes, "key", "m").join(one, "id"), "full")
+        parts = F.ceil(F.col("m") / CELL_ROWS).cast("int")
+        dealt = full.withColumns({"parts": parts, "part": F.pmod(F.xxhash64("id"), parts).cast("int")})
+        x = dealt.withColumn("other", F.explode(F.sequence(F.col("part"), F.col("parts") - 1))).withColumnRenamed("part", "own").alias("x")
+        y = dealt.withColumn("own", F.explode(F.sequence(F.lit(0), F.col("part")))).withColumnRenamed("part", "other").alias("y")
         apart = " + ".join(f"bit_count(x.sketch[{i}] ^ y.sketch[{i}])" for i in range(SKETCH_BITS // 64))
         near = F.expr(f"100 * least(x.n, y.n) >= {self.percent} * greatest(x.n, y.n) AND ({apart}) * {100 + self.percent} <= (x.n + y.n) * {100 - self.percent}")
-        met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.comp") != F.col("y.comp")) & near)
-        return met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+        same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("key", "own", "other")]
+        once = (F.col("x.own") < F.col("x.other")) | (F.col("x.id") < F.col("y.id"))
+        met = x.join(y, reduce(Column.__and__, same) & once & (F.col("x.comp") != F.col("y.comp")) & near)
+        return met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
     def rarest_shingles(self, ids: DataFrame, sets: DataFrame) -> DataFrame:
         """id, comp, key: so many of each set's rarest shingles that linked sets share one (the prefix filter).
 
         Documents that share most of a long passage, but too little to link, agree in many blocks; what is rarest in them is their own.
         """
-        own = self.asked_of(sets, ids).select("id", "comp", F.xxhash64("shingles").alias("set"), F.size("shingles").alias("n"), "shingles")
+        ids = self.scratch.write(ids, "ids")
+        own = sets.join(checked_broadcast(ids), "id").select("id", "comp", F.xxhash64("shingles").alias("set"), F.size("shingles").alias("n"), "shingles")
         each = own.select("id", "comp", "set", "n", F.explode("shingles").alias("key"))  # not in one step: what stands beside explode is made for every row
         each = self.scratch.write(each, "shingles")
         often = self.scratch.write(each.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "often")
         rank = F.row_number().over(W.partitionBy("id", "set").orderBy("m", "key"))
         # shingles of one document come first and have no partner
-        shared = each.join(checked_broadcast(often), "key").withColumn("r", rank).withColumn("own", F.col("n") - F.count("*").over(W.partitionBy("id", "set")))
+        shared = join_by_key(each, often, "key", "m").withColumn("r", rank).withColumn("own", F.col("n") - F.count("*").over(W.partitionBy("id", "set")))
         return shared.where(F.expr(f"r + own <= n - ({self.percent} * n + 99) div 100 + 1")).select("id", "comp", "key")
 
-    def asked_of(self, sets: DataFrame, ids: DataFrame) -> DataFrame:
-        return sets.join(checked_broadcast(self.scratch.write(ids, "ids")), "id")
-
-    def unfinished(self, named: DataFrame) -> DataFrame:
-        """Rows of frequent blocks whose documents are not yet in one component."""
-        split = named.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("sig")
-        return named.join(split, "sig")
+    def unfinished(self, named: DataFrame, order: Column) -> DataFrame:
+        """Rows of frequent blocks whose documents are not yet in one component, with the block's size and the document of highest order."""
+        lead = F.max(F.struct(order.alias("o"), (-F.col("id")).alias("neg"), F.col("comp").alias("c"))).alias("p")
+        split = named.groupBy("sig").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), lead).where("lo <> hi")
+        split = self.scratch.write(split.select("sig", "m", (-F.col("p.neg")).alias("lead"), F.col("p.c").alias("lead_comp")), "split")
+        out = self.scratch.write(join_by_key(named.select("sig", "id", "comp"), split, "sig", "m"), "open")
+        self.scratch.drop(split)
+        return out
 
     def verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        """Pairs whose whole sets are near enough. Only sets of documents in a pair are moved."""
+        """Pairs (a written table) whose whole sets are near enough. Only sets of documents in a pair are moved."""
         half = lambda x, m: F.when(F.size(x) > m, F.zip_with(F.slice(x, 1, m), F.slice(x, m + 1, m), lambda u, v: u.bitwiseXOR(v))).otherwise(F.col(x))
         least = F.least(F.size("fa"), F.size("fb"))
         apart = F.aggregate(F.zip_with(half("fa", least), half("fb", least), lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda t, u: t + u)
         fine = lambda x: held.select(F.col("id").alias(x), F.size("shingles").alias(f"n{x}"), F.col("fine").alias(f"f{x}"))
-        pairs = self.scratch.write(pairs, "pairs")
         held = self.asked(sets, pairs)
         maybe = pairs.join(fine("b"), "b").join(fine("a"), "a").where((F.size("fa") > 2 * F.size("fb")) | (F.size("fb") > 2 * F.size("fa")) | (apart * (100 + self.percent) <= (F.col("na") + F.col("nb")) * (100 - self.percent)))
         pairs = self.scratch.write(maybe.select("a", "b").distinct(), "maybe")
@@ -325,12 +349,12 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def first_of_each_group(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """docs without the near copies: of each group the row of the smallest doc_id stays, once."""
-    groups, _ = ngram_jaccard_join(spark, docs)
-    scratch = Scratch(spark)
-    gone = groups.where("n > 0 and id <> component").select("id").unionByName(groups.where("n = 0").limit(0).select("id")).distinct()
-    gone = scratch.write(gone.select(F.col("id").alias("doc_id")), "gone")
+    join = _Join(spark, docs, "doc_id", "text", WORDS, PERCENT)
+    (groups, _), scratch = join.run(), join.scratch
+    gone = scratch.write(groups.where("n > 0 and id <> component").select(F.col("id").alias("doc_id")).distinct(), "gone")
     kept = docs.join(checked_broadcast(gone), "doc_id", "left_anti").select(docs.columns)
     repeated = scratch.write(groups.where("id is not null and n > 0").groupBy("id").agg(F.count("*").alias("k")).where("k > 1").select(F.col("id").alias("doc_id")), "repeated")
+    scratch.keep(gone, repeated)
     if not repeated.take(1):
         return kept
     repeated = checked_broadcast(repeated)

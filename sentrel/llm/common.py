@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sentrel.scratch import Scratch
 
@@ -25,6 +26,11 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(ARROW_ROWS, "1000")
 
 
+def with_fields(df: DataFrame, **more: T.DataType) -> T.StructType:
+    """df's schema and further columns, whatever characters the names of columns and nested fields have."""
+    return T.StructType([*df.schema.fields, *[T.StructField(n, t) for n, t in more.items()]])
+
+
 def checked_broadcast(df: DataFrame, rows: int | None = None) -> DataFrame:
     """df marked for broadcast if it has at most so many rows, else as it is (the join then shuffles).
 

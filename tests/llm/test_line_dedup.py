@@ -6,14 +6,14 @@ SCHEMA = "doc_id long, text string, n_removed string"
 
 
 def brute(rows, least):
-    """Every pair of places is compared line by line."""
+    """Every pair of places is compared line by line; a run that overlaps the one further up counts to where it begins."""
     seqs = [(i, [x.strip() for x in t.split("\n") if x.strip()]) for i, t in sorted({(i, t) for i, t, _ in rows if t is not None}, key=lambda r: r[0])]
     places = [(d, k) for d, (_, s) in enumerate(seqs) for k in range(len(s))]
     gone = {i: set() for i, _ in seqs}
     for q, (d, k) in enumerate(places):
         for e, j in places[:q]:
             a, b, n = seqs[d][1][k:], seqs[e][1][j:], 0
-            while n < min(len(a), len(b)) and a[n] == b[n]:
+            while n < min(len(a), len(b), k - j if d == e else len(a)) and a[n] == b[n]:
                 n += 1
             if sum(len(x.split()) for x in a[:n]) >= least:
                 gone[seqs[d][0]] |= set(range(k, k + n))
@@ -75,3 +75,21 @@ def test_edge_cases(spark):
     gone = "\n" * 0
     assert got == sorted([(1, None, 0, 0), (2, "", 0, 0), (None, long, 3000, 0), (7, gone, 3000, 3000), (7, gone, 3000, 3000), (8, "a\n\n \nb", 2, 0)], key=str)
     assert remove_repeated_lines(spark, spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_a_line_repeated_in_one_text(spark):
+    """A copy that overlaps the first run isn't one: five lines of ten words are the first run of fifty."""
+    line = "ten words are in this line as you can count"
+    for n, left in ((9, 9), (10, 5), (12, 5), (23, 5)):
+        out = remove_repeated_lines(spark, spark.createDataFrame([(1, "\n".join([line] * n), "x")], SCHEMA)).collect()
+        assert [(r["n_lines"], r["n_lines"] - r["n_removed"]) for r in out] == [(n, left)] and kept(remove_repeated_lines(spark, spark.createDataFrame([(1, "\n".join([line] * n), "x")], SCHEMA))) == brute([(1, "\n".join([line] * n), "x")], 50)
+
+
+def test_clashing_names(spark):
+    """Columns with the names of the operator's own."""
+    names = ["first", "spans", "rows", "h", "id", "row", "kept", "m", "i", "gpos", "r", "words", "start", "part", "before", "__text", "a b", "n_lines"]
+    passage = " ".join(f"w{k}" for k in range(51))
+    df = spark.createDataFrame([(1, passage, *range(len(names))), (2, f"x\n{passage}", *range(len(names))), (3, passage, *range(len(names)))], ["doc_id", "text", *names])
+    out = remove_repeated_lines(spark, df)
+    assert out.columns == ["doc_id", "text", *names[:-1], "n_lines", "n_removed"]
+    assert sorted((r["doc_id"], r["text"], r["first"], r["a b"]) for r in out.collect()) == [(1, passage, 0, 16), (2, "x", 0, 16), (3, "", 0, 16)]

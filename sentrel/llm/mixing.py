@@ -43,20 +43,23 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, re
     return s.select("source", "source_size", F.when(F.col("free_from").isNull() | (F.col("k") < F.col("free_from")), F.col("cap")).otherwise(F.col("final") * F.col("weight")).alias("target"))
 
 
-def mix_plan(spark: SparkSession, docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, repeats: int = REPEATS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """docs' columns with __size, __source_size, __target and __copies (how often the mix takes the row, 0 to `repeats`).
+def row_hash(doc: Column, text: Column) -> Column:
+    """Leading hex digits of a hash of id and text."""
+    return F.substring(F.md5(F.concat_ws("|", F.coalesce(doc.cast("string"), F.lit("-")), F.md5(F.coalesce(text, F.lit(""))))), 1, DIGITS)
 
-    A source takes its rows floor(target / size) times, and once more those whose hash lies below its threshold:
-    the largest threshold at which the words taken stay within the target, or the next one if that is nearer.
-    Rows with the same id, source and text have one hash and are taken alike. Null texts have size 0; the null
-    source is a source of its own, the last. An empty table gives no rows.
+
+def source_key(source: Column) -> Column:
+    """Null has a key of its own."""
+    return F.coalesce(F.concat(F.lit("="), source), F.lit("-"))
+
+
+def cuts(scratch: Scratch, sized: DataFrame, weights: tuple, share: float, repeats: int) -> DataFrame:
+    """sized (a table: key, source, h, size) -> one row per source: key, source_size, target, whole (times that all rows are taken), cut, take_cut.
+
+    Once more are taken the rows whose hash lies below `cut` (all, where it is null and something is left; at it, with take_cut).
     """
-    h = F.substring(F.md5(F.concat_ws("|", F.coalesce(F.col(id_col).cast("string"), F.lit("-")), F.md5(F.coalesce(F.col(text_col), F.lit(""))))), 1, DIGITS)
-    scratch = Scratch(spark)
-    name = F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit("-"))  # null has a key of its own
-    sized = scratch.write(docs.select(name.alias("key"), F.col(source_col).alias("source"), h.alias("h"), n_words(F.col(text_col)).alias("size")), "sized")
     sizes = sized.groupBy("key", "source").agg(F.sum("size").alias("source_size"))
-    plan = targets(sizes, weights, share, repeats).withColumn("key", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("-")))
+    plan = targets(sizes, weights, share, repeats).withColumn("key", source_key(F.col("source")))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     plan = plan.withColumn("whole", whole).withColumn("left", F.col("target") - F.col("whole") * F.col("source_size"))
     plan = scratch.write(plan.select("key", "source_size", "target", "whole", "left"), "targets")
@@ -71,24 +74,55 @@ def mix_plan(spark: SparkSession, docs: DataFrame, weights: tuple = WEIGHTS, sha
         last = scratch.write(over.select("key", F.col("x.to").alias("at"), F.col("x.below").alias("below"), F.col("x.left").alias("left"), F.col("x.upto").alias("upto")), "state")
         state = last.select("key", "at", "below", "left")
     nearer = (F.col("upto") - F.col("left")) < (F.col("left") - F.col("below"))
-    cuts = last.select("key", F.col("at").alias("cut"), nearer.alias("take_cut"))
-    cuts = plan.join(cuts, "key", "left").select("key", F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), "whole", "cut", "take_cut")
-    cuts = checked_broadcast(scratch.write(cuts, "cuts"))
-    marked = docs.withColumns({"__key": name, "__h": h, "__size": n_words(F.col(text_col))})
-    under = F.when(F.col("cut").isNull(), F.col("whole") * 0 + (F.col("__target") > F.col("whole") * F.col("__source_size")).cast("long")).otherwise(((F.col("__h") < F.col("cut")) | ((F.col("__h") == F.col("cut")) & F.col("take_cut"))).cast("long"))
-    out = marked.join(cuts.withColumnRenamed("key", "__key"), "__key")
-    return out.withColumn("__copies", F.least(F.col("whole") + under, F.lit(repeats)).cast("int")).select(*docs.columns, "__size", "__source_size", "__target", "__copies")
+    found = plan.join(last.select("key", F.col("at").alias("cut"), nearer.alias("take_cut")), "key", "left")
+    return scratch.write(found.select("key", "source_size", "target", "whole", "cut", "take_cut"), "cuts")
+
+
+def taken(h: Column, repeats: int) -> Column:
+    """How often a row with this hash is taken; the columns of `cuts` stand beside it."""
+    rest = (F.col("target") > F.col("whole") * F.col("source_size")).cast("long")
+    below = ((h < F.col("cut")) | ((h == F.col("cut")) & F.col("take_cut"))).cast("long")
+    return F.least(F.col("whole") + F.when(F.col("cut").isNull(), rest).otherwise(below), F.lit(repeats)).cast("int")
+
+
+_RESULTS = ("__size", "__source_size", "__target", "__copies")
+
+
+def mix_plan(spark: SparkSession, docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, repeats: int = REPEATS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """docs' columns with __size, __source_size, __target and __copies (how often the mix takes the row, 0 to `repeats`).
+
+    A source takes its rows floor(target / size) times, and once more those whose hash lies below its threshold:
+    the largest threshold at which the words taken stay within the target, or the next one if that is nearer.
+    Rows with the same id, source and text have one hash and are taken alike. Null texts have size 0; the null
+    source is a source of its own, the last. Columns of docs named like the four are replaced, any other names may be
+    there. An empty table gives no rows.
+    """
+    scratch, docs = Scratch(spark), docs.drop(*_RESULTS)
+    row, text = F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.col(f"`{text_col}`")
+    each = docs.select(row.alias("row"), source_key(F.col(f"`{source_col}`")).alias("key"), F.col(f"`{source_col}`").alias("source"), row_hash(F.col(f"`{id_col}`"), text).alias("h"), n_words(text).alias("size"))
+    sized = scratch.write(each.drop("row"), "sized")
+    found = cuts(scratch, sized, weights, share, repeats)
+    scratch.keep(found)
+    out = each.join(checked_broadcast(found), "key")
+    return out.select(*[F.col("row")[c].alias(c) for c in docs.columns], F.col("size").alias("__size"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), taken(F.col("h"), repeats).alias("__copies"))
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mix_plan(spark, docs).select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("__size") * F.col("__copies")).alias("taken"))
+    """Ids, sizes and hashes are written once; texts are read once."""
+    scratch, docs = Scratch(spark), table(spark, sf_dir, "documents")
+    sized = scratch.write(docs.select("doc_id", source_key(F.col("source")).alias("key"), "source", row_hash(F.col("doc_id"), F.col("text")).alias("h"), n_words(F.col("text")).alias("size")), "sized")
+    found = cuts(scratch, sized, WEIGHTS, SHARE, REPEATS)
+    scratch.keep(sized, found)
+    return sized.join(checked_broadcast(found), "key").select("doc_id", "size", "source_size", "target", (F.col("size") * taken(F.col("h"), REPEATS)).alias("taken"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """docs with each row as often as the mix takes it."""
-    plan = mix_plan(spark, docs).where("__copies > 0")
-    return plan.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(docs.columns)
+    clash = [c for c in docs.columns if c in _RESULTS]
+    named = docs.withColumnsRenamed({c: f"{c}__own" for c in clash})
+    plan = mix_plan(spark, named).where("__copies > 0")
+    out = plan.select(*[F.col(f"`{c}`") for c in named.columns], F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__copies"))
+    return out.drop("__copies").toDF(*docs.columns)
 
 
 ORACLE = """

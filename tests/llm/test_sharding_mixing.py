@@ -98,6 +98,16 @@ def test_mix_against_sorting(spark):
     assert mix_plan(spark, df.limit(0)).count() == 0
 
 
+def test_mix_with_clashing_names(spark):
+    names = ["key", "h", "size", "row", "cut", "whole", "take_cut", "target", "source_size", "left", "at", "below", "__size", "__copies", "__h", "__key", "a b"]
+    df = spark.createDataFrame([(i, "some words here", "s", *[i] * len(names)) for i in range(8)], ["doc_id", "text", "source", *names])
+    plan = mix_plan(spark, df)
+    assert plan.columns == [*[c for c in df.columns if c not in ("__size", "__copies")], "__size", "__source_size", "__target", "__copies"]
+    assert {(r["whole"], r["__size"]) for r in plan.collect()} == {(i, 3) for i in range(8)}
+    out = mixed(spark, df)
+    assert out.columns == df.columns and out.count() == 12 and all(r["cut"] == r["__copies"] == r["doc_id"] for r in out.collect())
+
+
 def test_mix_query_repeats(spark):
     a, b = (sorted(map(tuple, op9_mixing(spark, SF).collect())) for _ in range(2))
     assert a == b and all(t <= 2 * s for _, s, _, _, t in a)

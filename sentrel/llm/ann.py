@@ -1,9 +1,10 @@
 """Approximate nearest neighbours: a hierarchical navigable small-world graph per shard, shard results merged.
 
 Equal vectors become one point with its smallest ids, so that a very common vector can't fill neighbour lists.
-Points are dealt to shards of bounded size by hash; a shard's graph is built layer by layer, in batches that
+Points are dealt to shards by hash, as many to one as SHARD_BYTES of vectors hold: a search in a graph costs the
+logarithm of its size, so the fewer shards the better. A shard's graph is built layer by layer, in batches that
 double, and kept as flat neighbour arrays. Blocks of queries are searched in every shard by a beam search over
-all queries of a block at once; the nearest of each shard are merged by exact cosine.
+all queries of a block at once; the whole beam is scored by exact cosine, and the nearest of each shard are merged.
 """
 
 from __future__ import annotations
@@ -17,10 +18,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import Scratch, checked_broadcast, small_batches, table
+from sentrel.scratch import settings
+
+from .common import ARROW_ROWS, Scratch, checked_broadcast, table
 
 NEAREST, QUERY_STEP = 5, 50
-SHARD_ROWS, BLOCK_ROWS = 8192, 2048
+SHARD_BYTES, BLOCK_ROWS = 32 << 20, 2048  # of a shard's vectors in double precision; a task holds about four times as much
 LINKS, BEAM, SEARCH_BEAM = 16, 64, 96
 AT_ONCE = 512  # points inserted or queries searched together, at most
 SEED = 11
@@ -162,7 +165,7 @@ class SmallWorld:
         return found if ready is None else np.where(np.isin(found, ready), found, ready[0]).astype(np.int32)
 
     def search(self, q: np.ndarray, k: int, beam: int = SEARCH_BEAM) -> np.ndarray:
-        """Places of the k nearest points found for each query (-1 pads)."""
+        """Places of the k nearest points found for each query, by single precision (-1 pads)."""
         out = []
         for at in range(0, len(q), AT_ONCE):
             part = np.ascontiguousarray(q[at : at + AT_ONCE], np.float32)
@@ -208,7 +211,7 @@ def _searcher(nearest: int, beam: int):
                         p, k = p + n, k + n * w
                     graph = SmallWorld(unit_x, layers)
                 q_ids, q = np.frombuffer(row["q_ids"], np.int64), unit(np.frombuffer(row["q_vectors"], np.float64).reshape(-1, row["dim"]))
-                found = graph.search(q, nearest + 1, beam)
+                found = graph.search(q, max(beam, nearest + 1), beam)
                 query, place = np.nonzero(found >= 0)
                 place = found[query, place]
                 score = (unit_x[place] * q[query]).sum(1)
@@ -228,7 +231,7 @@ def _searcher(nearest: int, beam: int):
     return run
 
 
-def nearest_neighbours(spark: SparkSession, vectors: DataFrame, nearest: int = NEAREST, query_step: int = QUERY_STEP, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = SHARD_ROWS, beam: int = SEARCH_BEAM) -> DataFrame:
+def nearest_neighbours(spark: SparkSession, vectors: DataFrame, nearest: int = NEAREST, query_step: int = QUERY_STEP, id_col: str = "vec_id", vector_col: str = "embedding", shard_bytes: int = SHARD_BYTES, beam: int = SEARCH_BEAM) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the nearest rows by cosine for each row whose id is divisible by query_step.
 
     Every row is indexed and every query meets every shard; what a shard's search returns is approximate, the score is
@@ -244,7 +247,7 @@ def nearest_neighbours(spark: SparkSession, vectors: DataFrame, nearest: int = N
     # a query needs `nearest` ids besides its own, and no more of any vector
     least = rows.select("vec_id", "x", "dim").distinct().withColumn("r", F.row_number().over(W.partitionBy("x").orderBy("vec_id"))).where(F.col("r") <= nearest + 1)
     points = scratch.write(least.groupBy("x", "dim").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).withColumn("rep", F.element_at("ids", 1)), "points")
-    shards = points.groupBy("dim").agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("shards"))
+    shards = points.groupBy("dim").agg(F.ceil(F.count("*") * F.col("dim") * 8 / shard_bytes).cast("int").alias("shards"))
     shards = scratch.write(shards, "shards")
     dealt = points.join(checked_broadcast(shards), "dim").select("dim", F.pmod(F.xxhash64("rep"), F.col("shards")).cast("int").alias("shard"), "rep", "x", "ids")
     index = scratch.write(dealt.groupBy("dim", "shard").applyInPandas(_index, _INDEX), "index")
@@ -253,11 +256,11 @@ def nearest_neighbours(spark: SparkSession, vectors: DataFrame, nearest: int = N
     blocks = scratch.write(asked.groupBy("dim").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks")), "blocks")
     asked = asked.join(checked_broadcast(blocks), "dim").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
     packed = scratch.write(asked.select("dim", "block", "vec_id", "x").groupBy("dim", "block").applyInPandas(_packed, "dim int, block int, q_ids binary, q_vectors binary"), "packed")
-    small_batches(spark, 4)
     sent = packed.join(checked_broadcast(shards), "dim").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).drop("shards")
     met = index.join(sent, ["dim", "shard"]).select("dim", "shard", "vectors", "ids", "ends", "sizes", "points", "links", "q_ids", "q_vectors")
-    found = scratch.write(met.mapInArrow(_searcher(nearest, beam), "query_id long, vec_id long, score double"), "found")
-    small_batches(spark)
+    with settings(spark, {ARROW_ROWS: "4"}):  # a row holds a whole shard
+        found = scratch.write(met.mapInArrow(_searcher(nearest, beam), "query_id long, vec_id long, score double"), "found")
+    scratch.keep(found)
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= nearest).select("query_id", "rank", "vec_id", "score")

@@ -3,7 +3,8 @@
 Each language has a probability for every piece of a fixed public vocabulary. A word's probability is the sum
 over all its segmentations into pieces, by the forward algorithm; a text's is the product over its words. The
 piece probabilities are fitted by expectation maximisation, whose expected counts come from forward and backward
-sums over the words of the training sample.
+sums over the words of the training sample. Words whose sums could underflow are summed in parts, each scaled by a power of
+its own, so a word of any length is one word.
 """
 
 from __future__ import annotations
@@ -16,28 +17,30 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import Scratch, hash_sample, small_batches, table
+from .common import Scratch, small_batches, table, with_fields
 from .token_counts import START, VOCABULARY, load_pieces
 
-TRAIN_DOCS = 20_000  # training documents, at most: those of smallest hash
+TRAIN_DOCS = 20_000  # training documents, about: those of smallest hash of each language, which share the number alike
+TRAIN_LETTERS = 24  # letters of the longest words in training; scoring has no such bound
 ITERATIONS = 3
 SMOOTHING = 0.1
 REMEMBERED = 200_000  # words whose probabilities a task keeps
-WORDS_AT_ONCE = 8192  # words of like length whose sums are made together
-LONGEST_WORD = 64  # longer runs of letters are cut
+PLACES_AT_ONCE = 1 << 18  # places in words of like length whose sums are made together
+PART = 4096  # places of a very long word whose pieces are held at a time
+SMALLEST = 290  # decimal digits that a sum may lie below 1
 UNKNOWN = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def letter_words(text: str | None) -> Counter[str]:
-    """Runs of letters in lower case, cut to at most LONGEST_WORD, with their numbers."""
+    """Runs of letters in lower case, with their numbers."""
     counts = Counter(_LETTERS.findall(text.lower())) if text else Counter()
-    for w in [w for w in counts if not w.isalpha() or len(w) > LONGEST_WORD]:
+    for w in [w for w in counts if not w.isalpha()]:
         n = counts.pop(w)
-        for i in range(0, len(w), LONGEST_WORD):
-            if any(map(str.isalpha, w[i : i + LONGEST_WORD])):
-                counts[w[i : i + LONGEST_WORD]] += n
+        if any(map(str.isalpha, w)):
+            counts[w] += n
     return counts
 
 
@@ -133,25 +136,79 @@ class Lattice:
         return self._sums(p, self.start, self.end, self.length, range(int(self.length.max(initial=0)) - 1, -1, -1))
 
     def log_probability(self, probs: np.ndarray) -> np.ndarray:
-        """words x languages. probs: pieces x languages."""
-        total = self.forward(probs[self.piece])[np.arange(len(self.length)), self.length]
-        return np.log(np.maximum(total, 1e-300))
+        """words x languages. probs: pieces x languages. For words that can't underflow: see PieceModel.safe."""
+        return np.log(self.forward(probs[self.piece])[np.arange(len(self.length)), self.length])
 
 
 class PieceModel:
     def __init__(self, langs: list[str], pieces: dict[str, int] | PieceTrie, probs: np.ndarray, prior: np.ndarray):
         self.langs, self.trie, self.probs, self.prior = langs, pieces if isinstance(pieces, PieceTrie) else PieceTrie(pieces), probs, prior
+        #: Letters up to which no word's sum is too small for a double.
+        self.safe = int(SMALLEST / max(1e-9, -np.log10(probs.min(initial=1.0)))) - 1
 
     def lattice(self, words: list[str]) -> Lattice:
         return Lattice(words, self.trie)
 
+    def log_probability(self, words: list[str]) -> np.ndarray:
+        """words x languages; words must come in order of length."""
+        out, at = np.empty((len(words), len(self.langs))), 0
+        while at < len(words):
+            if len(words[at]) > self.safe:
+                out[at] = self.long_word(words[at])
+                at += 1
+                continue
+            end = at + 1  # as many as have no more than PLACES_AT_ONCE places together
+            while end < len(words) and len(words[end]) <= self.safe and (end + 1 - at) * (len(words[end]) + 2) <= PLACES_AT_ONCE:
+                end += 1
+            out[at:end] = self.lattice(words[at:end]).log_probability(self.probs)
+            at = end
+        return out
+
+    def long_word(self, word: str) -> np.ndarray:
+        """The forward sums of one word, scaled whenever they get small; pieces of PART places are held at a time."""
+        n = len(word) + 1
+        codes = self.trie.codes([word], np.array([n]))[0]
+        sums, scale = {0: np.ones(len(self.langs))}, np.zeros(len(self.langs))
+        for first in range(0, n, PART):
+            start = np.arange(first, min(n, first + PART))
+            edges, node, b = [], np.zeros(len(start), np.int64), start.copy()
+            while len(start):
+                b = b + 1
+                node = self.trie.follow(node, codes[b - 1])
+                piece = np.where(node >= 0, self.trie.own[node], 0)
+                some = (piece > 0) | (b == start + 1)
+                edges.append(np.stack([start[some], b[some], piece[some]]))
+                on = (node >= 0) & (b < n)
+                start, node, b = start[on], node[on], b[on]
+            start, end, piece = np.concatenate(edges, 1)
+            order = np.argsort(start, kind="stable")
+            start, end, probs = start[order], end[order], self.probs[piece[order]]
+            cuts = np.searchsorted(start, np.arange(first, min(n, first + PART) + 1))
+            for k, a in enumerate(range(first, min(n, first + PART))):
+                here = sums.pop(a)
+                if here.min() < 1e-100:  # each language by a factor of its own, which all sums in work share
+                    sums, scale, here = {e: v / here for e, v in sums.items()}, scale + np.log(here), np.ones(len(here))
+                for e, p in zip(end[cuts[k] : cuts[k + 1]].tolist(), probs[cuts[k] : cuts[k + 1]], strict=True):
+                    sums[e] = sums[e] + here * p if e in sums else here * p
+        return np.log(sums[n]) + scale
+
+
+def quotas(sizes: dict[str, int], total: int) -> dict[str, float]:
+    """Shares of `total`: alike, but none above its size, what a small one leaves going to the others."""
+    out, left = {}, float(total)
+    for k, x in enumerate(sorted(sizes, key=sizes.get)):
+        out[x] = min(float(sizes[x]), left / (len(sizes) - k))
+        left -= out[x]
+    return out
+
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         counts: Counter[tuple[str, str]] = Counter()
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
             for w, n in letter_words(text).items():
-                counts[lang, w] += n
+                if len(w) <= TRAIN_LETTERS:
+                    counts[lang, w] += n
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], ["lang", "word", "n"])
 
 
@@ -162,10 +219,10 @@ def _expected(model):
         sums = np.zeros(m.probs.shape)
         for batch in batches:
             lang = np.array([column[x] for x in batch.column("lang").to_pylist()], np.int64)
-            grid = m.lattice(batch.column("word").to_pylist())
+            grid = m.lattice(batch.column("word").to_pylist())  # of at most TRAIN_LETTERS letters
             p = m.probs[grid.piece, lang[grid.word]][:, None]
             ahead, behind = grid.forward(p)[..., 0], grid.backward(p)[..., 0]
-            total = np.maximum(ahead[np.arange(len(grid.length)), grid.length], 1e-300)
+            total = ahead[np.arange(len(grid.length)), grid.length]
             share = ahead[grid.word, grid.start] * p[:, 0] * behind[grid.word, grid.end] / total[grid.word]
             np.add.at(sums, (grid.piece, lang[grid.word]), share * np.array(batch.column("n"), float)[grid.word])
         piece, lang = np.nonzero(sums)
@@ -175,15 +232,20 @@ def _expected(model):
 
 
 def fit_languages(spark: SparkSession, docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", train_docs: int = TRAIN_DOCS, vocabulary: str = VOCABULARY, iterations: int = ITERATIONS) -> PieceModel:
-    """Learns from rows with a non-null lang and words, at most train_docs of them.
+    """Learns from rows with a non-null lang and words, about train_docs of them: of each language the rows of smallest hash, all of a
+    small one, and of their words of at most TRAIN_LETTERS letters.
 
     What the driver gets is one sum per piece and language. No such row gives a model without languages.
     """
     small_batches(spark)
     scratch = Scratch(spark)
-    known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    sample = hash_sample(known, train_docs, *[c for c in (id_col, text_col) if c in docs.columns])
-    sample = scratch.write(sample.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")), "sample")
+    own = docs.select(*[F.col(c).alias(a) for c, a in ((id_col, "id"), (lang_col, "lang")) if c in docs.columns], F.col(text_col).cast("string").alias("text"))
+    known = own.where("lang is not null and text is not null").withColumn("lang", F.col("lang").cast("string"))
+    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # as many as the model has languages
+    share = quotas(sizes, train_docs)
+    h = F.xxhash64(*[c for c in ("id", "text") if c in known.columns])
+    below = spark.createDataFrame([(x, min(2**63 - 1, -(2**63) + int(2**64 * share[x] / sizes[x]))) for x in sizes], "lang string, below long")
+    sample = scratch.write(known.join(F.broadcast(below), "lang").where(h <= F.col("below")).select("lang", "text"), "sample")
     parts = max(1, spark.sparkContext.defaultParallelism)
     counted = scratch.write(sample.repartition(parts).mapInArrow(_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
     langs = [r["lang"] for r in counted.select("lang").distinct().orderBy("lang").collect()]
@@ -197,6 +259,7 @@ def fit_languages(spark: SparkSession, docs: DataFrame, text_col: str = "text",
         counts = np.full(model.probs.shape, SMOOTHING)
         counts[sums["piece"], sums["lang"]] += sums["n"]
         model = PieceModel(langs, model.trie, counts / counts.sum(0), model.prior)
+    scratch.drop(sample, counted)
     return model
 
 
@@ -212,10 +275,9 @@ def _predicted(model, text_col: str, names: tuple[str, str]):
             new = sorted({w for d in docs for w in d if w not in known}, key=len) if m.langs else []
             while len(table_) < len(known) + len(new):
                 table_ = np.concatenate([table_, np.empty_like(table_)])
-            for at in range(0, len(new), WORDS_AT_ONCE):
-                part = new[at : at + WORDS_AT_ONCE]
-                table_[len(known) : len(known) + len(part)] = m.lattice(part).log_probability(m.probs)
-                known.update({w: len(known) + i for i, w in enumerate(part)})
+            if new:
+                table_[len(known) : len(known) + len(new)] = m.log_probability(new)
+                known.update({w: len(known) + i for i, w in enumerate(new)})
             langs, scores = [], []
             for d in docs:
                 if not d or not m.langs:
@@ -224,8 +286,7 @@ def _predicted(model, text_col: str, names: tuple[str, str]):
                 z = np.log(m.prior) + np.fromiter(d.values(), float, len(d)) @ table_[np.fromiter(map(known.__getitem__, d), np.int64, len(d))]
                 best = int(z.argmax())
                 langs.append(m.langs[best]), scores.append(float(1 / np.exp(z - z[best]).sum()))
-            keep = [c for c in batch.schema.names if c not in names]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*keep, *names])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, *names])
 
     return run
 
@@ -234,13 +295,12 @@ def identify_languages(spark: SparkSession, docs: DataFrame, model: PieceModel,
     """docs and all their columns, with the most probable language and its posterior probability.
 
     `und` with score 0 where the text is null or has no letter, or nothing was learned; ties go to the first language
-    by code point. Whole texts are scored, in lower case; runs of more than 64 letters are cut every 64. Columns of docs named
+    by code point. Whole texts are scored, in lower case, a run of letters of any length as one word. Columns of docs named
     like `names` are replaced; an empty table gives no rows. The broadcast model has the size of vocabulary times languages.
     """
     small_batches(spark)
-    kept = [f for f in docs.schema.fields if f.name not in names]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"`{names[0]}` string, `{names[1]}` double"])
-    return docs.mapInArrow(_predicted(spark.sparkContext.broadcast(model), text_col, names), schema)
+    docs = docs.drop(*names)
+    return docs.mapInArrow(_predicted(spark.sparkContext.broadcast(model), text_col, names), with_fields(docs, **{names[0]: T.StringType(), names[1]: T.DoubleType()}))
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,8 +15,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import Scratch, checked_broadcast, hash_sample, small_batches, table
+from .common import Scratch, checked_broadcast, hash_sample, small_batches, table, with_fields
 
 TRAIN_ROWS = 20_000  # labelled documents that the regression is fitted on, at most: those of smallest hash
 KEEP_FROM = 0.1  # a document goes only at odds of nine to one against it
@@ -48,19 +49,17 @@ def text_features(text: str | None) -> np.ndarray:
     return np.array([np.log1p(n), ink / n / 8, sum(len(w) > 15 for w in words) / n, kinds[1] / ink, kinds[2] / ink, kinds[3] / ink, kinds[0] / ink, kinds[5] / ink, len(counts) / n, top[0] / n, sum(top) / n, pairs, len(lines) / n, len(set(lines)) / len(lines), max(ends.values()) / n, -(p * np.log2(p)).sum() / 6])
 
 
-def _featured(text_col: str, name: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = np.array([text_features(t) for t in batch.column(text_col).to_pylist()]).reshape(-1, len(FEATURES))
-            arrays = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * len(FEATURES), pa.int32()), pa.array(x.ravel()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, arrays], [*batch.schema.names, name])
+def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        x = np.array([text_features(t) for t in batch.column("text").to_pylist()]).reshape(-1, len(FEATURES))
+        arrays = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * len(FEATURES), pa.int32()), pa.array(x.ravel()))
+        yield pa.RecordBatch.from_arrays([*batch.columns, arrays], [*batch.schema.names, "x"])
 
-    return run
 
-
-def with_features(spark: SparkSession, docs: DataFrame, text_col: str, name: str) -> DataFrame:
+def with_features(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """docs, which has `text`, with an array `x` of its statistics."""
     small_batches(spark)
-    return docs.mapInArrow(_featured(text_col, name), ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields] + [f"`{name}` array<double>"]))
+    return docs.mapInArrow(_featured, with_fields(docs, x=T.ArrayType(T.DoubleType())))
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, steps: int = 25) -> tuple[np.ndarray, float]:
@@ -103,14 +102,18 @@ def strength(sites: DataFrame, rate: Column) -> float:
 
 
 class QualityModel:
-    """Fitted on docs and labels; `score` adds p_doc, host_rate, path_rate, p_quality to a frame with features."""
+    """Fitted on docs and labels. `rows` has the docs' ids, sites and features (and the whole docs, if asked to keep them); `score` adds
+    p_doc, host_rate, path_rate, p_quality to it. Statistics of a text are made once: what is kept goes along with them."""
 
-    def __init__(self, spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, site: tuple[str, str], train_rows: int):
+    def __init__(self, spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, site: tuple[str, str], train_rows: int, keep: bool = False):
         self.scratch, self.site = Scratch(spark), site
-        rows = docs.select(F.col(id_col).cast("long").alias("id"), *self.keys(docs), F.col(text_col).cast("string").alias("text"))
-        self.rows = self.scratch.write(with_features(spark, rows, "text", "x").drop("text"), "features")
+        kept = [F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("row")] if keep and len(docs.columns) > 1 else []
+        rows = docs.select(F.col(id_col).cast("long").alias("id"), *self.keys(docs), *kept, F.col(text_col).cast("string").alias("text"))
+        rows = with_features(spark, rows)
+        self.rows = self.scratch.write(rows if keep else rows.drop("text"), "features")
         known = labels.where("quality in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.min("quality").alias("y"), F.max("quality").alias("y2")).where("y = y2").select("id", "y")
         sample = hash_sample(self.rows.where("id is not null").join(known, "id").select("id", "x", "y"), train_rows, "id").collect()
+        sample.sort(key=lambda r: (r["id"], r["x"]))
         x = np.array([r["x"] for r in sample]).reshape(-1, len(FEATURES))
         self.weights, self.bias = fit_logistic(x, np.array([r["y"] for r in sample], float))
         self.fit_sites()
@@ -136,6 +139,7 @@ class QualityModel:
         both = self.scratch.write(paths.join(checked_broadcast(self.scratch.write(shrunk, "shrunk")), "__host"), "both")
         self.path_strength = strength(both, F.col("rate"))
         self.sites = both.select("__path", "nh", "sh", F.col("n").alias("np"), F.col("s").alias("sp"))
+        self.scratch.keep(self.rows, both)
 
     def score(self, featured: DataFrame, x: str) -> DataFrame:
         """featured has x, __host, __path. A site's sums are taken without the document itself."""
@@ -166,7 +170,6 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def good_documents(spark: SparkSession, docs: DataFrame, labels: DataFrame, keep_from: float = KEEP_FROM) -> DataFrame:
     """The rows of docs that the classifier keeps, with their own columns only."""
-    model = fit_quality(spark, docs, labels)
-    whole = F.struct(*docs.columns).alias("__row")  # names of docs can't clash with the model's
-    featured = with_features(spark, docs.select(whole, *model.keys(docs), F.col("text").cast("string").alias("__text")), "__text", "__x")
-    return model.score(featured, "__x").where(F.col("p_quality") >= keep_from).select("__row.*")
+    model = QualityModel(spark, docs, labels, "doc_id", "text", SITE, TRAIN_ROWS, keep=True)
+    kept = model.score(model.rows, "x").where(F.col("p_quality") >= keep_from)
+    return kept.select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])

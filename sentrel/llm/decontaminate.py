@@ -17,8 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import small_batches, table
+from .common import small_batches, table, with_fields
 
 WINDOW = 10
 #: Benchmark words held in a task at once; a larger benchmark is searched in several passes over the documents' batches.
@@ -173,7 +174,7 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
 
 
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-_OUT = "array<struct<start:long,end:long>>"
+_OUT = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
 
 def _shards(windows, text_col: str, names: tuple[str, str, str], first: bool):
@@ -218,11 +219,10 @@ def find_contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFram
     `window` words is one window. Empty tables give empty spans or no rows. Columns of docs named like
     `names` are replaced.
     """
-    small_batches(spark, 1000)
+    small_batches(spark)
     out = docs.drop(*names)
     for k, windows in enumerate(benchmark_passes(spark, benchmark, item_col, benchmark_text_col, window, pass_words)):
-        kept = [f for f in out.schema.fields if f.name not in names]
-        schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"`{names[0]}` long", f"`{names[1]}` {_OUT}", f"`{names[2]}` array<string>"])
+        schema = with_fields(out.drop(*names), **dict(zip(names, (T.LongType(), _OUT, T.ArrayType(T.StringType())), strict=True)))
         out = out.mapInArrow(_shards(windows, text_col, names, k == 0), schema)
     return out
 

@@ -13,9 +13,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from .common import Scratch, small_batches, table
+from .common import Scratch, small_batches, table, with_fields
 
 SHARDS, OVERHEAD = 40, 16
 
@@ -71,8 +72,7 @@ def assign_shards(spark: SparkSession, docs: DataFrame, shards: int = SHARDS, id
     rows = docs.select(F.col(id_col).alias("doc_id"), size.alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.xxhash64(text).alias("at"), *[F.col(c).alias(f"keep_{c}") for c in keep])
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ranged = rows.repartitionByRange(parts, "at", "doc_id").withColumn("part", F.spark_partition_id()).sortWithinPartitions("at", "doc_id")
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in ranged.schema.fields] + ["before long", "place long"])
-    ranged = Scratch(spark).write(ranged.mapInArrow(_running, schema), "ranged")
+    ranged = Scratch(spark).write(ranged.mapInArrow(_running, with_fields(ranged, before=T.LongType(), place=T.LongType())), "ranged")
 
     offsets, total, n = [], 0, 0
     for r in sorted(ranged.groupBy("part").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect(), key=lambda r: r["part"]):

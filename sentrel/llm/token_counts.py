@@ -12,8 +12,9 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
-from .common import small_batches, table
+from .common import small_batches, table, with_fields
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 START = "▁"  # stands before a word
@@ -92,8 +93,7 @@ def _counts(automaton, text_col: str, names: tuple[str, str]):
                     n, t = n + k, t + k * c
                 words.append(n)
                 tokens.append(t)
-            keep = [c for c in batch.schema.names if c not in names]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(words, pa.int64()), pa.array(tokens, pa.int64())], [*keep, *names])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(words, pa.int64()), pa.array(tokens, pa.int64())], [*batch.schema.names, *names])
 
     return run
 
@@ -108,9 +108,8 @@ def count_tokens(spark: SparkSession, docs: DataFrame, text_col: str = "text", v
     """
     small_batches(spark)
     automaton = spark.sparkContext.broadcast(LongestMatch(load_pieces(vocabulary)))
-    kept = [f for f in docs.schema.fields if f.name not in names]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"`{n}` long" for n in names])
-    return docs.mapInArrow(_counts(automaton, text_col, names), schema)
+    docs = docs.drop(*names)
+    return docs.mapInArrow(_counts(automaton, text_col, names), with_fields(docs, **{n: T.LongType() for n in names}))
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

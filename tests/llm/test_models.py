@@ -1,5 +1,7 @@
 import math
 import re
+from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -95,6 +97,82 @@ def test_forward_sums_all_segmentations():
     assert grid.forward(p)[np.arange(len(words)), grid.length] == pytest.approx(grid.backward(p)[:, 0])
 
 
+def exact_log(word, pieces, longest, probs):
+    """The same sum over prefixes, in fractions."""
+    sums = [Fraction(1)]
+    for j in range(1, len(word) + 1):
+        total = Fraction(0)
+        for i in range(max(0, j - longest), j):
+            p = pieces.get(word[i:j], 0 if j - i == 1 else None)
+            if p is not None:
+                total += sums[i] * Fraction(float(probs[p]))
+        sums.append(total)
+    return math.log(sums[-1].numerator) - math.log(sums[-1].denominator)
+
+
+def test_long_words_are_whole(monkeypatch):
+    """Words beyond what a double holds, over several parts, against exact fractions; languages may differ by any factor."""
+    monkeypatch.setattr(language_id, "PART", 50)
+    pieces = {"▁": 1, "▁a": 2, "a": 3, "ab": 4, "b": 5, "ba": 6, "▁ab": 7}
+    probs = np.random.default_rng(2).random((8, 2)) * np.array([1e-2, 1e-9])
+    model = language_id.PieceModel(["x", "y"], pieces, probs, np.array([0.5, 0.5]))
+    r = np.random.default_rng(3)
+    words = sorted(["ab", "b", *("".join(r.choice(list("abz"), n)) for n in (model.safe, model.safe + 1, 49, 50, 51, 150, 333))], key=len)
+    got = model.log_probability(words)
+    for i, w in enumerate(words):
+        for k in range(2):
+            assert got[i, k] == pytest.approx(exact_log(START + w, pieces, 3, probs[:, k]), rel=1e-12)
+    assert sum(len(w) > model.safe for w in words) >= 4 and np.isfinite(model.log_probability(["z" * 20000])).all()
+
+
+def test_expectation_maximisation(spark):
+    """Whole fits, and predictions by them, against sums over all segmentations of every word; rare languages are in the sample."""
+    rows = [(i, t, x) for i, (t, x) in enumerate([("Ab ba, ab", "x"), ("abba zz", "x"), ("b b a1a", "y"), ("baba bab", "y"), (None, "x"), ("ab", None), ("...", "y"), ("a" * 60, "x"), ("ba z", "w")])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    pieces = language_id.load_pieces(language_id.VOCABULARY)
+    number = {p: i + 1 for i, p in enumerate(pieces)}
+    longest = max(map(len, pieces))
+    model = language_id.fit_languages(spark, df, iterations=2)
+    assert model.langs == ["w", "x", "y"]
+
+    def ways(word):
+        """All segmentations, as lists of piece numbers."""
+        if not word:
+            return [[]]
+        out = []
+        for k in range(1, min(len(word), longest) + 1):
+            p = number.get(word[:k], 0 if k == 1 else None)
+            if p is not None:
+                out += [[p, *rest] for rest in ways(word[k:])]
+        return out
+
+    words = {"w": Counter({"ba": 1, "z": 1}), "x": Counter({"ab": 2, "ba": 1, "abba": 1, "zz": 1}), "y": Counter({"b": 2, "a": 2, "baba": 1, "bab": 1})}
+    size = len(pieces) + 1
+    for k, x in enumerate(model.langs):
+        p = np.full(size, 1 / size)
+        for _ in range(2):
+            counts = np.full(size, language_id.SMOOTHING)
+            for w, n in words[x].items():
+                each = [(np.prod(p[g]), g) for g in map(np.array, ways(START + w))]
+                for v, g in each:
+                    np.add.at(counts, g, n * v / sum(u for u, _ in each))
+            p = counts / counts.sum()
+        assert model.probs[:, k] == pytest.approx(p, rel=1e-9)
+    assert model.prior == pytest.approx(np.array([2, 5, 6]) / 13)
+    got = language_id.identify_languages(spark, df, model).orderBy("doc_id").collect()
+    for r in got:
+        w = language_id.letter_words(r["text"])
+        if not w:
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+        elif len(r["text"]) < 20:
+            z = np.log(model.prior) + sum(n * np.log([sum(np.prod(model.probs[g, k]) for g in map(np.array, ways(START + v))) for k in range(3)]) for v, n in w.items())
+            assert r["lang_pred"] == model.langs[int(z.argmax())] and r["score"] == pytest.approx(1 / np.exp(z - z.max()).sum())
+
+
+def test_quotas():
+    assert language_id.quotas({"a": 5, "b": 100, "c": 60}, 65) == {"a": 5, "c": 30, "b": 30} and language_id.quotas({"a": 5}, 65) == {"a": 5}
+
+
 def test_language_accuracy(spark, docs):
     out = language_id.op10_language_id(spark, SF).toPandas()
     both = docs.select("doc_id", "lang", "text").toPandas().merge(out, on="doc_id")
@@ -178,6 +256,28 @@ def test_network_learns_and_meets_the_recall():
     assert (p[y[400:] > 0] >= net.threshold).mean() >= 0.95 and (p[y[400:] == 0] >= net.threshold).mean() < 0.05
 
 
+def test_what_the_network_is_shown():
+    long = "k" * 30 + "9" + "x" * 200
+    for text, want in [("pin 1234567, 2024-01-05 and abcdefgh", ["2024-01-05"]), ("aB" * 6 + " camelCase", ["aB" * 6]), ("key: hunter", ["hunter"]), ("key='hunter'", ["hunter"]), ("x " + long, [long]), ("", [])]:
+        assert [text[a:b] for a, b in secrets.candidates(text)] == want
+    parts = secrets.windows(2, 2 + len(long))
+    assert all(b - a == secrets.INSIDE for a, b in parts) and {i for a, b in parts for i in range(a, b)} == set(range(2, 2 + len(long)))
+    assert secrets.windows(3, 3 + secrets.INSIDE) == [(3, 3 + secrets.INSIDE)]
+
+
+def test_no_context_is_no_sign(spark):
+    """Dates, versions and names are left alone wherever they stand, at a text's start too; keys are found without a key word."""
+    net = secrets.train_network(spark, spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))  # sf0.01 has 12 findings only
+    plain = ["2024-11-05T12", "version-1.2.3-release", "chapter10-section4", "2024-11-05", "section-12.4", "word2vec-model", "release-2024.1", "http2-server", "room-101-north"]
+    texts = [f"{p} {t}" if p else t for p in ("", "and then we read") for t in plain]
+    keys = ["f3" * 16, "0123456789abcdef" * 2, "9c1185a5c5e9fc54612808977ee8f548b2258d31"]
+    at = lambda t: [secrets.encode(t, *w) for c in secrets.candidates(t) for w in secrets.windows(*c)]
+    shown = [np.array(at(t)) for t in texts]
+    assert all(len(x) for x in shown) and sum(net.score(x).max() >= net.threshold for x in shown) <= 1
+    found = [net.score(np.array(at(f"{p}{k} end"))).max() >= net.threshold for p in ("", "and then ") for k in keys]
+    assert net.threshold > 0.3 and np.mean(found) >= 0.8
+
+
 def test_network_gradient():
     r = np.random.default_rng(3)
     x, y = r.integers(0, 128, (8, secrets.LENGTH)), np.array([0, 1] * 4, float)
@@ -210,7 +310,7 @@ def test_neighbours_and_edge_cases(spark):
     rows = [(i, r.normal(size=8).tolist()) for i in range(300)]
     rows += [(1000 + i, [1.0] * 8) for i in range(60)] + [(2000, [2.0] * 8), (2050, None), (2100, []), (2150, [0.0] * 8), (2200, [None] + [1.0] * 7), (2250, [float("nan")] * 8), (2300, [float("inf")] + [1.0] * 7), (None, [1.0] * 8), (2350, [1.0, 2.0]), (2400, [2.0, 1.0]), (150, rows[150][1])]
     df = spark.createDataFrame([(*x, 3) for x in rows], "vec_id long, embedding array<double>, rank int")
-    out = ann.nearest_neighbours(spark, df, shard_rows=100).collect()
+    out = ann.nearest_neighbours(spark, df, shard_bytes=6400).collect()
     got = {}
     for x in sorted(out, key=lambda x: (x["query_id"], x["rank"])):
         got.setdefault(x["query_id"], []).append((x["vec_id"], x["score"]))
@@ -231,3 +331,15 @@ def test_recall_of_a_graph():
     want = np.argsort(-(q @ x.T), axis=1)[:, :6]
     assert np.mean([len(set(a) & set(b)) / 6 for a, b in zip(found, want, strict=True)]) > 0.95
     assert all(layer.links.max() < len(layer.points) for layer in graph.layers) and len(graph.layers) >= 3
+
+
+@pytest.mark.parametrize("shard_bytes", [ann.SHARD_BYTES, 200_000])
+def test_recall_on_embeddings(spark, shard_bytes):
+    """Every row of the table is a candidate; one shard and several."""
+    e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    got = ann.nearest_neighbours(spark, e, query_step=20, shard_bytes=shard_bytes).toPandas()
+    want = exact([(r["vec_id"], r["embedding"]) for r in e.collect()], step=20)
+    assert (e.count() * 64 * 8 > 4 * shard_bytes) == (shard_bytes == 200_000)
+    found = {q: set(g.vec_id) for q, g in got.groupby("query_id")}
+    assert np.mean([len(found[q] & {j for j, _ in v}) / len(v) for q, v in want.items()]) >= 0.95
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") in ("1000", "10000")

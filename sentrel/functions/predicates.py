@@ -50,6 +50,7 @@ def base64_offsets(text: str) -> list[str]:
 
 
 _MODIFIERS: dict[str, Modifier] = {
+    # also where the value itself starts or ends with `*`: the sign adds nothing then
     "contains": _each(lambda p: replace(p, open_left=True, open_right=True)),
     "startswith": _each(lambda p: replace(p, open_right=True)),
     "endswith": _each(lambda p: replace(p, open_left=True)),

@@ -7,6 +7,8 @@ import hashlib
 import json
 import logging
 import re
+from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from pathlib import Path
 
@@ -18,6 +20,8 @@ from .conditions import AggSpec, condition_sql, split_condition, timeframe_secon
 
 log = logging.getLogger(__name__)
 
+KEYWORDS = "keywords"  # as a field, like a field without name: the message, unless mapped
+
 
 class RuleError(ValueError):
     pass
@@ -30,6 +34,13 @@ class FieldMap:
     detection: dict[str, str] = field(default_factory=dict)
     fields: dict[str, str] = field(default_factory=dict)
 
+    def beside(self, other: FieldMap | None, only: dict[str, str] | None = None) -> FieldMap:
+        """This map, and of the names that it lacks those of the other (that `only` knows, if given)."""
+        if other is None:
+            return self
+        more = lambda own, new: {k: v for k, v in new.items() if only is None or k in only} | own
+        return FieldMap(more(self.detection, other.detection), more(self.fields, other.fields))
+
 
 @dataclass(frozen=True)
 class CompiledRule:
@@ -72,7 +83,10 @@ def merge_documents(base: dict, doc: dict) -> dict:
 
 
 def parse_documents(text: str) -> list[dict]:
-    """Every document is a rule, but one with `action: global`, which is merged into all after it."""
+    """Every document is a rule, but one with `action: global`, which is merged into all after it.
+
+    Its id counts for those that have none of their own; rules that share an id are told apart by their place in the file.
+    """
     shared, rules = {}, []
     for doc in yaml.safe_load_all(text):
         if not isinstance(doc, dict):
@@ -125,10 +139,11 @@ class _Compiler:
         self.fields, self.fold, self.plain, self.paths, self.nulls = fields, fold, plain, {}, {}
 
     def path(self, name: str) -> str:
-        found = name if self.fields is None else self.fields.detection.get(name)
+        found = None if self.fields is None else self.fields.detection.get(name)
         if found is None:
-            log.warning("field %s is not mapped; its own name is used", name)
-            found = name
+            if self.fields is not None:
+                log.warning("field %s is not mapped; its own name is used", name)
+            found = MESSAGE if name in ("", KEYWORDS) else name
         self.paths[found] = None
         return found
 
@@ -154,8 +169,11 @@ class _Compiler:
         return "(" + " OR ".join(parts) + ")" if parts else "false"
 
 
-def compile_rule(rule: dict, fields: FieldMap | None = None, case_insensitive: bool = False) -> list[CompiledRule]:
-    """One compiled rule per condition. Raises RuleError with the reason."""
+def compile_rule(rule: dict, fields: FieldMap | None = None, case_insensitive: bool = False, part: int = 0) -> list[CompiledRule]:
+    """One compiled rule per condition, with the key id#condition, or id#part#condition for a later rule of a file that repeats the id.
+
+    Raises RuleError with the reason.
+    """
     try:
         if not rule.get("id"):
             raise RuleError("no id")
@@ -175,7 +193,7 @@ def compile_rule(rule: dict, fields: FieldMap | None = None, case_insensitive: b
             names = strings(rule.get("fields"))
             useful = tuple(dict.fromkeys(names if fields is None else [fields.fields[n] for n in names if n in fields.fields]))
             lower = lambda x: str(x).lower() if x is not None else None
-            made = CompiledRule(f"{rule['id']}#{k}", str(rule["id"]), k, str(rule.get("title") or ""), str(rule.get("status") or "experimental"), rule.get("level"), tuple(strings(rule.get("tags"))), lower(source.get("category")), lower(source.get("product")), predicate, prefilter, tuple(c.paths), tuple(c.nulls), agg, agg_path, group_path, frame, useful)
+            made = CompiledRule(f"{rule['id']}#{part}#{k}" if part else f"{rule['id']}#{k}", str(rule["id"]), k, str(rule.get("title") or ""), str(rule.get("status") or "experimental"), rule.get("level"), tuple(strings(rule.get("tags"))), lower(source.get("category")), lower(source.get("product")), predicate, prefilter, tuple(c.paths), tuple(c.nulls), agg, agg_path, group_path, frame, useful)
             if made.never_alerts:
                 log.warning("rule %s never alerts: it has only one of aggregation and timeframe", made.key)
             out.append(made)
@@ -186,6 +204,19 @@ def compile_rule(rule: dict, fields: FieldMap | None = None, case_insensitive: b
         raise RuleError(f"{type(e).__name__}: {e}") from e
 
 
+def compile_documents(text: str, fields_of: Callable[[dict], FieldMap | None] = lambda doc: None, case_insensitive: bool = False) -> tuple[list[CompiledRule], list[str]]:
+    """(rules of all documents of a file, reasons why some don't compile). One that fails stops no other."""
+    out, errors, seen = [], [], Counter()
+    for doc in parse_documents(text):
+        name = str(doc.get("id"))
+        try:
+            out += compile_rule(doc, fields_of(doc), case_insensitive, seen[name])
+        except (RuleError, ValueError) as e:
+            errors.append(f"{name}: {e}")
+        seen[name] += 1
+    return out, errors
+
+
 @dataclass
 class RuleSet:
     """Rules of a folder. `refresh` compiles what has changed, by content of the rule's file and of its map."""
@@ -222,29 +253,37 @@ class RuleSet:
         return out
 
     def _load(self, name: str, path: Path) -> None:
+        m = self._map_path(path)
+        written = m is not None and m.exists()
+
+        def fields_of(doc: dict) -> FieldMap | None:
+            made = build_field_map(doc, self.global_map) if self.global_map is not None else None
+            if written:
+                return load_field_map(m).beside(made, self.global_map)
+            if made and m and self.write_maps:  # documents of one file share its map
+                made = load_field_map(m).beside(made) if m.exists() else made
+                write_field_map(m, doc, made)
+            return made
+
         self.errors.pop(name, None)
-        self.rules[name] = []
         try:
-            docs = parse_documents(path.read_text())
+            self.rules[name], errors = compile_documents(path.read_text(), fields_of, self.case_insensitive)
         except yaml.YAMLError as e:
-            self.errors[name] = f"YAML: {e}"
-            return
-        m = self._map_path(path)
-        for doc in docs:
-            try:
-                if m and m.exists():
-                    fields = load_field_map(m)
-                else:
-                    fields = build_field_map(doc, self.global_map) if self.global_map is not None else None
-                    if fields and m and self.write_maps:
-                        write_field_map(m, doc, fields)
-                self.rules[name] += compile_rule(doc, fields, self.case_insensitive)
-            except (RuleError, ValueError) as e:
-                self.errors[name] = str(e)
+            self.rules[name], errors = [], [f"YAML: {e}"]
+        if errors:
+            self.errors[name] = "\n".join(errors)
 
     def compiled(self) -> list[CompiledRule]:
-        """Of rules with one key, the last by path counts."""
-        return list({r.key: r for rs in self.rules.values() for r in rs}.values())
+        """Of rules with one key in several files, the last by path counts: see `replaced`."""
+        return list({r.key: r for p in sorted(self.rules) for r in self.rules[p]}.values())
+
+    def replaced(self) -> dict[str, list[str]]:
+        """Keys that several files have, with the files."""
+        files: dict[str, list[str]] = {}
+        for p in sorted(self.rules):
+            for r in self.rules[p]:
+                files.setdefault(r.key, []).append(p)
+        return {k: ps for k, ps in files.items() if len(ps) > 1}
 
     def logsources(self) -> set[tuple[str | None, str | None]]:
         return {(r.category, r.product) for r in self.compiled()}

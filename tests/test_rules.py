@@ -1,4 +1,5 @@
 import json
+from pathlib import Path
 
 import pytest
 
@@ -89,6 +90,36 @@ def test_documents_and_merge():
     assert merge_documents({"a": {"b": 1}}, {"a": {"b": 2, "c": 3}}) == {"a": {"b": 2, "c": 3}}
 
 
+def test_documents_of_one_file_and_files_of_one_id(tmp_path):
+    """No document is lost: those that share an id have keys of their own, and what other files replace is reported."""
+    doc = "logsource: {{category: c{0}}}\ndetection:\n  s: {{a: {0}}}\n"
+    shared = "action: global\nid: g\ndetection:\n  condition: s\n"
+    (tmp_path / "a.yml").write_text(shared + "".join("---\n" + doc.format(k) for k in range(4)))
+    (tmp_path / "b.yml").write_text(shared + "---\n" + doc.format(7) + "---\nid: own\n" + doc.format(8) + "---\nid: bad\ndetection:\n  s: {a|zz: 1}\n---\nid: worse\ndetection:\n  s: 1\n  condition: t\n")
+    rs = load_rules(str(tmp_path))
+    assert {r.key: r.category for r in rs.compiled()} == {"g#0": "c7", "g#1#0": "c1", "g#2#0": "c2", "g#3#0": "c3", "own#0": "c8"}
+    assert {k: [Path(p).name for p in ps] for k, ps in rs.replaced().items()} == {"g#0": ["a.yml", "b.yml"]}
+    assert [[e.partition(":")[0] for e in x.split("\n")] for x in rs.errors.values()] == [["bad", "worse"]]
+    (tmp_path / "b.yml").unlink()
+    rs.refresh()
+    assert sorted(r.category for r in rs.compiled()) == ["c0", "c1", "c2", "c3"] and not rs.errors and not rs.replaced()
+
+
+def test_names_without_a_map_entry(tmp_path):
+    """Keywords as a field are the message; what a rule's own map lacks is looked up in the global one; documents of a file share its map."""
+    plain = compile_rule({"id": "k", "detection": {"s": {"keywords|contains|all": ["a", "b"]}, "t": {"|all": ["c"]}, "condition": "s or t"}})[0]
+    assert plain.paths == ("message",)
+    (tmp_path / "rules").mkdir(), (tmp_path / "maps").mkdir()
+    (tmp_path / "rules/r.yml").write_text("id: r\nfields: [Known, Lost]\ndetection:\n  s: {Own: 1}\n  condition: s | count(Known) by Lost > 3\n  timeframe: 1m\n")
+    (tmp_path / "maps/r.json").write_text(json.dumps({"id": "r", "map": {"detection": {"Own": "own.path"}, "fields": {}}}))
+    r = load_rules(str(tmp_path / "rules"), maps=str(tmp_path / "maps"), global_map={"Known": "known.path", "Own": "other"}).compiled()[0]
+    assert (r.paths, r.agg_path, r.group_path, r.useful) == (("own.path", "known.path", "Lost"), "known.path", "Lost", ("known.path",))
+    (tmp_path / "rules/two.yml").write_text("id: x\ndetection:\n  s: {A: 1}\n  condition: s\n---\nid: y\ndetection:\n  s: {B: 1}\n  condition: s\n")
+    rs = load_rules(str(tmp_path / "rules"), maps=str(tmp_path / "maps"), global_map={"A": "a.path", "B": "b.path"}, write_maps=True)
+    assert {r.ruleid: r.paths for r in rs.compiled()} | {"r": 0} == {"x": ("a.path",), "y": ("b.path",), "r": 0}
+    assert json.loads((tmp_path / "maps/two.json").read_text())["map"]["detection"] == {"A": "a.path", "B": "b.path"}
+
+
 def test_compile_reports():
     for bad in ({"id": "x"}, {"detection": {"s": {"a": 1}, "condition": "s"}}, {"id": "x", "detection": {"s": {"a|zz": 1}, "condition": "s"}}, {"id": "x", "detection": {"s": {"a": {"b": 1}}, "condition": "s"}}):
         with pytest.raises(RuleError):

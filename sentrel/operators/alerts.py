@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def build_alerts(matches: DataFrame, payload: str = "raw", clock: bool = True) -> DataFrame:
+def event_fields(matches: DataFrame) -> Column:
+    """Those of the rule's fields that the event has, by path."""
+    names = [f.name for f in matches.schema["f"].dataType.fields if not f.name.endswith("#nested") and f.name != "none"]
+    every = F.map_from_arrays(F.array(*[F.lit(n) for n in names]), F.array(*[F.col("f")[n] for n in names])) if names else F.create_map().cast("map<string,string>")
+    return F.map_filter(every, lambda k, v: v.isNotNull() & F.array_contains("useful", k))
+
+
+def build_alerts(matches: DataFrame, payload: str | None = "raw", clock: bool = True) -> DataFrame:
     """alert_uid, rule_id, rule_name, rule_status, rule_level, tags, fields (those of the rule that the event has), rule_event.
 
-    alert_uid is the SHA-256 of rule key and event id, so writing an alert twice is the same as once. matches needs `f` and, if named, the
-    payload column.
+    alert_uid is the SHA-256 of rule key and event id, so writing an alert twice is the same as once. matches needs `fields`, or `f` to make
+    them of, and, if named, the payload column.
     """
-    names = [f.name for f in matches.schema["f"].dataType.fields if not f.name.endswith("#nested") and f.name != "none"]
-    every = F.map_from_arrays(F.array(*[F.lit(n) for n in names]), F.array(*[F.col("f")[n] for n in names])) if names else F.create_map().cast("map<string,string>")
-    fields = F.map_filter(every, lambda k, v: v.isNotNull() & F.array_contains("useful", k))
+    fields = F.col("fields") if "fields" in matches.columns else event_fields(matches)
     out = matches.select(
         F.sha2(F.concat_ws("|", "rule_key", F.col("event_uid").cast("string")), 256).alias("alert_uid"), F.col("ruleid").alias("rule_id"), "condition_idx", "rule_name", "rule_status", "rule_level",
         "tags", fields.alias("fields"), *([F.col(payload).cast("string").alias("rule_event")] if payload else []), *(["agg_value"] if "agg_value" in matches.columns else []),

@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sentrel.scratch import Scratch
+
 from .events import Resolver
 
 #: Rows up to which a lookup table is broadcast; a larger one is joined by shuffle.
@@ -90,24 +92,47 @@ def enrich(events: DataFrame, asked: DataFrame, intel: DataFrame | None = None,
 
 
 Provider = Callable[[list[tuple[str, str, str]]], list[tuple[str, str, str, str]]]
-CACHE = "value string, tag string, payload string, expires_at timestamp"
+CACHE = "value string, tag string, attr_type string, payload string, expires_at timestamp"
 
 
 def read_through(asked: DataFrame, cache: DataFrame, provider: Provider, now: Column, ttl_seconds: int = 86400) -> tuple[DataFrame, DataFrame]:
-    """(answers: value, tag, payload; new rows for the cache). Only what the cache lacks or holds too long is asked of the provider.
+    """(answers: value, tag, attr_type, payload; new rows for the cache). Only what the cache lacks or holds too long is asked of the provider.
 
     provider gets (value, tag, attr_type) and returns (value, tag, attr_type, payload); it runs on executors, one call per Arrow batch
-    of distinct requests. An empty payload is kept too: a negative answer is an answer. A live entry keeps its expiry.
+    of distinct requests, and its answers are written to a table at once, so that no request is repeated whichever of the two results is
+    read. An empty payload is kept too: a negative answer is an answer. A live entry keeps its expiry.
     """
-    keys = asked.select("value", "tag", "attr_type").distinct()
-    live = cache.where(F.col("expires_at") > now).select("value", "tag", "payload")
-    missing = keys.join(live, ["value", "tag"], "left_anti")
+    key = ["value", "tag", "attr_type"]
+    keys = asked.select(*key).distinct()
+    live = cache.where(F.col("expires_at") > now).groupBy(*key).agg(F.max_by("payload", "expires_at").alias("payload"))
+    missing = keys.join(live, key, "left_anti")
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = provider([(r["value"], r["tag"], r["attr_type"]) for r in b.to_pylist()])
-            yield pa.RecordBatch.from_arrays([pa.array([g[i] for g in got], pa.string()) for i in (0, 1, 3)], ["value", "tag", "payload"])
+            yield pa.RecordBatch.from_arrays([pa.array([g[i] for g in got], pa.string()) for i in range(4)], [*key, "payload"])
 
-    fetched = missing.mapInArrow(ask, "value string, tag string, payload string")
+    fetched = Scratch(asked.sparkSession).write(missing.mapInArrow(ask, "value string, tag string, attr_type string, payload string"), "fetched")
     new = fetched.withColumn("expires_at", now + F.make_dt_interval(secs=F.lit(ttl_seconds)))
-    return live.join(keys, ["value", "tag"], "left_semi").unionByName(fetched), new
+    return live.join(keys, key, "left_semi").unionByName(fetched), new
+
+
+ANSWER = "array<struct<event_id:string,category:string,attr_tags:array<string>>>"
+
+
+def cached_intel(spark: SparkSession, cache_table: str, provider: Provider, ttl_seconds: int = 86400) -> Callable[[DataFrame], DataFrame]:
+    """A function from requests to the lookup table of `lookup_intel`, read through a cache in a table that it adds to.
+
+    Payloads are JSON arrays of objects with event_id, category and attr_tags; anything else is no hit.
+    """
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(cache_table)
+
+    def intel(asked: DataFrame) -> DataFrame:
+        there = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+        cache = spark.read.schema(CACHE).parquet(cache_table) if there else spark.createDataFrame([], CACHE)
+        answers, new = read_through(asked, cache, provider, F.current_timestamp(), ttl_seconds)
+        answers = Scratch(spark).write(answers, "answers")  # read before the cache grows
+        new.select(*[c.split(" ")[0] for c in CACHE.split(", ")]).write.mode("append").parquet(cache_table)
+        return answers.select("tag", "attr_type", "value", F.inline(F.from_json("payload", ANSWER)))
+
+    return intel

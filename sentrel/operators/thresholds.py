@@ -1,8 +1,13 @@
-"""Threshold aggregations anchored at a first event: one fold, shared by batch and stream.
+"""Threshold aggregations anchored at a first event.
 
 State of a key is (time of its first event, accumulator). The first event is never tested. An event within the
 timeframe steps the accumulator, which is then tested; if it fires, the event is emitted and the state goes. An event
-at or beyond the timeframe ends the state and is itself dropped (or, if asked, opens the next one).
+at or beyond the timeframe ends the state and is itself dropped (or, if asked, opens the next one). Every row is an
+event: equal ones count as often as they come.
+
+The order of a key's events decides, so a key is folded in order. Keys of ordinary size are folded inside the JVM, over a sorted
+array each; larger ones are streamed through `advance` in Arrow batches, as the stream does; keys that would fill a task
+are cut into parts. All three give the same result.
 """
 
 from __future__ import annotations
@@ -12,10 +17,12 @@ import operator
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sentrel.scratch import Scratch
 
@@ -25,7 +32,10 @@ _INT = re.compile(r"[+-]?[0-9]+")
 
 @dataclass(frozen=True)
 class Aggregation:
-    """init returns None where the event can't open a state; numeric ones get an int or None (no whole number)."""
+    """init returns None where the event can't open a state; numeric ones get an int of 64 bits or None (no such number).
+
+    A state may be changed in place; it must be what JSON can hold.
+    """
 
     init: Callable
     step: Callable
@@ -41,16 +51,34 @@ def _or_same(change: Callable) -> Callable:
     return lambda acc, x: acc if x is None else change(acc, x)
 
 
+def _is_long(x: int) -> bool:
+    return -(2**63) <= x < 2**63
+
+
+def _added(acc: int, x: int) -> int:
+    """A sum that would leave 64 bits stays as it is."""
+    return acc + x if _is_long(acc + x) else acc
+
+
+def _seen(acc: dict, x: str | None) -> dict:
+    if x is not None:
+        acc[x] = 1
+    return acc
+
+
 AGGREGATIONS: dict[str, Aggregation] = {
     "count": Aggregation(lambda x: 1, lambda n, x: n + 1, lambda n: n, numeric=False),
-    "uniquecount": Aggregation(lambda x: None if x is None else [x], lambda seen, x: seen if x is None or x in seen else [*seen, x], len, numeric=False),
-    "sum": Aggregation(lambda x: x, _or_same(operator.add), lambda s: s),
+    "uniquecount": Aggregation(lambda x: None if x is None else {x: 1}, _seen, len, numeric=False),
+    "sum": Aggregation(lambda x: x, _or_same(_added), lambda s: s),
     "min": Aggregation(lambda x: x, _or_same(min), lambda s: s),
     "max": Aggregation(lambda x: x, _or_same(max), lambda s: s),
-    "avg": Aggregation(lambda x: None if x is None else [x, 1], _or_same(lambda s, x: [s[0] + x, s[1] + 1]), lambda s: _quotient(s[0], s[1])),
+    "avg": Aggregation(lambda x: None if x is None else [x, 1], _or_same(lambda s, x: [_added(s[0], x), s[1] + 1]), lambda s: _quotient(s[0], s[1])),
 }
 
 
+_BUILT_IN = dict(AGGREGATIONS)
+
+
 def register_aggregation(name: str, aggregation: Aggregation) -> None:
     AGGREGATIONS[name] = aggregation
 
@@ -58,7 +86,7 @@ def register_aggregation(name: str, aggregation: Aggregation) -> None:
 def advance(state: list | None, ms: int, raw: str | None, fn: str, op: str, threshold: int, timeframe: int, reopen: bool = False) -> tuple[list | None, int | None]:
     """(new state, value if the event fires). state: [first event's milliseconds, accumulator] or None."""
     agg = AGGREGATIONS[fn]
-    x = (int(raw) if raw is not None and _INT.fullmatch(raw) else None) if agg.numeric else raw
+    x = (int(raw) if raw is not None and _INT.fullmatch(raw) and _is_long(int(raw)) else None) if agg.numeric else raw
     late = state is not None and int((ms - state[0]) / 1000) >= timeframe
     if state is None or (late and reopen):
         acc = agg.init(x)
@@ -79,8 +107,45 @@ def keyed(matches: DataFrame) -> DataFrame:
     return rows.withColumns({"created_ms": F.unix_millis(F.col("created").cast("timestamp")), "state_key": F.concat(part(F.col("agg_by"), F.col("group_value")), part(own_value, F.col("agg_raw")))})
 
 
-_NARROW = ("rule_key", "state_key", "created_ms", "event_uid", "agg_raw", "agg_fn", "op", "threshold", "timeframe_sec")
-_ORDER = ("rule_key", "state_key", "created_ms", "event_uid")
+_NARROW = ("rule_key", "state_key", "created_ms", "event_uid", "row", "agg_raw", "agg_fn", "op", "threshold", "timeframe_sec")
+_ORDER = ("rule_key", "state_key", "created_ms", "event_uid", "row")
+_FIRED = T.StructType([T.StructField("row", T.LongType()), T.StructField("rule_key", T.StringType()), T.StructField("agg_value", T.LongType())])
+
+#: Rows of a key up to which it is folded over an array in the JVM.
+ARRAY_ROWS = 2_000
+#: Keys up to which a list of them is broadcast.
+BROADCAST_KEYS = 100_000
+
+_NUMBER = "CASE WHEN agg_fn NOT IN ('count', 'uniquecount') AND e.agg_raw RLIKE '^[+-]?[0-9]+$' THEN try_cast(e.agg_raw AS bigint) END"
+#: A first event opens a state, if it has the value that the function needs.
+_OPEN = f"""named_struct('t0', CASE WHEN agg_fn = 'count' OR (agg_fn = 'uniquecount' AND e.agg_raw IS NOT NULL) OR (agg_fn NOT IN ('count', 'uniquecount') AND e.x IS NOT NULL) THEN e.created_ms END,
+  'n', 1L, 's', e.x, 'seen', CASE WHEN agg_fn = 'uniquecount' THEN array(e.agg_raw) ELSE CAST(array() AS array<string>) END, 'fired', acc.fired)"""
+_CLOSED = "named_struct('t0', CAST(NULL AS bigint), 'n', 0L, 's', CAST(NULL AS bigint), 'seen', CAST(array() AS array<string>), 'fired', acc.fired)"
+_STEPPED = """named_struct('n', acc.n + CASE WHEN agg_fn = 'count' OR e.x IS NOT NULL THEN 1L ELSE 0L END,
+  's', CASE agg_fn WHEN 'min' THEN least(acc.s, e.x) WHEN 'max' THEN greatest(acc.s, e.x) ELSE coalesce(try_add(acc.s, e.x), acc.s) END,
+  'seen', CASE WHEN agg_fn = 'uniquecount' AND e.agg_raw IS NOT NULL THEN array_union(acc.seen, array(e.agg_raw)) ELSE acc.seen END)"""
+_VALUE = "CASE agg_fn WHEN 'count' THEN z.n WHEN 'uniquecount' THEN CAST(size(z.seen) AS bigint) WHEN 'avg' THEN z.s div z.n ELSE z.s END"
+_TEST = "CASE op WHEN '>' THEN v > threshold WHEN '>=' THEN v >= threshold WHEN '<' THEN v < threshold WHEN '<=' THEN v <= threshold ELSE v = threshold END"
+
+
+def _let(name: str, value: str, body: str) -> str:
+    """`body` with `name` bound to `value`."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def _array_fold(narrow: DataFrame, reopen: bool) -> DataFrame:
+    """The fold as one aggregate over each key's sorted array; built-in functions only."""
+    keys = narrow.groupBy("rule_key", "state_key").agg(
+        *[F.first(c).alias(c) for c in ("agg_fn", "op", "threshold", "timeframe_sec")], F.array_sort(F.collect_list(F.struct("created_ms", "event_uid", "row", "agg_raw"))).alias("events")
+    )
+    empty = "CAST(array() AS array<struct<row: bigint, agg_value: bigint>>)"
+    tested = _let("v", _VALUE, f"CASE WHEN {_TEST} THEN named_struct('t0', CAST(NULL AS bigint), 'n', 0L, 's', CAST(NULL AS bigint), 'seen', CAST(array() AS array<string>), 'fired', array_append(acc.fired, named_struct('row', e.row, 'agg_value', v))) ELSE named_struct('t0', acc.t0, 'n', z.n, 's', z.s, 'seen', z.seen, 'fired', acc.fired) END")
+    late = "(e.created_ms - acc.t0) div 1000 >= timeframe_sec"
+    step = f"CASE WHEN acc.t0 IS NULL THEN {_OPEN} WHEN {late} THEN {_OPEN if reopen else _CLOSED} ELSE {_let('z', _STEPPED, tested)} END"
+    events = f"transform(events, e -> named_struct('created_ms', e.created_ms, 'row', e.row, 'agg_raw', e.agg_raw, 'x', {_NUMBER}))"
+    start = f"named_struct('t0', CAST(NULL AS bigint), 'n', 0L, 's', CAST(NULL AS bigint), 'seen', CAST(array() AS array<string>), 'fired', {empty})"
+    found = keys.select("rule_key", F.expr(f"aggregate({events}, {start}, (acc, e) -> {step}, acc -> acc.fired)").alias("fired"))
+    return found.select("rule_key", F.inline("fired")).select("row", "rule_key", "agg_value")
 
 
 def _rows(batch: pa.RecordBatch) -> Iterator[tuple]:
@@ -91,14 +156,14 @@ def _fold(reopen: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, state = None, None
         for batch in batches:
-            uids, rules, values = [], [], []
-            for rule, sub, ms, uid, raw, fn, op, threshold, frame in _rows(batch):
+            found = []
+            for rule, sub, ms, _, row, raw, fn, op, threshold, frame in _rows(batch):
                 if (rule, sub) != key:
                     key, state = (rule, sub), None
                 state, value = advance(state, ms, raw, fn, op, threshold, frame, reopen)
                 if value is not None:
-                    uids.append(uid), rules.append(rule), values.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(uids, batch.schema.field("event_uid").type), pa.array(rules, pa.string()), pa.array(values, pa.int64())], ["event_uid", "rule_key", "agg_value"])
+                    found.append((row, rule, value))
+            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], t) for i, t in enumerate((pa.int64(), pa.string(), pa.int64()))], ["row", "rule_key", "agg_value"])
 
     return run
 
@@ -107,45 +172,44 @@ def _fold_parts(reopen: bool, entries):
     """Folds whole parts, each from the state that its entry names. Besides the rows that fire, one row per part: its first and last key and its last state."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, first, key, state, kind = None, None, None, None, None
-        empty = (None,) * 7
+        part, first, key, state = None, None, None, None
+        last = lambda: (None, None, None, part, first, json.dumps(key), json.dumps(state))
         for batch in batches:
-            kind, out = batch.schema.field("event_uid").type, []
-            for here, row in zip(batch.column("part").to_pylist(), _rows(batch), strict=True):
-                rule, sub, ms, uid, raw, fn, op, threshold, frame = row
+            out = []
+            for here, values in zip(batch.column("part").to_pylist(), _rows(batch), strict=True):
+                rule, sub, ms, _, row, raw, fn, op, threshold, frame = values
                 if here != part:
                     if part is not None:
-                        out.append((*empty[:3], part, first, json.dumps(key), json.dumps(state)))
+                        out.append(last())
                     part, key, first = here, (rule, sub), json.dumps((rule, sub))
-                    state = entries.value.get(part)
+                    state = json.loads(json.dumps(entries.value.get(part)))  # its own, as it may be changed in place
                 elif (rule, sub) != key:
                     key, state = (rule, sub), None
                 state, value = advance(state, ms, raw, fn, op, threshold, frame, reopen)
                 if value is not None:
-                    out.append((uid, rule, value, part, None, None, None))
-            yield _part_batch(out, kind)
+                    out.append((row, rule, value, part, None, None, None))
+            yield _part_batch(out)
         if part is not None:
-            yield _part_batch([(*empty[:3], part, first, json.dumps(key), json.dumps(state))], kind)
+            yield _part_batch([last()])
 
     return run
 
 
-def _part_batch(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
-    types = (kind, pa.string(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string())
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["event_uid", "rule_key", "agg_value", "part", "first_key", "last_key", "state"])
+def _part_batch(rows: list[tuple]) -> pa.RecordBatch:
+    types = (pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string())
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["row", "rule_key", "agg_value", "part", "first_key", "last_key", "state"])
 
 
-def _fired_in_parts(narrow: DataFrame, parts: int, reopen: bool) -> DataFrame:
+def _fired_in_parts(scratch: Scratch, narrow: DataFrame, parts: int, reopen: bool) -> DataFrame:
     """The fold of few, large keys: their rows are cut into even parts in order, whatever key they are of.
 
     All parts are folded from no state at once; then those whose real entry state differs, which is the last state of the part before, again,
     until none does. A wrong entry state is forgotten at the first alert or expiry that both runs share, so a second pass mostly settles all. What the
     driver holds is one state per part.
     """
-    spark = narrow.sparkSession
-    scratch, kind = Scratch(spark), narrow.schema["event_uid"].dataType.simpleString()
+    spark = scratch.spark
     cut = scratch.write(narrow.repartitionByRange(parts, *_ORDER).withColumn("part", F.spark_partition_id()), "parts")
-    schema = f"event_uid {kind}, rule_key string, agg_value long, part int, first_key string, last_key string, state string"
+    schema = T.StructType([*_FIRED.fields, T.StructField("part", T.IntegerType()), *[T.StructField(c, T.StringType()) for c in ("first_key", "last_key", "state")]])
     entries: dict[int, list | None] = {}
     ends: dict[int, tuple] = {}
     latest: dict[int, DataFrame] = {}
@@ -163,39 +227,59 @@ def _fired_in_parts(narrow: DataFrame, parts: int, reopen: bool) -> DataFrame:
                 entries[part] = carried
                 todo.append(part)
             before = part
-    out = narrow.select("event_uid", "rule_key", F.lit(0).cast("long").alias("agg_value")).limit(0)
-    for table in {id(t): t for t in latest.values()}.values():
-        out = out.unionByName(table.where(F.col("first_key").isNull() & F.col("part").isin([p for p, t in latest.items() if t is table])).select("event_uid", "rule_key", "agg_value"))
-    return out
+    found = [t.where(F.col("first_key").isNull() & F.col("part").isin([p for p, own in latest.items() if own is t])).select("row", "rule_key", "agg_value") for t in {id(t): t for t in latest.values()}.values()]
+    return reduce(DataFrame.unionByName, found)
 
 
-def fired(matches: DataFrame, reopen_on_expiry: bool = False) -> DataFrame:
-    """event_uid, rule_key, agg_value of the matches that fire, in order of (created, event_uid) within each key.
+def fired(matches: DataFrame, reopen_on_expiry: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """event_uid, rule_key, agg_value, and the columns named in `keep`, of the matches that fire, in order of (created, event_uid) in each key.
 
-    Only narrow rows move. Keys are counted first. One that holds more than half a partition's share of all rows is cut into parts, so
-    that no task gets a hot key whole; there are at most twice as many of them as partitions. The others are dealt by key and sorted, and
-    streamed through the fold.
+    The matches that aggregate are written once, with a number for each row, so the events are read and held against the rules once.
+    Only narrow rows move; what is kept joins those that fire by row. Keys are counted first: ordinary ones are folded over arrays, larger ones as a
+    stream of sorted rows. One with more than half a partition's share of all rows is cut into parts, so that no task gets a hot key whole; there are
+    at most twice as many of them as partitions.
     """
     spark = matches.sparkSession
-    narrow = keyed(matches).select(*_NARROW)
+    scratch = Scratch(spark)
+    rows = keyed(matches).withColumn("row", F.monotonically_increasing_id())
+    keep = tuple(c for c in keep if c not in ("event_uid", "rule_key", "agg_value"))
+    rows = scratch.write(rows.select(*_NARROW, *[F.col(c).alias(f"keep_{c}") for c in keep]), "matches")
+    narrow = rows.select(*_NARROW)
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    sizes = Scratch(spark).write(narrow.groupBy("rule_key", "state_key").count(), "sizes")
-    total = sizes.agg(F.sum("count")).first()[0] or 0
-    hot = sizes.where(F.col("count") * 2 * parts > total).select("rule_key", "state_key")
-    rest = narrow.join(F.broadcast(hot), ["rule_key", "state_key"], "left_anti").select(*_NARROW)
-    ordered = rest.repartition("rule_key", "state_key").sortWithinPartitions(*_ORDER)
-    kind = narrow.schema["event_uid"].dataType.simpleString()
-    out = ordered.mapInArrow(_fold(reopen_on_expiry), f"event_uid {kind}, rule_key string, agg_value long")
-    if not hot.take(1):
-        return out
-    large = narrow.join(F.broadcast(hot), ["rule_key", "state_key"]).select(*_NARROW)
-    return out.unionByName(_fired_in_parts(large, parts, reopen_on_expiry))
+    sizes = scratch.write(narrow.groupBy("rule_key", "state_key").count(), "sizes")
+    sums = sizes.agg(F.coalesce(F.sum("count"), F.lit(0)), F.coalesce(F.max("count"), F.lit(0)), F.count(F.when(F.col("count") > ARRAY_ROWS, 1))).first()
+    key, ordered = ["rule_key", "state_key"], lambda some: some.repartition("rule_key", "state_key").sortWithinPartitions(*_ORDER)
+    changed = any(_BUILT_IN.get(n) is not a for n, a in AGGREGATIONS.items())  # the array fold knows the built-in ones only
+    if sums[1] <= ARRAY_ROWS and not changed:
+        found = _array_fold(narrow, reopen_on_expiry)
+    else:
+        large = sizes.where((F.col("count") > ARRAY_ROWS) & (F.col("count") * 2 * parts <= sums[0])).select(*key)
+        hot = sizes.where((F.col("count") > ARRAY_ROWS) & (F.col("count") * 2 * parts > sums[0])).select(*key)
+        rest, found = narrow, []
+        if hot.take(1):
+            found.append(_fired_in_parts(scratch, narrow.join(F.broadcast(hot), key, "left_semi").select(*_NARROW), parts, reopen_on_expiry))
+            rest = rest.join(F.broadcast(hot), key, "left_anti").select(*_NARROW)
+        streamed = lambda some: ordered(some).mapInArrow(_fold(reopen_on_expiry), _FIRED)
+        if changed or sums[2] > BROADCAST_KEYS:
+            found.append(streamed(rest))
+        else:
+            if large.take(1):
+                found.append(streamed(rest.join(F.broadcast(large), key, "left_semi").select(*_NARROW)))
+            found.append(_array_fold(rest.join(F.broadcast(large), key, "left_anti").select(*_NARROW), reopen_on_expiry))
+        found = reduce(DataFrame.unionByName, found)
+    found = found.select("row", "agg_value")
+    own = rows.select("row", "event_uid", "rule_key", *[F.col(f"keep_{c}").alias(c) for c in keep])
+    return own.join(found, "row").drop("row").select("event_uid", "rule_key", "agg_value", *keep)
 
 
 def threshold_matches(matches: DataFrame, reopen_on_expiry: bool = False) -> DataFrame:
-    """The matches that alert: those of rules without aggregation as they are, of the others those that fire (with agg_value)."""
-    plain = matches.where(F.col("agg_fn").isNull() & F.col("timeframe_sec").isNull()).withColumn("agg_value", F.lit(None).cast("long"))
-    return plain.unionByName(matches.where(F.col("agg_fn").isNotNull()).join(fired(matches, reopen_on_expiry), ["event_uid", "rule_key"]))
+    """The matches that alert: those of rules without aggregation as they are, of the others those that fire (with agg_value).
+
+    matches is read for each of the two kinds: write it first, unless it is cheap or of one kind.
+    """
+    names = [c for c in matches.columns if c != "agg_value"]
+    plain = matches.where(F.col("agg_fn").isNull() & F.col("timeframe_sec").isNull()).select(*names, F.lit(None).cast("long").alias("agg_value"))
+    return plain.unionByName(fired(matches, reopen_on_expiry, tuple(names)).select(*names, "agg_value"))
 
 
 def threshold_test(value: Column, op: str, threshold: int) -> Column:

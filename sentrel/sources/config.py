@@ -14,14 +14,30 @@ class Config:
     group_id: str | None = None
     start: str = "group"  # earliest, latest, group or milliseconds since 1970
     tls: dict[str, str] = field(default_factory=dict)  # options of the Kafka client below `ssl.`, and security.protocol
+    source: str = "kafka"  # or text, parquet: then source_path names the folder
+    source_path: str | None = None
     rules: str | None = None
     maps: str | None = None
     global_map: str | None = None
+    match_table: str = "matches"
+    event_table: str = "events"
+    alert_table: str = "alerts"
+    checkpoint: str = "checkpoints"
+    sink: str = "parquet"  # or any format that Spark writes, with sink_options
+    sink_options: dict[str, str] = field(default_factory=dict)  # keys below `sink.`: hosts, users, certificates, timeouts, batch sizes
     alert_index: str = "alerts-"
     event_index: str = "events-"
-    flush_rows: int = 1
+    flush_rows: int = 0  # of a file of the parquet sinks, at most; 0: no limit
     enrichment: bool = False
+    intel_map: str | None = None
+    intel_table: str | None = None
+    dns_table: str | None = None
+    cache_table: str = "cache"  # of answers of a provider
     cache_ttl_seconds: int = 86400
+    trigger: str | None = None  # such as `10 seconds`; without one, what is there now is worked on and the job ends
+    max_files: int = 0  # of matches that an alerting micro-batch takes; 0: all
+    reopen_on_expiry: bool = False
+    forget_after_seconds: int = 0  # after which an idle threshold key is forgotten; 0: never
 
 
 def read_properties(path: str) -> dict[str, str]:
@@ -39,13 +55,15 @@ def read_properties(path: str) -> dict[str, str]:
 
 
 def load_config(path: str) -> Config:
-    """Keys are the names of Config's fields; `tls.` keys go to its map. Unknown keys are an error."""
-    raw, kinds, values, tls = read_properties(path), {f.name: f.type for f in fields(Config)}, {}, {}
+    """Keys are the names of Config's fields; `tls.` and `sink.` keys go to its maps. Unknown keys are an error."""
+    raw, kinds, values, tls, sink = read_properties(path), {f.name: f.type for f in fields(Config)}, {}, {}, {}
     for k, v in raw.items():
         if k.startswith("tls."):
             tls[k[4:]] = v
+        elif k.startswith("sink."):
+            sink[k[5:]] = v
         elif k not in kinds:
             raise ValueError(f"unknown key {k}")
         else:
             values[k] = int(v) if kinds[k] == "int" else v.lower() == "true" if kinds[k] == "bool" else v
-    return Config(**values, tls=tls)
+    return Config(**values, tls=tls, sink_options=sink)

@@ -9,7 +9,12 @@ from .config import Config
 
 
 def kafka_options(c: Config, streaming: bool = True) -> dict[str, str]:
-    """Options of Spark's Kafka source: a list of topics wins over a pattern; group offsets are the checkpoint's, or the earliest."""
+    """Options of Spark's Kafka source: a list of topics wins over a pattern.
+
+    start: earliest, latest (streams only: a batch that starts at the end has no rows), milliseconds since 1970, or group. The place of a
+    group is kept in the stream's checkpoint, so `group` only decides where a stream without one starts: at the latest event. A batch has no
+    checkpoint and reads from the earliest.
+    """
     out = {"kafka.bootstrap.servers": c.bootstrap_servers}
     if c.topics:
         out["subscribe"] = ",".join(t.strip() for t in c.topics.split(",") if t.strip())
@@ -23,8 +28,10 @@ def kafka_options(c: Config, streaming: bool = True) -> dict[str, str]:
         if int(c.start) == 0:
             raise ValueError("a start timestamp must not be 0")
         out["startingTimestamp"] = c.start
+    elif c.start == "latest" and not streaming:
+        raise ValueError("a batch can't start at the latest event")
     elif c.start in ("earliest", "latest"):
-        out["startingOffsets"] = c.start if streaming or c.start == "earliest" else "earliest"
+        out["startingOffsets"] = c.start
     elif c.start == "group":
         out["startingOffsets"] = "latest" if streaming else "earliest"
     else:

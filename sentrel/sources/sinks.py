@@ -1,33 +1,67 @@
-"""Sinks: date-partitioned tables, idempotent for alerts."""
+"""Sinks: date-partitioned tables in which a micro-batch owns one folder, written at most once; or any format that Spark writes."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+Sink = Callable[[DataFrame, int], None]
+
 
 def index_name(prefix: str, day: Column, status: Column | None = None) -> Column:
     """Name of the day's index: <prefix>[<status>-]<yyyy-MM-dd>."""
     return F.concat(F.lit(prefix), *([status, F.lit("-")] if status is not None else []), F.date_format(day, "yyyy-MM-dd"))
 
 
-def append_events(path: str, prefix: str = "events-") -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: events to a table partitioned by index of the processing day."""
+def write_once(df: DataFrame, folder: str, batch_id: int, by: str | None = None, flush_rows: int = 0) -> bool:
+    """Writes df to <folder>/batch=<batch_id>, unless that is there: a retried batch isn't written, nor read by who reads the folder, twice.
+
+    Rows are written beside it and renamed as a whole, so a reader sees all of a batch or nothing. flush_rows: rows of a file, at most.
+    """
+    spark = df.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    done, begun = path(f"{folder}/batch={batch_id}"), path(f"{folder}/_begun-{uuid.uuid4().hex}")
+    fs = done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(done):
+        df.write.format("noop").mode("overwrite").save()  # computed all the same, since a stateful query's state moves on with it
+        return False
+    writer = df.write.option("maxRecordsPerFile", flush_rows)
+    (writer.partitionBy(by) if by else writer).parquet(begun.toString())
+    if not fs.rename(begun, done):
+        fs.delete(begun, True)
+        raise OSError(f"{done.toString()} can't be written")
+    return True
+
+
+def append_events(path: str, prefix: str = "events-", flush_rows: int = 0) -> Sink:
+    """For foreachBatch: events to a table whose batches are partitioned by index of the processing day."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("index", index_name(prefix, F.current_date())).write.partitionBy("index").mode("append").parquet(path)
+        write_once(batch.withColumn("index", index_name(prefix, F.current_date())), path, batch_id, "index", flush_rows)
 
     return write
 
 
-def upsert_alerts(path: str, prefix: str = "alerts-") -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: each batch owns one partition, which a retry of the batch overwrites; an alert twice in a batch is written once."""
+def upsert_alerts(path: str, prefix: str = "alerts-", flush_rows: int = 0) -> Sink:
+    """For foreachBatch: each batch owns one folder; an alert twice in a batch is written once."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         own = batch.dropDuplicates(["alert_uid"]).withColumn("index", index_name(prefix, F.current_date(), F.col("rule_status")))
-        own.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        write_once(own, path, batch_id, None, flush_rows)
+
+    return write
+
+
+def to_format(name: str, options: dict[str, str], prefix: str, status: bool = False) -> Sink:
+    """For foreachBatch: rows to any sink that Spark has a format for (a search index, Kafka, JDBC). Hosts, users, certificates and timeouts
+    are that format's own options. Delivery is at least once; alert_uid or event_uid is the id under which a repeated row replaces itself.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.withColumn("index", index_name(prefix, F.current_date(), F.col("rule_status") if status else None)).write.format(name).options(**options).mode("append").save()
 
     return write
 

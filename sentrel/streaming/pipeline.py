@@ -2,28 +2,49 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from sentrel.operators.alerts import build_alerts
+from sentrel.operators import enrich
+from sentrel.operators.alerts import build_alerts, event_fields
 from sentrel.operators.events import Resolver, parse_events, variant_resolver
 from sentrel.operators.matching import match_rules
-from sentrel.operators.thresholds import threshold_matches
-from sentrel.plans.rules import CompiledRule, RuleSet
-from sentrel.sources.sinks import upsert_alerts
+from sentrel.operators.thresholds import fired, threshold_matches
+from sentrel.plans.rules import CompiledRule, RuleSet, load_rules
+from sentrel.scratch import Scratch, settings
+from sentrel.sources.config import Config
+from sentrel.sources.readers import event_source
+from sentrel.sources.sinks import Sink, append_events, to_format, upsert_alerts, write_once
 
 from .thresholds import fired_stream
 
-#: Columns of a match that an alert needs; `fields` holds the rule's useful fields by then.
-MATCH_ROW = "event_uid string, created timestamp, rule_key string, ruleid string, condition_idx int, rule_name string, rule_status string, rule_level string, tags array<string>, agg_fn string, agg_field boolean, agg_by boolean, agg_raw string, group_value string, op string, threshold long, timeframe_sec long, fields map<string,string>, raw string"
+#: Columns of a match that a threshold or an alert needs; `fields` holds the rule's useful fields by then.
+_KEY = "event_uid string, created timestamp, rule_key string"
+_THRESHOLD = "agg_fn string, agg_field boolean, agg_by boolean, agg_raw string, group_value string, op string, threshold long, timeframe_sec long"
+_ALERT = "ruleid string, condition_idx int, rule_name string, rule_status string, rule_level string, tags array<string>, fields map<string,string>, raw string"
+MATCH_ROW = f"{_KEY}, {_THRESHOLD}, {_ALERT}"
+_names = lambda ddl: [x.strip().partition(" ")[0] for x in ddl.replace("map<string,string>", "map").split(",")]
+
+
+def match_rows(events: DataFrame, rules: list[CompiledRule], resolve: Resolver, payload: str = "raw") -> DataFrame:
+    """Matches with what a threshold or an alert needs of them, and no more."""
+    found = match_rules(events, rules, resolve)
+    return found.withColumn("fields", event_fields(found)).withColumn("raw", F.col(payload).cast("string")).select(*_names(MATCH_ROW))
 
 
 def detect(events: DataFrame, rules: list[CompiledRule], resolve: Resolver | None = None, payload: str = "raw", clock: bool = True, reopen_on_expiry: bool = False) -> DataFrame:
-    """Alerts of a batch of events: match, threshold, project."""
-    return build_alerts(threshold_matches(match_rules(events, rules, resolve or variant_resolver()), reopen_on_expiry), payload, clock)
+    """Alerts of a batch of events: match, threshold, project. Events are read and held against the rules once."""
+    found = match_rows(events, rules, resolve or variant_resolver(), payload)
+    if not any(r.agg or r.timeframe_sec is not None for r in rules):
+        return build_alerts(found.withColumn("agg_value", F.lit(None).cast("long")), "raw", clock)
+    if all(r.agg or r.timeframe_sec is not None for r in rules):
+        return build_alerts(fired(found, reopen_on_expiry, tuple(_names(_ALERT))), "raw", clock)
+    return build_alerts(threshold_matches(Scratch(events.sparkSession).write(found, "found"), reopen_on_expiry), "raw", clock)
 
 
 def run_batch(raw: DataFrame, rules: list[CompiledRule], clock: bool = True) -> DataFrame:
@@ -31,56 +52,87 @@ def run_batch(raw: DataFrame, rules: list[CompiledRule], clock: bool = True) ->
     return detect(parse_events(raw).where("v is not null"), rules, clock=clock)
 
 
-def match_rows(events: DataFrame, rules: list[CompiledRule], resolve: Resolver) -> DataFrame:
-    found = match_rules(events, rules, resolve)
-    alerts = build_alerts(found, "raw", clock=False)
-    kept = found.withColumn("fields", _fields(found, alerts))
-    return kept.selectExpr(*[c.strip().rpartition(" ")[0] for c in _columns()])
-
-
-def _columns() -> list[str]:
-    out, depth, at = [], 0, 0
-    for i, c in enumerate(MATCH_ROW + ","):
-        depth += (c == "<") - (c == ">")
-        if c == "," and not depth:
-            out.append(MATCH_ROW[at:i].strip())
-            at = i + 1
-    return out
-
-
-def _fields(found: DataFrame, alerts: DataFrame):
-    names = [f.name for f in found.schema["f"].dataType.fields if not f.name.endswith("#nested") and f.name != "none"]
-    every = F.map_from_arrays(F.array(*[F.lit(n) for n in names]), F.array(*[F.col("f")[n] for n in names])) if names else F.create_map().cast("map<string,string>")
-    return F.map_filter(every, lambda k, v: v.isNotNull() & F.array_contains("useful", k))
-
-
 def start_matching(raw: DataFrame, rules: RuleSet, match_table: str, checkpoint: str, resolve: Resolver | None = None, trigger: dict | None = None) -> StreamingQuery:
-    """First stage: matches of each micro-batch, under the rules of that moment, to a table. Changed rule files count from the next micro-batch on."""
+    """First stage: matches of each micro-batch, under the rules of that moment, to a table. Changed rule files count from the next micro-batch on.
+
+    A batch that is tried again after its matches were written leaves them as they are, so the second stage reads each batch once.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         rules.refresh()
         events = parse_events(batch).where("v is not null")
-        match_rows(events, rules.compiled(), resolve or variant_resolver()).write.mode("overwrite").parquet(f"{match_table}/batch={batch_id}")
+        write_once(match_rows(events, rules.compiled(), resolve or variant_resolver()), match_table, batch_id)
 
     return raw.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def start_alerting(spark: SparkSession, match_table: str, alert_table: str, checkpoint: str, trigger: dict | None = None, sink: Callable | None = None) -> list[StreamingQuery]:
-    """Second stage: matches without aggregation become alerts as they are; the others pass the stateful fold."""
-    found = spark.readStream.schema(MATCH_ROW).option("recursiveFileLookup", "true").parquet(match_table)
+def start_alerting(spark: SparkSession, match_table: str, alert_table: str, checkpoint: str, trigger: dict | None = None, sink: Callable[[str], Sink] | None = None, max_files: int | None = None, reopen_on_expiry: bool = False, forget_after_seconds: int | None = None) -> list[StreamingQuery]:
+    """Second stage: matches without aggregation become alerts as they are; the others pass the stateful fold.
+
+    max_files: files of the match table that a micro-batch takes at most, so that a backlog is folded over the keyed state bit by bit.
+    """
+    reader = spark.readStream.schema(MATCH_ROW).option("recursiveFileLookup", "true")
+    found = (reader if max_files is None else reader.option("maxFilesPerTrigger", max_files)).parquet(match_table)
     when = trigger or {"availableNow": True}
     plain = found.where("agg_fn is null and timeframe_sec is null").withColumn("agg_value", F.lit(None).cast("long"))
     sink = sink or upsert_alerts
 
-    columns = ["ruleid", "condition_idx", "rule_name", "rule_status", "rule_level", "tags", "fields", "raw"]
+    columns = _names(_ALERT)
     carried = found.select(*columns).schema
-    hit = fired_stream(found.withColumn("payload", F.to_json(F.struct(*columns)))).withColumn("p", F.from_json("payload", carried)).select("event_uid", "rule_key", "agg_value", "p.*")
+    hit = fired_stream(found.withColumn("payload", F.to_json(F.struct(*columns))), reopen_on_expiry, forget_after_seconds)
+    hit = hit.withColumn("p", F.from_json("payload", carried)).select("event_uid", "rule_key", "agg_value", "p.*")
 
-    return [
-        plain.writeStream.foreachBatch(lambda b, i: sink(f"{alert_table}/plain")(_alerts(b), i)).option("checkpointLocation", f"{checkpoint}/plain").trigger(**when).start(),
-        hit.writeStream.foreachBatch(lambda b, i: sink(f"{alert_table}/fired")(_alerts(b), i)).option("checkpointLocation", f"{checkpoint}/fired").outputMode("append").trigger(**when).start(),
-    ]
+    def start(rows: DataFrame, kind: str) -> StreamingQuery:
+        write = sink(f"{alert_table}/{kind}")
+        return rows.writeStream.foreachBatch(lambda b, i: write(build_alerts(b), i)).option("checkpointLocation", f"{checkpoint}/{kind}").outputMode("append").trigger(**when).start()
 
+    if "availableNow" not in when:
+        return [start(plain, "plain"), start(hit, "fired")]
+    with settings(spark, {"spark.sql.streaming.noDataMicroBatches.enabled": "false"}):  # they would wait for idle keys for ever
+        return [start(plain, "plain"), start(hit, "fired")]
 
-def _alerts(rows: DataFrame) -> DataFrame:
-    return rows.select(F.sha2(F.concat_ws("|", "rule_key", "event_uid"), 256).alias("alert_uid"), F.col("ruleid").alias("rule_id"), "condition_idx", "rule_name", "rule_status", "rule_level", "tags", "fields", F.col("raw").alias("rule_event"), "agg_value", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("alert_processing_time"))
+
+Lookup = Callable[[DataFrame], DataFrame | None]
+
+
+def enriched(events: DataFrame, mapping: dict | None, intel: Lookup, dns: Lookup, resolve: Resolver | None = None) -> DataFrame:
+    """Every event once, with what the lookups say about the values of mapped fields. A lookup gets the requests and gives its table, or None."""
+    if not mapping:
+        return events
+    asked = enrich.requests(events, enrich.attributes_frame(events.sparkSession, mapping), list(mapping), resolve or variant_resolver())
+    return enrich.enrich(events, asked, intel(asked), dns(asked))
+
+
+def start_events(raw: DataFrame, sink: Sink, checkpoint: str, mapping: dict | None = None, intel: Lookup = lambda asked: None, dns: Lookup = lambda asked: None, trigger: dict | None = None) -> StreamingQuery:
+    """The event branch: parsed events, enriched if there is a mapping, to the event sink. Lookup tables are read anew for each micro-batch."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        events = parse_events(batch).where("v is not null")
+        sink(enriched(events, mapping, intel, dns).drop("v"), batch_id)
+
+    return raw.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def run(spark: SparkSession, c: Config, provider: enrich.Provider | None = None) -> list[StreamingQuery]:
+    """Starts what the configuration describes: a source, the event branch with its sink, matching, and alerting with its sink.
+
+    Enrichment is on the event branch only, and only with its flag; rules are held against the events as they come. Threat intelligence is a
+    table, or asked of `provider` through the cache table.
+    """
+    where = c if c.source == "kafka" else c.source_path
+    rules = load_rules(c.rules, maps=c.maps, global_map=json.loads(Path(c.global_map).read_text())["map"] if c.global_map else None)
+    table = lambda path: (lambda asked: spark.read.parquet(path) if path else None)
+    intel = enrich.cached_intel(spark, c.cache_table, provider, c.cache_ttl_seconds) if provider else table(c.intel_table)
+    when = {"processingTime": c.trigger} if c.trigger else {"availableNow": True}
+    mapping = json.loads(Path(c.intel_map).read_text()) if c.enrichment and c.intel_map else None
+    events = append_events(c.event_table, c.event_index, c.flush_rows) if c.sink == "parquet" else to_format(c.sink, c.sink_options, c.event_index)
+    alerts = (lambda path: upsert_alerts(path, c.alert_index, c.flush_rows)) if c.sink == "parquet" else (lambda path: to_format(c.sink, c.sink_options, c.alert_index, status=True))
+    source = lambda: event_source(spark, c.source, where, streaming=True)
+    matching = start_matching(source(), rules, c.match_table, f"{c.checkpoint}/matching", trigger=when)
+    if not c.trigger:  # what is there now: matches first, then their alerts
+        matching.awaitTermination()
+    return [
+        start_events(source(), events, f"{c.checkpoint}/events", mapping, intel, table(c.dns_table), when),
+        matching,
+        *start_alerting(spark, c.match_table, c.alert_table, f"{c.checkpoint}/alerting", when, alerts, c.max_files or None, c.reopen_on_expiry, c.forget_after_seconds or None),
+    ]

@@ -14,28 +14,37 @@ from sentrel.operators.thresholds import advance, keyed
 _ROW = "event_uid string, rule_key string, agg_value long, payload string"
 
 
-def fired_stream(matches: DataFrame, reopen_on_expiry: bool = False) -> DataFrame:
+def fired_stream(matches: DataFrame, reopen_on_expiry: bool = False, forget_after_seconds: int | None = None) -> DataFrame:
     """Like operators.thresholds.fired, on a stream: rows of a micro-batch are taken in order of (created, event_uid) within a key.
 
     A text column `payload` goes along with the event that fires. State of an idle key stays until its next event, since that event must
-    find it expired.
+    find it expired and is dropped with it. Keys by raw value may be without number, so `forget_after_seconds` bounds the state: a key that has had
+    no event for so long, by the clock, is forgotten, and its next event opens a state instead. Anything from the longest timeframe on is safe
+    for events that come on time.
+
+    A key's state is one record: of a number or two, or, for uniquecount, of the distinct values so far, which the threshold bounds for > and >=.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames)).sort_values(["created_ms", "event_uid"])
-        now = json.loads(state.get[0]) if state.exists else None
         out = []
-        for r in rows.itertuples(index=False):
-            raw = None if pd.isna(r.agg_raw) else r.agg_raw
-            now, value = advance(now, int(r.created_ms), raw, r.agg_fn, r.op, int(r.threshold), int(r.timeframe_sec), reopen_on_expiry)
-            if value is not None:
-                out.append((r.event_uid, r.rule_key, value, r.payload))
-        if now is None:
-            if state.exists:
-                state.remove()
+        if state.hasTimedOut:
+            state.remove()
         else:
-            state.update((json.dumps(now),))
+            rows = pd.concat(list(frames)).sort_values(["created_ms", "event_uid"])
+            now = json.loads(state.get[0]) if state.exists else None
+            for r in rows.itertuples(index=False):
+                raw = None if pd.isna(r.agg_raw) else r.agg_raw
+                now, value = advance(now, int(r.created_ms), raw, r.agg_fn, r.op, int(r.threshold), int(r.timeframe_sec), reopen_on_expiry)
+                if value is not None:
+                    out.append((r.event_uid, r.rule_key, value, r.payload))
+            if now is not None:
+                state.update((json.dumps(now),))
+                if forget_after_seconds is not None:
+                    state.setTimeoutDuration(forget_after_seconds * 1000)
+            elif state.exists:
+                state.remove()
         yield pd.DataFrame(out, columns=["event_uid", "rule_key", "agg_value", "payload"])
 
     narrow = keyed(matches).selectExpr("rule_key", "state_key", "created_ms", "cast(event_uid as string) event_uid", "agg_raw", "agg_fn", "op", "threshold", "timeframe_sec", "payload")
-    return narrow.groupBy("rule_key", "state_key").applyInPandasWithState(step, _ROW, "state string", "append", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.NoTimeout if forget_after_seconds is None else GroupStateTimeout.ProcessingTimeTimeout
+    return narrow.groupBy("rule_key", "state_key").applyInPandasWithState(step, _ROW, "state string", "append", timeout)

@@ -1,5 +1,8 @@
 import json
 import random
+import shutil
+import uuid
+from dataclasses import replace
 from datetime import datetime, timedelta
 
 import pytest
@@ -8,12 +11,13 @@ from pyspark.sql import functions as F
 from sentrel.operators import enrich
 from sentrel.operators.events import parse_events, quarantine, struct_resolver, variant_resolver
 from sentrel.operators.matching import match_rules
-from sentrel.operators.thresholds import advance, fired
+from sentrel.operators import thresholds
+from sentrel.operators.thresholds import AGGREGATIONS, advance, fired
 from sentrel.plans.rules import RuleSet, compile_rule
 from sentrel.sources.config import load_config
 from sentrel.sources.readers import event_source, kafka_options
-from sentrel.sources.sinks import append_events, read_alerts
-from sentrel.streaming.pipeline import run_batch, start_alerting, start_matching
+from sentrel.sources.sinks import append_events, read_alerts, to_format
+from sentrel.streaming.pipeline import run, run_batch, start_alerting, start_matching
 
 EVENTS = [
     {"n": 0, "event": {"code": "4625"}, "process": {"executable": "C:\\Windows\\x.exe", "args": ["x", "-a"]}, "logsource": {"category": "process_creation", "product": "windows", "service": "s"}},
@@ -162,7 +166,7 @@ def test_batch_equals_stream_in_any_batches(spark, tmp_path):
         (tmp_path / f"in/{k}.json").write_text("\n".join(lines[k * 40 : k * 40 + 40]) + "\n")
         for step in (lambda: [start_matching(event_source(spark, "text", str(tmp_path / "in"), streaming=True), live, str(tmp_path / "m"), str(tmp_path / "c1"))], lambda: start_alerting(spark, str(tmp_path / "m"), str(tmp_path / "alerts"), str(tmp_path / "c2"))):
             for q in step():
-                q.awaitTermination(120)
+                assert q.awaitTermination(300)
                 assert q.exception() is None
     got = {r["alert_uid"] for kind in ("plain", "fired") for r in read_alerts(spark, f"{tmp_path}/alerts/{kind}/batch=*").collect()}
     assert got == want
@@ -184,12 +188,23 @@ def test_public_ip(spark):
     assert [r["ip"] for r in rows if r["p"]] == public and all(r["p"] is not None for r in rows)
 
 
-def test_read_through_cache(spark):
-    asked = spark.createDataFrame([("e1", "a", "t", "ip"), ("e2", "a", "t", "ip"), ("e1", "b", "t", "ip"), ("e3", "c", "t", "ip")], "event_uid string, value string, tag string, attr_type string")
-    cache = spark.createDataFrame([("a", "t", "kept", datetime(2030, 1, 1)), ("b", "t", "old", datetime(2020, 1, 1)), ("z", "t", "other", datetime(2030, 1, 1))], enrich.CACHE)
-    answers, new = enrich.read_through(asked, cache, lambda rows: [(v, t, k, f"asked {v}" if v != "c" else "") for v, t, k in rows], F.lit(datetime(2025, 1, 1)))
-    assert sorted(map(tuple, answers.collect())) == [("a", "t", "kept"), ("b", "t", "asked b"), ("c", "t", "")]
-    assert sorted((r["value"], r["expires_at"]) for r in new.collect()) == [("b", datetime(2025, 1, 2)), ("c", datetime(2025, 1, 2))]
+def test_read_through_cache(spark, tmp_path):
+    """Every request that the cache lacks is asked once, however often the results are read; two types of one value are two requests."""
+    asked = spark.createDataFrame([("e1", "a", "t", "ip"), ("e2", "a", "t", "ip"), ("e1", "b", "t", "ip"), ("e3", "c", "t", "ip"), ("e3", "a", "t", "host")], "event_uid string, value string, tag string, attr_type string")
+    cache = spark.createDataFrame([("a", "t", "ip", "kept", datetime(2030, 1, 1)), ("a", "t", "ip", "older", datetime(2029, 1, 1)), ("b", "t", "ip", "old", datetime(2020, 1, 1)), ("z", "t", "ip", "other", datetime(2030, 1, 1))], enrich.CACHE)
+    log = tmp_path / "asked"
+    log.mkdir()
+
+    def provider(rows):
+        for v, _, k in rows:
+            (log / f"{v}-{k}-{uuid.uuid4().hex}").touch()
+        return [(v, t, k, f"asked {v} {k}" if v != "c" else "") for v, t, k in rows]
+
+    answers, new = enrich.read_through(asked, cache, provider, F.lit(datetime(2025, 1, 1)))
+    for _ in range(2):
+        assert sorted(map(tuple, answers.collect())) == [("a", "t", "host", "asked a host"), ("a", "t", "ip", "kept"), ("b", "t", "ip", "asked b ip"), ("c", "t", "ip", "")]
+        assert sorted((r["value"], r["expires_at"]) for r in new.collect()) == [(v, datetime(2025, 1, 2)) for v in "abc"]
+    assert sorted(f.name.rpartition("-")[0] for f in log.iterdir()) == ["a-host", "b-ip", "c-ip"]
 
 
 @pytest.mark.parametrize("broadcast_rows", [enrich.BROADCAST_ROWS, 1])
@@ -221,8 +236,18 @@ def test_config_and_sources(spark, tmp_path):
     (tmp_path / "d.properties").write_text("nope=1\n")
     with pytest.raises(ValueError):
         load_config(str(tmp_path / "d.properties"))
-    append_events(str(tmp_path / "events"))(spark.range(3), 0)
-    assert spark.read.parquet(str(tmp_path / "events")).count() == 3
+    (tmp_path / "e.properties").write_text("topic_pattern=x.*\nsink=jdbc\nsink.url=u\nsink.queryTimeout=5\nmax_files=3\n")
+    e = load_config(str(tmp_path / "e.properties"))
+    assert (e.sink, e.sink_options, e.max_files) == ("jdbc", {"url": "u", "queryTimeout": "5"}, 3)
+    assert kafka_options(e) == {"kafka.bootstrap.servers": "localhost:9092", "subscribePattern": "x.*", "startingOffsets": "latest"} and kafka_options(e, streaming=False)["startingOffsets"] == "earliest"
+    with pytest.raises(ValueError):
+        kafka_options(replace(e, start="latest"), streaming=False)
+    for _ in range(2):  # a batch that is tried again is written once
+        append_events(str(tmp_path / "events"), flush_rows=2)(spark.range(3).coalesce(1), 0)
+    append_events(str(tmp_path / "events"))(spark.range(2), 1)
+    assert spark.read.parquet(str(tmp_path / "events")).count() == 5 and len(list((tmp_path / "events/batch=0").glob("index=*/*.parquet"))) == 2
+    to_format("json", {"path": str(tmp_path / "j"), "compression": "none"}, "x-")(spark.range(3), 0)
+    assert spark.read.json(str(tmp_path / "j")).select("index").distinct().count() == 1
 
 
 def machine_rows(spark, rows, fn, op, threshold, frame):
@@ -243,5 +268,109 @@ def test_hot_keys_in_parts(spark, fn, op, threshold, frame):
     assert sorted(r["event_uid"] for r in fired(machine_rows(spark, rows, fn, op, threshold, frame)).collect()) == sorted(want)
 
 
+@pytest.mark.parametrize("array_rows, keys", [(2000, 100_000), (3, 100_000), (0, 0)])
+@pytest.mark.parametrize("reopen", [False, True])
+def test_folds_agree(spark, monkeypatch, array_rows, keys, reopen):
+    """All functions and operators at once, over arrays, streamed, and mixed, against `advance`; repeated rows count each."""
+    monkeypatch.setattr(thresholds, "ARRAY_ROWS", array_rows)
+    monkeypatch.setattr(thresholds, "BROADCAST_KEYS", keys)
+    rnd, frames, want = random.Random(5), [], []
+    for fn in AGGREGATIONS:
+        for op, threshold in ((">", 3), ("<=", 2), ("=", 4)):
+            name = f"{fn} {op}"
+            rows = [(rnd.choice("ab") + str(rnd.randint(0, 5)), rnd.randint(0, 60), rnd.choice([None, "x", "1", "2", "-3", "7", "+4", " 5", "99999999999999999999", str(2**63 - 1)])) for _ in range(60)]
+            rows = sorted(rows + rows[:20], key=lambda r: r[1])
+            for k in {r[0] for r in rows}:
+                state = None
+                for i, (own, sec, raw) in enumerate(rows):
+                    if own == k:
+                        state, value = advance(state, sec * 1000, raw, fn, op, threshold, 15, reopen)
+                        want += [(i, name, value)] if value is not None else []
+            frames.append(machine_rows(spark, rows, fn, op, threshold, 15).withColumns({"rule_key": F.lit(name), "extra": F.concat("group_value", F.col("created").cast("string"))}))
+    every = frames[0]
+    for f in frames[1:]:
+        every = every.unionByName(f)
+    got = fired(every, reopen, ("extra",))
+    assert got.columns == ["event_uid", "rule_key", "agg_value", "extra"]
+    rows = got.collect()
+    assert sorted((r["event_uid"], r["rule_key"], r["agg_value"]) for r in rows) == sorted(want) and all(r["extra"] for r in rows)
+
+
+def test_equal_events(spark):
+    """Four equal texts and `count() > 1`: the second and the fourth fire, and it is one alert by its id."""
+    text = json.dumps(logs(1)[0] | {"event": {"created": "2024-01-01T00:00:00.000Z", "code": "1"}, "user": {"name": "a"}})
+    r = compile_rule(rule({"s": {"event.code": 1}, "condition": "s | count() by user.name > 1", "timeframe": "1h"}, fields=["user.name"]))
+    got = run_batch(spark.createDataFrame([(text,)] * 4, "value string"), r).collect()
+    assert [(r["agg_value"], r["fields"], r["rule_event"]) for r in got] == [(2, {"user.name": "a"}, text)] * 2 and len({r["alert_uid"] for r in got}) == 1
+
+
+def job_folders(tmp_path, lines, batches=3):
+    (tmp_path / "rules").mkdir(), (tmp_path / "in").mkdir()
+    (tmp_path / "rules/r.yml").write_text(RULES)
+    (tmp_path / "map.json").write_text(json.dumps({"user.name": {"t": [{"mispAttribute": "user", "type": "domain", "resolveName": True}]}}))
+    n = len(lines) // batches
+    for k in range(batches):
+        yield lambda k=k: (tmp_path / f"in/{k}.json").write_text("\n".join(lines[k * n : k * n + n]) + "\n")
+
+
+def test_job_with_retried_batches(spark, tmp_path):
+    """The job of a configuration, killed after a batch's matches, events and alerts were written but not committed: nothing counts twice."""
+    lines = [json.dumps(e) for e in logs(90)] + ["{broken"] * 3
+    paths = {k: str(tmp_path / k) for k in ("match_table", "event_table", "alert_table", "checkpoint", "cache_table")}
+    config = load_config_text(tmp_path, {"source": "text", "source_path": str(tmp_path / "in"), "rules": str(tmp_path / "rules"), "enrichment": "true", "intel_map": str(tmp_path / "map.json"), **paths})
+    asked = tmp_path / "asked"
+    asked.mkdir()
+
+    def provider(rows):
+        for v, _, _ in rows:
+            (asked / f"{v}-{uuid.uuid4().hex}").touch()
+        return [(v, t, k, json.dumps([{"event_id": f"i{v}", "category": "c", "attr_tags": ["x"]}]) if v == "a" else "") for v, t, k in rows]
+
+    def go():
+        for q in run(spark, config, provider):
+            assert q.awaitTermination(300)
+            assert q.exception() is None
+
+    for write in job_folders(tmp_path, lines):
+        write()
+        go()
+        for commits in (tmp_path / "checkpoint").rglob("commits"):  # as if the job had died just before it noted the batch
+            for f in [f for f in commits.iterdir() if f.name.strip(".").split(".")[0] == str(max(int(f.name) for f in commits.iterdir() if f.name.isdigit()))]:
+                f.unlink()
+        go()
+    loaded = RuleSet(str(tmp_path / "rules"))
+    loaded.refresh()
+    want = sorted(r["alert_uid"] for r in run_batch(spark.createDataFrame([(x,) for x in lines], "value string"), loaded.compiled()).collect())
+    got = sorted(r["alert_uid"] for kind in ("plain", "fired") for r in spark.read.parquet(f"{tmp_path}/alert_table/{kind}").collect())
+    assert got == want and len(want) > 40
+    events = spark.read.parquet(f"{tmp_path}/event_table").collect()
+    names = [json.loads(x)["user"]["name"] for x in lines[:90]]
+    assert sorted(r["raw"] for r in events) == sorted(lines[:90])
+    assert sum(r["intel_event_id"] == ["ia"] for r in events) == names.count("a") > 0 and all(r["intel_event_id"] is None for r in events if json.loads(r["raw"])["user"]["name"] != "a")
+    assert sorted(f.name.rpartition("-")[0] for f in asked.iterdir()) == ["a", "b"]
+
+
+def load_config_text(tmp_path, values):
+    (tmp_path / "job.properties").write_text("".join(f"{k}={v}\n" for k, v in values.items()))
+    return load_config(str(tmp_path / "job.properties"))
+
+
+def test_forgotten_keys(spark, tmp_path):
+    """A bounded state forgets idle keys; without a bound the batch result is kept (see above)."""
+    lines = [json.dumps(e) for e in logs(40)]
+    for write in job_folders(tmp_path, lines, 2):
+        write()
+        rules = RuleSet(str(tmp_path / "rules"))
+        start_matching(event_source(spark, "text", str(tmp_path / "in"), streaming=True), rules, str(tmp_path / "m"), str(tmp_path / "c1")).awaitTermination(300)
+        for q in start_alerting(spark, str(tmp_path / "m"), str(tmp_path / "alerts"), str(tmp_path / "c2"), max_files=1, forget_after_seconds=86400):
+            assert q.awaitTermination(300)
+            assert q.exception() is None
+    rules = RuleSet(str(tmp_path / "rules"))
+    rules.refresh()
+    want = {r["alert_uid"] for r in run_batch(spark.createDataFrame([(x,) for x in lines], "value string"), rules.compiled()).collect()}
+    assert {r["alert_uid"] for kind in ("plain", "fired") for r in read_alerts(spark, f"{tmp_path}/alerts/{kind}").collect()} == want
+    shutil.rmtree(tmp_path / "m")
+
+
 def test_no_rows_to_fold(spark):
     assert fired(machine_rows(spark, [("a", 1, "1")], "count", ">", 1, 5).limit(0)).count() == 0

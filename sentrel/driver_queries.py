@@ -14,12 +14,12 @@ from pyspark.sql import functions as F
 
 from sentrel.operators import enrich
 from sentrel.operators.alerts import build_alerts
-from sentrel.operators.events import column_resolver, fan_out
+from sentrel.operators.events import column_resolver, fan_out, parse_events, quarantine, variant_resolver
 from sentrel.operators.matching import match_rules
 from sentrel.operators.thresholds import fired, threshold_matches
-from sentrel.plans.rules import FieldMap, compile_rule
+from sentrel.plans.rules import FieldMap, compile_documents, compile_rule
 from sentrel.sources.readers import replay
-from sentrel.streaming.pipeline import detect
+from sentrel.streaming.pipeline import detect, run_batch
 
 COLUMNS = {
     "event.code": "event_type",
@@ -33,6 +33,7 @@ COLUMNS = {
     "blank": "translate(get_json_object(props, '$.k'), '7', '')",
     "text64": "base64(encode(concat('id=', user_id, ';', event_type), 'UTF-8'))",
     "message": "concat(event_type, ' user=', user_id, ' k=', get_json_object(props, '$.k'))",
+    "url.query": "concat('k?', get_json_object(props, '$.k'))",
 }
 PRODUCT = "CASE WHEN user_id % 2 = 0 THEN 'windows' ELSE 'linux' END"
 CATEGORY = "CASE event_type WHEN 'error' THEN 'application' WHEN 'purchase' THEN 'webserver' ELSE 'proxy' END"
@@ -44,7 +45,7 @@ EVENTS = """e AS (
          CASE WHEN user_id % 3 = 0 THEN '203.0.113.' || (user_id % 250) WHEN user_id % 3 = 1 THEN '172.16.0.' || (user_id % 250) ELSE '198.51.100.' || (user_id % 250) END AS src,
          'host' || (user_id % 20) || '.example' AS dns, CAST(floor(value) AS BIGINT) AS bytes, json_extract_string(props, '$.k') AS port,
          nullif(json_extract_string(props, '$.k'), '9') AS rare, base64(encode('id=' || user_id || ';' || event_type)) AS text64,
-         event_type || ' user=' || user_id || ' k=' || json_extract_string(props, '$.k') AS message,
+         event_type || ' user=' || user_id || ' k=' || json_extract_string(props, '$.k') AS message, 'k?' || json_extract_string(props, '$.k') AS query,
          CASE WHEN user_id % 2 = 0 THEN 'windows' ELSE 'linux' END AS product,
          CASE event_type WHEN 'error' THEN 'application' WHEN 'purchase' THEN 'webserver' ELSE 'proxy' END AS category
   FROM events)"""
@@ -90,7 +91,7 @@ _search("wild_both", _one("user.name", "*12*"), "contains(usr, '12')")
 _search("wild_prefix", _one("user.name", "u1*"), "starts_with(usr, 'u1')")
 _search("wild_suffix", _one("user.name", "*7"), "ends_with(usr, '7')")
 _search("wild_inner", _one("client.ip", "10.*.1*"), "regexp_full_match(ip, '10\\..*\\.1.*')")
-_search("wild_literal", _one("client.ip", "10?0*"), "starts_with(ip, '10?0')")
+_search("wild_literal", {"s": {"url.query": "k?1*"}, "f": {"url.query": ["k?7", "kk1", "*k?8"]}, "condition": "s or f"}, "starts_with(query, 'k?1') OR query IN ('k?7', 'k?8')")
 _search("mod_contains", _one("event.code|contains", "rr"), "contains(code, 'rr')")
 _search("mod_contains_list", _one("event.code|contains", ["rr", "cli"]), "contains(code, 'rr') OR contains(code, 'cli')")
 _search("mod_startswith", _one("event.code|startswith", "pur"), "starts_with(code, 'pur')")
@@ -101,7 +102,7 @@ _search("mod_re", _one("client.ip|re", r"10\.0\.[13]\.\d+"), "regexp_full_match(
 _search("mod_base64", _one("text64|base64", "id=4;error"), f"text64 = '{_b64('id=4;error')}'")
 _search("mod_base64offset", _one("text64|base64offset|contains", "error"), "contains(text64, 'ZXJyb3') OR contains(text64, 'Vycm9y') OR contains(text64, 'lcnJvc')")
 _search("keywords_or", {"keywords": ["error user=1", "k=7"], "condition": "keywords"}, "contains(message, 'error user=1') OR contains(message, 'k=7')")
-_search("keywords_all", {"keywords|all": 0, "s": {"message|all": ["error", "k=7"]}, "condition": "s"}, "contains(message, 'error') AND contains(message, 'k=7')")
+_search("keywords_all", {"s": {"keywords|contains|all": ["error", "k=7"]}, "t": {"|all": ["view", "k=3"]}, "condition": "1 of them"}, "(contains(message, 'error') AND contains(message, 'k=7')) OR (contains(message, 'view') AND contains(message, 'k=3'))")
 _search("field_is_message", _one("message", "signup"), "contains(message, 'signup')")
 _search("sel_map_and", {"s": {"event.code": "error", "destination.port": 7}, "condition": "s"}, "code = 'error' AND port = '7'")
 _search("field_list_or", _one("event.code", ["error", "signup"]), "code IN ('error', 'signup')")
@@ -144,6 +145,45 @@ ORACLES["logsource_fanout"] = f"""WITH {EVENTS}, f AS (SELECT event_id, category
 SELECT * FROM f WHERE (category = 'application' AND product = 'windows') OR (category = 'proxy' AND product IS NULL) OR (category IS NULL AND product = 'linux')"""
 
 
+#: A shared part, two rules under its id for other log sources, a list of conditions, and a rule of its own id.
+DOCUMENTS = """
+action: global
+id: shared
+status: test
+detection:
+  s: {event.code: [error, purchase]}
+  condition: s
+---
+logsource: {category: application}
+detection:
+  s: {destination.port: 7}
+---
+logsource: {category: webserver}
+detection:
+  condition: [s and not f, s and f]
+  f: {destination.port: 7}
+---
+id: own
+logsource: {category: proxy, product: linux}
+detection:
+  s: {event.code: view}
+"""
+
+
+def multi_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules, errors = compile_documents(DOCUMENTS)
+    assert not errors
+    return match_rules(events_frame(spark, sf_dir), rules, RESOLVE).select(F.col("event_uid").alias("event_id"), "rule_key", "condition_idx")
+
+
+QUERIES["multi_document"] = multi_document
+ORACLES["multi_document"] = f"""WITH {EVENTS}, m AS (
+  SELECT event_id, 'shared#0' AS rule_key, 0 AS i FROM e WHERE category = 'application' AND code = 'error' AND port = '7'
+  UNION ALL SELECT event_id, CASE WHEN port = '7' THEN 'shared#1#1' ELSE 'shared#1#0' END, CASE WHEN port = '7' THEN 1 ELSE 0 END FROM e WHERE category = 'webserver' AND code = 'purchase'
+  UNION ALL SELECT event_id, 'own#0', 0 FROM e WHERE category = 'proxy' AND product = 'linux' AND code = 'view')
+SELECT event_id, rule_key, CAST(i AS INT) AS condition_idx FROM m"""
+
+
 def multi_rule_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = [rule(_one("destination.port", k), f"port{k}") for k in range(50)] + [rule(_one("event.code", c), c) for c in ("error", "view")]
     return matches(spark, sf_dir, *rules).groupBy("ruleid").agg(F.count("*").alias("n"))
@@ -244,6 +284,17 @@ QUERIES["reopen_on_expiry"] = reopen_on_expiry
 ORACLES["reopen_on_expiry"] = _threshold_sql(_ERR, "usr", "1", "count", ">", 2, 172800, reopen=True)
 
 
+def repeated_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event comes twice: each counts, and each that fires is one row."""
+    e = events_frame(spark, sf_dir)
+    r = compile_rule(rule({"s": {"event.code": "error"}, "condition": "s | count() by user.name > 3", "timeframe": "3d"}))
+    return fired(match_rules(e.unionAll(e), r, RESOLVE)).select(F.col("event_uid").alias("event_id"), "agg_value")
+
+
+QUERIES["repeated_events"] = repeated_events
+ORACLES["repeated_events"] = _threshold_sql(_ERR, "usr", "1", "count", ">", 3, 259200).replace("FROM events)", "FROM (SELECT * FROM events UNION ALL SELECT * FROM events))")
+
+
 def half_a_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An aggregation without a timeframe, or the other way round, never alerts; the third rule does."""
     a, b, c = ({"s": {"event.code": "error"}, "condition": x} for x in ("s | count() by user.name > 1", "s", "s"))
@@ -357,3 +408,71 @@ def keyword_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["keyword_documents"] = keyword_documents
 ORACLES["keyword_documents"] = "SELECT 'd' || doc_id AS event_id FROM documents WHERE contains(text, 'token = ') OR contains(text, 'password') UNION ALL SELECT 'p' || page_id FROM pages WHERE regexp_full_match(url, 'https(?s:.*)/(?s:.*)1(?s:.*)')"
+
+# ---- events as JSON text --------------------------------------------------------------------------------------------
+
+
+def _json_text(k: str, created: str) -> str:
+    """An event as JSON, or a line that is none, in words that both engines read: a number that may be a number, a string or inside an array, and a
+    field that may be null or missing."""
+    return f"""CASE event_id % 50 WHEN 0 THEN '{{"broken' WHEN 1 THEN '[1, 2]' ELSE concat('{{"event":{{"created":"', {created}, '","code":"', event_type, '"}},"logsource":{{"product":"',
+  CASE WHEN user_id % 2 = 0 THEN 'windows' ELSE 'linux' END, '","service":"s"}},"user":{{"name":"u', user_id, '"}},"client":{{"bytes":', CAST(floor(value) AS BIGINT), '}},"port":',
+  CASE CAST({k} AS INT) % 3 WHEN 0 THEN {k} WHEN 1 THEN concat('"', {k}, '"') ELSE concat('[', {k}, ']') END,
+  CASE {k} WHEN '9' THEN ',"rare":null' WHEN '8' THEN '' ELSE concat(',"rare":"', {k}, '"') END, '}}') END"""
+
+
+def json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    created = "date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss.SSS'Z'\")"
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select(F.expr(_json_text("get_json_object(props, '$.k')", created)).alias("value"))
+
+
+_TEXT = f"""t AS (SELECT event_id, json_extract_string(props, '$.k') AS k, 'u' || user_id AS usr, user_id, event_type AS code, CAST(floor(value) AS BIGINT) AS bytes,
+  {_json_text("json_extract_string(props, '$.k')", "strftime(ts, '%Y-%m-%dT%H:%M:%S.') || lpad(CAST(epoch_us(ts) // 1000 % 1000 AS VARCHAR), 3, '0') || 'Z'")} AS text FROM events),
+j AS (SELECT *, CASE WHEN CAST(k AS INT) % 3 < 2 THEN k END AS port, CASE WHEN k NOT IN ('8', '9') THEN k END AS rare FROM t WHERE event_id % 50 > 1)"""
+
+
+def _json_search(name: str, rules: dict[str, tuple[dict, str]]) -> None:
+    """Which events which of the rules (by id: rule, where) match; events are told by the hash of their text."""
+    compiled = [c for i, (r, _) in rules.items() for c in compile_rule(r | {"id": i})]
+    QUERIES[name] = lambda spark, sf_dir: match_rules(parse_events(json_lines(spark, sf_dir)).where("v is not null"), compiled, variant_resolver()).select("event_uid", "ruleid")
+    ORACLES[name] = f"WITH {_TEXT} " + " UNION ALL ".join(f"SELECT sha256(text) AS event_uid, '{i}' AS ruleid FROM j WHERE {where}" for i, (_, where) in rules.items())
+
+
+def _leaf(field: str, value, condition: str = "s", **more) -> dict:
+    return {"detection": _one(field, value, condition)} | more
+
+
+_json_search("json_leaves", {
+    "number": (_leaf("port", 7), "port = '7'"), "numbers": (_leaf("port", [3, "4", 5]), "port IN ('3', '4')"), "start": (_leaf("port|startswith", 1), "starts_with(port, '1')"),
+    "other": (_leaf("port", 3, "not s"), "port IS DISTINCT FROM '3'"), "bytes": (_leaf("client.bytes", 12), "bytes = 12"), "name": (_leaf("user.name|contains|all", ["1", "2"]), "contains(usr, '1') AND contains(usr, '2')"),
+    "object": (_leaf("user", "*"), "false"), "linux": (_leaf("event.code", "err*", logsource={"product": "linux", "service": "other"}), "code = 'error' AND user_id % 2 = 1"),
+})
+_json_search("json_null_vs_missing", {
+    "null": (_leaf("rare", None), "rare IS NULL"), "some": (_leaf("rare", "*"), "rare IS NOT NULL"), "either": (_leaf("rare", [None, 3]), "rare IS NULL OR rare = '3'"), "array": (_leaf("port", None), "false"),
+    "no_array": (_leaf("port", None, "not s"), "true"), "absent": (_leaf("no.such.path", None), "true"), "text": (_leaf("rare", "null"), "false"),
+})
+
+
+def json_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quarantine(parse_events(json_lines(spark, sf_dir))).groupBy("raw").agg(F.count("*").alias("n"))
+
+
+def json_alert_event(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alerts of JSON text carry the text and those of the rule's fields that it has."""
+    r = compile_rule(_leaf("event.code", "error", id="ja", status="stable", fields=["user.name", "rare", "port", "absent"]))
+    fields = F.array_join(F.transform(F.array_sort(F.map_entries("fields")), lambda x: F.concat_ws("=", x["key"], x["value"])), ",")
+    return run_batch(json_lines(spark, sf_dir), r, clock=False).select("alert_uid", "rule_id", "rule_status", fields.alias("fields"), "rule_event")
+
+
+def json_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both kinds of rules over JSON text in one run."""
+    rules = compile_rule({"id": "js", "detection": {"s": {"event.code": "purchase"}, "condition": "s | sum(client.bytes) by user.name > 100", "timeframe": "4d"}}) + compile_rule(_leaf("port", 7, id="plain"))
+    return run_batch(json_lines(spark, sf_dir), rules, clock=False).select("alert_uid", "rule_id", "agg_value")
+
+
+QUERIES |= {"json_quarantine": json_quarantine, "json_alert_event": json_alert_event, "json_threshold": json_threshold}
+ORACLES["json_quarantine"] = f"WITH {_TEXT} SELECT text AS raw, count(*) AS n FROM t WHERE event_id % 50 < 2 GROUP BY text"
+ORACLES["json_alert_event"] = f"""WITH {_TEXT} SELECT sha256('ja#0|' || sha256(text)) AS alert_uid, 'ja' AS rule_id, 'stable' AS rule_status,
+  concat(CASE WHEN port IS NOT NULL THEN 'port=' || port || ',' END, CASE WHEN rare IS NOT NULL THEN 'rare=' || rare || ',' END, 'user.name=', usr) AS fields, text AS rule_event FROM j WHERE code = 'error'"""
+ORACLES["json_threshold"] = f"""WITH {_TEXT}, f AS ({_threshold_sql("code = 'purchase' AND event_id % 50 > 1", "usr", "bytes", "sum", ">", 100, 345600).partition('  --')[0]})
+SELECT sha256('js#0|' || sha256(text)) AS alert_uid, 'js' AS rule_id, agg_value FROM f JOIN t USING (event_id) UNION ALL SELECT sha256('plain#0|' || sha256(text)), 'plain', NULL FROM j WHERE port = '7'"""

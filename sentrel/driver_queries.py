@@ -388,7 +388,7 @@ def replay_by_date(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES |= {"enrich_public_ip": enrich_public_ip, "enrich_intel": enrich_intel, "enrich_dns": enrich_dns, "enriched_then_match": enriched_then_match, "replay_by_date": replay_by_date}
 _ASKED = "q AS (SELECT event_id, 'source.ip' AS field, src AS value, 'tor' AS tag, 'ip-src' AS kind FROM e WHERE NOT starts_with(src, '172.16.') UNION ALL SELECT event_id, 'source.ip', src, 'c2', 'ip-dst' FROM e UNION ALL SELECT event_id, 'dns.name', dns, 'c2d', 'domain' FROM e)"
 _INTEL = """i AS (SELECT CASE c_custkey % 3 WHEN 0 THEN 'tor' WHEN 1 THEN 'c2' ELSE 'c2d' END AS tag, CAST(c_custkey AS VARCHAR) AS eid, c_mktsegment AS category, 'n' || c_nationkey AS t,
-  CASE WHEN c_custkey % 3 = 2 THEN 'host' || (c_custkey % 20) || '.example' WHEN c_custkey % 2 = 0 THEN '203.0.113.' || (c_custkey % 250) ELSE '172.16.0.' || (c_custkey % 250) END AS value FROM customer WHERE c_custkey < 600)"""
+  CASE WHEN c_custkey % 3 = 2 THEN 'host' || (c_custkey % 20) || '.example' WHEN c_custkey % 2 = 0 THEN '203.0.113.' || (c_custkey % 250) ELSE '172.16.0.' || (c_custkey % 250) END AS value FROM customer)"""
 _HITS = """h AS (SELECT event_id, string_agg(eid, ',' ORDER BY eid) AS ids, list_sort(list_distinct(list(category))) AS cats, list_sort(list_distinct(flatten(list([t, 't'])))) AS tags FROM q JOIN i USING (tag, value) GROUP BY event_id)"""
 ORACLES["enrich_public_ip"] = f"WITH {EVENTS}, {_ASKED} SELECT field, tag, value, count(*) AS n FROM q GROUP BY ALL"
 ORACLES["enrich_intel"] = f"WITH {EVENTS}, {_ASKED}, {_INTEL}, {_HITS} SELECT event_id, ids AS intel_event_id, array_to_string(cats, ',') AS intel_attribute_category, array_to_string(tags, ',') AS intel_attribute_tags FROM e LEFT JOIN h USING (event_id)"

@@ -62,6 +62,71 @@ def test_sites_shrink(spark):
     assert quality.good_documents(spark, df.limit(0), labels).count() == 0
 
 
+def quality_by_hand(rows, labels):
+    """rows: (id, text, host, path). (id, p_doc, host_rate, path_rate, p_quality) of each, by loops over all rows."""
+    said = {}
+    for i, q in labels:
+        if i is not None and q in (0, 1):
+            said.setdefault(i, set()).add(q)
+    x = {t: quality.text_features(t) for _, t, *_ in rows}
+    known = sorted((i, tuple(x[t]), min(said[i])) for i, t, *_ in rows if len(said.get(i, ())) == 1)
+    w, b = quality.fit_logistic(np.array([k[1] for k in known]).reshape(-1, len(quality.FEATURES)), np.array([k[2] for k in known], float))
+    e = [float(np.clip(x[t] @ w + b, -quality.CLIP, quality.CLIP)) for _, t, *_ in rows]
+    p = [1 / (1 + math.exp(-v)) for v in e]
+    mu = sum(p) / len(p)
+
+    def pulled(groups, rate_of):
+        """How many documents the parent counts for, by the spread of the groups' rates beyond chance."""
+        n = sum(len(g) for g in groups.values())
+        between = sum(len(g) * (sum(g) / len(g) - rate_of(k)) ** 2 for k, g in groups.items())
+        chance = sum(rate_of(k) * (1 - rate_of(k)) for k in groups)
+        excess = (between - chance) / n
+        top = sum(len(g) * rate_of(k) * (1 - rate_of(k)) for k, g in groups.items()) / n
+        return min(max(top / excess - 1, 1.0), 1e6) if excess > 0 else 1e6
+
+    hosts, paths = {}, {}
+    for (_, _, h, q), v in zip(rows, p, strict=True):
+        hosts.setdefault(h, []).append(v)
+        paths.setdefault((h, q), []).append(v)
+    k = pulled(hosts, lambda h: mu)
+    host = {h: (sum(g) + k * mu) / (len(g) + k) for h, g in hosts.items()}
+    m = pulled(paths, lambda hq: host[hq[0]])
+    logit = lambda v: math.log(v / (1 - v))
+    out = []
+    for (i, t, h, q), ev, v in zip(rows, e, p, strict=True):
+        host_rate = (sum(hosts[h]) - v + k * mu) / (len(hosts[h]) - 1 + k)
+        path_rate = (sum(paths[h, q]) - v + m * host_rate) / (len(paths[h, q]) - 1 + m)
+        out.append((i, v, host_rate, path_rate, 1 / (1 + math.exp(-(ev + logit(path_rate) - logit(mu)))) if x[t][0] > 0 else 0.0))
+    return out
+
+
+def test_quality_query_by_hand(spark, tmp_path):
+    r = np.random.default_rng(4)
+    text = lambda good: " ".join(str(r.choice(["the", "river", "house", "went", "small", "over"] if good else ["zz", "QQ9", "$$", "1234", "zz"])) for _ in range(int(r.integers(5, 60))))
+    rows = []
+    for i in range(150):
+        host = [None, "a", "b", "c"][int(r.integers(0, 4))]
+        rows.append((i if i % 40 else None, text(r.random() < {"a": 0.95, "b": 0.2}.get(host, 0.6)), host, [None, "en", "de"][int(r.integers(0, 3))]))
+    rows += [(200, None, "a", "en"), (201, "", "b", None), (5, "again the river", "a", "en"), (5, "again the river", "a", "en")]
+    labels = [(i, int("zz" not in (t or "zz"))) for i, t, *_ in rows[:80]] + [(7, 0), (7, 1), (9, None), (11, 5), (None, 1)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(*v, 0) for v in labels], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = sorted(([-1 if v["doc_id"] is None else v["doc_id"], v["p_doc"], v["host_rate"], v["path_rate"], v["p_quality"], v["keep"]] for v in quality.op3_quality(spark, str(tmp_path)).collect()), key=lambda v: [round(z, 7) for z in v])
+    want = sorted(([-1 if i is None else i, *v, v[-1] >= quality.KEEP_FROM] for i, *v in quality_by_hand(rows, labels)), key=lambda v: [round(z, 7) for z in v])
+    assert np.array(got, float) == pytest.approx(np.array(want, float), abs=1e-9) and len({v[-1] for v in got}) == 2
+
+
+def test_logistic_regression_is_at_its_optimum():
+    r = np.random.default_rng(1)
+    x = r.normal(size=(200, 5)) * [1, 10, 0.1, 3, 1] + 2
+    side = x @ [1, 0.1, -4, 0.3, 0] + r.normal(size=200)
+    y = (side > np.median(side)).astype(float)
+    w, b = quality.fit_logistic(x, y)
+    z, v = (x - x.mean(0)) / x.std(0), w * x.std(0)
+    left = y - 1 / (1 + np.exp(-(x @ w + b)))
+    assert np.abs(z.T @ left - v).max() < 1e-5 and abs(left.sum()) < 1e-4
+
+
 def test_features_of_odd_texts():
     for t in (None, "", " \n", "x", "\ud800 lone", "word " * 100000):
         f = quality.text_features(t)

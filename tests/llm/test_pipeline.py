@@ -2,11 +2,12 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
-from sentrel.llm.decontaminate import words_of
-from sentrel.llm.quality import KEEP_FROM, fit_quality
+from sentrel.llm.quality import KEEP_FROM
 
 from .test_decontaminate import brute as contaminated
+from .test_models import quality_by_hand
 from .test_ngram_join import brute as groups
+from .test_sharding_mixing import mix_walk, walk
 
 SF = "/root/testdata/sf0.001"
 
@@ -35,9 +36,9 @@ def ids(df):
 
 def test_each_stage_on_its_own_input(spark, steps):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
-    model = fit_quality(spark, steps["start"], labels)
-    good = model.score(model.rows, "x").where(F.col("p_quality") >= KEEP_FROM)
-    assert ids(steps["quality"]) == sorted(r["id"] for r in good.collect())
+    rows = [(r["doc_id"], r["text"], r["source"], r["lang"]) for r in steps["start"].collect()]
+    judged = quality_by_hand(rows, [(r["doc_id"], r["quality"]) for r in labels.collect()])
+    assert ids(steps["quality"]) == sorted(i for i, *_, p in judged if p >= KEEP_FROM)
     known = {r["doc_id"] for r in labels.where("quality = 1").collect()} & set(ids(steps["start"]))
     assert len(known & set(ids(steps["quality"]))) >= 0.98 * len(known)
 
@@ -49,15 +50,12 @@ def test_each_stage_on_its_own_input(spark, steps):
     hit = contaminated([t for _, t in rows], items)
     assert ids(steps["decontamination"]) == sorted(i for i, t in rows if not hit[t][1]) and any(h[1] for h in hit.values())
 
-    n = {r["doc_id"]: len(words_of(r["text"])) for r in steps["decontamination"].collect()}
-    counts = {r["doc_id"]: r["count"] for r in steps["mixing"].groupBy("doc_id").count().collect()}
-    assert set(counts) <= set(n) and max(counts.values()) <= 2
+    rows = [(r["doc_id"], r["text"], r["source"]) for r in steps["decontamination"].collect()]
+    assert ids(steps["mixing"]) == sorted(i for i, _, c in mix_walk(rows)[1] for _ in range(c))
 
-    assert ids(steps["sharding"]) == ids(steps["mixing"])
-    slots = {}
-    for r in steps["sharding"].collect():
-        slots.setdefault(r["shard"], []).append(r["slot"])
-    assert all(sorted(v) == list(range(len(v))) for v in slots.values()) and set(slots) <= set(range(40))
+    rows = steps["mixing"].select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("at"), F.octet_length(F.coalesce("text", F.lit(""))).alias("n")).collect()
+    placed = sorted((r["doc_id"], r["shard"], r["slot"]) for r in steps["sharding"].collect())
+    assert placed == sorted((i, shard, slot) for i, _, shard, slot in walk([(r["at"], r["doc_id"], r["n"] + 16) for r in rows], 40))
 
 
 def test_run_is_the_stages(spark, steps):

@@ -63,10 +63,8 @@ def water_filled(sizes):
         capped |= set(over)
 
 
-def test_mix_against_sorting(spark):
-    rnd = random.Random(8)
-    rows = [(i, " ".join("w" * 1 for _ in range(rnd.randint(0, 60))), rnd.choice(["hot"] * 5 + ["b", "c", None, ""])) for i in range(400)] + [(None, None, "b"), (3, "again and again", "c"), (3, "again and again", "c"), (900, "z " * 9000, "hot")]
-    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, source string, target int")
+def mix_walk(rows):
+    """rows: (id, text, source). (targets by source, sorted (id or -1, words, copies)), by one walk over each source in order of hash."""
     n = lambda t: len((t or "").encode().split())
     key = lambda i, t: hashlib.md5(f"{'-' if i is None else i}|{hashlib.md5((t or '').encode()).hexdigest()}".encode()).hexdigest()[:15]
     sizes = {}
@@ -74,7 +72,7 @@ def test_mix_against_sorting(spark):
         sizes[s] = sizes.get(s, 0) + n(t)
     targets, want = water_filled(sizes), []
     for s, target in targets.items():
-        own = sorted((key(i, t), n(t), i) for i, t, x in rows if x == s) if None not in [i for i, t, x in rows if x == s] else sorted(((key(i, t), n(t), -1 if i is None else i) for i, t, x in rows if x == s))
+        own = [(key(i, t), n(t), -1 if i is None else i) for i, t, x in rows if x == s]
         whole = math.floor(target / sizes[s]) if sizes[s] else 0
         left, upto, sums = target - whole * sizes[s], 0, {}
         for h, k, _ in own:
@@ -89,9 +87,17 @@ def test_mix_against_sorting(spark):
             else:
                 take[h] = 0
         want += [(i, k, min(2, whole + take[h])) for h, k, i in own]
+    return targets, sorted(want)
+
+
+def test_mix_against_sorting(spark):
+    rnd = random.Random(8)
+    rows = [(i, " ".join("w" * 1 for _ in range(rnd.randint(0, 60))), rnd.choice(["hot"] * 5 + ["b", "c", None, ""])) for i in range(400)] + [(None, None, "b"), (3, "again and again", "c"), (3, "again and again", "c"), (900, "z " * 9000, "hot")]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, source string, target int")
+    targets, want = mix_walk(rows)
     plan = mix_plan(spark, df)
     got = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["__size"], r["__copies"]) for r in plan.collect())
-    assert got == sorted(want)
+    assert got == want
     assert {r["source"]: round(r["__target"], 6) for r in plan.select("source", "__target").distinct().collect()} == {s: round(t, 6) for s, t in targets.items()}
     out = mixed(spark, df)
     assert out.columns == df.columns and out.count() == sum(c for _, _, c in want)

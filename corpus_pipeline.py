@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sentrel.llm.common import Scratch, table
+from sentrel.llm.common import Scratch, own_columns, table
 from sentrel.llm.decontaminate import without_benchmark
 from sentrel.llm.mixing import mixed
 from sentrel.llm.ngram_join import first_of_each_group
@@ -35,9 +35,9 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents with their shard and slot; columns of those names are replaced."""
-    rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("row"))
+    rows = docs.select("doc_id", "text", F.struct(*own_columns(docs)).alias("row"))
     placed = assign_shards(spark, rows, keep=("row",))
-    return placed.select(*[F.col(f"row.`{c}`") for c in docs.columns if c not in ("shard", "slot")], "shard", "slot")
+    return placed.select(*[F.col("row")[c].alias(c) for c in docs.columns if c not in ("shard", "slot")], "shard", "slot")
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("mixing", mixing), ("sharding", sharding)]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,6 +26,11 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(ARROW_ROWS, "1000")
 
 
+def own_columns(df: DataFrame, *but: str) -> list[Column]:
+    """df's columns by name, whatever characters the names have, without those in `but`."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in df.columns if c not in but]
+
+
 def with_fields(df: DataFrame, **more: T.DataType) -> T.StructType:
     """df's schema and further columns, whatever characters the names of columns and nested fields have."""
     return T.StructType([*df.schema.fields, *[T.StructField(n, t) for n, t in more.items()]])

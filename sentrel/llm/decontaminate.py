@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches, table, with_fields
+from .common import own_columns, small_batches, table, with_fields
 
 WINDOW = 10
 #: Benchmark words held in a task at once; a larger benchmark is searched in several passes over the documents' batches.
@@ -240,8 +240,8 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs in which no benchmark window occurs."""
-    names = ("__words", "__spans", "__items")
-    return find_contamination(spark, docs, benchmark, names=names).where(F.size("__spans") == 0).select(docs.columns)
+    rows = docs.select(F.struct(*own_columns(docs)).alias("row"), F.col("text").cast("string").alias("text"))
+    return find_contamination(spark, rows, benchmark).where(F.size("spans") == 0).select("row.*")
 
 
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"

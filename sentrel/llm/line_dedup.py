@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import HOT_PART, Scratch, join_by_key, small_batches, table
+from .common import HOT_PART, Scratch, join_by_key, own_columns, small_batches, table
 from .sharding import with_prefix_sums
 
 MIN_WORDS = 50
@@ -122,7 +122,7 @@ def remove_repeated_lines(spark: SparkSession, docs: DataFrame, id_col: str = "d
     scratch = Scratch(spark)
     own = docs.drop("n_lines", "n_removed")
     text = F.col(text_col).cast("string")
-    rest = [f"`{c}`" for c in own.columns if c != text_col]
+    rest = own_columns(own, text_col)
     keyed = own.select((F.struct(*rest) if rest else F.lit(0)).alias("row"), text.alias("text"), F.md5(text).alias("h"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("id"))
     texts = keyed.where("text is not null").select("h", "id", "text")
     schema = "h string, id long, words long, lo array<long>, hi array<long>, fwd array<int>, back array<int>"

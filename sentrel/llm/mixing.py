@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import Scratch, checked_broadcast, table
+from .common import Scratch, checked_broadcast, own_columns, table
 
 WEIGHTS, SHARE, REPEATS = (5, 2, 1), 1.5, 2
 DIGITS, STEP = 15, 3  # hex digits of the hash, and those that one histogram resolves
@@ -98,7 +98,7 @@ def mix_plan(spark: SparkSession, docs: DataFrame, weights: tuple = WEIGHTS, sha
     there. An empty table gives no rows.
     """
     scratch, docs = Scratch(spark), docs.drop(*_RESULTS)
-    row, text = F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.col(f"`{text_col}`")
+    row, text = F.struct(*own_columns(docs)), F.col(f"`{text_col}`")
     each = docs.select(row.alias("row"), source_key(F.col(f"`{source_col}`")).alias("key"), F.col(f"`{source_col}`").alias("source"), row_hash(F.col(f"`{id_col}`"), text).alias("h"), n_words(text).alias("size"))
     sized = scratch.write(each.drop("row"), "sized")
     found = cuts(scratch, sized, weights, share, repeats)
@@ -118,11 +118,9 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mixed(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """docs with each row as often as the mix takes it."""
-    clash = [c for c in docs.columns if c in _RESULTS]
-    named = docs.withColumnsRenamed({c: f"{c}__own" for c in clash})
-    plan = mix_plan(spark, named).where("__copies > 0")
-    out = plan.select(*[F.col(f"`{c}`") for c in named.columns], F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__copies"))
-    return out.drop("__copies").toDF(*docs.columns)
+    rows = docs.select(F.struct(*own_columns(docs, "text")).alias("row"), *[F.col(c) for c in ("doc_id", "text", "source")])
+    plan = mix_plan(spark, rows).where("__copies > 0").select("*", F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__copy"))
+    return plan.select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 ORACLE = """

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import HOT_PART, Scratch, checked_broadcast, components, join_by_key, small_batches, table
+from .common import HOT_PART, Scratch, checked_broadcast, components, join_by_key, own_columns, small_batches, table
 
 WORDS, PERCENT = 5, 80
 RARE = 3  # documents that share a block, up to which all their pairs are emitted
@@ -352,13 +352,13 @@ def first_of_each_group(spark: SparkSession, docs: DataFrame) -> DataFrame:
     join = _Join(spark, docs, "doc_id", "text", WORDS, PERCENT)
     (groups, _), scratch = join.run(), join.scratch
     gone = scratch.write(groups.where("n > 0 and id <> component").select(F.col("id").alias("doc_id")).distinct(), "gone")
-    kept = docs.join(checked_broadcast(gone), "doc_id", "left_anti").select(docs.columns)
+    kept = docs.join(checked_broadcast(gone), "doc_id", "left_anti").select(*own_columns(docs))
     repeated = scratch.write(groups.where("id is not null and n > 0").groupBy("id").agg(F.count("*").alias("k")).where("k > 1").select(F.col("id").alias("doc_id")), "repeated")
     scratch.keep(gone, repeated)
     if not repeated.take(1):
         return kept
     repeated = checked_broadcast(repeated)
-    return kept.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(kept.join(repeated, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]))
+    return kept.join(repeated, "doc_id", "left_anti").select(*own_columns(docs)).union(kept.join(repeated, "doc_id", "left_semi").select(*own_columns(docs)).dropDuplicates(["doc_id"]))
 
 
 ORACLE = """

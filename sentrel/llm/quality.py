@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, checked_broadcast, hash_sample, small_batches, table, with_fields
+from .common import Scratch, checked_broadcast, hash_sample, own_columns, small_batches, table, with_fields
 
 TRAIN_ROWS = 20_000  # labelled documents that the regression is fitted on, at most: those of smallest hash
 KEEP_FROM = 0.1  # a document goes only at odds of nine to one against it
@@ -107,7 +107,7 @@ class QualityModel:
 
     def __init__(self, spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, site: tuple[str, str], train_rows: int, keep: bool = False):
         self.scratch, self.site = Scratch(spark), site
-        kept = [F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("row")] if keep and len(docs.columns) > 1 else []
+        kept = [F.struct(*own_columns(docs, text_col)).alias("row")] if keep else []
         rows = docs.select(F.col(id_col).cast("long").alias("id"), *self.keys(docs), *kept, F.col(text_col).cast("string").alias("text"))
         rows = with_features(spark, rows)
         self.rows = self.scratch.write(rows if keep else rows.drop("text"), "features")

@@ -1,7 +1,12 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
+from sentrel.llm import language_id, secrets, token_counts
+from sentrel.llm.decontaminate import find_contamination
+from sentrel.llm.line_dedup import remove_repeated_lines
+from sentrel.llm.ngram_join import first_of_each_group
 from sentrel.llm.quality import KEEP_FROM
 
 from .test_decontaminate import brute as contaminated
@@ -63,11 +68,30 @@ def test_run_is_the_stages(spark, steps):
     assert key(cp.run(spark, SF)) == key(steps["sharding"])
 
 
+ODD = ("shard", "p_doc", "x", "row", "id", "size", "at", "part", "key", "__spans", "__copies", "__size", "cut", "first", "a b", "a.b", "c`d")
+
+
 def test_odd_rows_and_clashing_columns(spark, tmp_path):
-    rows = [(None, None, None, None, 0, 1, "x"), (1, "", "en", "s", 0, 2, "y"), (1, "words to keep here", "en", "s", 1, 3, "z"), (2, "words to keep here", None, None, 1, 4, "w")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, shard long, p_doc string")
+    rows = [(None, None, None, None, 0), (1, "", "en", "s", 0), (1, "words to keep here", "en", "s", 1), (2, "words to keep here", None, None, 1)]
+    docs = spark.createDataFrame([(*r, *[f"own {c}" for c in ODD]) for r in rows], ["doc_id", "text", "lang", "source", "n_chars", *ODD])
+    docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
     for k, (_, f) in enumerate(cp.STAGES):
         f(spark, docs, SF).write.parquet(str(tmp_path / str(k)))
         docs = spark.read.parquet(str(tmp_path / str(k)))
-    assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "p_doc", "shard", "slot"]
-    assert {r["text"] for r in docs.collect()} <= {"words to keep here"}
+    assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", *ODD[1:], "shard", "slot"]
+    got = docs.collect()
+    assert {r["text"] for r in got} == {"words to keep here"} and all(r[c] == f"own {c}" for r in got for c in ODD[1:])
+
+
+def test_operators_keep_any_columns(spark):
+    names = [c for c in ODD if not set(c) & set("`.")]  # which mapInArrow doesn't take
+    docs = spark.createDataFrame([(1, "token = abcdef12 and more", *names), (2, None, *names)], ["doc_id", "text", *names])
+    bench = spark.createDataFrame([(1, "token abcdef12 and")], "item_id long, text string")
+    model = language_id.PieceModel(["en"], {"a": 1}, np.full((2, 1), 0.5), np.array([1.0]))
+    for out, more in (
+        (token_counts.count_tokens(spark, docs), ["n_words", "n_tokens"]), (find_contamination(spark, docs, bench), ["words", "spans", "items"]),
+        (secrets.find_secrets(spark, docs, secrets.CharNetwork()), ["spans"]), (language_id.identify_languages(spark, docs, model), ["lang_pred", "score"]),
+        (remove_repeated_lines(spark, docs), ["n_lines", "n_removed"]), (first_of_each_group(spark, docs), []),
+    ):
+        assert out.columns == ["doc_id", "text", *names, *more]
+        assert sorted((r["doc_id"], *[r[c] for c in names]) for r in out.collect()) == [(1, *names), (2, *names)]

@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 
 from sentrel.operators import enrich
 from sentrel.operators.alerts import build_alerts
-from sentrel.operators.events import column_resolver, fan_out, parse_events, quarantine, variant_resolver
+from sentrel.operators.events import column_resolver, fan_out, parse_events, quarantine, utc, variant_resolver
 from sentrel.operators.matching import match_rules
+from sentrel.operators.near import near_matches
+from sentrel.operators.rule_index import match_rules_indexed
 from sentrel.operators.thresholds import fired, threshold_matches
 from sentrel.plans.rules import FieldMap, compile_documents, compile_rule
 from sentrel.sources.readers import replay
@@ -34,6 +36,7 @@ COLUMNS = {
     "text64": "base64(encode(concat('id=', user_id, ';', event_type), 'UTF-8'))",
     "message": "concat(event_type, ' user=', user_id, ' k=', get_json_object(props, '$.k'))",
     "url.query": "concat('k?', get_json_object(props, '$.k'))",
+    "ended": "concat(event_type, CASE WHEN user_id % 2 = 0 THEN chr(10) ELSE '' END)",
 }
 PRODUCT = "CASE WHEN user_id % 2 = 0 THEN 'windows' ELSE 'linux' END"
 CATEGORY = "CASE event_type WHEN 'error' THEN 'application' WHEN 'purchase' THEN 'webserver' ELSE 'proxy' END"
@@ -45,7 +48,7 @@ EVENTS = """e AS (
          CASE WHEN user_id % 3 = 0 THEN '203.0.113.' || (user_id % 250) WHEN user_id % 3 = 1 THEN '172.16.0.' || (user_id % 250) ELSE '198.51.100.' || (user_id % 250) END AS src,
          'host' || (user_id % 20) || '.example' AS dns, CAST(floor(value) AS BIGINT) AS bytes, json_extract_string(props, '$.k') AS port,
          nullif(json_extract_string(props, '$.k'), '9') AS rare, base64(encode('id=' || user_id || ';' || event_type)) AS text64,
-         event_type || ' user=' || user_id || ' k=' || json_extract_string(props, '$.k') AS message, 'k?' || json_extract_string(props, '$.k') AS query,
+         event_type || ' user=' || user_id || ' k=' || json_extract_string(props, '$.k') AS message, 'k?' || json_extract_string(props, '$.k') AS query, event_type || CASE WHEN user_id % 2 = 0 THEN chr(10) ELSE '' END AS ended,
          CASE WHEN user_id % 2 = 0 THEN 'windows' ELSE 'linux' END AS product,
          CASE event_type WHEN 'error' THEN 'application' WHEN 'purchase' THEN 'webserver' ELSE 'proxy' END AS category
   FROM events)"""
@@ -53,8 +56,7 @@ EVENTS = """e AS (
 
 def events_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    created = F.col("ts").cast("timestamp") if spark.conf.get("spark.sql.session.timeZone") == "UTC" else F.to_utc_timestamp(F.col("ts").cast("timestamp"), "UTC")
-    return e.withColumns({"event_uid": F.col("event_id"), "created": created, "logsource": F.struct(F.expr(CATEGORY).alias("category"), F.expr(PRODUCT).alias("product"))})
+    return e.withColumns({"event_uid": F.col("event_id"), "created": utc(F.col("ts")), "logsource": F.struct(F.expr(CATEGORY).alias("category"), F.expr(PRODUCT).alias("product"))})
 
 
 def rule(detection: dict, ruleid: str = "r", **more) -> dict:
@@ -104,6 +106,7 @@ _search("mod_base64offset", _one("text64|base64offset|contains", "error"), "cont
 _search("keywords_or", {"keywords": ["error user=1", "k=7"], "condition": "keywords"}, "contains(message, 'error user=1') OR contains(message, 'k=7')")
 _search("keywords_all", {"s": {"keywords|contains|all": ["error", "k=7"]}, "t": {"|all": ["view", "k=3"]}, "condition": "1 of them"}, "(contains(message, 'error') AND contains(message, 'k=7')) OR (contains(message, 'view') AND contains(message, 'k=3'))")
 _search("field_is_message", _one("message", "signup"), "contains(message, 'signup')")
+_search("full_match_line_end", {"s": {"ended|re": "err.r"}, "t": {"ended": ["vi*w", "*ur*ase"]}, "condition": "1 of them"}, "ended IN ('error', 'view', 'purchase')")
 _search("sel_map_and", {"s": {"event.code": "error", "destination.port": 7}, "condition": "s"}, "code = 'error' AND port = '7'")
 _search("field_list_or", _one("event.code", ["error", "signup"]), "code IN ('error', 'signup')")
 _search("list_of_maps", {"s": [{"event.code": ["error", "view"], "destination.port": 7}, {"user.name": "u3"}], "condition": "s"}, "(code IN ('error', 'view') AND port = '7') OR usr = 'u3'")
@@ -126,6 +129,49 @@ def cond_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["cond_list"] = cond_list
 ORACLES["cond_list"] = f"WITH {EVENTS} SELECT event_id, CAST(CASE WHEN port = '7' THEN 0 ELSE 1 END AS INT) AS condition_idx FROM e WHERE code = 'error'"
 
+def _indexed_rule(i: int) -> dict:
+    """Rules of six kinds: values, texts inside values, exclusions, patterns, alternatives of two log sources, nulls."""
+    kinds = (
+        {"s": {"destination.port": [i % 10, f"x{i}"], "user.name|endswith": str(i % 100)}, "condition": "s"},
+        {"s": {"message|contains": f"user={i} "}, "condition": "s"},
+        {"s": {"client.ip|startswith": f"10.0.{i % 4}.{i % 25}"}, "f": {"event.code": ["error", "view"]}, "condition": "s and not f"},
+        {"s": {"user.name|re": rf"u{i % 7}\d+{i % 10}"}, "condition": "s"},
+        {"s": [{"user.name": f"u{i}"}, {"event.code": "purchase", "destination.port": i % 12}], "condition": "s"},
+        {"s": {"event.code": "signup", "user.name|contains": str(i % 50)}, "f": {"rare": None}, "condition": "s and not f"},
+    )
+    return rule(kinds[i % 6], f"r{i}", logsource={"product": ("windows", "linux")[i // 6 % 2]} if i % 6 == 4 else {})
+
+
+INDEXED = [_indexed_rule(i) for i in range(240)]
+
+
+def rule_index_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = match_rules_indexed(events_frame(spark, sf_dir), [c for r in INDEXED for c in compile_rule(r)], RESOLVE)
+    return found.select(F.col("event_uid").alias("event_id"), "rule_key")
+
+
+QUERIES["rule_index_match"] = rule_index_match
+ORACLES["rule_index_match"] = f"""WITH {EVENTS} SELECT event_id, 'r' || i || '#0' AS rule_key FROM e, range(240) r(i) WHERE CASE i % 6
+  WHEN 0 THEN port = (i % 10)::varchar AND ends_with(usr, (i % 100)::varchar) WHEN 1 THEN contains(message, 'user=' || i || ' ')
+  WHEN 2 THEN starts_with(ip, '10.0.' || (i % 4) || '.' || (i % 25)) AND code NOT IN ('error', 'view') WHEN 3 THEN regexp_full_match(usr, 'u' || (i % 7) || '\\d+' || (i % 10))
+  WHEN 4 THEN product = CASE i // 6 % 2 WHEN 0 THEN 'windows' ELSE 'linux' END AND (usr = 'u' || i OR (code = 'purchase' AND port = (i % 12)::varchar))
+  ELSE code = 'signup' AND contains(usr, (i % 50)::varchar) AND rare IS NOT NULL END"""
+
+NEAR = rule({"s": {"event.code": "error"}, "b": {"event.code": "purchase"}, "c": {"event.code": "signup"}, "condition": ["s | near b and not c by user.name within 12h", "s | near (b and c) or not b"], "timeframe": "5m"}, "near")
+
+
+def near_within(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors with a purchase but no signup of their user within 12 hours; errors that have both, or no purchase, within 5 minutes."""
+    rules = compile_rule(NEAR)
+    found = match_rules(events_frame(spark, sf_dir), rules, RESOLVE).select("event_uid", "created", "rule_key", "group_value", "condition_idx")
+    return near_matches(found, rules).select(F.col("event_uid").alias("event_id"), "condition_idx")
+
+
+_other = lambda code, ms, same="": f"EXISTS (SELECT 1 FROM e o WHERE o.code = '{code}' AND o.ms BETWEEN e.ms - {ms} AND e.ms + {ms}{same})"
+QUERIES["near_within"] = near_within
+ORACLES["near_within"] = f"""WITH {EVENTS} SELECT event_id, CAST(0 AS INT) AS condition_idx FROM e WHERE code = 'error' AND {_other('purchase', 43200000, ' AND o.usr = e.usr')} AND NOT {_other('signup', 43200000, ' AND o.usr = e.usr')}
+  UNION ALL SELECT event_id, CAST(1 AS INT) FROM e WHERE code = 'error' AND (({_other('purchase', 300000)} AND {_other('signup', 300000)}) OR NOT {_other('purchase', 300000)})"""
+
 ROUTED = [rule(_one("destination.port", 7), "both", logsource={"category": "Application", "product": "windows"}), rule(_one("destination.port", 7), "cat", logsource={"category": "proxy", "service": "x"}), rule(_one("destination.port", 7), "prod", logsource={"product": "linux"}), rule(_one("destination.port", 7), "any")]
 
 
@@ -308,7 +354,7 @@ ORACLES["half_a_threshold"] = f"WITH {EVENTS} SELECT event_id, 'c' AS ruleid FRO
 
 def lineitem_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same engine on another table: quantity of a supplier within 30 days of shipping."""
-    t = spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumns({"event_uid": F.format_string("%d-%d", "l_orderkey", "l_linenumber"), "created": F.col("l_shipdate").cast("timestamp"), "logsource": F.struct(F.lit(None).cast("string").alias("category"), F.lit(None).cast("string").alias("product"))})
+    t = spark.read.parquet(f"{sf_dir}/lineitem.parquet").withColumns({"event_uid": F.format_string("%d-%d", "l_orderkey", "l_linenumber"), "created": utc(F.col("l_shipdate")), "logsource": F.struct(F.lit(None).cast("string").alias("category"), F.lit(None).cast("string").alias("product"))})
     resolve = column_resolver({"flag": "l_returnflag", "supplier": "l_suppkey", "quantity": "cast(floor(l_quantity) as bigint)"})
     r = compile_rule(rule({"s": {"flag": "R"}, "condition": "s | sum(quantity) by supplier > 200", "timeframe": "1M"}))
     found = fired(match_rules(t, r, resolve))

@@ -77,26 +77,46 @@ def regex_escape(text: str) -> str:
     return "".join("\\" + c if c in r"\.^$|?*+()[]{}" else c for c in text)
 
 
-def _pattern_sql(ref: str, p: Pattern, fold: bool) -> str:
+@dataclass(frozen=True)
+class Leaf:
+    """One comparison of a field. kind: null, present, equals, contains, starts, ends or regex; fold: of the field's value in lower case."""
+
+    kind: str
+    path: str
+    text: str = ""
+    fold: bool = False
+
+
+def _pattern_leaf(path: str, p: Pattern, fold: bool) -> Leaf:
     if p.regex:
-        return f"{ref} RLIKE {sql_string(('(?i)' if fold else '') + '^(?:' + p.text + ')$')}"
+        return Leaf("regex", path, ("(?i)" if fold else "") + "^(?:" + p.text + r")\z")
     text = p.text
     left, right = p.open_left, p.open_right
     if not p.literal:
         left, right = left or text.startswith("*"), right or text.endswith("*")
         text = text.strip("*")
     if fold:
-        ref, text = f"lower({ref})", text.lower()
+        text = text.lower()
     if "*" in text and not p.literal:
         body = ".*".join(regex_escape(x) for x in text.split("*"))
-        return f"{ref} RLIKE {sql_string('(?s)^' + '.*' * left + body + '.*' * right + '$')}"
+        return Leaf("regex", path, "(?s)^" + ".*" * left + body + ".*" * right + r"\z", fold)
     if not text and (left or right):
+        return Leaf("present", path)
+    return Leaf("contains" if left and right else "ends" if left else "starts" if right else "equals", path, text, fold)
+
+
+def leaf_sql(t: Leaf) -> str:
+    """May be null where the field is."""
+    ref, text = field_sql(t.path), sql_string(t.text)
+    if t.fold:
+        ref = f"lower({ref})"
+    if t.kind == "null":
+        return f"({ref} IS NULL AND NOT coalesce({field_sql(t.path + '#nested')}, false))"
+    if t.kind == "present":
         return f"{ref} IS NOT NULL"
-    if left and right:
-        return f"contains({ref}, {sql_string(text)})"
-    if left or right:
-        return f"{'endswith' if left else 'startswith'}({ref}, {sql_string(text)})"
-    return f"{ref} = {sql_string(text)}"
+    if t.kind in ("equals", "regex"):
+        return f"{ref} {'=' if t.kind == 'equals' else 'RLIKE'} {text}"
+    return f"{'contains' if t.kind == 'contains' else t.kind + 'with'}({ref}, {text})"
 
 
 def scalar_text(value) -> str:
@@ -106,14 +126,10 @@ def scalar_text(value) -> str:
     return str(int(value)) if isinstance(value, float) else str(value)
 
 
-def value_sql(path: str, value, modifiers: list[str], fold: bool = False, plain: bool = False) -> str:
-    """One value of a field. Null matches a missing or null field; a field that is an array or object matches nothing.
-
-    plain: may be null instead of false, which a filter takes alike and can hand on to the source.
-    """
-    ref = field_sql(path)
+def value_leaves(path: str, value, modifiers: list[str], fold: bool = False) -> list[Leaf]:
+    """One value of a field, as tests of which any may hold. Null matches a missing or null field; a field that is an array or object matches nothing."""
     if value is None:
-        return f"({ref} IS NULL AND NOT coalesce({field_sql(path + '#nested')}, false))"
+        return [Leaf("null", path)]
     patterns = [Pattern(scalar_text(value))]
     for m in modifiers:
         if m == "all":
@@ -123,8 +139,16 @@ def value_sql(path: str, value, modifiers: list[str], fold: bool = False, plain:
         patterns = _MODIFIERS[m](patterns)
     if path == MESSAGE:
         patterns = [replace(p, open_left=True, open_right=True) if not p.regex else p for p in patterns]
-    parts = [_pattern_sql(ref, p, fold) for p in patterns]
-    return f"({' OR '.join(parts)})" if plain else f"coalesce({' OR '.join(parts)}, false)"
+    return [_pattern_leaf(path, p, fold) for p in patterns]
+
+
+def value_sql(path: str, value, modifiers: list[str], fold: bool = False, plain: bool = False) -> str:
+    """The tests of a value as SQL. plain: may be null instead of false, which a filter takes alike and can hand on to the source."""
+    tests = value_leaves(path, value, modifiers, fold)
+    if value is None:
+        return leaf_sql(tests[0])
+    parts = " OR ".join(map(leaf_sql, tests))
+    return f"({parts})" if plain else f"coalesce({parts}, false)"
 
 
 def field_values_sql(path: str, values, modifiers: list[str], fold: bool = False, plain: bool = False) -> str:

@@ -6,6 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def utc_text(at: Column) -> Column:
+    """A timestamp in ISO form with milliseconds, in UTC whatever the session's zone."""
+    ms = F.unix_millis(at)
+    whole = F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'") + F.make_dt_interval(secs=(ms - F.pmod(ms, F.lit(1000))) / 1000)
+    return F.concat(F.translate(F.substring(whole.cast("string"), 1, 19), " ", "T"), F.lit("."), F.lpad(F.pmod(ms, F.lit(1000)).cast("string"), 3, "0"), F.lit("Z"))
+
+
 def event_fields(matches: DataFrame) -> Column:
     """Those of the rule's fields that the event has, by path."""
     names = [f.name for f in matches.schema["f"].dataType.fields if not f.name.endswith("#nested") and f.name != "none"]
@@ -24,4 +31,4 @@ def build_alerts(matches: DataFrame, payload: str | None = "raw", clock: bool =
         F.sha2(F.concat_ws("|", "rule_key", F.col("event_uid").cast("string")), 256).alias("alert_uid"), F.col("ruleid").alias("rule_id"), "condition_idx", "rule_name", "rule_status", "rule_level",
         "tags", fields.alias("fields"), *([F.col(payload).cast("string").alias("rule_event")] if payload else []), *(["agg_value"] if "agg_value" in matches.columns else []),
     )
-    return out.withColumn("alert_processing_time", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")) if clock else out
+    return out.withColumn("alert_processing_time", utc_text(F.current_timestamp())) if clock else out

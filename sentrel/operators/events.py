@@ -8,13 +8,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Resolver = Callable[[str], tuple[Column, Column]]
-CREATED = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
+CREATED = "yyyy-MM-dd'T'HH:mm:ss.SSSXXX"  # the zone is `Z` or an offset, whatever the session's
+
+
+def utc(local: Column) -> Column:
+    """The instant that a TIMESTAMP_NTZ names in UTC, whatever the session's zone."""
+    return F.timestamp_micros(F.timestamp_diff("MICROSECOND", F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'"), local))
 
 
 def parse_events(raw: DataFrame, text_col: str = "value") -> DataFrame:
     """raw, v (VARIANT), event_uid, created, logsource. Text that isn't a JSON object has v null: see `quarantine`.
 
-    event_uid is the SHA-256 of the text, so that a replay gives the same alerts; equal texts are one event.
+    event_uid is the SHA-256 of the text, so that a replay gives the same alerts; equal texts have one id, but are events each.
     """
     text = F.col(text_col).cast("string")
     v = F.try_parse_json(text)

@@ -25,10 +25,19 @@ def rules_frame(spark, rules: list[CompiledRule]) -> DataFrame:
     return spark.createDataFrame(rows, META)
 
 
-def _hits(rules: list[tuple[int, CompiledRule]]) -> Column:
+def hit_of(i: int, r: CompiledRule) -> Column:
+    """The match of an event with rule i, or null."""
     ref = lambda path: F.expr(field_sql(path)) if path else F.lit(None).cast("string")
-    one = lambda i, r: F.when(F.expr(r.predicate), F.struct(F.lit(i).alias("rule_no"), ref(r.agg_path).alias("agg_raw"), ref(r.group_path).alias("group_value")))
-    return F.array(*[one(i, r) for i, r in rules])
+    return F.when(F.expr(r.predicate), F.struct(F.lit(i).alias("rule_no"), ref(r.agg_path).alias("agg_raw"), ref(r.group_path).alias("group_value")))
+
+
+def here_of(r: CompiledRule) -> Column:
+    """Whether an event is of the rule's log source."""
+    here = F.lit(True)
+    for name, value in (("category", r.category), ("product", r.product)):
+        if value is not None:
+            here = here & (F.col("logsource")[name] == value)
+    return here
 
 
 def match_rules(events: DataFrame, rules: list[CompiledRule], resolve: Resolver) -> DataFrame:
@@ -43,12 +52,9 @@ def match_rules(events: DataFrame, rules: list[CompiledRule], resolve: Resolver)
     for i, r in enumerate(rules):
         by_source.setdefault((r.category, r.product), []).append((i, r))
     groups, some_rule, none = [], F.lit(False), F.array().cast(f"array<{MATCH}>")
-    for (category, product), some in by_source.items():
-        here = F.lit(True)
-        for name, value in (("category", category), ("product", product)):
-            if value is not None:
-                here = here & (F.col("logsource")[name] == value)
-        groups.append(F.when(here, _hits(some)).otherwise(none))
+    for some in by_source.values():
+        here = here_of(some[0][1])
+        groups.append(F.when(here, F.array(*[hit_of(i, r) for i, r in some])).otherwise(none))
         some_rule = some_rule | (here & reduce(or_, [F.expr(r.prefilter) for _, r in some]))
     if 0 < len(rules) <= PUSHED_RULES:
         own = own.where(some_rule)

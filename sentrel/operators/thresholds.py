@@ -116,7 +116,7 @@ ARRAY_ROWS = 2_000
 #: Keys up to which a list of them is broadcast.
 BROADCAST_KEYS = 100_000
 
-_NUMBER = "CASE WHEN agg_fn NOT IN ('count', 'uniquecount') AND e.agg_raw RLIKE '^[+-]?[0-9]+$' THEN try_cast(e.agg_raw AS bigint) END"
+_NUMBER = "CASE WHEN agg_fn NOT IN ('count', 'uniquecount') AND e.agg_raw RLIKE '^[+-]?[0-9]+\\\\z' THEN try_cast(e.agg_raw AS bigint) END"
 #: A first event opens a state, if it has the value that the function needs.
 _OPEN = f"""named_struct('t0', CASE WHEN agg_fn = 'count' OR (agg_fn = 'uniquecount' AND e.agg_raw IS NOT NULL) OR (agg_fn NOT IN ('count', 'uniquecount') AND e.x IS NOT NULL) THEN e.created_ms END,
   'n', 1L, 's', e.x, 'seen', CASE WHEN agg_fn = 'uniquecount' THEN array(e.agg_raw) ELSE CAST(array() AS array<string>) END, 'fired', acc.fired)"""

@@ -14,9 +14,9 @@ from pathlib import Path
 
 import yaml
 
-from sentrel.functions.predicates import MESSAGE, field_values_sql, value_sql
+from sentrel.functions.predicates import MESSAGE, field_values_sql, value_sql, value_leaves
 
-from .conditions import AggSpec, condition_sql, split_condition, timeframe_seconds
+from .conditions import AggSpec, Near, Tree, condition_sql, condition_tree, split_condition, split_near, timeframe_seconds
 
 log = logging.getLogger(__name__)
 
@@ -55,6 +55,7 @@ class CompiledRule:
     product: str | None
     predicate: str
     prefilter: str  # true wherever the predicate is; without NOT it is in a form that a source's filter takes
+    tree: Tree = field(compare=False, repr=False)  # the predicate's tests
     paths: tuple[str, ...]
     null_paths: tuple[str, ...]
     agg: AggSpec | None
@@ -62,6 +63,8 @@ class CompiledRule:
     group_path: str | None
     timeframe_sec: int | None
     useful: tuple[str, ...]
+    near: Near | None = None  # of a rule whose matches count only near others
+    term_of: str | None = None  # the key of such a rule, of whose terms this is one
 
     @property
     def never_alerts(self) -> bool:
@@ -119,8 +122,9 @@ def build_field_map(rule: dict, global_map: dict[str, str]) -> FieldMap:
         for part in sel if isinstance(sel, list) else [sel]:
             names += [k.split("|")[0] for k in part] if isinstance(part, dict) else [name]
     for c in _conditions(rule):
-        agg = split_condition(c)[1]
-        names += [x for x in (agg.field, agg.group) if x] if agg else []
+        near = split_near(c, list(_selections(rule)), 0)[1]
+        agg = None if near else split_condition(c)[1]
+        names += [x for x in (agg.field, agg.group) if x] if agg else [near.group] if near and near.group else []
     look = lambda xs: {x: global_map.get(x, MESSAGE) for x in dict.fromkeys(xs)}
     return FieldMap(look(names), look(strings(rule.get("fields"))))
 
@@ -134,45 +138,87 @@ def write_field_map(path: Path, rule: dict, m: FieldMap) -> None:
     path.write_text(json.dumps({"id": rule.get("id"), "map": {"detection": m.detection, "fields": m.fields}}, indent=2))
 
 
+class _Sql:
+    """Selections as SQL text."""
+
+    def __init__(self, fold: bool, plain: bool = False):
+        self.fold, self.plain = fold, plain
+
+    def value(self, path: str, value, modifiers: list[str]) -> str:
+        return value_sql(path, value, modifiers, self.fold, self.plain)
+
+    def values(self, path: str, values, modifiers: list[str]) -> str:
+        return field_values_sql(path, values, modifiers, self.fold, self.plain)
+
+    def every(self, parts: list[str]) -> str:
+        return "(" + " AND ".join(parts) + ")" if parts else "true"
+
+    def some(self, parts: list[str]) -> str:
+        return "(" + " OR ".join(parts) + ")" if parts else "false"
+
+
+class _Trees:
+    """Selections as trees of tests."""
+
+    def __init__(self, fold: bool):
+        self.fold = fold
+
+    def value(self, path: str, value, modifiers: list[str]) -> Tree:
+        return ("or", value_leaves(path, value, modifiers, self.fold))
+
+    def values(self, path: str, values, modifiers: list[str]) -> Tree:
+        if not isinstance(values, list):
+            return self.value(path, values, modifiers)
+        return ("and" if "all" in modifiers and values else "or", [self.value(path, v, modifiers) for v in values])
+
+    def every(self, parts: list[Tree]) -> Tree:
+        return ("and", parts)
+
+    def some(self, parts: list[Tree]) -> Tree:
+        return ("or", parts)
+
+
 class _Compiler:
-    def __init__(self, fields: FieldMap | None, fold: bool, plain: bool = False):
-        self.fields, self.fold, self.plain, self.paths, self.nulls = fields, fold, plain, {}, {}
+    def __init__(self, fields: FieldMap | None, form: _Sql | _Trees):
+        self.fields, self.form, self.paths, self.nulls = fields, form, {}, {}
 
     def path(self, name: str) -> str:
         found = None if self.fields is None else self.fields.detection.get(name)
         if found is None:
-            if self.fields is not None:
+            if self.fields is not None and isinstance(self.form, _Sql):
                 log.warning("field %s is not mapped; its own name is used", name)
             found = MESSAGE if name in ("", KEYWORDS) else name
         self.paths[found] = None
         return found
 
-    def keyword(self, name: str, value) -> str:
+    def keyword(self, name: str, value):
         path = MESSAGE if self.fields is None else self.fields.detection.get(name, MESSAGE)
         self.paths[path] = None
-        return value_sql(path, value, ["contains"], self.fold, self.plain)
+        return self.form.value(path, value, ["contains"])
 
-    def map_sql(self, sel: dict) -> str:
+    def fields_of(self, sel: dict):
         parts = []
         for key, value in sel.items():
             name, *modifiers = str(key).split("|")
             path = self.path(name)
             if value is None or isinstance(value, list) and None in value:
                 self.nulls[path] = None
-            parts.append(field_values_sql(path, value, modifiers, self.fold, self.plain))
-        return "(" + " AND ".join(parts) + ")" if parts else "true"
+            parts.append(self.form.values(path, value, modifiers))
+        return self.form.every(parts)
 
-    def selection_sql(self, name: str, sel) -> str:
+    def selection(self, name: str, sel):
         if isinstance(sel, dict):
-            return self.map_sql(sel)
-        parts = [self.map_sql(x) if isinstance(x, dict) else self.keyword(name, x) for x in (sel if isinstance(sel, list) else [sel])]
-        return "(" + " OR ".join(parts) + ")" if parts else "false"
+            return self.fields_of(sel)
+        return self.form.some([self.fields_of(x) if isinstance(x, dict) else self.keyword(name, x) for x in (sel if isinstance(sel, list) else [sel])])
+
+    def selections(self, rule: dict) -> dict:
+        return {n: self.selection(n, s) for n, s in _selections(rule).items()}
 
 
 def compile_rule(rule: dict, fields: FieldMap | None = None, case_insensitive: bool = False, part: int = 0) -> list[CompiledRule]:
     """One compiled rule per condition, with the key id#condition, or id#part#condition for a later rule of a file that repeats the id.
 
-    Raises RuleError with the reason.
+    A condition with `near` has one more for each of its terms, with the key of its own, `~` and the term. Raises RuleError with the reason.
     """
     try:
         if not rule.get("id"):
@@ -181,22 +227,34 @@ def compile_rule(rule: dict, fields: FieldMap | None = None, case_insensitive: b
         if not _conditions(rule):
             raise RuleError("no condition")
         frame = timeframe_seconds(detection["timeframe"]) if detection.get("timeframe") is not None else None
+        names = strings(rule.get("fields"))
+        useful = tuple(dict.fromkeys(names if fields is None else [fields.fields[n] for n in names if n in fields.fields]))
+        lower = lambda x: str(x).lower() if x is not None else None
+        about = (str(rule.get("title") or ""), str(rule.get("status") or "experimental"), rule.get("level"), tuple(strings(rule.get("tags"))), lower(source.get("category")), lower(source.get("product")))
+
+        def searched(key: str, k: int, text: str, agg: AggSpec | None, frame: int | None, group: str | None = None, **more) -> CompiledRule:
+            c = _Compiler(fields, _Sql(case_insensitive))
+            predicate = condition_sql(text, c.selections(rule))
+            tree = condition_tree(text, _Compiler(fields, _Trees(case_insensitive)).selections(rule))
+            plain = _Compiler(fields, _Sql(case_insensitive, plain=True))
+            prefilter = predicate if re.search(r"(?i)\bnot\b", text) else condition_sql(text, plain.selections(rule))
+            agg_path = c.path(agg.field) if agg and agg.field else None
+            group = agg.group if agg else group
+            group_path = c.path(group) if group else None
+            return CompiledRule(key, str(rule["id"]), k, *about, predicate, prefilter, tree, tuple(c.paths), tuple(c.nulls), agg, agg_path, group_path, frame, useful, **more)
+
         out = []
         for k, text in enumerate(_conditions(rule)):
-            c = _Compiler(fields, case_insensitive)
+            key = f"{rule['id']}#{part}#{k}" if part else f"{rule['id']}#{k}"
+            search, near = split_near(text, list(_selections(rule)), frame)
+            if near:
+                out.append(searched(key, k, search, None, None, near.group, near=near))
+                out += [searched(f"{key}~{n}", k, n, None, None, near.group, term_of=key) for n in near.terms]
+                continue
             search, agg = split_condition(text)
-            predicate = condition_sql(search, {n: c.selection_sql(n, s) for n, s in _selections(rule).items()})
-            plain = _Compiler(fields, case_insensitive, plain=True)
-            prefilter = predicate if re.search(r"(?i)\bnot\b", search) else condition_sql(search, {n: plain.selection_sql(n, s) for n, s in _selections(rule).items()})
-            agg_path = c.path(agg.field) if agg and agg.field else None
-            group_path = c.path(agg.group) if agg and agg.group else None
-            names = strings(rule.get("fields"))
-            useful = tuple(dict.fromkeys(names if fields is None else [fields.fields[n] for n in names if n in fields.fields]))
-            lower = lambda x: str(x).lower() if x is not None else None
-            made = CompiledRule(f"{rule['id']}#{part}#{k}" if part else f"{rule['id']}#{k}", str(rule["id"]), k, str(rule.get("title") or ""), str(rule.get("status") or "experimental"), rule.get("level"), tuple(strings(rule.get("tags"))), lower(source.get("category")), lower(source.get("product")), predicate, prefilter, tuple(c.paths), tuple(c.nulls), agg, agg_path, group_path, frame, useful)
-            if made.never_alerts:
-                log.warning("rule %s never alerts: it has only one of aggregation and timeframe", made.key)
-            out.append(made)
+            out.append(searched(key, k, search, agg, frame))
+            if out[-1].never_alerts:
+                log.warning("rule %s never alerts: it has only one of aggregation and timeframe", key)
         return out
     except RuleError:
         raise

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sentrel.operators.events import utc
+
 from .config import Config
 
 
@@ -51,9 +55,15 @@ def event_source(spark: SparkSession, kind: str, where: str | Config, streaming:
     raise ValueError(f"source {kind}")
 
 
+def instant(text: str) -> Column:
+    """A date or time as an instant: in UTC unless it names a zone."""
+    named = re.search(r"(?:Z|[+-]\d\d:?\d\d)$", text.strip())
+    return F.lit(text).cast("timestamp") if named else utc(F.lit(text).cast("timestamp_ntz"))
+
+
 def replay(events: DataFrame, since: str | None = None, until: str | None = None) -> DataFrame:
     """Events created in [since, until): detection on the past is the same code on a batch frame."""
     out = events
     if since is not None:
-        out = out.where(F.col("created") >= F.lit(since).cast("timestamp"))
-    return out if until is None else out.where(F.col("created") < F.lit(until).cast("timestamp"))
+        out = out.where(F.col("created") >= instant(since))
+    return out if until is None else out.where(F.col("created") < instant(until))

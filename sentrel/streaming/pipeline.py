@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import logging
 from collections.abc import Callable
 from pathlib import Path
 
@@ -13,7 +14,8 @@ from pyspark.sql.streaming import StreamingQuery
 from sentrel.operators import enrich
 from sentrel.operators.alerts import build_alerts, event_fields
 from sentrel.operators.events import Resolver, parse_events, variant_resolver
-from sentrel.operators.matching import match_rules
+from sentrel.operators.near import near_matches
+from sentrel.operators.rule_index import match
 from sentrel.operators.thresholds import fired, threshold_matches
 from sentrel.plans.rules import CompiledRule, RuleSet, load_rules
 from sentrel.scratch import Scratch, settings
@@ -23,6 +25,8 @@ from sentrel.sources.sinks import Sink, append_events, to_format, upsert_alerts,
 
 from .thresholds import fired_stream
 
+log = logging.getLogger(__name__)
+
 #: Columns of a match that a threshold or an alert needs; `fields` holds the rule's useful fields by then.
 _KEY = "event_uid string, created timestamp, rule_key string"
 _THRESHOLD = "agg_fn string, agg_field boolean, agg_by boolean, agg_raw string, group_value string, op string, threshold long, timeframe_sec long"
@@ -33,13 +37,16 @@ _names = lambda ddl: [x.strip().partition(" ")[0] for x in ddl.replace("map<stri
 
 def match_rows(events: DataFrame, rules: list[CompiledRule], resolve: Resolver, payload: str = "raw") -> DataFrame:
     """Matches with what a threshold or an alert needs of them, and no more."""
-    found = match_rules(events, rules, resolve)
+    found = match(events, rules, resolve)
     return found.withColumn("fields", event_fields(found)).withColumn("raw", F.col(payload).cast("string")).select(*_names(MATCH_ROW))
 
 
 def detect(events: DataFrame, rules: list[CompiledRule], resolve: Resolver | None = None, payload: str = "raw", clock: bool = True, reopen_on_expiry: bool = False) -> DataFrame:
     """Alerts of a batch of events: match, threshold, project. Events are read and held against the rules once."""
     found = match_rows(events, rules, resolve or variant_resolver(), payload)
+    if any(r.near for r in rules):
+        found = near_matches(Scratch(events.sparkSession).write(found, "found"), rules)
+        rules = [r for r in rules if not r.term_of]
     if not any(r.agg or r.timeframe_sec is not None for r in rules):
         return build_alerts(found.withColumn("agg_value", F.lit(None).cast("long")), "raw", clock)
     if all(r.agg or r.timeframe_sec is not None for r in rules):
@@ -52,6 +59,15 @@ def run_batch(raw: DataFrame, rules: list[CompiledRule], clock: bool = True) ->
     return detect(parse_events(raw).where("v is not null"), rules, clock=clock)
 
 
+def live_rules(rules: RuleSet) -> list[CompiledRule]:
+    """Rules that can be decided from one event and the state of a key. Those with `near` need the events after theirs: `detect` has them."""
+    found = rules.compiled()
+    for r in found:
+        if r.near:
+            log.warning("rule %s has `near` and is left out of the live job", r.key)
+    return [r for r in found if not r.near and not r.term_of]
+
+
 def start_matching(raw: DataFrame, rules: RuleSet, match_table: str, checkpoint: str, resolve: Resolver | None = None, trigger: dict | None = None) -> StreamingQuery:
     """First stage: matches of each micro-batch, under the rules of that moment, to a table. Changed rule files count from the next micro-batch on.
 
@@ -61,7 +77,7 @@ def start_matching(raw: DataFrame, rules: RuleSet, match_table: str, checkpoint:
     def write(batch: DataFrame, batch_id: int) -> None:
         rules.refresh()
         events = parse_events(batch).where("v is not null")
-        write_once(match_rows(events, rules.compiled(), resolve or variant_resolver()), match_table, batch_id)
+        write_once(match_rows(events, live_rules(rules), resolve or variant_resolver()), match_table, batch_id)
 
     return raw.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 

@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 from sentrel.driver_queries import ORACLES, QUERIES
+from sentrel.scratch import settings
 
 SF = "/root/testdata/sf0.001"
 
@@ -33,6 +34,12 @@ def test_query_against_sql(spark, duck, name):
     same(spark, duck, name, QUERIES[name], ORACLES[name])
 
 
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_query_in_another_zone(spark, duck, name):
+    with settings(spark, {"spark.sql.session.timeZone": "Europe/Berlin"}):
+        same(spark, duck, name, QUERIES[name], ORACLES[name])
+
+
 def test_every_customer_is_looked_up(spark, tmp_path):
     """More customers than 600, so that a lookup table that is cut by id loses hits."""
     for name in ("events", "customer"):

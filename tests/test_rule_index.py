@@ -1,0 +1,149 @@
+import json
+import random
+from datetime import datetime, timedelta, timezone
+
+import pytest
+from pyspark.sql import functions as F
+
+from sentrel.operators import rule_index
+from sentrel.operators.alerts import utc_text
+from sentrel.operators.events import parse_events, variant_resolver
+from sentrel.operators.matching import match_rules
+from sentrel.operators.near import near_matches
+from sentrel.operators.rule_index import choices, depth, file_rules, match, match_rules_indexed, program
+from sentrel.plans.rules import compile_rule
+from sentrel.scratch import settings
+from sentrel.streaming.pipeline import detect, run_batch
+
+WORDS = ["ab", "abc", "bca", "a", "", "Abcd", "x*y", "été", "abcabcabc", "line\n", "7", "12", "'q'", "C:\\dir"]
+
+
+def random_events(rnd, n):
+    out = []
+    for i in range(n):
+        value = lambda: rnd.choice([*WORDS, None, 7, 12.5, True, ["a"], {"b": 1}])
+        e = {"n": i, "u": {"v": value()}, "w": value(), "message": rnd.choice(WORDS) + " " + rnd.choice(WORDS)}
+        e |= {"logsource": {k: rnd.choice(("p", "q")) for k in ("category", "product") if rnd.random() < 0.6}}
+        out.append({k: v for k, v in e.items() if rnd.random() < 0.9 or k in ("n", "logsource")})
+    return out
+
+
+def random_rule(rnd, i):
+    def value():
+        return rnd.choice([*WORDS, "*b*", "a*", "*c", "*", "a*c", None, 7, 12])
+
+    def selection():
+        if rnd.random() < 0.15:
+            return [rnd.choice([w for w in WORDS if w]) for _ in range(rnd.randint(1, 2))]
+        one = lambda: {f"{rnd.choice(('u.v', 'w', 'message', 'absent'))}{rnd.choice(('', '', '|contains', '|startswith', '|endswith', '|contains|all', '|re'))}": None for _ in range(rnd.randint(1, 2))}
+        maps = []
+        for _ in range(rnd.choice((1, 1, 2))):
+            m = {}
+            for k in one():
+                m[k] = "a.*|7" if k.endswith("|re") else [value() or "b" for _ in range(rnd.randint(0, 3))] if rnd.random() < 0.4 else value() if "|" not in k else value() or "a"
+            maps.append(m)
+        return maps if len(maps) > 1 else maps[0]
+
+    condition = rnd.choice(("s1", "s1 and s2", "s1 or s2", "s1 and not s2", "not s1", "1 of them", "all of s*", "s1 and (s2 or not s3)", "not (s1 or s2) and s3"))
+    source = {k: rnd.choice(("p", "q")) for k in ("category", "product") if rnd.random() < 0.3}
+    return {"id": f"r{i}", "logsource": source, "detection": {"s1": selection(), "s2": selection(), "s3": selection(), "condition": condition}}
+
+
+def of(df):
+    return sorted((json.loads(r["raw"])["n"], r["rule_key"], r["agg_raw"], r["group_value"]) for r in df.select("raw", "rule_key", "agg_raw", "group_value").collect())
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_index_against_the_projection(spark, seed):
+    rnd = random.Random(seed)
+    events = parse_events(spark.createDataFrame([(json.dumps(e),) for e in random_events(rnd, 250)] * 2, "value string")).where("v is not null")
+    rules = [c for i in range(60) for c in compile_rule(random_rule(rnd, i), case_insensitive=i % 3 == 0)]
+    rules += [c for c in compile_rule({"id": "agg", "detection": {"s": {"w": "a*"}, "condition": "s | sum(u.v) by message > 3", "timeframe": "1d"}})]
+    want, got = match_rules(events, rules, variant_resolver()), match_rules_indexed(events, rules, variant_resolver())
+    assert sorted(want.columns) == sorted(got.columns)
+    assert of(got) == of(want) and len(of(got)) > 100
+
+
+def test_deep_programs_and_no_rules(spark, monkeypatch):
+    monkeypatch.setattr(rule_index, "DEEPEST", 1)
+    events = parse_events(spark.createDataFrame([(json.dumps(e),) for e in random_events(random.Random(9), 60)], "value string"))
+    rules = [c for i in range(20) for c in compile_rule(random_rule(random.Random(i), i))]
+    assert of(match_rules_indexed(events, rules, variant_resolver())) == of(match_rules(events, rules, variant_resolver()))
+    assert match_rules_indexed(events, [], variant_resolver()).count() == match_rules(events, [], variant_resolver()).count() == 0
+
+
+def test_many_rules_go_through_the_index(spark, monkeypatch):
+    events = parse_events(spark.createDataFrame([(json.dumps(e),) for e in random_events(random.Random(2), 80)], "value string"))
+    rules = [c for i in range(25) for c in compile_rule(random_rule(random.Random(i), i))]
+    plan = lambda: match(events, rules, variant_resolver())._jdf.queryExecution().analyzed().toString()
+    assert "rule_key_text" not in plan()
+    found = of(match(events, rules, variant_resolver()))
+    monkeypatch.setattr(rule_index, "INDEXED_RULES", 25)
+    assert "rule_key_text" in plan() and of(match(events, rules, variant_resolver())) == found
+
+
+def test_rules_are_filed_under_what_few_share():
+    make = lambda i, s, c="s": compile_rule({"id": i, "detection": s | {"condition": c}})[0]
+    rules = [make("a", {"s": {"x": 1, "y|contains": "abcdef"}}), make("b", {"s": {"x": 1}}), make("c", {"s": {"y|contains": ["abcd", "zz"]}}), make("d", {"s": {"x": 2}, "t": {"y": None}}, "not s or t"), make("e", {"s": {"y": "*a*b*"}})]
+    filed, bare = file_rules(rules)
+    assert filed[0] in ([(4, "y", False, "bcde")], [(4, "y", False, "cdef")]) and filed[1] == [(0, "x", False, "1")]
+    assert filed[2] == [(2, "y", False, "zz"), (4, "y", False, "abcd")] and bare == [3, 4]
+    assert choices(make("f", {"s": {"x": []}}).tree) == []
+    assert depth(program(rules[0].tree, {"x": 0, "y": 1})) == 2
+
+
+NEAR = {"id": "n", "detection": {"a": {"k": "a"}, "b": {"k": "b"}, "c": {"k": "c"}, "timeframe": "10s"}}
+
+
+def near_by_hand(events, within_ms, grouped, test):
+    out = []
+    for i, t, k, g in events:
+        if k == "a" and t is not None and (g is not None or not grouped):
+            close = lambda name: any(k2 == name and t2 is not None and abs(t2 - t) <= within_ms and (not grouped or g2 == g) for _, t2, k2, g2 in events)
+            if test(close):
+                out.append(i)
+    return sorted(out)
+
+
+@pytest.mark.parametrize(
+    "condition, within, grouped, test",
+    [
+        ("a | near b", 10_000, False, lambda n: n("b")),
+        ("a | near b and not c by g", 10_000, True, lambda n: n("b") and not n("c")),
+        ("a | near b or c by g within 3s", 3_000, True, lambda n: n("b") or n("c")),
+        ("a | near not b within 0s", 0, False, lambda n: not n("b")),
+        ("a | near a and b by g within 1m", 60_000, True, lambda n: n("a") and n("b")),
+    ],
+)
+def test_near_against_all_pairs(spark, condition, within, grouped, test):
+    rnd = random.Random(7)
+    events = [(i, None if i % 23 == 0 else rnd.randint(-40, 400) * 500, rnd.choice("abcd"), rnd.choice(("x", "y", None))) for i in range(200)]
+    rules = compile_rule({**NEAR, "detection": NEAR["detection"] | {"condition": condition}}) + compile_rule({"id": "plain", "detection": {"s": {"k": "d"}, "condition": "s"}})
+    df = spark.createDataFrame([(i, None if t is None else datetime(2024, 1, 1, tzinfo=timezone.utc) + timedelta(milliseconds=t), k, g) for i, t, k, g in events], "event_uid long, created timestamp, k string, g string")
+    df = df.withColumn("logsource", F.struct(F.lit(None).cast("string").alias("category"), F.lit(None).cast("string").alias("product")))
+    found = near_matches(match_rules(df, rules, lambda p: (F.col(p), F.lit(False))), rules).select("event_uid", "rule_key").collect()
+    assert sorted(r["event_uid"] for r in found if r["rule_key"] == "n#0") == near_by_hand(events, within, grouped, test)
+    assert sorted(r["event_uid"] for r in found if r["rule_key"] != "n#0") == [i for i, _, k, _ in events if k == "d"]
+
+
+def test_near_rules_among_others_in_a_batch(spark):
+    at = lambda s: (datetime(2024, 1, 1) + timedelta(seconds=s)).strftime("%Y-%m-%dT%H:%M:%S.000Z")
+    raw = [json.dumps({"event": {"created": at(s)}, "k": k, "n": n}) for n, (s, k) in enumerate([(0, "a"), (5, "b"), (100, "a"), (101, "d"), (102, "d"), (103, "d")])]
+    rules = compile_rule({**NEAR, "detection": NEAR["detection"] | {"condition": "a | near b"}}) + compile_rule({"id": "t", "detection": {"s": {"k": "d"}, "condition": "s | count() > 1", "timeframe": "1m"}})
+    got = run_batch(spark.createDataFrame([(x,) for x in raw], "value string"), rules).collect()
+    assert sorted((r["rule_id"], json.loads(r["rule_event"])["n"]) for r in got) == [("n", 0), ("t", 4)]
+    assert detect(parse_events(spark.createDataFrame([], "value string")), rules).count() == 0
+
+
+def test_times_are_utc_in_any_zone(spark):
+    texts = ["2024-03-31T01:30:00.000Z", "2024-03-31T02:30:00.500Z", "2024-03-31T03:30:00.000+01:00", "2024-10-27T00:30:00.000Z", "2024-10-27T01:30:00.000Z", "1969-12-31T23:59:59.001Z", "2024-13-01T00:00:00.000Z", "no"]
+    want = [1711848600000, 1711852200500, 1711852200000, 1729989000000, 1729992600000, -999, None, None]
+    for zone in ("UTC", "Europe/Berlin", "America/St_Johns"):
+        with settings(spark, {"spark.sql.session.timeZone": zone}):
+            events = parse_events(spark.createDataFrame([(json.dumps({"i": i, "event": {"created": t}}),) for i, t in enumerate(texts)], "value string"))
+            got = events.select(F.try_variant_get("v", "$.i", "int").alias("i"), F.unix_millis("created").alias("ms"), utc_text(F.col("created")).alias("t")).collect()
+            assert [r["ms"] for r in sorted(got, key=lambda r: r["i"])] == want, zone
+            assert [r["t"] for r in sorted(got, key=lambda r: r["i"])][1:3] == ["2024-03-31T02:30:00.500Z", "2024-03-31T02:30:00.000Z"], zone
+            assert [r["t"] for r in sorted(got, key=lambda r: r["i"])][5] == "1969-12-31T23:59:59.001Z"
+            now = spark.range(1).select(utc_text(F.current_timestamp()).alias("t")).first()["t"]
+            assert abs((datetime.strptime(now, "%Y-%m-%dT%H:%M:%S.%fZ").replace(tzinfo=timezone.utc) - datetime.now(timezone.utc)).total_seconds()) < 60

@@ -4,8 +4,8 @@ from pathlib import Path
 import pytest
 
 from sentrel.functions.predicates import UnsupportedModifier, base64_offsets, register_modifier, value_sql
-from sentrel.plans.conditions import AggSpec, ConditionError, UnsupportedAggregation, condition_sql, split_condition, timeframe_seconds
-from sentrel.plans.rules import FieldMap, RuleError, build_field_map, compile_rule, load_rules, merge_documents, parse_documents
+from sentrel.plans.conditions import AggSpec, ConditionError, UnsupportedAggregation, condition_sql, condition_tree, split_condition, timeframe_seconds
+from sentrel.plans.rules import FieldMap, RuleError, build_field_map, compile_documents, compile_rule, load_rules, merge_documents, parse_documents
 
 S = {"a": "A", "b": "B", "sel1": "X", "sel2": "Y", "notepad": "N"}
 
@@ -145,3 +145,55 @@ def test_rule_folder(tmp_path):
     changes = rs.refresh()
     assert [len(changes[k]) for k in ("added", "changed", "removed")] == [0, 2, 1] and not rs.errors
     assert {r.ruleid: r.paths for r in rs.compiled()} == {"a": ("winlog.event_id",), "fixed": ("event.code",)}
+
+
+def near_rule(condition, timeframe="30s", **more):
+    return {"id": "n", "detection": {"a": {"x": 1}, "b": {"x": 2}, "c": {"x": 3}, "condition": condition} | ({"timeframe": timeframe} if timeframe else {}), **more}
+
+
+@pytest.mark.parametrize(
+    "text, timeframe, terms, within, group",
+    [
+        ("a | near b", "30s", ("b",), 30, None),
+        ("( a and not c ) | near b", "15s ", ("b",), 15, None),
+        ("a | near b and c", "1m", ("b", "c"), 60, None),
+        ("a | near b and not c by user within 2h", None, ("b", "c"), 7200, "user"),
+        ("a | NEAR 1 of them within 5m", "1d", ("a", "b", "c"), 300, None),
+    ],
+)
+def test_near(text, timeframe, terms, within, group):
+    anchor, *others = compile_rule(near_rule(text, timeframe))
+    assert (anchor.key, anchor.near.terms, anchor.near.within, anchor.group_path) == ("n#0", terms, within, group) and not anchor.never_alerts
+    assert [(r.key, r.term_of, r.predicate) for r in others] == [(f"n#0~{t}", "n#0", f"((coalesce(f.`x` = '{'abc'.index(t) + 1}', false)))") for t in terms]
+
+
+@pytest.mark.parametrize("text, timeframe", [("a | near b", None), ("a | near d", "5s"), ("a | near", "5s"), ("a | near b and", "5s"), ("a | near b c", "5s"), ("a | near ( b", "5s")])
+def test_near_errors(text, timeframe):
+    with pytest.raises(RuleError):
+        compile_rule(near_rule(text, timeframe))
+
+
+def test_near_in_a_file_with_a_shared_document():
+    text = """
+action: global
+id: tor
+detection: {service_install: {EventID: 7045}, timeframe: 5m, condition: service_install | near process}
+---
+logsource: {product: windows}
+detection: {process: {Image: ['a*', 'b']}}
+"""
+    rules, errors = compile_documents(text, lambda doc: build_field_map(doc, {"EventID": "event.code", "Image": "process.executable"}))
+    assert not errors and [r.key for r in rules] == ["tor#0", "tor#0~process"] and rules[1].paths == ("event.code", "process.executable")
+
+
+@pytest.mark.parametrize("text", ["a and", "a b", "( a", "a )", "not", "or a"])
+def test_what_no_tree_can_be_made_of(text):
+    with pytest.raises(ConditionError):
+        condition_tree(text, S)
+
+
+def test_tree_has_the_precedence_of_sql():
+    t = {n: ("or", []) for n in "abc"}
+    a, b, c = ("or", [t["a"]]), ("or", [t["b"]]), ("or", [t["c"]])
+    assert condition_tree("a or not b and c", t) == ("or", [a, ("and", [("not", [b]), c])])
+    assert condition_tree("not (a or b) and all of them", t) == ("and", [("not", [("or", [a, b])]), ("and", [*t.values()])])

@@ -13,6 +13,7 @@ are together in a task.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,7 @@ from .common import Scratch, own_columns, small_batches, table
 WORDS = 20
 CHUNK_BYTES = 4 << 20  # of UTF-8 text; a longer text is a chunk of its own
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)  # odd, so that powers have inverses modulo 2^64
+SLICES = 2  # of the hash space, counted one after another: texts are hashed for each, but only one slice's rows are on disk
 CHECK = 24  # bits of the second hash, beside the chunk in one long: 20 for the partition, 20 for the chunk in it
 SPAN = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
 
@@ -104,11 +106,13 @@ def _numbered(chunk_bytes: int):
     return run
 
 
-def _windows(k: int):
-    """Distinct windows of each chunk: h, and in `at` the chunk before the check."""
+def _windows(k: int, piece: int):
+    """Distinct windows of each chunk whose hash is in a slice: h, and in `at` the chunk before the check."""
 
     def rows(chunk: int, texts: list[bytes | None]) -> Iterator[pa.RecordBatch]:
         h, check = Chunk(texts, k).distinct()
+        mine = (h >> np.uint64(48)) % np.uint64(SLICES) == piece
+        h, check = h[mine], check[mine]
         at = (np.int64(chunk) << np.int64(CHECK)) | check.astype(np.int64)
         for i in range(0, len(h), 1 << 16):
             yield pa.RecordBatch.from_arrays([pa.array(h[i : i + (1 << 16)].view(np.int64)), pa.array(at[i : i + (1 << 16)])], ["h", "at"])
@@ -174,9 +178,12 @@ def remove_repeated_windows(spark: SparkSession, docs: DataFrame, words: int = W
         chunks = scratch.write(ranged.select("part", "n", "row", "text").mapInArrow(_numbered(chunk_bytes), schema), "chunks")
 
     first = F.min("chunk").over(W.partitionBy("h", "check"))
-    found = chunks.select("text", "chunk").mapInArrow(_windows(words), "h long, at long").repartition("h")
-    found = found.withColumn("check", F.col("at").bitwiseAND(F.lit((1 << CHECK) - 1))).withColumn("chunk", F.shiftright("at", CHECK))
-    told = scratch.write(found.withColumn("first", first).where("chunk > first").select("h", "at", "chunk"), "told")
+    told = []
+    for piece in range(SLICES):
+        found = chunks.select("text", "chunk").mapInArrow(_windows(words, piece), "h long, at long").repartition("h")
+        found = found.withColumn("check", F.col("at").bitwiseAND(F.lit((1 << CHECK) - 1))).withColumn("chunk", F.shiftright("at", CHECK))
+        told.append(scratch.write(found.withColumn("first", first).where("chunk > first").select("h", "at", "chunk"), "told"))
+    told = reduce(DataFrame.unionByName, told)
 
     out = T.StructType([row_field, *[T.StructField(n, t) for n, t in (("text", T.BinaryType()), ("n_words", T.LongType()), ("n_removed", T.LongType()), ("spans", T.ArrayType(SPAN)))]])
     kept = chunks.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(_kept(words), out)

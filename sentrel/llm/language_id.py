@@ -3,8 +3,8 @@
 Each language has a probability for every piece of a fixed public vocabulary. A word's probability is the sum
 over all its segmentations into pieces, by the forward algorithm; a text's is the product over its words. The
 piece probabilities are fitted by expectation maximisation, whose expected counts come from forward and backward
-sums over the words of the training sample. Words whose sums could underflow are summed in parts, each scaled by a power of
-its own, so a word of any length is one word.
+sums over the words of the training sample. Words whose sums could underflow are summed in logarithms, in training as in
+scoring, so a word of any length is one word: in a script without spaces that is a sentence or a whole text.
 """
 
 from __future__ import annotations
@@ -19,15 +19,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, small_batches, table, with_fields
+from .common import Scratch, checked_broadcast, map_texts, small_batches, table
 from .token_counts import START, VOCABULARY, load_pieces
 
 TRAIN_DOCS = 20_000  # training documents, about: those of smallest hash of each language, which share the number alike
-TRAIN_LETTERS = 24  # letters of the longest words in training; scoring has no such bound
 ITERATIONS = 3
 SMOOTHING = 0.1
 REMEMBERED = 200_000  # words whose probabilities a task keeps
-PLACES_AT_ONCE = 1 << 18  # places in words of like length whose sums are made together
+PLACES_AT_ONCE = 1 << 18  # places in words of like length whose sums are made together; a longer word is worked on in parts
+SUMS_AT_ONCE = 1 << 20  # places times languages, likewise
 PART = 4096  # places of a very long word whose pieces are held at a time
 SMALLEST = 290  # decimal digits that a sum may lie below 1
 UNKNOWN = "und"
@@ -118,26 +118,39 @@ class Lattice:
                 word, node = word[on], node[on]
         self.word, self.start, self.end, self.piece = np.concatenate(edges, 1) if edges else np.zeros((4, 0), np.int64)
 
-    def _sums(self, p: np.ndarray, into: np.ndarray, outof: np.ndarray, first: np.ndarray, steps: range) -> np.ndarray:
-        """Sums over paths to each place, for rows of p (edges x languages): [word, place, language]."""
-        out = np.zeros((len(self.length), int(self.length.max(initial=0)) + 1, p.shape[1]))
-        out[np.arange(len(first)), first] = 1
+    def _sums(self, p: np.ndarray, into: np.ndarray, outof: np.ndarray, first: np.ndarray, steps: range, logs: bool) -> np.ndarray:
+        """Sums over paths to each place, for rows of p (edges x languages): [word, place, language]. logs: p and sums are logarithms."""
+        out = np.full((len(self.length), int(self.length.max(initial=0)) + 1, p.shape[1]), -np.inf if logs else 0.0)
+        out[np.arange(len(first)), first] = 0 if logs else 1
         order = np.argsort(into, kind="stable")
         cuts = np.searchsorted(into[order], np.arange(out.shape[1] + 1))
         for j in steps:
             e = order[cuts[j] : cuts[j + 1]]
-            np.add.at(out, (self.word[e], j), out[self.word[e], outof[e]] * p[e])
+            if logs:
+                np.logaddexp.at(out, (self.word[e], j), out[self.word[e], outof[e]] + p[e])
+            else:
+                np.add.at(out, (self.word[e], j), out[self.word[e], outof[e]] * p[e])
         return out
 
-    def forward(self, p: np.ndarray) -> np.ndarray:
-        return self._sums(p, self.end, self.start, np.zeros(len(self.length), np.int64), range(1, int(self.length.max(initial=0)) + 1))
+    def forward(self, p: np.ndarray, logs: bool = False) -> np.ndarray:
+        return self._sums(p, self.end, self.start, np.zeros(len(self.length), np.int64), range(1, int(self.length.max(initial=0)) + 1), logs)
 
-    def backward(self, p: np.ndarray) -> np.ndarray:
-        return self._sums(p, self.start, self.end, self.length, range(int(self.length.max(initial=0)) - 1, -1, -1))
+    def backward(self, p: np.ndarray, logs: bool = False) -> np.ndarray:
+        return self._sums(p, self.start, self.end, self.length, range(int(self.length.max(initial=0)) - 1, -1, -1), logs)
 
-    def log_probability(self, probs: np.ndarray) -> np.ndarray:
-        """words x languages. probs: pieces x languages. For words that can't underflow: see PieceModel.safe."""
-        return np.log(self.forward(probs[self.piece])[np.arange(len(self.length)), self.length])
+    def log_probability(self, probs: np.ndarray, logs: bool = False) -> np.ndarray:
+        """words x languages. probs: pieces x languages. logs: for words that could underflow (see PieceModel.safe)."""
+        last = self.forward(np.log(probs)[self.piece] if logs else probs[self.piece], logs)[np.arange(len(self.length)), self.length]
+        return last if logs else np.log(last)
+
+    def shares(self, probs: np.ndarray, lang: np.ndarray, logs: bool = False) -> np.ndarray:
+        """For each edge how often its piece is expected in its word. lang: of each word, a column of probs."""
+        p = probs[self.piece, lang[self.word]][:, None]
+        p = np.log(p) if logs else p
+        ahead, behind = self.forward(p, logs)[..., 0], self.backward(p, logs)[..., 0]
+        total = ahead[np.arange(len(self.length)), self.length][self.word]
+        a, b = ahead[self.word, self.start], behind[self.word, self.end]
+        return np.exp(a + p[:, 0] + b - total) if logs else a * p[:, 0] * b / total
 
 
 class PieceModel:
@@ -149,48 +162,81 @@ class PieceModel:
     def lattice(self, words: list[str]) -> Lattice:
         return Lattice(words, self.trie)
 
-    def log_probability(self, words: list[str]) -> np.ndarray:
-        """words x languages; words must come in order of length."""
-        out, at = np.empty((len(words), len(self.langs))), 0
+    def groups(self, words: list[str], width: int) -> Iterator[tuple[int, int, bool]]:
+        """Words in order of length as (first, end, whether sums need logarithms), of bounded size together. width: languages of a sum."""
+        most, at = min(PLACES_AT_ONCE, SUMS_AT_ONCE // max(1, width)), 0
         while at < len(words):
-            if len(words[at]) > self.safe:
-                out[at] = self.long_word(words[at])
-                at += 1
-                continue
-            end = at + 1  # as many as have no more than PLACES_AT_ONCE places together
-            while end < len(words) and len(words[end]) <= self.safe and (end + 1 - at) * (len(words[end]) + 2) <= PLACES_AT_ONCE:
+            long, end = len(words[at]) > self.safe, at + 1
+            while end < len(words) and (len(words[end]) > self.safe) == long and (end + 1 - at) * (len(words[end]) + 2) <= most:
                 end += 1
-            out[at:end] = self.lattice(words[at:end]).log_probability(self.probs)
+            yield at, end, long
             at = end
+
+    def log_probability(self, words: list[str]) -> np.ndarray:
+        """words x languages; words must come in order of length."""
+        out = np.empty((len(words), len(self.langs)))
+        for at, end, long in self.groups(words, len(self.langs)):
+            if len(words[at]) > PLACES_AT_ONCE:
+                out[at] = self.very_long(words[at])
+            else:
+                out[at:end] = self.lattice(words[at:end]).log_probability(self.probs, long)
         return out
 
-    def long_word(self, word: str) -> np.ndarray:
-        """The forward sums of one word, scaled whenever they get small; pieces of PART places are held at a time."""
-        n = len(word) + 1
-        codes = self.trie.codes([word], np.array([n]))[0]
-        sums, scale = {0: np.ones(len(self.langs))}, np.zeros(len(self.langs))
-        for first in range(0, n, PART):
-            start = np.arange(first, min(n, first + PART))
-            edges, node, b = [], np.zeros(len(start), np.int64), start.copy()
-            while len(start):
-                b = b + 1
-                node = self.trie.follow(node, codes[b - 1])
-                piece = np.where(node >= 0, self.trie.own[node], 0)
-                some = (piece > 0) | (b == start + 1)
-                edges.append(np.stack([start[some], b[some], piece[some]]))
-                on = (node >= 0) & (b < n)
-                start, node, b = start[on], node[on], b[on]
-            start, end, piece = np.concatenate(edges, 1)
-            order = np.argsort(start, kind="stable")
-            start, end, probs = start[order], end[order], self.probs[piece[order]]
-            cuts = np.searchsorted(start, np.arange(first, min(n, first + PART) + 1))
-            for k, a in enumerate(range(first, min(n, first + PART))):
-                here = sums.pop(a)
-                if here.min() < 1e-100:  # each language by a factor of its own, which all sums in work share
-                    sums, scale, here = {e: v / here for e, v in sums.items()}, scale + np.log(here), np.ones(len(here))
-                for e, p in zip(end[cuts[k] : cuts[k + 1]].tolist(), probs[cuts[k] : cuts[k + 1]], strict=True):
-                    sums[e] = sums[e] + here * p if e in sums else here * p
-        return np.log(sums[n]) + scale
+    def expected(self, words: list[str], lang: np.ndarray, n: np.ndarray, sums: np.ndarray) -> None:
+        """Adds to sums (pieces x languages) the expected numbers of the pieces in words, each n times and of the language in column lang."""
+        order = sorted(range(len(words)), key=lambda i: len(words[i]))
+        ranked = [words[i] for i in order]
+        for at, end, long in self.groups(ranked, 1):
+            mine = np.array(order[at:end])
+            if len(ranked[at]) > PLACES_AT_ONCE:
+                self.very_long(ranked[at], int(lang[mine[0]]), float(n[mine[0]]), sums)
+                continue
+            grid = self.lattice(ranked[at:end])
+            np.add.at(sums, (grid.piece, lang[mine][grid.word]), grid.shares(self.probs, lang[mine], long) * n[mine][grid.word])
+
+    def _edges(self, codes: np.ndarray, first: int, last: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Start, end and piece of the edges that start in [first, last) of a word of n places, by start; where each start's edges begin."""
+        start = np.arange(first, last)
+        edges, node, b = [], np.zeros(len(start), np.int64), start.copy()
+        while len(start):
+            b = b + 1
+            node = self.trie.follow(node, codes[b - 1])
+            piece = np.where(node >= 0, self.trie.own[node], 0)
+            some = (piece > 0) | (b == start + 1)
+            edges.append(np.stack([start[some], b[some], piece[some]]))
+            on = (node >= 0) & (b < n)
+            start, node, b = start[on], node[on], b[on]
+        start, end, piece = np.concatenate(edges, 1)
+        order = np.argsort(start, kind="stable")
+        return start[order], end[order], piece[order], np.searchsorted(start[order], np.arange(first, last + 1))
+
+    def very_long(self, word: str, lang: int | None = None, n: float = 0, sums: np.ndarray | None = None) -> np.ndarray:
+        """Log probability of one word in every language, or in `lang`; the pieces of PART places are held at a time. sums: see `expected`."""
+        places = len(word) + 1
+        codes = self.trie.codes([word], np.array([places]))[0]
+        logs = np.log(self.probs if lang is None else self.probs[:, [lang]])
+        ahead = np.full((places + 1, logs.shape[1]), -np.inf)
+        ahead[0] = 0
+        firsts = range(0, places, PART)
+        for first in firsts:
+            last = min(places, first + PART)
+            _, end, piece, cuts = self._edges(codes, first, last, places)
+            p = logs[piece]
+            for k, a in enumerate(range(first, last)):  # the ends of one start differ
+                e = slice(cuts[k], cuts[k + 1])
+                ahead[end[e]] = np.logaddexp(ahead[end[e]], ahead[a] + p[e])
+        if sums is not None:
+            behind = np.full(places + 1, -np.inf)
+            behind[places] = 0
+            for first in reversed(firsts):
+                last = min(places, first + PART)
+                start, end, piece, cuts = self._edges(codes, first, last, places)
+                p = logs[piece, 0]
+                for k in range(last - first - 1, -1, -1):
+                    e = slice(cuts[k], cuts[k + 1])
+                    behind[first + k] = np.logaddexp.reduce(p[e] + behind[end[e]])
+                np.add.at(sums, (piece, lang), n * np.exp(ahead[start, 0] + p + behind[end] - ahead[places, 0]))
+        return ahead[places]
 
 
 def quotas(sizes: dict[str, int], total: int) -> dict[str, float]:
@@ -207,8 +253,7 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[tuple[str, str]] = Counter()
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
             for w, n in letter_words(text).items():
-                if len(w) <= TRAIN_LETTERS:
-                    counts[lang, w] += n
+                counts[lang, w] += n
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.string()), pa.array(list(counts.values()), pa.int64())], ["lang", "word", "n"])
 
 
@@ -219,12 +264,7 @@ def _expected(model):
         sums = np.zeros(m.probs.shape)
         for batch in batches:
             lang = np.array([column[x] for x in batch.column("lang").to_pylist()], np.int64)
-            grid = m.lattice(batch.column("word").to_pylist())  # of at most TRAIN_LETTERS letters
-            p = m.probs[grid.piece, lang[grid.word]][:, None]
-            ahead, behind = grid.forward(p)[..., 0], grid.backward(p)[..., 0]
-            total = ahead[np.arange(len(grid.length)), grid.length]
-            share = ahead[grid.word, grid.start] * p[:, 0] * behind[grid.word, grid.end] / total[grid.word]
-            np.add.at(sums, (grid.piece, lang[grid.word]), share * np.array(batch.column("n"), float)[grid.word])
+            m.expected(batch.column("word").to_pylist(), lang, np.array(batch.column("n"), float), sums)
         piece, lang = np.nonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(piece.astype(np.int32)), pa.array(lang.astype(np.int32)), pa.array(sums[piece, lang])], ["piece", "lang", "n"])
 
@@ -233,19 +273,20 @@ def _expected(model):
 
 def fit_languages(spark: SparkSession, docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", train_docs: int = TRAIN_DOCS, vocabulary: str = VOCABULARY, iterations: int = ITERATIONS) -> PieceModel:
     """Learns from rows with a non-null lang and words, about train_docs of them: of each language the rows of smallest hash, all of a
-    small one, and of their words of at most TRAIN_LETTERS letters.
+    small one, and all their words of any length.
 
-    What the driver gets is one sum per piece and language. No such row gives a model without languages.
+    Languages are taken to be few: the model has a column of the vocabulary's size for each. What the driver gets is one sum per piece and language. No such row gives a model without languages.
     """
     small_batches(spark)
     scratch = Scratch(spark)
-    own = docs.select(*[F.col(c).alias(a) for c, a in ((id_col, "id"), (lang_col, "lang")) if c in docs.columns], F.col(text_col).cast("string").alias("text"))
+    named = lambda c: F.col(f"`{c.replace('`', '``')}`")
+    own = docs.select(*[named(c).alias(a) for c, a in ((id_col, "id"), (lang_col, "lang")) if c in docs.columns], named(text_col).cast("string").alias("text"))
     known = own.where("lang is not null and text is not null").withColumn("lang", F.col("lang").cast("string"))
     sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # as many as the model has languages
     share = quotas(sizes, train_docs)
     h = F.xxhash64(*[c for c in ("id", "text") if c in known.columns])
     below = spark.createDataFrame([(x, min(2**63 - 1, -(2**63) + int(2**64 * share[x] / sizes[x]))) for x in sizes], "lang string, below long")
-    sample = scratch.write(known.join(F.broadcast(below), "lang").where(h <= F.col("below")).select("lang", "text"), "sample")
+    sample = scratch.write(known.join(checked_broadcast(below), "lang").where(h <= F.col("below")).select("lang", "text"), "sample")
     parts = max(1, spark.sparkContext.defaultParallelism)
     counted = scratch.write(sample.repartition(parts).mapInArrow(_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
     langs = [r["lang"] for r in counted.select("lang").distinct().orderBy("lang").collect()]
@@ -263,13 +304,13 @@ def fit_languages(spark: SparkSession, docs: DataFrame, text_col: str = "text",
     return model
 
 
-def _predicted(model, text_col: str, names: tuple[str, str]):
+def _predicted(model, names: tuple[str, str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         known: dict[str, int] = {}
         table_ = np.empty((1024, len(m.langs)))
         for batch in batches:
-            docs = [letter_words(t) for t in batch.column(text_col).to_pylist()]
+            docs = [letter_words(t) for t in batch.column("text").to_pylist()]
             if len(known) > REMEMBERED:
                 known = {}
             new = sorted({w for d in docs for w in d if w not in known}, key=len) if m.langs else []
@@ -299,8 +340,7 @@ def identify_languages(spark: SparkSession, docs: DataFrame, model: PieceModel,
     like `names` are replaced; an empty table gives no rows. The broadcast model has the size of vocabulary times languages.
     """
     small_batches(spark)
-    docs = docs.drop(*names)
-    return docs.mapInArrow(_predicted(spark.sparkContext.broadcast(model), text_col, names), with_fields(docs, **{names[0]: T.StringType(), names[1]: T.DoubleType()}))
+    return map_texts(docs, text_col, _predicted(spark.sparkContext.broadcast(model), names), **{names[0]: T.StringType(), names[1]: T.DoubleType()})
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,6 @@
 import math
+import random
+import string
 import re
 from collections import Counter
 from fractions import Fraction
@@ -190,9 +192,47 @@ def test_long_words_are_whole(monkeypatch):
     assert sum(len(w) > model.safe for w in words) >= 4 and np.isfinite(model.log_probability(["z" * 20000])).all()
 
 
+def test_expected_pieces_of_long_words(monkeypatch):
+    """Sums in logarithms and in parts give what plain sums do; every letter of a word of any length is in one expected piece."""
+    pieces = {"▁": 1, "▁a": 2, "a": 3, "ab": 4, "b": 5, "ba": 6, "▁ab": 7}
+    long_pieces = np.array([1, 1, 2, 1, 2, 1, 2, 3])
+    probs = np.random.default_rng(2).random((8, 2)) * np.array([1e-2, 1e-9])
+    model = language_id.PieceModel(["x", "y"], pieces, probs, np.array([0.5, 0.5]))
+    r = np.random.default_rng(3)
+    words = ["".join(r.choice(list("abz"), int(n))) for n in r.integers(1, model.safe, 40)] + ["a", "zz"]
+    lang, n = r.integers(0, 2, len(words)), r.integers(1, 5, len(words)).astype(float)
+    grid = model.lattice(words)
+    assert grid.shares(probs, lang) == pytest.approx(grid.shares(probs, lang, logs=True), rel=1e-9)
+    plain = np.zeros((8, 2))
+    model.expected(words, lang, n, plain)
+    longer = [*words, "ab" * 200, "z" * 333, "ba" * 30]
+    lang, n = np.append(lang, [0, 1, 1]), np.append(n, [2.0, 1.0, 3.0])
+    whole, parts = np.zeros((8, 2)), np.zeros((8, 2))
+    model.expected(longer, lang, n, whole)
+    monkeypatch.setattr(language_id, "PART", 7)
+    monkeypatch.setattr(language_id, "PLACES_AT_ONCE", 12)
+    model.expected(longer, lang, n, parts)
+    assert parts == pytest.approx(whole, rel=1e-9) and np.isfinite(whole).all()
+    for k in range(2):
+        assert long_pieces @ whole[:, k] == pytest.approx(sum((len(w) + 1) * m for w, x, m in zip(longer, lang, n, strict=True) if x == k))
+    assert (whole >= plain - 1e-9).all()
+
+
+def test_scripts_without_spaces_are_learned(spark):
+    r = np.random.default_rng(5)
+    text = lambda letters, n: "".join(r.choice(list(letters), n))
+    zh, ja = "的一是不了人我在有他这中大来上个国", "のにはをたがでてとしれさあいるもか"
+    rows = [(i, text(zh, 60), "zh") for i in range(20)] + [(20 + i, text(ja, 4000 if i == 0 else 200), "ja") for i in range(20)] + [(40 + i, "the river and the house of the town", "en") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit_languages(spark, df)
+    assert model.langs == ["en", "ja", "zh"]
+    held = spark.createDataFrame([(text(zh, 45), "zh"), (text(ja, 90), "ja"), ("a house and a town", "en"), (text(zh, 3000), "zh")], "text string, `a.b` string")
+    assert [r["lang_pred"] for r in language_id.identify_languages(spark, held.coalesce(1), model).collect()] == ["zh", "ja", "en", "zh"]
+
+
 def test_expectation_maximisation(spark):
     """Whole fits, and predictions by them, against sums over all segmentations of every word; rare languages are in the sample."""
-    rows = [(i, t, x) for i, (t, x) in enumerate([("Ab ba, ab", "x"), ("abba zz", "x"), ("b b a1a", "y"), ("baba bab", "y"), (None, "x"), ("ab", None), ("...", "y"), ("a" * 60, "x"), ("ba z", "w")])]
+    rows = [(i, t, x) for i, (t, x) in enumerate([("Ab ba, ab", "x"), ("abba zz", "x"), ("b b a1a", "y"), ("baba bab", "y"), (None, "x"), ("ab", None), ("...", "y"), ("a" * 9, "x"), ("ba z", "w")])]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     pieces = language_id.load_pieces(language_id.VOCABULARY)
     number = {p: i + 1 for i, p in enumerate(pieces)}
@@ -211,7 +251,7 @@ def test_expectation_maximisation(spark):
                 out += [[p, *rest] for rest in ways(word[k:])]
         return out
 
-    words = {"w": Counter({"ba": 1, "z": 1}), "x": Counter({"ab": 2, "ba": 1, "abba": 1, "zz": 1}), "y": Counter({"b": 2, "a": 2, "baba": 1, "bab": 1})}
+    words = {"w": Counter({"ba": 1, "z": 1}), "x": Counter({"ab": 2, "ba": 1, "abba": 1, "zz": 1, "a" * 9: 1}), "y": Counter({"b": 2, "a": 2, "baba": 1, "bab": 1})}
     size = len(pieces) + 1
     for k, x in enumerate(model.langs):
         p = np.full(size, 1 / size)
@@ -223,7 +263,7 @@ def test_expectation_maximisation(spark):
                     np.add.at(counts, g, n * v / sum(u for u, _ in each))
             p = counts / counts.sum()
         assert model.probs[:, k] == pytest.approx(p, rel=1e-9)
-    assert model.prior == pytest.approx(np.array([2, 5, 6]) / 13)
+    assert model.prior == pytest.approx(np.array([2, 6, 6]) / 14)
     got = language_id.identify_languages(spark, df, model).orderBy("doc_id").collect()
     for r in got:
         w = language_id.letter_words(r["text"])
@@ -321,6 +361,44 @@ def test_network_learns_and_meets_the_recall():
     assert (p[y[400:] > 0] >= net.threshold).mean() >= 0.95 and (p[y[400:] == 0] >= net.threshold).mean() < 0.05
 
 
+def test_forward_pass_by_loops():
+    net = secrets.CharNetwork(3)
+    x = np.array([secrets.encode(t, 4, len(t)) for t in ("key=abcDEF123", "and some-thing.else", "    " + "z" * 40)])
+    z = net.forward(x)[3]
+    side = secrets.WIDTH // 2
+    for row, got in zip(x, z, strict=True):
+        out = net.p["c"][0]
+        for part in range(3):
+            for f in range(secrets.FILTERS):
+                best = -np.inf
+                for at in np.flatnonzero(net.PARTS == part):
+                    seen = [net.p["e"][row[at + j - side]] if 0 <= at + j - side < len(row) else np.zeros(secrets.EMBED) for j in range(secrets.WIDTH)]
+                    best = max(best, float(np.concatenate(seen) @ net.p["w"][:, f]) + net.p["b"][f])
+                out += max(best, 0) * net.p["o"][part * secrets.FILTERS + f]
+        assert got == pytest.approx(out)
+
+
+def test_recall_of_keys_that_no_pattern_knows(spark):
+    """Random keys in sentences, behind unknown key words and at a text's start; the corpus itself has no false find."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    net = secrets.train_network(spark, docs)
+    rnd = random.Random(8)
+    key = lambda n: "".join(rnd.choice(string.ascii_letters + string.digits) for _ in range(n))
+    contexts = ["and then we read {} in the house", "credential: {}", "pwd = {}", "{} and the rest"]
+    rows = [(c * 2 + k, contexts[c].format(key(n))) for c in range(4) for k, n in enumerate((20, 32)) for _ in range(100)]
+    got = secrets.find_secrets(spark, spark.createDataFrame(rows, "kind int, text string"), net).groupBy("kind").agg(F.avg((F.size("spans") > 0).cast("double")).alias("r")).collect()
+    assert len(got) == 8 and min(r["r"] for r in got) >= 0.9
+    false = secrets.find_secrets(spark, docs, net).select(F.explode("spans").alias("s")).where("s.kind = 'model'").count()
+    assert false <= 1
+
+
+def test_any_column_names(spark):
+    df = spark.createDataFrame([(1, "password = hunter22", 2, 3), (None, None, 2, 3)], "`doc.id` long, `te`xt.x` string, row int, text int".replace("te`xt.x", "te``xt.x"))
+    out = secrets.find_secrets(spark, df, secrets.CharNetwork(), text_col="te`xt.x")
+    assert out.columns == ["doc.id", "te`xt.x", "row", "text", "spans"]
+    assert sorted((r["doc.id"] or 0, r["te`xt.x"], r["text"], len(r["spans"])) for r in out.collect()) == [(0, None, 3, 0), (1, "password = hunter22", 3, 1)]
+
+
 def test_what_the_network_is_shown():
     long = "k" * 30 + "9" + "x" * 200
     for text, want in [("pin 1234567, 2024-01-05 and abcdefgh", ["2024-01-05"]), ("aB" * 6 + " camelCase", ["aB" * 6]), ("key: hunter", ["hunter"]), ("key='hunter'", ["hunter"]), ("x " + long, [long]), ("", [])]:

@@ -38,12 +38,28 @@ def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+_watching: list[list[Scratch]] = []
+
+
+@contextmanager
+def scratch_made() -> Iterator[list[Scratch]]:
+    """Collects the Scratch objects that are made inside the block, so that their tables can go once a result is stored."""
+    made: list[Scratch] = []
+    _watching.append(made)
+    try:
+        yield made
+    finally:
+        _watching.remove(made)
+
+
 class Scratch:
     """Tables written to the shared folder: they cut lineage and outlive lost executors."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root = spark, f"{shared_dir(spark)}/sentrel-{uuid.uuid4().hex}"
         self.paths: set[str] = set()
+        for made in _watching:
+            made.append(self)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         """df as a table. The shuffle files that it took go with the query, as what comes after reads the table."""

@@ -3,7 +3,7 @@
 Equal vectors become one point with its smallest ids, so that a very common vector can't fill neighbour lists.
 Points are dealt to shards by hash, as many to one as SHARD_BYTES of vectors hold: a search in a graph costs the
 logarithm of its size, so the fewer shards the better. A shard's graph is built layer by layer, in batches that
-double, and kept as flat neighbour arrays. Blocks of queries are searched in every shard by a beam search over
+double, and kept as flat neighbour arrays. A shard goes to a task once, and blocks of queries stream over it: a beam search over
 all queries of a block at once; the whole beam is scored by exact cosine, and the nearest of each shard are merged.
 """
 
@@ -26,6 +26,7 @@ NEAREST, QUERY_STEP = 5, 50
 SHARD_BYTES, BLOCK_ROWS = 32 << 20, 2048  # of a shard's vectors in double precision; a task holds about four times as much
 LINKS, BEAM, SEARCH_BEAM = 16, 64, 96
 AT_ONCE = 512  # points inserted or queries searched together, at most
+LANES = 0  # tasks that share a shard's queries; 0: as many as keep all cores busy
 SEED = 11
 
 
@@ -196,20 +197,29 @@ def _packed(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([{"dim": group["dim"].iloc[0], "block": group["block"].iloc[0], "q_ids": group["vec_id"].to_numpy(np.int64).tobytes(), "q_vectors": np.array(group["x"].tolist(), np.float64).tobytes()}])
 
 
+def _opened(row: dict) -> tuple[SmallWorld, np.ndarray, np.ndarray, np.ndarray]:
+    """A shard's graph, vectors of length 1, ids and where each point's ids end."""
+    x = unit(np.frombuffer(row["vectors"], np.float64).reshape(-1, row["dim"]))
+    points, links, layers, p, k = np.frombuffer(row["points"], np.int32), np.frombuffer(row["links"], np.int32), [], 0, 0
+    for n, w in zip(row["sizes"][::2], row["sizes"][1::2], strict=True):
+        layers.append(Layer(points[p : p + n], links[k : k + n * w].reshape(n, w)))
+        p, k = p + n, k + n * w
+    return SmallWorld(x, layers), x, np.frombuffer(row["ids"], np.int64), np.frombuffer(row["ends"], np.int64)
+
+
 def _searcher(nearest: int, beam: int):
+    """Rows in order of shard: its index, then the blocks of queries that it meets."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, graph, unit_x, ids, ends = None, None, None, None, None
+        now, shard = None, None
         for batch in batches:
             for row in batch.to_pylist():
-                if last != (row["dim"], row["shard"]):
-                    last, dim = (row["dim"], row["shard"]), row["dim"]
-                    unit_x = unit(np.frombuffer(row["vectors"], np.float64).reshape(-1, dim))
-                    ids, ends = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["ends"], np.int64)
-                    points, links, layers, p, k = np.frombuffer(row["points"], np.int32), np.frombuffer(row["links"], np.int32), [], 0, 0
-                    for n, w in zip(row["sizes"][::2], row["sizes"][1::2], strict=True):
-                        layers.append(Layer(points[p : p + n], links[k : k + n * w].reshape(n, w)))
-                        p, k = p + n, k + n * w
-                    graph = SmallWorld(unit_x, layers)
+                if row["q_ids"] is None:
+                    now, shard = (row["dim"], row["shard"]), _opened(row)
+                    continue
+                if now != (row["dim"], row["shard"]):
+                    raise ValueError(f"queries came before shard {row['shard']}")
+                graph, unit_x, ids, ends = shard
                 q_ids, q = np.frombuffer(row["q_ids"], np.int64), unit(np.frombuffer(row["q_vectors"], np.float64).reshape(-1, row["dim"]))
                 found = graph.search(q, max(beam, nearest + 1), beam)
                 query, place = np.nonzero(found >= 0)
@@ -256,8 +266,14 @@ def nearest_neighbours(spark: SparkSession, vectors: DataFrame, nearest: int = N
     blocks = scratch.write(asked.groupBy("dim").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks")), "blocks")
     asked = asked.join(checked_broadcast(blocks), "dim").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
     packed = scratch.write(asked.select("dim", "block", "vec_id", "x").groupBy("dim", "block").applyInPandas(_packed, "dim int, block int, q_ids binary, q_vectors binary"), "packed")
-    sent = packed.join(checked_broadcast(shards), "dim").withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).drop("shards")
-    met = index.join(sent, ["dim", "shard"]).select("dim", "shard", "vectors", "ids", "ends", "sizes", "points", "links", "q_ids", "q_vectors")
+    # where there are fewer shards than tasks, each goes to several, which share its queries
+    total = shards.agg(F.sum("shards")).first()[0] or 1
+    lanes = max(1, min(blocks.agg(F.sum("blocks")).first()[0] or 1, LANES or spark.sparkContext.defaultParallelism // total))
+    lane = F.pmod(F.col("block"), F.lit(lanes)).cast("int").alias("lane")
+    sent = packed.join(checked_broadcast(shards), "dim").select("dim", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), lane, "q_ids", "q_vectors")
+    held = index.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
+    key = ["dim", "shard", "lane"]
+    met = held.unionByName(sent, allowMissingColumns=True).repartition(max(total * lanes, 1), *key).sortWithinPartitions(*key, F.col("q_ids").isNotNull())
     with settings(spark, {ARROW_ROWS: "4"}):  # a row holds a whole shard
         found = scratch.write(met.mapInArrow(_searcher(nearest, beam), "query_id long, vec_id long, score double"), "found")
     scratch.keep(found)

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, checked_broadcast, hash_sample, own_columns, small_batches, table, with_fields
+from .common import Scratch, checked_broadcast, hash_sample, join_by_key, own_columns, small_batches, table, with_fields
 
 TRAIN_ROWS = 20_000  # labelled documents that the regression is fitted on, at most: those of smallest hash
 KEEP_FROM = 0.1  # a document goes only at odds of nine to one against it
@@ -102,15 +102,12 @@ def strength(sites: DataFrame, rate: Column) -> float:
 
 
 class QualityModel:
-    """Fitted on docs and labels. `rows` has the docs' ids, sites and features (and the whole docs, if asked to keep them); `score` adds
-    p_doc, host_rate, path_rate, p_quality to it. Statistics of a text are made once: what is kept goes along with them."""
+    """Fitted on docs and labels. `rows` has the docs' ids, sites and features; `score` adds p_doc, host_rate, path_rate, p_quality to it."""
 
-    def __init__(self, spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, site: tuple[str, str], train_rows: int, keep: bool = False):
+    def __init__(self, spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, site: tuple[str, str], train_rows: int):
         self.scratch, self.site = Scratch(spark), site
-        kept = [F.struct(*own_columns(docs, text_col)).alias("row")] if keep else []
-        rows = docs.select(F.col(id_col).cast("long").alias("id"), *self.keys(docs), *kept, F.col(text_col).cast("string").alias("text"))
-        rows = with_features(spark, rows)
-        self.rows = self.scratch.write(rows if keep else rows.drop("text"), "features")
+        rows = docs.select(F.col(id_col).cast("long").alias("id"), *self.keys(docs), F.col(text_col).cast("string").alias("text"))
+        self.rows = self.scratch.write(with_features(spark, rows).drop("text"), "features")
         known = labels.where("quality in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.min("quality").alias("y"), F.max("quality").alias("y2")).where("y = y2").select("id", "y")
         sample = hash_sample(self.rows.where("id is not null").join(known, "id").select("id", "x", "y"), train_rows, "id").collect()
         sample.sort(key=lambda r: (r["id"], r["x"]))
@@ -138,13 +135,13 @@ class QualityModel:
         shrunk = hosts.select("__host", ((F.col("s") + self.host_strength * self.rate) / (F.col("n") + self.host_strength)).alias("rate"), F.col("n").alias("nh"), F.col("s").alias("sh"))
         both = self.scratch.write(paths.join(checked_broadcast(self.scratch.write(shrunk, "shrunk")), "__host"), "both")
         self.path_strength = strength(both, F.col("rate"))
-        self.sites = both.select("__path", "nh", "sh", F.col("n").alias("np"), F.col("s").alias("sp"))
-        self.scratch.keep(self.rows, both)
+        self.sites = self.scratch.write(both.select("__path", "nh", "sh", F.col("n").alias("np"), F.col("s").alias("sp")), "sites")
+        self.scratch.keep(self.rows, self.sites)
 
     def score(self, featured: DataFrame, x: str) -> DataFrame:
         """featured has x, __host, __path. A site's sums are taken without the document itself."""
         k, m, mu = self.host_strength, self.path_strength, self.rate
-        out = featured.join(checked_broadcast(self.sites), "__path").withColumn("__e", self.evidence(x)).withColumn("p_doc", _logistic(F.col("__e")))
+        out = join_by_key(featured, self.sites, "__path", "np").withColumn("__e", self.evidence(x)).withColumn("p_doc", _logistic(F.col("__e")))
         out = out.withColumn("host_rate", (F.col("sh") - F.col("p_doc") + k * mu) / (F.col("nh") - 1 + k))
         out = out.withColumn("path_rate", (F.col("sp") - F.col("p_doc") + m * F.col("host_rate")) / (F.col("np") - 1 + m))
         final = _logistic(F.col("__e") + _logit(F.col("path_rate")) - _logit(F.lit(mu)))
@@ -170,6 +167,9 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def good_documents(spark: SparkSession, docs: DataFrame, labels: DataFrame, keep_from: float = KEEP_FROM) -> DataFrame:
     """The rows of docs that the classifier keeps, with their own columns only."""
-    model = QualityModel(spark, docs, labels, "doc_id", "text", SITE, TRAIN_ROWS, keep=True)
-    kept = model.score(model.rows, "x").where(F.col("p_quality") >= keep_from)
+    model = fit_quality(spark, docs, labels)
+    model.scratch.keep(model.sites)
+    # statistics are made again where a text is read for the result: cheaper than a second copy of all texts on disk
+    rows = docs.select(F.struct(*own_columns(docs, "text")).alias("row"), *model.keys(docs), F.col("text").cast("string").alias("text"))
+    kept = model.score(with_features(spark, rows), "x").where(F.col("p_quality") >= keep_from)
     return kept.select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])

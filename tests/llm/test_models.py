@@ -486,3 +486,21 @@ def test_recall_on_embeddings(spark, shard_bytes):
     found = {q: set(g.vec_id) for q, g in got.groupby("query_id")}
     assert np.mean([len(found[q] & {j for j, _ in v}) / len(v) for q, v in want.items()]) >= 0.95
     assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") in ("1000", "10000")
+
+
+@pytest.mark.parametrize("lanes", [1, 3])
+def test_several_shards_and_blocks_of_queries(spark, monkeypatch, lanes):
+    monkeypatch.setattr(ann, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(ann, "LANES", lanes)
+    r = np.random.default_rng(9)
+    x = r.normal(size=(900, 16)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(2000 + i, r.normal(size=8).tolist()) for i in range(60)], "vec_id long, embedding array<float>")
+    got = ann.nearest_neighbours(spark, df, query_step=10, shard_bytes=200 * 16 * 8).collect()
+    u = ann.unit(x.astype(np.float64))
+    best = {q: set(np.argsort(-np.where(np.arange(900) == q, -9, u @ u[q]), kind="stable")[:5].tolist()) for q in range(0, 900, 10)}
+    mine = {}
+    for row in got:
+        mine.setdefault(row["query_id"], set()).add(row["vec_id"])
+    assert set(mine) == set(best) | set(range(2000, 2060, 10)) and all(len(v) == 5 for v in mine.values())
+    assert np.mean([len(mine[q] & best[q]) / 5 for q in best]) >= 0.9
+    assert all(row["score"] == pytest.approx(float(u[row["vec_id"]] @ u[row["query_id"]]), abs=1e-12) for row in got if row["query_id"] < 900)

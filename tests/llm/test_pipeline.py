@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +11,8 @@ from sentrel.llm.line_dedup import remove_repeated_lines
 from sentrel.llm.ngram_join import first_of_each_group
 from sentrel.llm.quality import KEEP_FROM
 
+from sentrel.scratch import shared_dir
+
 from .test_decontaminate import brute as contaminated
 from .test_models import quality_by_hand
 from .test_ngram_join import brute as groups
@@ -35,6 +39,17 @@ def test_columns_and_names(steps):
     assert all(steps[n].columns == own for n, _ in cp.STAGES[:-1]) and steps["sharding"].columns == [*own, "shard", "slot"]
 
 
+def test_only_the_result_stays(spark, steps):
+    """Of all that a run writes to the shared folder, the last table."""
+    files = lambda: {str(p): p.stat().st_size for p in Path(shared_dir(spark).removeprefix("file://")).rglob("*.parquet")}
+    before = files()
+    out = cp.run(spark, SF)
+    left = {p: n for p, n in files().items() if p not in before}
+    assert left and all("/sharding-" in p for p in left)
+    assert sum(left.values()) < 1.5 * sum(p.stat().st_size for p in Path(f"{SF}/documents.parquet").parent.glob("documents.parquet")) + 50_000
+    assert out.count() == steps["sharding"].count()
+
+
 def ids(df):
     return sorted(r["doc_id"] for r in df.select("doc_id").collect())
 

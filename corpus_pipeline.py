@@ -11,6 +11,7 @@ from sentrel.llm.mixing import mixed
 from sentrel.llm.ngram_join import first_of_each_group
 from sentrel.llm.quality import good_documents
 from sentrel.llm.sharding import assign_shards
+from sentrel.scratch import scratch_made
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,8 +48,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents; what each returns is written to the shared folder and read again by the next."""
-    scratch, docs = Scratch(spark), table(spark, sf_dir, "documents")
+    """The stages over documents; what each returns is written to the shared folder and read again by the next.
+
+    Once a stage's result is written, the one before it and all that the stage wrote for itself go, so that only the last result stays.
+    """
+    scratch, docs, last = Scratch(spark), table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
-        docs = scratch.write(stage(spark, docs, sf_dir), name)
+        with scratch_made() as made:
+            docs = scratch.write(stage(spark, docs, sf_dir), name)
+        for own in made:
+            own.keep()
+        scratch.drop(*last)
+        last = [docs]
     return docs

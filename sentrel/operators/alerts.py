@@ -20,15 +20,15 @@ def event_fields(matches: DataFrame) -> Column:
     return F.map_filter(every, lambda k, v: v.isNotNull() & F.array_contains("useful", k))
 
 
-def build_alerts(matches: DataFrame, payload: str | None = "raw", clock: bool = True) -> DataFrame:
+def build_alerts(matches: DataFrame, payload: str | None = "raw", clock: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
     """alert_uid, rule_id, rule_name, rule_status, rule_level, tags, fields (those of the rule that the event has), rule_event.
 
     alert_uid is the SHA-256 of rule key and event id, so writing an alert twice is the same as once. matches needs `fields`, or `f` to make
-    them of, and, if named, the payload column.
+    them of, and, if named, the payload column. keep: further columns of matches that go along.
     """
     fields = F.col("fields") if "fields" in matches.columns else event_fields(matches)
     out = matches.select(
         F.sha2(F.concat_ws("|", "rule_key", F.col("event_uid").cast("string")), 256).alias("alert_uid"), F.col("ruleid").alias("rule_id"), "condition_idx", "rule_name", "rule_status", "rule_level",
-        "tags", fields.alias("fields"), *([F.col(payload).cast("string").alias("rule_event")] if payload else []), *(["agg_value"] if "agg_value" in matches.columns else []),
+        "tags", fields.alias("fields"), *([F.col(payload).cast("string").alias("rule_event")] if payload else []), *(["agg_value"] if "agg_value" in matches.columns else []), *keep,
     )
     return out.withColumn("alert_processing_time", utc_text(F.current_timestamp())) if clock else out

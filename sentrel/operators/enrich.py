@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
+import itertools
+import logging
+import queue
+import threading
+import time
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from datetime import datetime, timezone
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sentrel.scratch import Scratch
+from sentrel.sources.cache import BucketedCache
 
 from .events import Resolver
 
+log = logging.getLogger(__name__)
+
 #: Rows up to which a lookup table is broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS = 500_000
 ATTRIBUTES = "field string, tag string, attr_type string, kind string, public_only boolean, resolve boolean"
@@ -35,16 +45,60 @@ def attributes_frame(spark: SparkSession, mapping: dict) -> DataFrame:
     return spark.createDataFrame(attribute_rows(mapping), ATTRIBUTES)
 
 
+_OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+_V4 = rf"^{_OCTET}\.{_OCTET}\.{_OCTET}\.{_OCTET}\z"
+_GROUPS = "(?:[0-9a-fA-F]{1,4}(?::[0-9a-fA-F]{1,4})*)?"
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _pair(v4: Column) -> Column:
+    """The two numbers of 16 bits of an address in IPv4 form."""
+    return _let(F.transform(F.split(v4, r"\."), lambda x: x.cast("int")), lambda o: F.array(o[0] * 256 + o[1], o[2] * 256 + o[3]))
+
+
+def _six(w: Column) -> Column:
+    """The eight numbers of an address in IPv6 form without an IPv4 tail."""
+    parts = lambda t: F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, ":"))
+    numbers = lambda g: F.transform(g, lambda x: F.conv(x, 16, 10).cast("int"))
+    both = F.struct(parts(F.substring_index(w, "::", 1)).alias("head"), parts(F.substring(w, F.instr(w, "::") + 2, F.length(w))).alias("tail"))
+    left = lambda s: 8 - F.size(s["head"]) - F.size(s["tail"])
+    filled = _let(both, lambda s: F.when(left(s) >= 1, numbers(F.concat(s["head"], F.array_repeat(F.lit("0"), left(s)), s["tail"]))))
+    full = _let(F.split(w, ":"), lambda g: F.when(F.size(g) == 8, numbers(g)))
+    return F.when(w.rlike(f"^{_GROUPS}(?:::)?{_GROUPS}\\z"), F.when(F.instr(w, "::") > 0, filled).otherwise(full))
+
+
+def address(ip: Column) -> Column:
+    """An address as eight numbers of 16 bits, null for text that is none. IPv4 is in its mapped form, ::ffff:a.b.c.d.
+
+    IPv6 may be compressed (`::` once, for one group or more), end in an IPv4 address and name a scope behind `%`; octets have no leading zeros.
+    """
+    head = F.array(*[F.lit(x) for x in (0, 0, 0, 0, 0, 65535)])
+
+    def six(base: Column) -> Column:
+        tail = F.regexp_extract(base, r"([0-9]+\.[0-9.]*)\z", 1)
+        groups = lambda q: F.array_join(F.transform(_pair(q), lambda x: F.hex(x)), ":")
+        return _let(tail, lambda q: F.when(q == "", _six(base)).when(q.rlike(_V4), _six(F.concat(F.substring(base, F.lit(1), F.length(base) - F.length(q)), groups(q)))))
+
+    scoped = F.when(ip.rlike(r"^[^%]*:[^%]*(?:%[^%]+)?\z"), _let(F.substring_index(ip, "%", 1), six))
+    return F.when(ip.rlike(_V4), F.concat(head, _pair(ip))).otherwise(scoped)
+
+
 def is_public_ip(ip: Column) -> Column:
-    """Not site-local, loopback, link-local or multicast. Text that is no address isn't public."""
-    part = lambda i: F.try_element_at(F.split(ip, r"\."), F.lit(i)).cast("int")
-    a, b = part(1), part(2)
-    v4 = ip.rlike(r"^(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.|$)){4}$") & ~ip.endswith(".")
-    private = (a == 10) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168)) | (a == 127) | ((a == 169) & (b == 254)) | a.between(224, 239)
-    low = F.lower(ip)
-    v6 = low.rlike(r"^[0-9a-f:.]+$") & low.contains(":")
-    local6 = low.isin("::1", "0:0:0:0:0:0:0:1") | low.rlike("^(?:fe[89a-f][0-9a-f]:|ff[0-9a-f]{2}:)")
-    return F.coalesce(F.when(v4, ~private).when(v6, ~local6), F.lit(False))
+    """Not site-local, loopback, link-local or multicast; IPv4 in a mapped IPv6 address counts by itself. Text that is no address isn't public."""
+
+    def public(g: Column) -> Column:
+        a, b = F.floor(g[6] / 256), g[6] % 256
+        mapped = (g[5] == 65535) & (g[0] + g[1] + g[2] + g[3] + g[4] == 0)
+        private = (a == 10) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168)) | (a == 127) | ((a == 169) & (b == 254)) | a.between(224, 239)
+        loopback = (g[7] == 1) & (g[0] + g[1] + g[2] + g[3] + g[4] + g[5] + g[6] == 0)
+        local = loopback | g[0].between(0xFE80, 0xFEFF) | (g[0] >= 0xFF00)
+        return F.when(mapped, ~private).otherwise(~local)
+
+    return F.coalesce(_let(address(ip), public), F.lit(False))
 
 
 def requests(events: DataFrame, attributes: DataFrame, paths: list[str], resolve: Resolver) -> DataFrame:
@@ -93,46 +147,112 @@ def enrich(events: DataFrame, asked: DataFrame, intel: DataFrame | None = None,
 
 Provider = Callable[[list[tuple[str, str, str]]], list[tuple[str, str, str, str]]]
 CACHE = "value string, tag string, attr_type string, payload string, expires_at timestamp"
+KEY = ("value", "tag", "attr_type")
 
 
-def read_through(asked: DataFrame, cache: DataFrame, provider: Provider, now: Column, ttl_seconds: int = 86400) -> tuple[DataFrame, DataFrame]:
-    """(answers: value, tag, attr_type, payload; new rows for the cache). Only what the cache lacks or holds too long is asked of the provider.
+@dataclass(frozen=True)
+class Limits:
+    """Of a provider's calls: seconds that one may take, calls at once in a task, calls more after a failure, values asked in one call."""
+
+    seconds: float = 5.0
+    threads: int = 6
+    retries: int = 1
+    values: int = 50
 
-    provider gets (value, tag, attr_type) and returns (value, tag, attr_type, payload); it runs on executors, one call per Arrow batch
-    of distinct requests, and its answers are written to a table at once, so that no request is repeated whichever of the two results is
+
+def ask(provider: Provider, asked: list[tuple[str, str, str]], limits: Limits = Limits()) -> tuple[list[tuple[str, str, str, str]], list[tuple[str, str, str, str]]]:
+    """(answers, failures: value, tag, attr_type and the reason). A call that raises, answers in another form or takes too long costs its own values only.
+
+    A call beyond its time is left to itself in a daemon thread, and another takes its place.
+    """
+    waiting = [(asked[i : i + limits.values], 0) for i in range(0, len(asked), limits.values)][::-1]
+    running: dict[int, tuple[list, int, float]] = {}
+    done: queue.SimpleQueue = queue.SimpleQueue()
+    answers, failures, calls = [], [], itertools.count()
+
+    def call(number: int, part: list) -> None:
+        try:
+            got = [tuple(map(lambda x: x if x is None else str(x), row)) for row in provider(part)]
+            if any(len(row) != 4 for row in got):
+                raise ValueError("an answer isn't of value, tag, type and payload")
+            done.put((number, got, None))
+        except Exception as e:  # whatever the provider raises is its answer
+            done.put((number, None, f"{type(e).__name__}: {e}"))
+
+    def failed(part: list, tries: int, reason: str) -> None:
+        if tries < limits.retries:
+            waiting.append((part, tries + 1))
+        else:
+            failures.extend((*key, reason) for key in part)
+
+    while waiting or running:
+        while waiting and len(running) < limits.threads:
+            part, tries = waiting.pop()
+            number = next(calls)
+            running[number] = (part, tries, time.monotonic() + limits.seconds)
+            threading.Thread(target=call, args=(number, part), daemon=True).start()
+        try:
+            number, got, reason = done.get(timeout=max(0.0, min(end for *_, end in running.values()) - time.monotonic()))
+            if number in running:  # else it came too late
+                part, tries, _ = running.pop(number)
+                if reason is None:
+                    answers += got
+                else:
+                    failed(part, tries, reason)
+        except queue.Empty:
+            for number in [n for n, (*_, end) in running.items() if end <= time.monotonic()]:
+                part, tries, _ = running.pop(number)
+                failed(part, tries, f"no answer in {limits.seconds:g} seconds")
+    return answers, failures
+
+
+def look_up(asked: DataFrame, cache: DataFrame, provider: Provider, now: Column, ttl_seconds: int = 86400, limits: Limits = Limits()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(answers: value, tag, attr_type, payload; new rows for the cache; failures: value, tag, attr_type, reason). Only what the cache lacks or holds
+    too long is asked of the provider; what fails has no answer and isn't kept, so it is asked again the next time.
+
+    provider gets (value, tag, attr_type) and returns (value, tag, attr_type, payload); it runs on executors within `limits`, on distinct
+    requests, and its answers are written to a table at once, so that no request is repeated whichever of the results is
     read. An empty payload is kept too: a negative answer is an answer. A live entry keeps its expiry.
     """
-    key = ["value", "tag", "attr_type"]
-    keys = asked.select(*key).distinct()
-    live = cache.where(F.col("expires_at") > now).groupBy(*key).agg(F.max_by("payload", "expires_at").alias("payload"))
-    missing = keys.join(live, key, "left_anti")
+    keys = asked.select(*KEY).distinct()
+    live = cache.where(F.col("expires_at") > now).groupBy(*KEY).agg(F.max_by("payload", "expires_at").alias("payload"))
+    missing = keys.join(live, list(KEY), "left_anti")
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = provider([(r["value"], r["tag"], r["attr_type"]) for r in b.to_pylist()])
-            yield pa.RecordBatch.from_arrays([pa.array([g[i] for g in got], pa.string()) for i in range(4)], [*key, "payload"])
+            got, failed = ask(provider, [tuple(r[k] for k in KEY) for r in b.to_pylist()], limits)
+            rows = [(*g, None) for g in got] + [(*f[:3], None, f[3]) for f in failed]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(5)], [*KEY, "payload", "reason"])
 
-    fetched = Scratch(asked.sparkSession).write(missing.mapInArrow(ask, "value string, tag string, attr_type string, payload string"), "fetched")
-    new = fetched.withColumn("expires_at", now + F.make_dt_interval(secs=F.lit(ttl_seconds)))
-    return live.join(keys, key, "left_semi").unionByName(fetched), new
+    fetched = Scratch(asked.sparkSession).write(missing.mapInArrow(run, "value string, tag string, attr_type string, payload string, reason string"), "fetched")
+    good = fetched.where("reason is null").drop("reason")
+    new = good.withColumn("expires_at", now + F.make_dt_interval(secs=F.lit(ttl_seconds)))
+    return live.join(keys, list(KEY), "left_semi").unionByName(good), new, fetched.where("reason is not null").select(*KEY, "reason")
+
+
+def read_through(asked: DataFrame, cache: DataFrame, provider: Provider, now: Column, ttl_seconds: int = 86400) -> tuple[DataFrame, DataFrame]:
+    """The answers and the new rows of `look_up`."""
+    return look_up(asked, cache, provider, now, ttl_seconds)[:2]
 
 
 ANSWER = "array<struct<event_id:string,category:string,attr_tags:array<string>>>"
 
 
-def cached_intel(spark: SparkSession, cache_table: str, provider: Provider, ttl_seconds: int = 86400) -> Callable[[DataFrame], DataFrame]:
-    """A function from requests to the lookup table of `lookup_intel`, read through a cache in a table that it adds to.
+def cached_intel(spark: SparkSession, cache_table: str, provider: Provider, ttl_seconds: int = 86400, buckets: int = 256, limits: Limits = Limits()) -> Callable[[DataFrame], DataFrame]:
+    """A function from requests to the lookup table of `lookup_intel`, read through a cache (see sources.cache) that it adds to.
 
-    Payloads are JSON arrays of objects with event_id, category and attr_tags; anything else is no hit.
+    Payloads are JSON arrays of objects with event_id, category and attr_tags; anything else is no hit, and so is a call that fails: those are logged.
     """
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(cache_table)
+    cache = BucketedCache(spark, cache_table, buckets)
 
     def intel(asked: DataFrame) -> DataFrame:
-        there = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
-        cache = spark.read.schema(CACHE).parquet(cache_table) if there else spark.createDataFrame([], CACHE)
-        answers, new = read_through(asked, cache, provider, F.current_timestamp(), ttl_seconds)
-        answers = Scratch(spark).write(answers, "answers")  # read before the cache grows
-        new.select(*[c.split(" ")[0] for c in CACHE.split(", ")]).write.mode("append").parquet(cache_table)
+        now = F.lit(datetime.now(timezone.utc))  # one time for the whole batch
+        keys = Scratch(spark).write(asked.select(*KEY).distinct(), "asked")
+        answers, new, failed = look_up(keys, cache.read(keys), provider, now, ttl_seconds, limits)
+        answers = Scratch(spark).write(answers, "answers")  # read before the cache changes
+        cache.add(new, now)
+        if lost := failed.count():
+            log.warning("%d lookups failed, the first with %s", lost, failed.first()["reason"])
         return answers.select("tag", "attr_type", "value", F.inline(F.from_json("payload", ANSWER)))
 
     return intel

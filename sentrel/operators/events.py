@@ -16,22 +16,28 @@ def utc(local: Column) -> Column:
     return F.timestamp_micros(F.timestamp_diff("MICROSECOND", F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'"), local))
 
 
-def parse_events(raw: DataFrame, text_col: str = "value") -> DataFrame:
-    """raw, v (VARIANT), event_uid, created, logsource. Text that isn't a JSON object has v null: see `quarantine`.
+def parse_events(raw: DataFrame, text_col: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
+    """raw, v (VARIANT), event_uid, created, logsource, and the columns of raw named in keep. Text that isn't a JSON object has v null: see `quarantine`.
 
     event_uid is the SHA-256 of the text, so that a replay gives the same alerts; equal texts have one id, but are events each.
     """
     text = F.col(text_col).cast("string")
     v = F.try_parse_json(text)
-    own = raw.select(text.alias("raw"), F.when(F.schema_of_variant(v).startswith("OBJECT"), v).alias("v"))
+    own = raw.select(*keep, text.alias("raw"), F.when(F.schema_of_variant(v).startswith("OBJECT"), v).alias("v"))
     get = lambda path: F.try_variant_get("v", path, "string")
-    return own.select("raw", "v", F.sha2("raw", 256).alias("event_uid"), F.try_to_timestamp(get("$.event.created"), F.lit(CREATED)).alias("created"), F.struct(get("$.logsource.category").alias("category"), get("$.logsource.product").alias("product")).alias("logsource"))
+    return own.select(*keep, "raw", "v", F.sha2("raw", 256).alias("event_uid"), F.try_to_timestamp(get("$.event.created"), F.lit(CREATED)).alias("created"), F.struct(get("$.logsource.category").alias("category"), get("$.logsource.product").alias("product")).alias("logsource"))
 
 
 def quarantine(parsed: DataFrame) -> DataFrame:
     return parsed.where(F.col("v").isNull()).select("raw")
 
 
+def rejected(parsed: DataFrame) -> DataFrame:
+    """What `parse_events` couldn't read: raw, reason (`no text`, `not JSON`, `no object`) and its other columns but for those of an event."""
+    reason = F.when(F.col("raw").isNull(), "no text").when(F.try_parse_json("raw").isNull(), "not JSON").otherwise("no object")
+    return parsed.where(F.col("v").isNull()).withColumn("reason", reason).drop("v", "event_uid", "created", "logsource")
+
+
 def variant_resolver(v: str = "v") -> Resolver:
     """Dotted paths of schemaless events. Arrays and objects have no value, and are told apart from missing ones."""
 

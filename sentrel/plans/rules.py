@@ -3,18 +3,17 @@
 from __future__ import annotations
 
 import copy
-import hashlib
 import json
 import logging
 import re
 from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass, field
-from pathlib import Path
 
 import yaml
 
 from sentrel.functions.predicates import MESSAGE, field_values_sql, value_sql, value_leaves
+from sentrel.sources.files import LocalFiles, SharedFiles, files_of, sibling
 
 from .conditions import AggSpec, Near, Tree, condition_sql, condition_tree, split_condition, split_near, timeframe_seconds
 
@@ -129,13 +128,13 @@ def build_field_map(rule: dict, global_map: dict[str, str]) -> FieldMap:
     return FieldMap(look(names), look(strings(rule.get("fields"))))
 
 
-def load_field_map(path: Path) -> FieldMap:
-    m = json.loads(path.read_text())["map"]
+def read_field_map(text: str) -> FieldMap:
+    m = json.loads(text)["map"]
     return FieldMap(m.get("detection") or {}, m.get("fields") or {})
 
 
-def write_field_map(path: Path, rule: dict, m: FieldMap) -> None:
-    path.write_text(json.dumps({"id": rule.get("id"), "map": {"detection": m.detection, "fields": m.fields}}, indent=2))
+def field_map_text(rule: dict, m: FieldMap) -> str:
+    return json.dumps({"id": rule.get("id"), "map": {"detection": m.detection, "fields": m.fields}}, indent=2)
 
 
 class _Sql:
@@ -277,7 +276,10 @@ def compile_documents(text: str, fields_of: Callable[[dict], FieldMap | None] =
 
 @dataclass
 class RuleSet:
-    """Rules of a folder. `refresh` compiles what has changed, by content of the rule's file and of its map."""
+    """Rules of a folder, local or on a shared file system (given as a URI), read again by `refresh`.
+
+    What has changed is told by the content of a rule's file and of its map, on a shared file system by their length and time of change.
+    """
 
     folder: str
     maps: str | None = None
@@ -286,46 +288,52 @@ class RuleSet:
     case_insensitive: bool = False
     rules: dict[str, list[CompiledRule]] = field(default_factory=dict)
     errors: dict[str, str] = field(default_factory=dict)
-    seen: dict[str, str] = field(default_factory=dict)
+    seen: dict[str, tuple] = field(default_factory=dict)
 
-    def _map_path(self, path: Path) -> Path | None:
-        return Path(self.maps) / path.with_suffix(".json").name if self.maps else None
+    def _map_path(self, path: str) -> str | None:
+        return sibling(self.maps, path, ".json") if self.maps else None
 
-    def _fingerprint(self, path: Path) -> str:
-        m = self._map_path(path)
-        return hashlib.sha256(path.read_bytes() + b"\0" + (m.read_bytes() if m and m.exists() else b"")).hexdigest()
+    def _stamps(self, files: LocalFiles | SharedFiles, paths: list[str]) -> dict[str, tuple]:
+        maps = files_of(self.maps) if self.maps else None
+        own, beside = files.stamps(paths), maps.stamps([self._map_path(p) for p in paths]) if maps else {}
+        return {p: (own.get(p), beside.get(self._map_path(p)) if maps else None) for p in paths}
 
     def refresh(self) -> dict[str, list[str]]:
         """Paths that were added, changed and removed. One rule's failure is reported in `errors` and stops no other."""
-        now = {str(p): p for p in sorted(Path(self.folder).rglob("*.yml")) if p.is_file()}
-        out: dict[str, list[str]] = {"added": [], "changed": [], "removed": [p for p in self.seen if p not in now]}
+        files = files_of(self.folder)
+        paths = files.list(self.folder, ".yml")
+        out: dict[str, list[str]] = {"added": [], "changed": [], "removed": [p for p in self.seen if p not in set(paths)]}
         for p in out["removed"]:
             self.seen.pop(p), self.rules.pop(p, None), self.errors.pop(p, None)
-            if self.write_maps and (m := self._map_path(Path(p))) and m.exists():
-                m.unlink()
-        for name, path in now.items():
-            if self.seen.get(name) != self._fingerprint(path):
-                out["changed" if name in self.seen else "added"].append(name)
-                self._load(name, path)
-                self.seen[name] = self._fingerprint(path)
+            if self.write_maps and (m := self._map_path(p)) and files_of(self.maps).stamps([m]):
+                files_of(self.maps).delete(m)
+        now = self._stamps(files, paths)
+        changed = [p for p in paths if self.seen.get(p) != now[p]]
+        for p in changed:
+            out["changed" if p in self.seen else "added"].append(p)
+            self._load(p, files.read(p))
+        self.seen |= self._stamps(files, changed)  # maps may have been written
         return out
 
-    def _load(self, name: str, path: Path) -> None:
-        m = self._map_path(path)
-        written = m is not None and m.exists()
+    def _load(self, name: str, text: str) -> None:
+        m = self._map_path(name)
+        maps = files_of(self.maps) if m else None
+        written = maps.read(m) if m and maps.stamps([m]) else None
+        made_here: list[FieldMap] = []
 
         def fields_of(doc: dict) -> FieldMap | None:
             made = build_field_map(doc, self.global_map) if self.global_map is not None else None
-            if written:
-                return load_field_map(m).beside(made, self.global_map)
+            if written is not None:
+                return read_field_map(written).beside(made, self.global_map)
             if made and m and self.write_maps:  # documents of one file share its map
-                made = load_field_map(m).beside(made) if m.exists() else made
-                write_field_map(m, doc, made)
+                made = made_here[-1].beside(made) if made_here else made
+                made_here.append(made)
+                maps.write(m, field_map_text(doc, made))
             return made
 
         self.errors.pop(name, None)
         try:
-            self.rules[name], errors = compile_documents(path.read_text(), fields_of, self.case_insensitive)
+            self.rules[name], errors = compile_documents(text, fields_of, self.case_insensitive)
         except yaml.YAMLError as e:
             self.rules[name], errors = [], [f"YAML: {e}"]
         if errors:

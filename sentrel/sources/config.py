@@ -12,7 +12,7 @@ class Config:
     topic_pattern: str | None = None  # used only without a list
     bootstrap_servers: str = "localhost:9092"
     group_id: str | None = None
-    start: str = "group"  # earliest, latest, group or milliseconds since 1970
+    start: str = "group"  # earliest, latest, group, milliseconds since 1970, or JSON of offsets per topic and partition
     tls: dict[str, str] = field(default_factory=dict)  # options of the Kafka client below `ssl.`, and security.protocol
     source: str = "kafka"  # or text, parquet: then source_path names the folder
     source_path: str | None = None
@@ -22,6 +22,7 @@ class Config:
     match_table: str = "matches"
     event_table: str = "events"
     alert_table: str = "alerts"
+    rejected_table: str | None = None  # of lines that are no events; by default beside the event table
     checkpoint: str = "checkpoints"
     sink: str = "parquet"  # or any format that Spark writes, with sink_options
     sink_options: dict[str, str] = field(default_factory=dict)  # keys below `sink.`: hosts, users, certificates, timeouts, batch sizes
@@ -34,6 +35,11 @@ class Config:
     dns_table: str | None = None
     cache_table: str = "cache"  # of answers of a provider
     cache_ttl_seconds: int = 86400
+    cache_buckets: int = 256  # files of the cache, one per bucket of values
+    lookup_timeout_ms: int = 5000  # of one call of a provider
+    lookup_threads: int = 6  # calls at once in a task
+    lookup_retries: int = 1
+    lookup_values: int = 50  # asked in one call
     trigger: str | None = None  # such as `10 seconds`; without one, what is there now is worked on and the job ends
     max_files: int = 0  # of matches that an alerting micro-batch takes; 0: all
     reopen_on_expiry: bool = False

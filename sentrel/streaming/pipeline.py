@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from sentrel.operators import enrich
-from sentrel.operators.alerts import build_alerts, event_fields
-from sentrel.operators.events import Resolver, parse_events, variant_resolver
+from sentrel.operators.alerts import build_alerts, event_fields, utc_text
+from sentrel.operators.events import Resolver, parse_events, rejected, variant_resolver
 from sentrel.operators.near import near_matches
 from sentrel.operators.rule_index import match
 from sentrel.operators.thresholds import fired, threshold_matches
@@ -30,7 +30,7 @@ log = logging.getLogger(__name__)
 #: Columns of a match that a threshold or an alert needs; `fields` holds the rule's useful fields by then.
 _KEY = "event_uid string, created timestamp, rule_key string"
 _THRESHOLD = "agg_fn string, agg_field boolean, agg_by boolean, agg_raw string, group_value string, op string, threshold long, timeframe_sec long"
-_ALERT = "ruleid string, condition_idx int, rule_name string, rule_status string, rule_level string, tags array<string>, fields map<string,string>, raw string"
+_ALERT = "ruleid string, condition_idx int, rule_name string, rule_status string, rule_level string, tags array<string>, fields map<string,string>, raw string, event_day string"
 MATCH_ROW = f"{_KEY}, {_THRESHOLD}, {_ALERT}"
 _names = lambda ddl: [x.strip().partition(" ")[0] for x in ddl.replace("map<string,string>", "map").split(",")]
 
@@ -38,7 +38,8 @@ _names = lambda ddl: [x.strip().partition(" ")[0] for x in ddl.replace("map<stri
 def match_rows(events: DataFrame, rules: list[CompiledRule], resolve: Resolver, payload: str = "raw") -> DataFrame:
     """Matches with what a threshold or an alert needs of them, and no more."""
     found = match(events, rules, resolve)
-    return found.withColumn("fields", event_fields(found)).withColumn("raw", F.col(payload).cast("string")).select(*_names(MATCH_ROW))
+    day = F.substring(utc_text(F.col("created")), 1, 10)
+    return found.withColumns({"fields": event_fields(found), "raw": F.col(payload).cast("string"), "event_day": day}).select(*_names(MATCH_ROW))
 
 
 def detect(events: DataFrame, rules: list[CompiledRule], resolve: Resolver | None = None, payload: str = "raw", clock: bool = True, reopen_on_expiry: bool = False) -> DataFrame:
@@ -100,7 +101,7 @@ def start_alerting(spark: SparkSession, match_table: str, alert_table: str, chec
 
     def start(rows: DataFrame, kind: str) -> StreamingQuery:
         write = sink(f"{alert_table}/{kind}")
-        return rows.writeStream.foreachBatch(lambda b, i: write(build_alerts(b), i)).option("checkpointLocation", f"{checkpoint}/{kind}").outputMode("append").trigger(**when).start()
+        return rows.writeStream.foreachBatch(lambda b, i: write(build_alerts(b, keep=("event_day",)), i)).option("checkpointLocation", f"{checkpoint}/{kind}").outputMode("append").trigger(**when).start()
 
     if "availableNow" not in when:
         return [start(plain, "plain"), start(hit, "fired")]
@@ -119,12 +120,21 @@ def enriched(events: DataFrame, mapping: dict | None, intel: Lookup, dns: Lookup
     return enrich.enrich(events, asked, intel(asked), dns(asked))
 
 
-def start_events(raw: DataFrame, sink: Sink, checkpoint: str, mapping: dict | None = None, intel: Lookup = lambda asked: None, dns: Lookup = lambda asked: None, trigger: dict | None = None) -> StreamingQuery:
-    """The event branch: parsed events, enriched if there is a mapping, to the event sink. Lookup tables are read anew for each micro-batch."""
+def start_events(raw: DataFrame, sink: Sink, checkpoint: str, mapping: dict | None = None, intel: Lookup = lambda asked: None, dns: Lookup = lambda asked: None, trigger: dict | None = None, rejected_table: str | None = None) -> StreamingQuery:
+    """The event branch: parsed events, enriched if there is a mapping, to the event sink; lines that are no events, with the reason and the column
+    `origin` of raw if it has one, to a table of their own. Lookup tables are read anew for each micro-batch.
+    """
+    keep = tuple(c for c in ("origin",) if c in raw.columns)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        events = parse_events(batch).where("v is not null")
-        sink(enriched(events, mapping, intel, dns).drop("v"), batch_id)
+        batch = batch.persist()  # the source is read once for both outputs
+        try:
+            parsed = parse_events(batch, keep=keep)
+            sink(enriched(parsed.where("v is not null").drop(*keep), mapping, intel, dns).drop("v"), batch_id)
+            if rejected_table:
+                write_once(rejected(parsed), rejected_table, batch_id)
+        finally:
+            batch.unpersist()
 
     return raw.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
@@ -133,22 +143,22 @@ def run(spark: SparkSession, c: Config, provider: enrich.Provider | None = None)
     """Starts what the configuration describes: a source, the event branch with its sink, matching, and alerting with its sink.
 
     Enrichment is on the event branch only, and only with its flag; rules are held against the events as they come. Threat intelligence is a
-    table, or asked of `provider` through the cache table.
+    table, or asked of `provider` through the cache table, within the configured deadline. Lines that are no events go to a table beside the events.
     """
     where = c if c.source == "kafka" else c.source_path
     rules = load_rules(c.rules, maps=c.maps, global_map=json.loads(Path(c.global_map).read_text())["map"] if c.global_map else None)
     table = lambda path: (lambda asked: spark.read.parquet(path) if path else None)
-    intel = enrich.cached_intel(spark, c.cache_table, provider, c.cache_ttl_seconds) if provider else table(c.intel_table)
+    intel = enrich.cached_intel(spark, c.cache_table, provider, c.cache_ttl_seconds, c.cache_buckets, enrich.Limits(c.lookup_timeout_ms / 1000, c.lookup_threads, c.lookup_retries, c.lookup_values)) if provider else table(c.intel_table)
     when = {"processingTime": c.trigger} if c.trigger else {"availableNow": True}
     mapping = json.loads(Path(c.intel_map).read_text()) if c.enrichment and c.intel_map else None
     events = append_events(c.event_table, c.event_index, c.flush_rows) if c.sink == "parquet" else to_format(c.sink, c.sink_options, c.event_index)
     alerts = (lambda path: upsert_alerts(path, c.alert_index, c.flush_rows)) if c.sink == "parquet" else (lambda path: to_format(c.sink, c.sink_options, c.alert_index, status=True))
-    source = lambda: event_source(spark, c.source, where, streaming=True)
+    source = lambda origin=False: event_source(spark, c.source, where, streaming=True, origin=origin)
     matching = start_matching(source(), rules, c.match_table, f"{c.checkpoint}/matching", trigger=when)
     if not c.trigger:  # what is there now: matches first, then their alerts
         matching.awaitTermination()
     return [
-        start_events(source(), events, f"{c.checkpoint}/events", mapping, intel, table(c.dns_table), when),
+        start_events(source(True), events, f"{c.checkpoint}/events", mapping, intel, table(c.dns_table), when, c.rejected_table or f"{c.event_table}_rejected"),
         matching,
         *start_alerting(spark, c.match_table, c.alert_table, f"{c.checkpoint}/alerting", when, alerts, c.max_files or None, c.reopen_on_expiry, c.forget_after_seconds or None),
     ]

@@ -5,6 +5,7 @@ import pytest
 
 from sentrel.functions.predicates import UnsupportedModifier, base64_offsets, register_modifier, value_sql
 from sentrel.plans.conditions import AggSpec, ConditionError, UnsupportedAggregation, condition_sql, condition_tree, split_condition, timeframe_seconds
+from sentrel.sources.files import SharedFiles
 from sentrel.plans.rules import FieldMap, RuleError, build_field_map, compile_documents, compile_rule, load_rules, merge_documents, parse_documents
 
 S = {"a": "A", "b": "B", "sel1": "X", "sel2": "Y", "notepad": "N"}
@@ -197,3 +198,26 @@ def test_tree_has_the_precedence_of_sql():
     a, b, c = ("or", [t["a"]]), ("or", [t["b"]]), ("or", [t["c"]])
     assert condition_tree("a or not b and c", t) == ("or", [a, ("and", [("not", [b]), c])])
     assert condition_tree("not (a or b) and all of them", t) == ("and", [("not", [("or", [a, b])]), ("and", [*t.values()])])
+
+
+def test_a_folder_on_a_shared_file_system(spark, tmp_path):
+    """Rules and maps by URI, with the same refreshes as by local path."""
+    for d in ("rules/sub", "maps"):
+        (tmp_path / d).mkdir(parents=True)
+    one = "id: {}\nfields: [X]\ndetection: {{s: {{X: {}}}, condition: s}}\n"
+    (tmp_path / "rules/a.yml").write_text(one.format("a", 1))
+    (tmp_path / "rules/sub/b c.yml").write_text(one.format("b", 2))
+    (tmp_path / "rules/no.txt").write_text("x")
+    rules = load_rules(f"file://{tmp_path}/rules", maps=f"file://{tmp_path}/maps", global_map={"X": "x.y"}, write_maps=True)
+    names = lambda: sorted((r.key, r.paths) for r in rules.compiled())
+    assert names() == [("a#0", ("x.y",)), ("b#0", ("x.y",))] and len(list((tmp_path / "maps").glob("*.json"))) == 2
+    assert rules.refresh() == {"added": [], "changed": [], "removed": []}
+    (tmp_path / "rules/a.yml").write_text(one.format("a", 100))
+    (tmp_path / "rules/c.yml").write_text("id: [")
+    changed = rules.refresh()
+    assert [len(changed[k]) for k in ("added", "changed", "removed")] == [1, 1, 0] and "YAML" in next(iter(rules.errors.values()))
+    SharedFiles(spark).write(f"file://{tmp_path}/maps/a.json", json.dumps({"id": "a", "map": {"detection": {"X": "other.path"}}}))
+    assert len(rules.refresh()["changed"]) == 1 and ("a#0", ("other.path",)) in names()
+    (tmp_path / "rules/a.yml").unlink(), (tmp_path / "rules/c.yml").unlink()
+    assert len(rules.refresh()["removed"]) == 2 and names() == [("b#0", ("x.y",))] and not (tmp_path / "maps/a.json").exists()
+    assert load_rules(f"file://{tmp_path}/nothing").compiled() == []

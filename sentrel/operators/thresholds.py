@@ -83,6 +83,15 @@ def register_aggregation(name: str, aggregation: Aggregation) -> None:
     AGGREGATIONS[name] = aggregation
 
 
+def registered() -> dict[str, Aggregation]:
+    """Aggregations that aren't built in, for tasks to know them as the driver does."""
+    return {n: a for n, a in AGGREGATIONS.items() if _BUILT_IN.get(n) is not a}
+
+
+def learn(more: dict[str, Aggregation]) -> None:
+    AGGREGATIONS.update(more)
+
+
 def advance(state: list | None, ms: int, raw: str | None, fn: str, op: str, threshold: int, timeframe: int, reopen: bool = False) -> tuple[list | None, int | None]:
     """(new state, value if the event fires). state: [first event's milliseconds, accumulator] or None."""
     agg = AGGREGATIONS[fn]
@@ -153,7 +162,10 @@ def _rows(batch: pa.RecordBatch) -> Iterator[tuple]:
 
 
 def _fold(reopen: bool):
+    more = registered()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        learn(more)
         key, state = None, None
         for batch in batches:
             found = []
@@ -171,7 +183,10 @@ def _fold(reopen: bool):
 def _fold_parts(reopen: bool, entries):
     """Folds whole parts, each from the state that its entry names. Besides the rows that fire, one row per part: its first and last key and its last state."""
 
+    more = registered()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        learn(more)
         part, first, key, state = None, None, None, None
         last = lambda: (None, None, None, part, first, json.dumps(key), json.dumps(state))
         for batch in batches:
@@ -249,7 +264,7 @@ def fired(matches: DataFrame, reopen_on_expiry: bool = False, keep: tuple[str, .
     sizes = scratch.write(narrow.groupBy("rule_key", "state_key").count(), "sizes")
     sums = sizes.agg(F.coalesce(F.sum("count"), F.lit(0)), F.coalesce(F.max("count"), F.lit(0)), F.count(F.when(F.col("count") > ARRAY_ROWS, 1))).first()
     key, ordered = ["rule_key", "state_key"], lambda some: some.repartition("rule_key", "state_key").sortWithinPartitions(*_ORDER)
-    changed = any(_BUILT_IN.get(n) is not a for n, a in AGGREGATIONS.items())  # the array fold knows the built-in ones only
+    changed = bool(registered())  # the array fold knows the built-in ones only
     if sums[1] <= ARRAY_ROWS and not changed:
         found = _array_fold(narrow, reopen_on_expiry)
     else:

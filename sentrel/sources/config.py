@@ -44,6 +44,8 @@ class Config:
     max_files: int = 0  # of matches that an alerting micro-batch takes; 0: all
     reopen_on_expiry: bool = False
     forget_after_seconds: int = 0  # after which an idle threshold key is forgotten; 0: never
+    event_time: bool = False  # idle by the events' own time, not by the clock
+    delay_seconds: int = 0  # by which events may be late then
 
 
 def read_properties(path: str) -> dict[str, str]:

@@ -23,7 +23,7 @@ from sentrel.sources.config import Config
 from sentrel.sources.readers import event_source
 from sentrel.sources.sinks import Sink, append_events, to_format, upsert_alerts, write_once
 
-from .thresholds import fired_stream
+from .thresholds import ROCKSDB, fired_stream
 
 log = logging.getLogger(__name__)
 
@@ -83,7 +83,7 @@ def start_matching(raw: DataFrame, rules: RuleSet, match_table: str, checkpoint:
     return raw.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def start_alerting(spark: SparkSession, match_table: str, alert_table: str, checkpoint: str, trigger: dict | None = None, sink: Callable[[str], Sink] | None = None, max_files: int | None = None, reopen_on_expiry: bool = False, forget_after_seconds: int | None = None) -> list[StreamingQuery]:
+def start_alerting(spark: SparkSession, match_table: str, alert_table: str, checkpoint: str, trigger: dict | None = None, sink: Callable[[str], Sink] | None = None, max_files: int | None = None, reopen_on_expiry: bool = False, forget_after_seconds: int | None = None, event_time: bool = False, delay_seconds: int = 0) -> list[StreamingQuery]:
     """Second stage: matches without aggregation become alerts as they are; the others pass the stateful fold.
 
     max_files: files of the match table that a micro-batch takes at most, so that a backlog is folded over the keyed state bit by bit.
@@ -96,16 +96,16 @@ def start_alerting(spark: SparkSession, match_table: str, alert_table: str, chec
 
     columns = _names(_ALERT)
     carried = found.select(*columns).schema
-    hit = fired_stream(found.withColumn("payload", F.to_json(F.struct(*columns))), reopen_on_expiry, forget_after_seconds)
+    hit = fired_stream(found.withColumn("payload", F.to_json(F.struct(*columns))), reopen_on_expiry, forget_after_seconds, event_time, delay_seconds)
     hit = hit.withColumn("p", F.from_json("payload", carried)).select("event_uid", "rule_key", "agg_value", "p.*")
 
     def start(rows: DataFrame, kind: str) -> StreamingQuery:
         write = sink(f"{alert_table}/{kind}")
         return rows.writeStream.foreachBatch(lambda b, i: write(build_alerts(b, keep=("event_day",)), i)).option("checkpointLocation", f"{checkpoint}/{kind}").outputMode("append").trigger(**when).start()
 
-    if "availableNow" not in when:
-        return [start(plain, "plain"), start(hit, "fired")]
-    with settings(spark, {"spark.sql.streaming.noDataMicroBatches.enabled": "false"}):  # they would wait for idle keys for ever
+    # without new rows a batch would only wait for keys to be idle by the clock, for ever where what is there now is worked on
+    idle = {"spark.sql.streaming.noDataMicroBatches.enabled": "false"} if "availableNow" in when and not event_time else {}
+    with settings(spark, ROCKSDB | idle):
         return [start(plain, "plain"), start(hit, "fired")]
 
 
@@ -160,5 +160,5 @@ def run(spark: SparkSession, c: Config, provider: enrich.Provider | None = None)
     return [
         start_events(source(True), events, f"{c.checkpoint}/events", mapping, intel, table(c.dns_table), when, c.rejected_table or f"{c.event_table}_rejected"),
         matching,
-        *start_alerting(spark, c.match_table, c.alert_table, f"{c.checkpoint}/alerting", when, alerts, c.max_files or None, c.reopen_on_expiry, c.forget_after_seconds or None),
+        *start_alerting(spark, c.match_table, c.alert_table, f"{c.checkpoint}/alerting", when, alerts, c.max_files or None, c.reopen_on_expiry, c.forget_after_seconds or None, c.event_time, c.delay_seconds),
     ]

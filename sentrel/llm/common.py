@@ -36,17 +36,20 @@ def with_fields(df: DataFrame, **more: T.DataType) -> T.StructType:
     return T.StructType([*df.schema.fields, *[T.StructField(n, t) for n, t in more.items()]])
 
 
-def map_texts(docs: DataFrame, text_col: str, run, **more: T.DataType) -> DataFrame:
+def map_texts(docs: DataFrame, text_col: str, *runs, **more: T.DataType) -> DataFrame:
     """docs' columns and those in `more`, which replace columns of their names; all columns may have any names.
 
-    run gets Arrow batches of `row` and `text` (the text column as strings) and returns batches of `row`, `text` and the new columns.
+    The first of runs gets Arrow batches of `row` and `text` (the text column as strings) and returns batches of `row`, `text` and the new columns,
+    which any further ones get and return.
     """
     docs = docs.drop(*more)
     kept = text_col if dict(docs.dtypes).get(text_col) == "string" else None  # goes along once, not twice
     own = own_columns(docs, *([kept] if kept else []))
     text = F.col(f"`{text_col.replace('`', '``')}`").cast("string").alias("text")
     packed = docs.select((F.struct(*own) if own else F.lit(0)).alias("row"), text)
-    out = packed.mapInArrow(run, with_fields(packed, **more))
+    out, schema = packed, with_fields(packed, **more)
+    for run in runs:
+        out = out.mapInArrow(run, schema)
     return out.select(*[F.col("text").alias(c) if c == kept else F.col("row")[c].alias(c) for c in docs.columns], *more)
 
 

@@ -10,6 +10,7 @@ wavelet ranks, occurrences are located by sampled suffix positions, and their sp
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import own_columns, small_batches, table, with_fields
+from .common import map_texts, own_columns, small_batches, table
 
 WINDOW = 10
 #: Benchmark words held in a task at once; a larger benchmark is searched in several passes over the documents' batches.
@@ -28,6 +29,10 @@ SAMPLE = 8
 _ALNUM = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
 
+#: The same words where they stand, in UTF-8.
+WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
+
+
 def words_of(text: str | None) -> list[bytes]:
     """Runs of 0-9, a-z and everything beyond ASCII, with A-Z lower-cased."""
     return text.encode("utf-8", "surrogatepass").translate(_ALNUM).split() if text else []
@@ -177,13 +182,13 @@ _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 _OUT = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
 
-def _shards(windows, text_col: str, names: tuple[str, str, str], first: bool):
+def _shards(windows, names: tuple[str, str, str], first: bool):
     words_col, spans_col, items_col = names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = windows.value
         for batch in batches:
-            docs = [words_of(x) for x in batch.column(text_col).to_pylist()]
+            docs = [words_of(x) for x in batch.column("text").to_pylist()]
             doc, start, which = w.find(docs)
             spans: list[list] = [[] for _ in docs] if first else [[(s["start"], s["end"]) for s in x] for x in batch.column(spans_col).to_pylist()]
             items: list[list] = [[] for _ in docs] if first else batch.column(items_col).to_pylist()
@@ -203,7 +208,10 @@ def _shards(windows, text_col: str, names: tuple[str, str, str], first: bool):
 
 
 def benchmark_passes(spark: SparkSession, benchmark: DataFrame, item_col: str, text_col: str, window: int, pass_words: int) -> list:
-    """Broadcasts of the benchmark's windows, each of about pass_words words: one, unless the benchmark is larger."""
+    """Broadcasts of the benchmark's windows, each of about pass_words words: one, unless the benchmark is larger.
+
+    The driver makes one after another and holds the windows of one at a time; a broadcast is a file for it then.
+    """
     b = benchmark.where(F.col(item_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text"))
     size = b.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     passes = 1 + size // (6 * pass_words)
@@ -220,11 +228,39 @@ def find_contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFram
     `names` are replaced.
     """
     small_batches(spark)
-    out = docs.drop(*names)
-    for k, windows in enumerate(benchmark_passes(spark, benchmark, item_col, benchmark_text_col, window, pass_words)):
-        schema = with_fields(out.drop(*names), **dict(zip(names, (T.LongType(), _OUT, T.ArrayType(T.StringType())), strict=True)))
-        out = out.mapInArrow(_shards(windows, text_col, names, k == 0), schema)
-    return out
+    passes = [_shards(windows, names, k == 0) for k, windows in enumerate(benchmark_passes(spark, benchmark, item_col, benchmark_text_col, window, pass_words))]
+    return map_texts(docs, text_col, *passes, **dict(zip(names, (T.LongType(), _OUT, T.ArrayType(T.StringType())), strict=True)))
+
+
+def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
+    """text without the words of these spans (disjoint and in order) and what stands between them; what is around them stays as it is."""
+    raw = text.encode("utf-8", "surrogatepass")
+    at = [m.span() for m in WORD.finditer(raw)]
+    kept, last = [], 0
+    for a, b in spans:
+        kept.append(raw[last : at[a][0]])
+        last = at[b - 1][1]
+    return b"".join([*kept, raw[last:]]).decode("utf-8", "surrogatepass")
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        spans = batch.column("row").field("spans").to_pylist()
+        texts = [t if not x else cut_words(t, [(s["start"], s["end"]) for s in x]) for t, x in zip(batch.column("text").to_pylist(), spans, strict=True)]
+        n = [sum(s["end"] - s["start"] for s in x) for x in spans]
+        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string()), pa.array(n, pa.int64())], ["row", "text", "n_cut"])
+
+
+def cut_benchmark(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **how) -> DataFrame:
+    """docs and all their columns, with the words that a benchmark window covers cut out of the text, and n_cut, their number.
+
+    Takes the options of `find_contamination`, and treats nulls, odd texts and empty tables as that does; a column of docs named n_cut is replaced.
+    """
+    docs = docs.drop("n_cut")
+    rows = docs.select(F.struct(*own_columns(docs, text_col)).alias("own") if len(docs.columns) > 1 else F.lit(0).alias("own"), F.col(f"`{text_col.replace('`', '``')}`").cast("string").alias("text"))
+    found = find_contamination(spark, rows, benchmark, "text", **how).select("own", "spans", "text")
+    cut = map_texts(found, "text", _cut, n_cut=T.LongType())
+    return cut.select(*[F.col("text").alias(c) if c == text_col else F.col("own")[c].alias(c) for c in docs.columns], "n_cut")
 
 
 def items_digest(items: list) -> str:

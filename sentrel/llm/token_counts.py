@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import small_batches, table, with_fields
+from .common import map_texts, small_batches, table
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 START = "▁"  # stands before a word
@@ -78,12 +78,12 @@ class LongestMatch:
         return n
 
 
-def _counts(automaton, text_col: str, names: tuple[str, str]):
+def _counts(automaton, names: tuple[str, str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count, known = automaton.value.count, {}
         for batch in batches:
             words, tokens = [], []
-            for text in batch.column(text_col).to_pylist():
+            for text in batch.column("text").to_pylist():
                 n = t = 0
                 for word, k in Counter(text.encode("utf-8", "surrogatepass").split() if text else ()).items():
                     if (c := known.get(word)) is None:
@@ -108,8 +108,7 @@ def count_tokens(spark: SparkSession, docs: DataFrame, text_col: str = "text", v
     """
     small_batches(spark)
     automaton = spark.sparkContext.broadcast(LongestMatch(load_pieces(vocabulary)))
-    docs = docs.drop(*names)
-    return docs.mapInArrow(_counts(automaton, text_col, names), with_fields(docs, **{n: T.LongType() for n in names}))
+    return map_texts(docs, text_col, _counts(automaton, names), **{n: T.LongType() for n in names})
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

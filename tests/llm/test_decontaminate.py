@@ -3,7 +3,7 @@ import random
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from sentrel.llm.decontaminate import Windows, find_contamination, items_digest, without_benchmark, words_of
+from sentrel.llm.decontaminate import Windows, cut_benchmark, find_contamination, items_digest, without_benchmark, words_of
 
 
 def brute(docs, items, k=10):
@@ -56,3 +56,14 @@ def test_frame_and_passes(spark):
     assert clean.columns == df.columns and sorted(r["doc_id"] for r in clean.collect()) == [i for i, t in enumerate(docs) if not want[t][1]]
     assert without_benchmark(spark, df, bench.limit(0)).count() == len(docs) and find_contamination(spark, df.limit(0), bench).count() == 0
     assert items_digest([]) == "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
+
+
+def test_spans_are_cut_out(spark):
+    bench = spark.createDataFrame([(1, "one two three"), (2, "três quatro")], "item_id long, text string")
+    texts = {"A, One-TWO  three! b": ("A, ! b", 3), "one two": ("one two", 0), "one two three": ("", 3), "x one two three três Quatro. (y)": ("x . (y)", 5), None: (None, 0), "": ("", 0), "a três quatro, b one two three": ("a , b ", 5)}
+    df = spark.createDataFrame([(t, 1, "n") for t in texts], "`te.xt` string, spans int, n_cut string")
+    got = cut_benchmark(spark, df, bench, "te.xt")
+    assert got.columns == ["te.xt", "spans", "n_cut"] and sorted(((r["te.xt"], r["n_cut"], r["spans"]) for r in got.collect()), key=str) == sorted(((*v, 1) for v in texts.values()), key=str)
+    again = find_contamination(spark, got, bench, "te.xt", names=("words", "found", "items"))
+    assert again.where("size(found) > 0").count() == 0 and cut_benchmark(spark, df.limit(0), bench, "te.xt").count() == 0
+    assert cut_benchmark(spark, df.select("`te.xt`"), bench, "te.xt").columns == ["te.xt", "n_cut"]

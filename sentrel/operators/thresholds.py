@@ -122,7 +122,7 @@ _FIRED = T.StructType([T.StructField("row", T.LongType()), T.StructField("rule_k
 
 #: Rows of a key up to which it is folded over an array in the JVM.
 ARRAY_ROWS = 2_000
-#: Keys up to which a list of them is broadcast.
+#: Keys, or rows that fire, up to which a list of them is broadcast.
 BROADCAST_KEYS = 100_000
 
 _NUMBER = "CASE WHEN agg_fn NOT IN ('count', 'uniquecount') AND e.agg_raw RLIKE '^[+-]?[0-9]+\\\\z' THEN try_cast(e.agg_raw AS bigint) END"
@@ -180,15 +180,80 @@ def _fold(reopen: bool):
     return run
 
 
-def _fold_parts(reopen: bool, entries):
-    """Folds whole parts, each from the state that its entry names. Besides the rows that fire, one row per part: its first and last key and its last state."""
+class Summary:
+    """What a run of one key's events does to a state that it neither fires nor lets expire, so that runs compose without being folded again.
+
+    Tested values move between bounds that follow from the entry state: if the test holds for none of them, nothing fires.
+    """
+
+    def __init__(self, spec: tuple[str, str, int, int]):
+        self.spec, self.n, self.last = spec, 0, None
+        self.known = spec[0] in ("count", "sum", "min", "max", "uniquecount") and _BUILT_IN.get(spec[0]) is AGGREGATIONS.get(spec[0])
+        self.total = self.least = self.most = 0  # of sums up to each event
+        self.first = self.low = self.high = None  # numbers
+        self.values: dict[str, int] = {}
+
+    def add(self, ms: int, raw: str | None, spec: tuple[str, str, int, int]) -> None:
+        self.known &= spec == self.spec and len(self.values) <= SUMMARY_VALUES
+        if not self.known:
+            return
+        self.n, self.last = self.n + 1, ms
+        if spec[0] == "uniquecount":
+            if raw is not None:
+                self.values[raw] = 1
+        elif spec[0] != "count":
+            x = int(raw) if raw is not None and _INT.fullmatch(raw) and _is_long(int(raw)) else None
+            if self.n == 1:
+                self.first = x
+            if x is not None:
+                self.low, self.high = x if self.low is None else min(self.low, x), x if self.high is None else max(self.high, x)
+                self.total += x
+            self.least, self.most = (self.total, self.total) if self.n == 1 else (min(self.least, self.total), max(self.most, self.total))
+
+    def text(self) -> str | None:
+        return json.dumps([self.spec, self.n, self.last, self.total, self.least, self.most, self.first, self.low, self.high, list(self.values)]) if self.known and self.n else None
+
+
+#: Values of uniquecount that a summary holds at most; a run with more is folded again.
+SUMMARY_VALUES = 10_000
+
+
+def composed(summary: str | None, state: list) -> list | None:
+    """The state after a summarised run that `state` enters, or None if something may fire or expire in it."""
+    if summary is None:
+        return None
+    (fn, op, threshold, frame), n, last, total, least, most, first, low, high, values = json.loads(summary)
+    t0, acc = state
+    if int((last - t0) / 1000) >= frame:
+        return None
+    pick = lambda f, *xs: f(x for x in xs if x is not None)
+    if fn == "count":
+        bounds, after = (acc + 1, acc + n), acc + n
+    elif fn == "sum":
+        bounds, after = (acc + least, acc + most), acc + total
+        if not (_is_long(bounds[0]) and _is_long(bounds[1])):
+            return None
+    elif fn == "uniquecount":
+        after = acc | dict.fromkeys(values, 1)
+        bounds = (len(acc), len(after))
+    else:
+        f = min if fn == "min" else max
+        after = pick(f, acc, low if fn == "min" else high)
+        bounds = sorted((pick(f, acc, first), after))
+    lowest, highest = bounds
+    quiet = {">": highest <= threshold, ">=": highest < threshold, "<": lowest >= threshold, "<=": lowest > threshold, "=": not lowest <= threshold <= highest}[op]
+    return [t0, after] if quiet else None
 
+
+def _fold_parts(reopen: bool, entries):
+    """Folds whole parts, each from the state that its entry names. Besides the rows that fire, one row per part: its first and last key, its last
+    state, and a summary of its first key's events."""
     more = registered()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         learn(more)
-        part, first, key, state = None, None, None, None
-        last = lambda: (None, None, None, part, first, json.dumps(key), json.dumps(state))
+        part, first, key, state, head = None, None, None, None, None
+        last = lambda: (None, None, None, part, first, json.dumps(key), json.dumps(state), head.text(), None)
         for batch in batches:
             out = []
             for here, values in zip(batch.column("part").to_pylist(), _rows(batch), strict=True):
@@ -196,13 +261,16 @@ def _fold_parts(reopen: bool, entries):
                 if here != part:
                     if part is not None:
                         out.append(last())
-                    part, key, first = here, (rule, sub), json.dumps((rule, sub))
+                    part, key, first, at_head = here, (rule, sub), json.dumps((rule, sub)), True
                     state = json.loads(json.dumps(entries.value.get(part)))  # its own, as it may be changed in place
+                    head = Summary((fn, op, threshold, frame))
                 elif (rule, sub) != key:
-                    key, state = (rule, sub), None
+                    key, state, at_head = (rule, sub), None, False
+                if at_head:
+                    head.add(ms, raw, (fn, op, threshold, frame))
                 state, value = advance(state, ms, raw, fn, op, threshold, frame, reopen)
                 if value is not None:
-                    out.append((row, rule, value, part, None, None, None))
+                    out.append((row, rule, value, part, None, None, None, None, at_head))
             yield _part_batch(out)
         if part is not None:
             yield _part_batch([last()])
@@ -210,39 +278,54 @@ def _fold_parts(reopen: bool, entries):
     return run
 
 
+_PART = {"row": pa.int64(), "rule_key": pa.string(), "agg_value": pa.int64(), "part": pa.int32(), "first_key": pa.string(), "last_key": pa.string(), "state": pa.string(), "summary": pa.string(), "head": pa.bool_()}
+
+
 def _part_batch(rows: list[tuple]) -> pa.RecordBatch:
-    types = (pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string())
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["row", "rule_key", "agg_value", "part", "first_key", "last_key", "state"])
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(_PART.values())], list(_PART))
 
 
 def _fired_in_parts(scratch: Scratch, narrow: DataFrame, parts: int, reopen: bool) -> DataFrame:
     """The fold of few, large keys: their rows are cut into even parts in order, whatever key they are of.
 
-    All parts are folded from no state at once; then those whose real entry state differs, which is the last state of the part before, again,
-    until none does. A wrong entry state is forgotten at the first alert or expiry that both runs share, so a second pass mostly settles all. What the
-    driver holds is one state per part.
+    All parts are folded from no state at once. Then the true entry states are carried through in order: where a part's summary shows that nothing
+    fires or expires under its entry state, the state after it follows at once, and what the fold of its first key gave is void; the others are folded
+    again, until none differs. A wrong entry state is forgotten at the first alert or expiry that both runs share, so a second pass mostly settles all,
+    and a key that never fires takes one, however many parts it has. What the driver holds is one state and one summary per part.
     """
     spark = scratch.spark
     cut = scratch.write(narrow.repartitionByRange(parts, *_ORDER).withColumn("part", F.spark_partition_id()), "parts")
-    schema = T.StructType([*_FIRED.fields, T.StructField("part", T.IntegerType()), *[T.StructField(c, T.StringType()) for c in ("first_key", "last_key", "state")]])
+    schema = T.StructType([*_FIRED.fields, T.StructField("part", T.IntegerType()), *[T.StructField(c, T.StringType()) for c in ("first_key", "last_key", "state", "summary")], T.StructField("head", T.BooleanType())])
     entries: dict[int, list | None] = {}
     ends: dict[int, tuple] = {}
     latest: dict[int, DataFrame] = {}
+    void: set[int] = set()
     todo: list[int] | None = None
     while todo is None or todo:
         some = cut if todo is None else cut.where(F.col("part").isin(todo))
         folded = some.repartition(parts, "part").sortWithinPartitions("part", *_ORDER).mapInArrow(_fold_parts(reopen, spark.sparkContext.broadcast(dict(entries))), schema)
         folded = scratch.write(folded, "folded")
         for r in folded.where("first_key is not null").collect():
-            ends[r["part"]], latest[r["part"]] = (r["first_key"], r["last_key"], json.loads(r["state"])), folded
+            ends[r["part"]], latest[r["part"]] = (r["first_key"], r["last_key"], json.loads(r["state"]), r["summary"]), folded
+            void.discard(r["part"])
         todo, before = [], None
         for part in sorted(ends):
-            carried = ends[before][2] if before is not None and ends[before][1] == ends[part][0] else None
+            first, last, state, summary = ends[part]
+            carried = ends[before][2] if before is not None and ends[before][1] == first else None
             if carried != entries.get(part):
+                after = composed(summary, carried) if carried is not None else None
                 entries[part] = carried
-                todo.append(part)
+                if after is None:
+                    todo.append(part)
+                else:
+                    void.add(part)
+                    ends[part] = (first, last, after if first == last else state, summary)
             before = part
-    found = [t.where(F.col("first_key").isNull() & F.col("part").isin([p for p, own in latest.items() if own is t])).select("row", "rule_key", "agg_value") for t in {id(t): t for t in latest.values()}.values()]
+    found = []
+    for t in {id(t): t for t in latest.values()}.values():
+        own = [p for p, of in latest.items() if of is t]
+        rows = t.where(F.col("first_key").isNull() & F.col("part").isin(own))
+        found.append(rows.where(~(F.col("head") & F.col("part").isin([p for p in own if p in void]))).select("row", "rule_key", "agg_value"))
     return reduce(DataFrame.unionByName, found)
 
 
@@ -282,7 +365,8 @@ def fired(matches: DataFrame, reopen_on_expiry: bool = False, keep: tuple[str, .
                 found.append(streamed(rest.join(F.broadcast(large), key, "left_semi").select(*_NARROW)))
             found.append(_array_fold(rest.join(F.broadcast(large), key, "left_anti").select(*_NARROW), reopen_on_expiry))
         found = reduce(DataFrame.unionByName, found)
-    found = found.select("row", "agg_value")
+    found = scratch.write(found.select("row", "agg_value"), "fired")
+    found = F.broadcast(found) if found.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else found  # else what is kept would move for every match
     own = rows.select("row", "event_uid", "rule_key", *[F.col(f"keep_{c}").alias(c) for c in keep])
     return own.join(found, "row").drop("row").select("event_uid", "rule_key", "agg_value", *keep)
 

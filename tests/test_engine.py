@@ -268,6 +268,40 @@ def test_hot_keys_in_parts(spark, fn, op, threshold, frame):
     assert sorted(r["event_uid"] for r in fired(machine_rows(spark, rows, fn, op, threshold, frame)).collect()) == sorted(want)
 
 
+@pytest.mark.parametrize("fn, op, threshold", [("count", ">", 10**6), ("sum", ">", 10**6), ("sum", "<", -(10**6)), ("max", ">=", 8), ("min", "=", 5), ("uniquecount", ">", 10)])
+def test_a_quiet_hot_key_takes_one_pass(spark, monkeypatch, fn, op, threshold):
+    """However many parts it has: their summaries are put together."""
+    monkeypatch.setattr(thresholds, "ARRAY_ROWS", 10)
+    folds, write = [], thresholds.Scratch.write
+    monkeypatch.setattr(thresholds.Scratch, "write", lambda self, df, name: folds.append(name) or write(self, df, name))
+    rnd = random.Random(fn)
+    rows = [("hot", i, rnd.choice(["1", "2", "-3", "7", None])) for i in range(600)] + [("b", i, "9") for i in range(20)]
+    df = machine_rows(spark, rows, fn, op, threshold, 10**6)
+    assert thresholds._fired_in_parts(thresholds.Scratch(spark), thresholds.keyed(df).withColumn("row", F.monotonically_increasing_id()).select(*thresholds._NARROW), 9, False).count() == (10 if fn == "max" else 0)
+    assert folds.count("folded") == 1
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_summaries_against_the_fold(seed):
+    """What a summary says of a run is what folding it says."""
+    rnd, used = random.Random(seed), 0
+    for _ in range(3000):
+        fn, op, threshold, frame = rnd.choice(("count", "sum", "min", "max", "uniquecount", "avg")), rnd.choice(list(thresholds.OPS)), rnd.randint(-5, 12), rnd.choice((5, 40))
+        events = [(i * 1000, rnd.choice(["1", "2", "-3", "7", "x", None, str(2**63 - 1)])) for i in range(rnd.randint(1, 12))]
+        state = [0, {"count": rnd.randint(1, 4), "uniquecount": dict.fromkeys(rnd.sample("127x", 2), 1), "avg": [3, 2]}.get(fn, rnd.randint(-4, 9))]
+        s = thresholds.Summary((fn, op, threshold, frame))
+        for ms, raw in events:
+            s.add(ms, raw, s.spec)
+        after = thresholds.composed(s.text(), json.loads(json.dumps(state)))
+        if after is not None:
+            used += 1
+            for ms, raw in events:
+                state, value = advance(state, ms, raw, fn, op, threshold, frame)
+                assert value is None
+            assert state == after
+    assert used > 300
+
+
 @pytest.mark.parametrize("array_rows, keys", [(2000, 100_000), (3, 100_000), (0, 0)])
 @pytest.mark.parametrize("reopen", [False, True])
 def test_folds_agree(spark, monkeypatch, array_rows, keys, reopen):

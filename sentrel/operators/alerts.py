@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sentrel.plans.rules import CompiledRule
+
 
 def utc_text(at: Column) -> Column:
     """A timestamp in ISO form with milliseconds, in UTC whatever the session's zone."""
@@ -32,3 +34,10 @@ def build_alerts(matches: DataFrame, payload: str | None = "raw", clock: bool =
         "tags", fields.alias("fields"), *([F.col(payload).cast("string").alias("rule_event")] if payload else []), *(["agg_value"] if "agg_value" in matches.columns else []), *keep,
     )
     return out.withColumn("alert_processing_time", utc_text(F.current_timestamp())) if clock else out
+
+
+def with_rule_details(alerts: DataFrame, rules: list[CompiledRule]) -> DataFrame:
+    """alerts with what their rule says of itself: rule_description, rule_author, rule_references, rule_falsepositives. Those of rules that are gone have nulls."""
+    rows = {r.ruleid: (r.ruleid, r.description, r.author, list(r.references), list(r.falsepositives)) for r in rules}
+    schema = "rule_id string, rule_description string, rule_author string, rule_references array<string>, rule_falsepositives array<string>"
+    return alerts.join(F.broadcast(alerts.sparkSession.createDataFrame(list(rows.values()), schema)), "rule_id", "left")  # of the rule set's size

@@ -51,6 +51,15 @@ def variant_resolver(v: str = "v") -> Resolver:
     return resolve
 
 
+def with_columns(resolve: Resolver, columns: dict[str, str]) -> Resolver:
+    """A resolver that also knows paths to SQL expressions over columns, such as those that an enrichment adds."""
+
+    def known(path: str) -> tuple[Column, Column]:
+        return (F.expr(columns[path]).cast("string"), F.lit(False)) if path in columns else resolve(path)
+
+    return known
+
+
 def struct_resolver(root: str | None = None) -> Resolver:
     """Dotted paths of typed nested columns, all of which must exist."""
 

@@ -64,6 +64,10 @@ class CompiledRule:
     useful: tuple[str, ...]
     near: Near | None = None  # of a rule whose matches count only near others
     term_of: str | None = None  # the key of such a rule, of whose terms this is one
+    description: str | None = None
+    author: str | None = None
+    references: tuple[str, ...] = ()
+    falsepositives: tuple[str, ...] = ()
 
     @property
     def never_alerts(self) -> bool:
@@ -229,6 +233,8 @@ def compile_rule(rule: dict, fields: FieldMap | None = None, case_insensitive: b
         names = strings(rule.get("fields"))
         useful = tuple(dict.fromkeys(names if fields is None else [fields.fields[n] for n in names if n in fields.fields]))
         lower = lambda x: str(x).lower() if x is not None else None
+        text_of = lambda x: None if x is None else str(x)
+        told = {"description": text_of(rule.get("description")), "author": text_of(rule.get("author")), "references": tuple(strings(rule.get("references"))), "falsepositives": tuple(strings(rule.get("falsepositives")))}
         about = (str(rule.get("title") or ""), str(rule.get("status") or "experimental"), rule.get("level"), tuple(strings(rule.get("tags"))), lower(source.get("category")), lower(source.get("product")))
 
         def searched(key: str, k: int, text: str, agg: AggSpec | None, frame: int | None, group: str | None = None, **more) -> CompiledRule:
@@ -240,7 +246,7 @@ def compile_rule(rule: dict, fields: FieldMap | None = None, case_insensitive: b
             agg_path = c.path(agg.field) if agg and agg.field else None
             group = agg.group if agg else group
             group_path = c.path(group) if group else None
-            return CompiledRule(key, str(rule["id"]), k, *about, predicate, prefilter, tree, tuple(c.paths), tuple(c.nulls), agg, agg_path, group_path, frame, useful, **more)
+            return CompiledRule(key, str(rule["id"]), k, *about, predicate, prefilter, tree, tuple(c.paths), tuple(c.nulls), agg, agg_path, group_path, frame, useful, **more, **told)
 
         out = []
         for k, text in enumerate(_conditions(rule)):

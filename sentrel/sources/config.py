@@ -30,6 +30,8 @@ class Config:
     event_index: str = "events-"
     flush_rows: int = 0  # of a file of the parquet sinks, at most; 0: no limit
     enrichment: bool = False
+    match_enriched: bool = False  # rules are held against enriched events
+    alert_details: bool = False  # alerts carry their rule's description, author, references and false positives
     intel_map: str | None = None
     intel_table: str | None = None
     dns_table: str | None = None

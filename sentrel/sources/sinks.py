@@ -113,9 +113,13 @@ def to_format(name: str, options: dict[str, str], prefix: str, status: bool = Fa
 ALERT = "alert_uid string, rule_id string, condition_idx int, rule_name string, rule_status string, rule_level string, tags array<string>, fields map<string,string>, rule_event string, agg_value long, alert_processing_time string"
 
 
-def read_alerts(spark: SparkSession, path: str) -> DataFrame:
-    """Alerts, each once: the sink has seen to that. A table without any has none."""
+DETAILS = ", rule_description string, rule_author string, rule_references array<string>, rule_falsepositives array<string>"
+
+
+def read_alerts(spark: SparkSession, path: str, details: bool = False) -> DataFrame:
+    """Alerts, each once: the sink has seen to that. A table without any has none. details: with what rules say of themselves."""
     path = path.removesuffix("/batch=*")
+    schema = f"{ALERT}, index string{DETAILS if details else ''}"
     if not _batches(spark, path):
-        return spark.createDataFrame([], f"{ALERT}, index string")
-    return spark.read.schema(f"{ALERT}, index string").option("basePath", path).parquet(f"{path}/batch=*")
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("basePath", path).parquet(f"{path}/batch=*")

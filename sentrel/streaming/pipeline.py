@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from sentrel.operators import enrich
-from sentrel.operators.alerts import build_alerts, event_fields, utc_text
-from sentrel.operators.events import Resolver, parse_events, rejected, variant_resolver
+from sentrel.operators.alerts import build_alerts, event_fields, utc_text, with_rule_details
+from sentrel.operators.events import Resolver, parse_events, rejected, variant_resolver, with_columns
 from sentrel.operators.near import near_matches
 from sentrel.operators.rule_index import match
 from sentrel.operators.thresholds import fired, threshold_matches
@@ -69,24 +69,29 @@ def live_rules(rules: RuleSet) -> list[CompiledRule]:
     return [r for r in found if not r.near and not r.term_of]
 
 
-def start_matching(raw: DataFrame, rules: RuleSet, match_table: str, checkpoint: str, resolve: Resolver | None = None, trigger: dict | None = None) -> StreamingQuery:
+#: What a rule may call the columns that an enrichment adds; a list is its values, one behind another with spaces between.
+ENRICHED = {f"enriched.{c}": f"array_join({c}, ' ')" for c in ("intel_event_id", "intel_attribute_category", "intel_attribute_tags", "dns_resolved_address")}
+
+
+def start_matching(raw: DataFrame, rules: RuleSet, match_table: str, checkpoint: str, resolve: Resolver | None = None, trigger: dict | None = None, prepare: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
     """First stage: matches of each micro-batch, under the rules of that moment, to a table. Changed rule files count from the next micro-batch on.
 
-    A batch that is tried again after its matches were written leaves them as they are, so the second stage reads each batch once.
+    A batch that is tried again after its matches were written leaves them as they are, so the second stage reads each batch once. prepare: what is
+    done to the parsed events before rules are held against them.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         rules.refresh()
         events = parse_events(batch).where("v is not null")
-        write_once(match_rows(events, live_rules(rules), resolve or variant_resolver()), match_table, batch_id)
+        write_once(match_rows(prepare(events) if prepare else events, live_rules(rules), resolve or variant_resolver()), match_table, batch_id)
 
     return raw.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def start_alerting(spark: SparkSession, match_table: str, alert_table: str, checkpoint: str, trigger: dict | None = None, sink: Callable[[str], Sink] | None = None, max_files: int | None = None, reopen_on_expiry: bool = False, forget_after_seconds: int | None = None, event_time: bool = False, delay_seconds: int = 0) -> list[StreamingQuery]:
+def start_alerting(spark: SparkSession, match_table: str, alert_table: str, checkpoint: str, trigger: dict | None = None, sink: Callable[[str], Sink] | None = None, details: RuleSet | None = None, max_files: int | None = None, reopen_on_expiry: bool = False, forget_after_seconds: int | None = None, event_time: bool = False, delay_seconds: int = 0) -> list[StreamingQuery]:
     """Second stage: matches without aggregation become alerts as they are; the others pass the stateful fold.
 
-    max_files: files of the match table that a micro-batch takes at most, so that a backlog is folded over the keyed state bit by bit.
+    details: rules that alerts are to tell of in full (see `with_rule_details`). max_files: files of the match table that a micro-batch takes at most, so that a backlog is folded over the keyed state bit by bit.
     """
     reader = spark.readStream.schema(MATCH_ROW).option("recursiveFileLookup", "true")
     found = (reader if max_files is None else reader.option("maxFilesPerTrigger", max_files)).parquet(match_table)
@@ -101,7 +106,8 @@ def start_alerting(spark: SparkSession, match_table: str, alert_table: str, chec
 
     def start(rows: DataFrame, kind: str) -> StreamingQuery:
         write = sink(f"{alert_table}/{kind}")
-        return rows.writeStream.foreachBatch(lambda b, i: write(build_alerts(b, keep=("event_day",)), i)).option("checkpointLocation", f"{checkpoint}/{kind}").outputMode("append").trigger(**when).start()
+        told = lambda alerts: with_rule_details(alerts, details.compiled()) if details else alerts
+        return rows.writeStream.foreachBatch(lambda b, i: write(told(build_alerts(b, keep=("event_day",))), i)).option("checkpointLocation", f"{checkpoint}/{kind}").outputMode("append").trigger(**when).start()
 
     # without new rows a batch would only wait for keys to be idle by the clock, for ever where what is there now is worked on
     idle = {"spark.sql.streaming.noDataMicroBatches.enabled": "false"} if "availableNow" in when and not event_time else {}
@@ -112,10 +118,16 @@ def start_alerting(spark: SparkSession, match_table: str, alert_table: str, chec
 Lookup = Callable[[DataFrame], DataFrame | None]
 
 
-def enriched(events: DataFrame, mapping: dict | None, intel: Lookup, dns: Lookup, resolve: Resolver | None = None) -> DataFrame:
-    """Every event once, with what the lookups say about the values of mapped fields. A lookup gets the requests and gives its table, or None."""
+def enriched(events: DataFrame, mapping: dict | None, intel: Lookup, dns: Lookup, resolve: Resolver | None = None, all_columns: bool = False) -> DataFrame:
+    """Every event once, with what the lookups say about the values of mapped fields. A lookup gets the requests and gives its table, or None.
+
+    all_columns: those of a lookup without table too, as nulls.
+    """
     if not mapping:
         return events
+    if all_columns:
+        rich = enriched(events, mapping, intel, dns, resolve)
+        return rich.withColumns({n: F.lit(None).cast("array<string>") for c in ENRICHED if (n := c.split(".")[1]) not in rich.columns})
     asked = enrich.requests(events, enrich.attributes_frame(events.sparkSession, mapping), list(mapping), resolve or variant_resolver())
     return enrich.enrich(events, asked, intel(asked), dns(asked))
 
@@ -142,7 +154,7 @@ def start_events(raw: DataFrame, sink: Sink, checkpoint: str, mapping: dict | No
 def run(spark: SparkSession, c: Config, provider: enrich.Provider | None = None) -> list[StreamingQuery]:
     """Starts what the configuration describes: a source, the event branch with its sink, matching, and alerting with its sink.
 
-    Enrichment is on the event branch only, and only with its flag; rules are held against the events as they come. Threat intelligence is a
+    Enrichment needs its flag. It is on the event branch; with `match_enriched` rules see its columns too, as the paths in ENRICHED. Threat intelligence is a
     table, or asked of `provider` through the cache table, within the configured deadline. Lines that are no events go to a table beside the events.
     """
     where = c if c.source == "kafka" else c.source_path
@@ -154,11 +166,14 @@ def run(spark: SparkSession, c: Config, provider: enrich.Provider | None = None)
     events = append_events(c.event_table, c.event_index, c.flush_rows) if c.sink == "parquet" else to_format(c.sink, c.sink_options, c.event_index)
     alerts = (lambda path: upsert_alerts(path, c.alert_index, c.flush_rows)) if c.sink == "parquet" else (lambda path: to_format(c.sink, c.sink_options, c.alert_index, status=True))
     source = lambda origin=False: event_source(spark, c.source, where, streaming=True, origin=origin)
-    matching = start_matching(source(), rules, c.match_table, f"{c.checkpoint}/matching", trigger=when)
+    enrich_first = c.match_enriched and mapping
+    prepare = (lambda events: enriched(events, mapping, intel, table(c.dns_table), all_columns=True)) if enrich_first else None
+    resolve = with_columns(variant_resolver(), ENRICHED) if enrich_first else None
+    matching = start_matching(source(), rules, c.match_table, f"{c.checkpoint}/matching", resolve, when, prepare)
     if not c.trigger:  # what is there now: matches first, then their alerts
         matching.awaitTermination()
     return [
         start_events(source(True), events, f"{c.checkpoint}/events", mapping, intel, table(c.dns_table), when, c.rejected_table or f"{c.event_table}_rejected"),
         matching,
-        *start_alerting(spark, c.match_table, c.alert_table, f"{c.checkpoint}/alerting", when, alerts, c.max_files or None, c.reopen_on_expiry, c.forget_after_seconds or None, c.event_time, c.delay_seconds),
+        *start_alerting(spark, c.match_table, c.alert_table, f"{c.checkpoint}/alerting", when, alerts, rules if c.alert_details else None, c.max_files or None, c.reopen_on_expiry, c.forget_after_seconds or None, c.event_time, c.delay_seconds),
     ]

@@ -213,3 +213,19 @@ def test_offsets_as_a_start():
     for bad in ('{"a": 5}', '{"a": {"x": 1}}', '{"a": {"0": -3}}', "{"):
         with pytest.raises(ValueError):
             kafka_options(Config(topics="a", start=bad))
+
+
+def test_rules_see_enriched_events_and_alerts_tell_of_their_rule(spark, tmp_path):
+    (tmp_path / "rules").mkdir(), (tmp_path / "in").mkdir()
+    (tmp_path / "rules/r.yml").write_text("id: e\ndescription: known bad\nauthor: me\nreferences: [u1, u2]\nfalsepositives: none\ndetection:\n  s: {enriched.intel_attribute_category|contains: c2}\n  d: {enriched.dns_resolved_address: '*'}\n  condition: s and not d\n")
+    (tmp_path / "map.json").write_text(json.dumps({"user.name": {"t": [{"mispAttribute": "user", "type": "domain", "resolveName": True}]}}))
+    spark.createDataFrame([("t", "user", u, f"i{u}", c, ["x"]) for u, c in (("a", "c1"), ("a", "c2"), ("b", "c1"), ("d", "c2"))], "tag string, attr_type string, value string, event_id string, category string, attr_tags array<string>").write.parquet(f"{tmp_path}/intel")
+    names = {k: str(tmp_path / k) for k in ("match_table", "event_table", "alert_table", "checkpoint", "cache_table")}
+    values = {"source": "text", "source_path": str(tmp_path / "in"), "rules": str(tmp_path / "rules"), "enrichment": "true", "match_enriched": "true", "alert_details": "true", "intel_map": str(tmp_path / "map.json"), "intel_table": f"{tmp_path}/intel", **names}
+    (tmp_path / "job.properties").write_text("".join(f"{k}={v}\n" for k, v in values.items()))
+    (tmp_path / "in/0.json").write_text("\n".join(line(i, user="abcd"[i % 4]) for i in range(8)) + "\n")
+    for q in run(spark, load_config(str(tmp_path / "job.properties"))):
+        assert q.awaitTermination(300) and q.exception() is None
+    got = read_alerts(spark, f"{tmp_path}/alert_table/plain", details=True).collect()
+    assert sorted(json.loads(r["rule_event"])["user"]["name"] for r in got) == ["a", "a", "d", "d"]
+    assert {(r["rule_description"], r["rule_author"], tuple(r["rule_references"]), tuple(r["rule_falsepositives"])) for r in got} == {("known bad", "me", ("u1", "u2"), ("none",))}

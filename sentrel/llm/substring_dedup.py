@@ -195,7 +195,7 @@ def remove_repeated_windows(spark: SparkSession, docs: DataFrame, words: int = W
 def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     kept = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256")
-    return remove_repeated_windows(spark, docs).select("doc_id", "n_words", "n_removed", kept, "spans")
+    return remove_repeated_windows(spark, docs).select("doc_id", "n_words", "n_removed", kept)
 
 
 ORACLE = r"""
@@ -205,9 +205,7 @@ win AS (SELECT w.doc_id, i AS pos, md5(array_to_string(w.words[i:i + 19], ' '))
 again AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY k ORDER BY doc_id, pos) > 1 AS later FROM win),
 marked AS (SELECT doc_id, pos, word, coalesce(max(later::int) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), 0) > 0 AS gone
     FROM word LEFT JOIN again USING (doc_id, pos)),
-spanned AS (SELECT doc_id, pos, gone, pos - row_number() OVER (PARTITION BY doc_id, gone ORDER BY pos) AS island FROM marked),
-spans AS (SELECT doc_id, list({'start': a::int, 'end': b::int} ORDER BY a) AS spans FROM (SELECT doc_id, min(pos) - 1 AS a, max(pos) AS b FROM spanned WHERE gone GROUP BY doc_id, island) GROUP BY doc_id),
 kept AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY pos) FILTER (NOT gone) AS text FROM marked GROUP BY doc_id)
-SELECT d.doc_id, coalesce(n_words, 0)::bigint AS n_words, coalesce(n_removed, 0)::bigint AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256, coalesce(spans, []) AS spans
-FROM documents d LEFT JOIN kept USING (doc_id) LEFT JOIN spans USING (doc_id)
+SELECT d.doc_id, coalesce(n_words, 0)::bigint AS n_words, coalesce(n_removed, 0)::bigint AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM documents d LEFT JOIN kept USING (doc_id)
 """

@@ -48,6 +48,13 @@ def rolling(words: np.ndarray, k: int, base: int) -> np.ndarray:
     return (sums[k:] - sums[:-k]) * _powers(pow(base, -1, 2**64), n - k + 1)
 
 
+def in_order(h: np.ndarray, check: np.ndarray) -> np.ndarray:
+    """Places by hash; equal pairs are neighbours and keep their order."""
+    order = np.argsort(h, kind="stable")
+    a, b = h[order], check[order]
+    return np.lexsort((check, h)) if ((a[1:] == a[:-1]) & (b[1:] != b[:-1])).any() else order
+
+
 class Chunk:
     """Words and windows of some texts, one behind another. h, check: a window's hash of 64 bits and another of CHECK bits; at: its first word."""
 
@@ -67,9 +74,12 @@ class Chunk:
         other = w ^ (w >> np.uint64(29))
         self.check = rolling(other * other, k, BASES[1])[self.at] >> np.uint64(64 - CHECK)
 
-    def distinct(self) -> tuple[np.ndarray, np.ndarray]:
-        order = np.lexsort((self.check, self.h))
-        h, c = self.h[order], self.check[order]
+    def distinct(self, piece: int, pieces: int) -> tuple[np.ndarray, np.ndarray]:
+        """The windows of one slice of the hash space, each once."""
+        mine = (self.h >> np.uint64(48)) % np.uint64(pieces) == piece
+        h, c = self.h[mine], self.check[mine]
+        order = in_order(h, c)
+        h, c = h[order], c[order]
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
         return h[new], c[new]
@@ -78,7 +88,7 @@ class Chunk:
         """For each word whether it goes: h, check are the windows that stand in an earlier chunk."""
         at = np.concatenate([np.full(len(h), -1), self.at])  # what is earlier comes first
         h, c = np.concatenate([h, self.h]), np.concatenate([check, self.check])
-        order = np.lexsort((at, c, h))
+        order = in_order(h, c)
         h, c, at = h[order], c[order], at[order]
         again = np.zeros(len(h), bool)
         again[1:] = (h[1:] == h[:-1]) & (c[1:] == c[:-1])
@@ -110,9 +120,7 @@ def _windows(k: int, piece: int):
     """Distinct windows of each chunk whose hash is in a slice: h, and in `at` the chunk before the check."""
 
     def rows(chunk: int, texts: list[bytes | None]) -> Iterator[pa.RecordBatch]:
-        h, check = Chunk(texts, k).distinct()
-        mine = (h >> np.uint64(48)) % np.uint64(SLICES) == piece
-        h, check = h[mine], check[mine]
+        h, check = Chunk(texts, k).distinct(piece, SLICES)
         at = (np.int64(chunk) << np.int64(CHECK)) | check.astype(np.int64)
         for i in range(0, len(h), 1 << 16):
             yield pa.RecordBatch.from_arrays([pa.array(h[i : i + (1 << 16)].view(np.int64)), pa.array(at[i : i + (1 << 16)])], ["h", "at"])

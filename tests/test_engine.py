@@ -228,6 +228,20 @@ def test_intel_lookup_against_brute_force(spark, broadcast_rows):
     assert sorted(map(tuple, got.collect())) == sorted((e, *(sorted(x) or None for x in lists)) for e, lists in want.items())
 
 
+def test_lists_of_hits_are_made_per_combination(spark):
+    """Events of one combination of values share its lists: what is moved grows with the combinations, not with events times hits."""
+    events = spark.createDataFrame([(i, f"10.0.0.{i % 3}", None if i % 2 else "h") for i in range(600)], "event_uid long, ip string, name string")
+    mapping = {"ip": {"t": [{"mispAttribute": "ip-src", "type": "ip", "enrichPublicOnly": False}]}, "name": {"d": [{"mispAttribute": "domain", "type": "domain", "resolveName": True}]}}
+    intel = spark.createDataFrame([("t", "ip-src", "10.0.0.1", str(i), "c", ["x"]) for i in range(40)] + [("d", "domain", "h", "z", "b", None)], "tag string, attr_type string, value string, event_id string, category string, attr_tags array<string>")
+    asked = []
+    got = enrich.enrich_values(events, enrich.attributes_frame(spark, mapping), list(mapping), struct_resolver(), lambda a: asked.append(a) or intel)
+    assert asked[0].count() == 9 and got.columns == [*events.columns, "intel_event_id", "intel_attribute_category", "intel_attribute_tags"]
+    rows = {r["event_uid"]: r for r in got.collect()}
+    plain = enrich.enrich(events, enrich.requests(events, enrich.attributes_frame(spark, mapping), list(mapping), struct_resolver()), intel)
+    assert len(rows) == 600 and {r["event_uid"]: r for r in plain.collect()} == rows
+    assert "BroadcastHashJoin [asked_values" not in got._jdf.queryExecution().toString()
+
+
 def test_config_and_sources(spark, tmp_path):
     (tmp_path / "c.properties").write_text("# c\ntopics = a, b\nstart=1700000000000\ntls.security.protocol=SSL\ntls.truststore.location=/t\nflush_rows=5\nenrichment=true\n")
     c = load_config(str(tmp_path / "c.properties"))

@@ -295,6 +295,40 @@ def test_a_quiet_hot_key_takes_one_pass(spark, monkeypatch, fn, op, threshold):
     assert folds.count("folded") == 1
 
 
+@pytest.mark.parametrize("fn, op, threshold, reopen", [("count", ">", 20, False), ("count", ">", 6, True), ("uniquecount", ">=", 10, False)])
+def test_a_dense_hot_key_takes_two_passes(spark, monkeypatch, fn, op, threshold, reopen):
+    """Its parts never forget their entry state: where alerts come every few events, each fold has its own phase to the end."""
+    folds, write = [], thresholds.Scratch.write
+    monkeypatch.setattr(thresholds.Scratch, "write", lambda self, df, name: folds.append(name) or write(self, df, name))
+    rows = [("hot", i // 4, str(i)) for i in range(2000)]
+    want = [i for i in plain_machine([(sec, raw) for _, sec, raw in rows], fn, op, threshold, 10**5)]
+    df = machine_rows(spark, rows, fn, op, threshold, 10**5)
+    narrow = thresholds.keyed(df).withColumn("row", F.monotonically_increasing_id()).select(*thresholds._NARROW)
+    got = thresholds._fired_in_parts(thresholds.Scratch(spark), narrow, 9, reopen).join(narrow.select("row", "event_uid"), "row")
+    assert sorted(r["event_uid"] for r in got.collect()) == want and folds.count("folded") == 2
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_chains_against_the_fold(seed):
+    """What the chains of a run say of the state after it is what folding it says."""
+    rnd, used = random.Random(seed), 0
+    for _ in range(3000):
+        fn, op, threshold, frame, reopen = rnd.choice(("count", "sum", "min", "max", "uniquecount", "avg")), rnd.choice(list(thresholds.OPS)), rnd.randint(-5, 12), rnd.choice((5, 40)), rnd.random() < 0.5
+        events = [(i * rnd.choice((1000, 100)), rnd.choice(["1", "2", "-3", "7", "x", None, str(2**63 - 1)])) for i in range(rnd.choice((3, 30, 300)))]
+        events.sort(key=lambda e: e[0])
+        state = rnd.choice([None, [0, {"count": rnd.randint(1, 4), "uniquecount": dict.fromkeys(rnd.sample("127x", 2), 1), "avg": [3, 2]}.get(fn, rnd.randint(-4, 9))]])
+        c = thresholds.Chains((fn, op, threshold, frame), reopen)
+        for ms, raw in events:
+            c.add(ms, raw, c.spec)
+        after = thresholds.followed(c.text(), json.loads(json.dumps(state)), reopen)
+        if after is not None:
+            used += 1
+            for ms, raw in events:
+                state, _ = advance(state, ms, raw, fn, op, threshold, frame, reopen)
+            assert json.loads(json.dumps(state)) == after[0]
+    assert used > 1000
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_summaries_against_the_fold(seed):
     """What a summary says of a run is what folding it says."""

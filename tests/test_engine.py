@@ -228,6 +228,15 @@ def test_intel_lookup_against_brute_force(spark, broadcast_rows):
     assert sorted(map(tuple, got.collect())) == sorted((e, *(sorted(x) or None for x in lists)) for e, lists in want.items())
 
 
+def test_a_text_is_parsed_once(spark):
+    """Neither the filter of the rules nor that of events repeats the parse or the fields' extraction."""
+    rules = [c for i in range(4) for c in compile_rule({"id": f"r{i}", "detection": {"s": {"a.b": [i, "x*", None]}, "condition": "not s"}})]
+    found = match_rules(parse_events(spark.createDataFrame([(' {"a": {"b": 1}}',), ("[{}]",), ("{}",)], "value string")).where("v is not null"), rules, variant_resolver())
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("parse_json") + plan.lower().count("parsejson") == 1
+    assert sorted((r["raw"], r["ruleid"]) for r in found.select("raw", "ruleid").collect()) == [(' {"a": {"b": 1}}', f"r{i}") for i in (0, 2, 3)]
+
+
 def test_lists_of_hits_are_made_per_combination(spark):
     """Events of one combination of values share its lists: what is moved grows with the combinations, not with events times hits."""
     events = spark.createDataFrame([(i, f"10.0.0.{i % 3}", None if i % 2 else "h") for i in range(600)], "event_uid long, ip string, name string")

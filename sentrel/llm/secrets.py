@@ -6,13 +6,15 @@ patterns label them for training. These labels are weak, as the patterns know a
 for: its value spelled anew in other alphabets and lengths, in the contexts of tokens that are no findings, behind words that no pattern knows or
 behind nothing. Against it stand the corpus's own words, joined as names, paths and versions join them, in the same
 contexts: what is left to tell them apart is the form of the value. The network is a convolution over characters with max
-pooling, written in numpy. Its scores are calibrated on a held-out part of both kinds, and the threshold is at even odds, or
+pooling, written in numpy. Every labelled candidate of the corpus takes part: chunks of them are fitted side by side, an epoch from the same weights each,
+and the weights averaged after each epoch. Its scores are calibrated on a held-out part of both kinds, whole as well, and the threshold is at even odds, or
 as far below as the recall asked for needs there.
 """
 
 from __future__ import annotations
 
-import hashlib
+import math
+import pickle
 import re
 import string
 from collections.abc import Iterator
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, hash_sample, map_texts, small_batches, table
+from .common import Scratch, map_texts, small_batches, table
 
 KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"(?ai)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
@@ -34,8 +36,10 @@ TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_=.-]{6,}")
 _DIGIT, _OTHER, _TURN, _VALUE = re.compile("[0-9]"), re.compile("[A-Za-z+/_=-]"), re.compile("[a-z][A-Z]"), re.compile(r"[:=][\"']?\x20{0,2}[\"']?$")
 MODEL = "model"
 
-TRAIN_ROWS = 2_000  # labelled candidates of each kind that the network is fitted on, at most: those of smallest hash
-VARIANTS = 4_000  # of each kind, made of them
+CHUNK_ROWS = 20_000  # labelled candidates that a task fits at a time, about; all take part
+EPOCHS = 12
+VARIANTS = 4_000  # of each kind, made of a chunk
+BINS = 4_096  # scores before calibration are counted in steps of one part in so many
 ALPHABETS = tuple(string.ascii_letters + string.digits + x for x in ("", "", "_-", "+/")) + ("0123456789abcdef", "0123456789ABCDEF", string.ascii_lowercase + string.digits, string.ascii_uppercase + string.digits)
 RECALL = 0.98
 BEFORE, INSIDE, AFTER = 24, 40, 8
@@ -105,7 +109,7 @@ class CharNetwork:
         h = np.maximum(np.take_along_axis(a, top, 1), 0)
         return cols, top, h, h.reshape(len(x), -1) @ self.p["o"] + self.p["c"][0]
 
-    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 12, rate: float = 0.01, seed: int = SEED) -> None:
+    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, rate: float = 0.01, seed: int = SEED) -> None:
         r, m, v, t = np.random.default_rng(seed), {k: 0.0 for k in self.p}, {k: 0.0 for k in self.p}, 0
         weight = np.where(y > 0, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum())) * len(y)
         for _ in range(epochs):
@@ -131,14 +135,22 @@ class CharNetwork:
 
     def calibrate(self, x: np.ndarray, y: np.ndarray, recall: float) -> None:
         """Platt scaling on held-out rows, then the threshold: even odds, or less if the recall asked for needs it."""
-        z = self.forward(x)[3]
-        target = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
+        self.settle(self.forward(x)[3], y, np.ones(len(y)), recall)
+
+    def settle(self, z: np.ndarray, y: np.ndarray, n: np.ndarray, recall: float) -> None:
+        """`calibrate` from outputs z, labels y and how often each of the pairs is there."""
+        good, bad = float(n[y > 0].sum()), float(n[y == 0].sum())
+        target = np.where(y > 0, (good + 1) / (good + 2), 1 / (bad + 2))
+        mean = lambda v: float((v * n).sum() / n.sum())
+        square = mean(z * z)
         for _ in range(200):
             d = 1 / (1 + np.exp(-np.clip(self.scale * z + self.shift, -30, 30))) - target
-            self.scale -= 0.1 * (d * z).mean() / (1 + (z * z).mean())
-            self.shift -= 0.5 * d.mean()
-        found = np.sort(self.score(x)[y > 0])
-        self.threshold = min(0.5, float(found[int((1 - recall) * len(found))])) if len(found) else 2.0
+            self.scale -= 0.1 * mean(d * z) / (1 + square)
+            self.shift -= 0.5 * mean(d)
+        score = 1 / (1 + np.exp(-np.clip(self.scale * z[y > 0] + self.shift, -30, 30)))
+        order = np.argsort(score, kind="stable")
+        below = np.cumsum(n[y > 0][order])
+        self.threshold = min(0.5, float(score[order][np.searchsorted(below, int((1 - recall) * good), "right")])) if good else 2.0
 
     def score(self, x: np.ndarray) -> np.ndarray:
         parts = [self.forward(x[i : i + LEFT_OUT])[3] for i in range(0, len(x), LEFT_OUT)]
@@ -159,8 +171,8 @@ def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(codes, pa.binary()), pa.array(found, pa.bool_())], ["codes", "found"])
 
 
-def with_variants(x: np.ndarray, y: np.ndarray, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
-    """The examples, each once more without what stands before it, and VARIANTS of either label whose values are made anew."""
+def with_variants(x: np.ndarray, y: np.ndarray, seed: int = SEED, variants: int = VARIANTS) -> tuple[np.ndarray, np.ndarray]:
+    """The examples, each once more without what stands before it, and `variants` of either label whose values are made anew."""
     r = np.random.default_rng(seed)
     inside = BEFORE + INSIDE
     text = lambda codes: "".join(map(chr, codes[codes > 0]))
@@ -183,7 +195,7 @@ def with_variants(x: np.ndarray, y: np.ndarray, seed: int = SEED) -> tuple[np.nd
         return str(r.choice(["", "-", "_", ".", "/"])).join(parts) if kind < 0.8 else parts[0] + "".join(w.capitalize() for w in parts[1:])
 
     made, labels = [], []
-    for i in range(2 * VARIANTS):
+    for i in range(2 * variants):
         context = clean[r.integers(len(clean))].copy()
         before, kind = text(context[:BEFORE]), r.random()
         before = "" if kind < 0.25 else f"{before}{word()}{r.choice([': ', '=', ' = ', ': \"'])}" if kind < 0.5 else before
@@ -195,24 +207,62 @@ def with_variants(x: np.ndarray, y: np.ndarray, seed: int = SEED) -> tuple[np.nd
     return np.concatenate([x, bare, made]), np.concatenate([y, y, labels])
 
 
-def train_network(spark: SparkSession, docs: DataFrame, text_col: str = "text", train_rows: int = TRAIN_ROWS, recall: float = RECALL) -> CharNetwork:
-    """Fitted on at most train_rows distinct labelled candidates of each label and on variants of them; a fifth is held out, with variants of its own, for calibration."""
+def _examples(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Codes and labels of a chunk, in an order of their own so that reruns agree."""
+    both = sorted(zip(rows.column("codes").to_pylist(), rows.column("found").to_pylist(), strict=True))
+    return np.array([np.frombuffer(c, np.uint8) for c, _ in both], np.int64).reshape(-1, LENGTH), np.array([f for _, f in both], float)
+
+
+def _fit_chunk(weights, epochs: int, turn: int, variants: int):
+    def run(rows: pa.Table) -> pa.Table:
+        net, chunk = CharNetwork(), rows.column("chunk")[0].as_py()
+        net.p = {k: v.copy() for k, v in weights.value.items()}
+        net.fit(*with_variants(*_examples(rows), SEED + 2 * chunk, variants), epochs=epochs, seed=SEED + turn)
+        return pa.table({"chunk": pa.array([chunk], pa.int64()), "n": pa.array([rows.num_rows], pa.int64()), "weights": pa.array([pickle.dumps(net.p)], pa.binary())})
+
+    return run
+
+
+def _count_outputs(network, variants: int):
+    def run(rows: pa.Table) -> pa.Table:
+        x, y = with_variants(*_examples(rows), SEED + 2 * rows.column("chunk")[0].as_py() + 1, variants)
+        outputs = np.concatenate([network.value.forward(x[i : i + LEFT_OUT])[3] for i in range(0, len(x), LEFT_OUT)])
+        bins, n = np.unique(np.stack([np.rint(np.clip(outputs, -40, 40) * BINS), y]), axis=1, return_counts=True)
+        return pa.table({"bin": pa.array(bins[0].astype(np.int64)), "found": pa.array(bins[1] > 0), "n": pa.array(n.astype(np.int64))})
+
+    return run
+
+
+def train_network(spark: SparkSession, docs: DataFrame, text_col: str = "text", chunk_rows: int = CHUNK_ROWS, recall: float = RECALL) -> CharNetwork:
+    """Fitted on all distinct labelled candidates and on variants of them; a fifth is held out, with variants of its own, for calibration.
+
+    Candidates are dealt by hash to chunks of about chunk_rows. Of more than one chunk, each is fitted for an epoch from common weights, which are
+    averaged by rows after it. The driver holds one set of weights (17 KB) for each chunk, and counts of the held-out rows' outputs by bin and label.
+    """
     small_batches(spark)
     rows = docs.select(F.col(f"`{text_col.replace('`', '``')}`").cast("string").alias("text")).mapInArrow(_labelled, "codes binary, found boolean")
-    scratch = Scratch(spark)
-    seen = scratch.write(rows.groupBy("codes").agg(F.max("found").alias("found")), "candidates")
-    picked = []
-    for label in (True, False):
-        picked += sorted(hash_sample(seen.where(F.col("found") == label), train_rows, "codes").collect(), key=lambda r: bytes(r["codes"]))
+    scratch, net = Scratch(spark), CharNetwork()
+    held = F.conv(F.substring(F.md5("codes"), 1, 2), 16, 10).cast("int") % 5 == 0
+    seen = scratch.write(rows.groupBy("codes").agg(F.max("found").alias("found")).withColumn("held", held), "candidates")
+    size = {(r["held"], r["found"]): r["count"] for r in seen.groupBy("held", "found").count().collect()}
+    variants = min(VARIANTS, max(500, chunk_rows))
+    sent = lambda value: spark.sparkContext.broadcast(value)
+
+    def chunks(part: bool):
+        n = max(1, math.ceil((size.get((part, True), 0) + size.get((part, False), 0)) / chunk_rows))
+        return n, seen.where(F.col("held") == part).select("codes", "found", F.pmod(F.xxhash64("codes"), F.lit(n)).cast("long").alias("chunk")).repartition(n, "chunk").groupBy("chunk")
+
+    if all((False, label) in size for label in (True, False)):
+        n, dealt = chunks(False)
+        for turn in range(1 if n == 1 else EPOCHS):
+            fitted = dealt.applyInArrow(_fit_chunk(sent(net.p), EPOCHS if n == 1 else 1, turn, variants), "chunk long, n long, weights binary").collect()
+            fitted = [(r["n"], pickle.loads(r["weights"])) for r in sorted(fitted, key=lambda r: r["chunk"])]
+            net.rows = sum(k for k, _ in fitted)
+            net.p = {name: sum(k * p[name] for k, p in fitted) / net.rows for name in net.p}
+        if all((True, label) in size for label in (True, False)):
+            counted = chunks(True)[1].applyInArrow(_count_outputs(sent(net), variants), "bin long, found boolean, n long").groupBy("bin", "found").agg(F.sum("n").alias("n")).orderBy("bin", "found").collect()
+            net.settle(*[np.array([f(r) for r in counted], float) for f in (lambda r: r["bin"] / BINS, lambda r: r["found"], lambda r: r["n"])], recall)
     scratch.drop(seen)
-    net = CharNetwork()
-    x = np.array([np.frombuffer(r["codes"], np.uint8) for r in picked], np.int64).reshape(-1, LENGTH)
-    y = np.array([r["found"] for r in picked], float)
-    held = np.array([hashlib.md5(bytes(r["codes"])).digest()[0] % 5 == 0 for r in picked], bool)
-    if len(y) and 0 < y[~held].sum() < (~held).sum():
-        net.fit(*with_variants(x[~held], y[~held]))
-        if 0 < y[held].sum() < held.sum():
-            net.calibrate(*with_variants(x[held], y[held], SEED + 1), recall)
     return net
 
 

@@ -342,6 +342,20 @@ def test_scan_and_network(spark, docs):
     assert secrets.train_network(spark, df.limit(0)).threshold > 1  # adds nothing
 
 
+def test_every_candidate_trains_the_network(spark):
+    """All labelled candidates but the held-out fifth are fitted, in one chunk or in several, and both find keys that no pattern knows."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("text").where("text rlike '[0-9a-f]{24}|[0-9]-[0-9]|=|:'").limit(6000)
+    at = {secrets.encode(t, *w).astype(np.uint8).tobytes() for (t,) in docs.collect() for c in secrets.candidates(t or "") for w in secrets.windows(*c)}
+    import hashlib
+
+    want = sum(hashlib.md5(c).digest()[0] % 5 != 0 for c in at)
+    keys = [f"and then we read {'q7RtX2mZ9bLk4VwN8sJd' * 2}"[:44], "f3" * 16]
+    for chunk_rows in (secrets.CHUNK_ROWS, math.ceil(want / 3)):
+        net = secrets.train_network(spark, docs, chunk_rows=chunk_rows)
+        assert net.rows == want and net.threshold <= 0.5
+        assert all(net.score(np.array([secrets.encode(t, *w) for c in secrets.candidates(t) for w in secrets.windows(*c)])).max() >= net.threshold for t in keys)
+
+
 def test_network_learns_and_meets_the_recall():
     """Secrets without a key word beside them are found, numbers of other kinds are not."""
     r = np.random.default_rng(2)

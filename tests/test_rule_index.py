@@ -147,3 +147,12 @@ def test_times_are_utc_in_any_zone(spark):
             assert [r["t"] for r in sorted(got, key=lambda r: r["i"])][5] == "1969-12-31T23:59:59.001Z"
             now = spark.range(1).select(utc_text(F.current_timestamp()).alias("t")).first()["t"]
             assert abs((datetime.strptime(now, "%Y-%m-%dT%H:%M:%S.%fZ").replace(tzinfo=timezone.utc) - datetime.now(timezone.utc)).total_seconds()) < 60
+
+
+def test_only_keys_that_the_index_has_are_exploded(spark):
+    """An event's other parts leave it before the join; its rows follow the rules that it might meet."""
+    from sentrel.operators.rule_index import _keys
+
+    filed = [[(4, "m", False, "user")], [(0, "p", False, "7")]]
+    df = spark.createDataFrame([(["a user and more", "7"],), (["nothing of it", None],)], "values array<string>")
+    assert [sorted(r[0]) for r in df.select(_keys(filed, {"m": 0, "p": 1})).collect()] == [["0.1.7", "4.0.user"], []]

@@ -251,6 +251,30 @@ def test_lists_of_hits_are_made_per_combination(spark):
     assert "BroadcastHashJoin [asked_values" not in got._jdf.queryExecution().toString()
 
 
+def test_partitions_end_by_their_texts_or_rows():
+    cells = [(5, 400, 10, 4000), (1, 400, 10, 4000), (2, 400, 10, 4000), (3, 400, 95, 38000), (4, 400, 250, 100000), (6, 5000, 1, 5000), (7, 5000, 1, 5000), (8, 300, 30, 3000), (9, 300, 30, 9000)]
+    assert enrich.deal(cells, 1000, 12000, 100) == ([(1, 0, 1), (2, 0, 1), (3, 1, 1), (4, 2, 3), (5, 5, 1), (6, 5, 1), (7, 6, 1), (8, 6, 1), (9, 7, 1)], 8)
+    assert enrich.deal([], 1000, 12000, 100) == ([], 0)
+
+
+@pytest.mark.parametrize("bounds", [(1_000_000, 64_000_000, 500_000), (1, 1, 500_000), (1_000_000, 64_000_000, 30)])
+def test_texts_of_lists_meet_their_events_in_any_partition(spark, monkeypatch, bounds):
+    """One combination has half of all events; by the last bounds it is dealt over several partitions. Nulls are a combination too."""
+    for name, x in zip(("TEXT_BYTES", "ROW_BYTES", "ROWS"), bounds, strict=True):
+        monkeypatch.setattr(enrich, name, x)
+    events = spark.createDataFrame([(f"e{i}", f"10.0.0.{max(0, i - 400) % 5}", None if i % 2 else "h", i) for i in range(0, 800, 2)] + [(f"n{i}", None, None, i) for i in range(80)], "event_uid string, ip string, name string, cell int")
+    mapping = {"ip": {"t": [{"mispAttribute": "ip-src", "type": "ip", "enrichPublicOnly": False}]}, "name": {"d": [{"mispAttribute": "domain", "type": "domain", "resolveName": True}]}}
+    intel = spark.createDataFrame([("t", "ip-src", f"10.0.0.{i % 3}", str(i), "c", ["x"]) for i in range(40)], "tag string, attr_type string, value string, event_id string, category string, attr_tags array<string>")
+    attributes, join = enrich.attributes_frame(spark, mapping), lambda c: F.array_join(c, ",")
+    got = enrich.enrich_values(events, attributes, list(mapping), struct_resolver(), intel, text=join)
+    plain = enrich.enrich(events, enrich.requests(events, attributes, list(mapping), struct_resolver()), intel)
+    names = ["intel_event_id", "intel_attribute_category", "intel_attribute_tags"]
+    assert got.columns == [*events.columns, *names]
+    assert sorted(map(str, got.collect())) == sorted(map(str, plain.select(*events.columns, *[join(F.col(c)).alias(c) for c in names]).collect()))
+    held = [r["n"] for r in got.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert sum(held) == 480 and max(held) <= bounds[2] + 30 * (bounds[2] == 30) and (bounds[0] > 1 or len(held) > 4)
+
+
 def test_config_and_sources(spark, tmp_path):
     (tmp_path / "c.properties").write_text("# c\ntopics = a, b\nstart=1700000000000\ntls.security.protocol=SSL\ntls.truststore.location=/t\nflush_rows=5\nenrichment=true\n")
     c = load_config(str(tmp_path / "c.properties"))
